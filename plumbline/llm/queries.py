@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.jaccard import jaccard_join
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.rules import quality_rules
 from plumbline.llm.tokens import read_tokens, write_tokens
 from plumbline.store import place
 
@@ -66,3 +67,8 @@ r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, e.b FR
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(root) AS c FROM r GROUP BY 1) m ON m.doc_id = d.doc_id
 """
+
+
+@query
+def op7_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
