@@ -71,7 +71,8 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             ends = np.unique(np.concatenate([breaks, at[1:][some]]))
             starts = np.unique(np.concatenate([breaks + 1, at[:-1][some]]))
             starts = starts[starts < len(text)]
-            ends = ends[np.searchsorted(ends, starts)]
+            starts = starts[text[starts] != 10]
+            ends = ends[np.searchsorted(ends, starts, side="right")]
             run = np.zeros(len(text) + 1, np.int64)
             np.cumsum(solid, out=run[1:])
             full = run[ends] > run[starts]
