@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.jaccard import jaccard_join
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.pii import KINDS, personal_data, written
 from plumbline.llm.rules import quality_rules
 from plumbline.llm.tokens import read_tokens, write_tokens
 from plumbline.store import place
@@ -72,3 +73,10 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(root) AS c FR
 @query
 def op7_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", (lambda k: lambda x: x["kind"] == k)(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
