@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.jaccard import jaccard_join
+from plumbline.llm.knn import NeighbourModel, fit, fold, knn_quality
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.pii import KINDS, personal_data, written
 from plumbline.llm.rules import quality_rules
@@ -80,3 +81,15 @@ def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", (lambda k: lambda x: x["kind"] == k)(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> NeighbourModel:
+    """Learnt from labels whose key isn't held out."""
+    return fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+
+
+@query
+def op9_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = knn_quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
