@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.decontam import contaminated
 from plumbline.llm.jaccard import jaccard_join
 from plumbline.llm.knn import NeighbourModel, fit, fold, knn_quality
 from plumbline.llm.packing import pack_documents
@@ -93,3 +94,8 @@ def op9_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = knn_quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
