@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.decontam import contaminated
 from plumbline.llm.jaccard import jaccard_join
 from plumbline.llm.knn import NeighbourModel, fit, fold, knn_quality
+from plumbline.llm.lm import language_model_scores
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.pii import KINDS, personal_data, written
 from plumbline.llm.rules import quality_rules
@@ -99,3 +100,10 @@ def op9_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_model_scores(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
+    held_out = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(True))
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
