@@ -20,6 +20,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MEMORY, LONGEST = 800_000, 200
 #: Without the apostrophe, which contractions have, and the backslash.
 _PUNCT = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: How byte-level models write bytes: printable Latin-1 characters as they are, the others from U+0100 on in their order.
+_AS_IS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_VISIBLE = {b: chr(b) for b in _AS_IS} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _AS_IS)}
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -52,6 +55,21 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces: by the library's model alone where a piece is one pre-token of Latin letters, which needs no other step."""
+        out: list[bytes | None] = [None] * len(pieces)
+        rest, model = [], self.tok.model
+        for i, p in enumerate(pieces):
+            word = p[1:] if p[:1] == "\r" else p
+            if self.kind != "whole" and word.isalpha() and max(word) < "\u0250" and (self.kind == "leading" or word == word.lower()):
+                spelled = self._spelled(p).encode().decode("latin-1").translate(_VISIBLE)
+                out[i] = np.array([t.id for t in model.tokenize(spelled)], np.uint32).tobytes()
+            else:
+                rest.append(i)
+        for i, b in zip(rest, self._whole([self._spelled(pieces[i]) for i in rest]), strict=True):
+            out[i] = b
+        return out
+
     def _pieces(self, text: str) -> list[str] | None:
         """Pieces whose ids, in a row, are the text's; None if the text must be encoded whole."""
         if self.kind == "dropped":
@@ -79,16 +97,24 @@ class Encoder:
         at = len(piece.rstrip(_PUNCT))
         return at if 0 < at < len(piece) and piece[at - 1].isalpha() and piece[at - 1] < "\u0250" and "<|" not in piece else 0
 
+    def _parts(self, piece: str) -> list[str]:
+        """Pieces that have the same ids in a row: a line break, what is before the punctuation at the end, that punctuation."""
+        head = []
+        if self.kind == "leading" and piece[:1] == "\n" and len(piece) > 1:
+            head, piece = ["\n"], "\r" + piece[1:]
+        k = self._ends(piece)
+        return [*head, piece[:k], "\r" + piece[k:]] if k > (piece[:1] == "\r") else [*head, piece]
+
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces not remembered: their bodies and punctuation are looked up or encoded once each."""
-        cut = {p: self._ends(p) for p in pieces}
-        parts = {q for p, k in cut.items() for q in ((p[:k], "\r" + p[k:]) if k else (p,))}
+        """Ids of pieces not remembered: their parts are looked up or encoded once each."""
+        cut = {p: self._parts(p) for p in pieces}
+        parts = {q for c in cut.values() for q in c}
         young, old = self.young, self.old
         got = {q: young[q] if q in young else old[q] for q in parts if q in young or q in old}
         new = list(parts.difference(got))
-        got.update(zip(new, self._whole([self._spelled(q) for q in new]), strict=True))
+        got.update(zip(new, self._encoded(new), strict=True))
         young.update((q, got[q]) for q in new if len(q) <= LONGEST)
-        return {p: got[p[:k]] + got["\r" + p[k:]] if k else got[p] for p, k in cut.items()}
+        return {p: got[c[0]] if len(c) == 1 else b"".join([got[q] for q in c]) for p, c in cut.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
