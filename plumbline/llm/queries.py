@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.chat import CONTROLS, format_chats, loss_text, read_back
 from plumbline.llm.decontam import contaminated
+from plumbline.llm.html import extract_pages
 from plumbline.llm.jaccard import jaccard_join
 from plumbline.llm.knn import NeighbourModel, fit, fold, knn_quality
 from plumbline.llm.lm import language_model_scores
@@ -138,3 +139,9 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sum(24 + length({_escaped("role")}) + length({_escaped("text")}))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+
+@query
+def op8_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "text", F.char_length("text").cast("long").alias("n_chars"))
