@@ -1,28 +1,65 @@
-"""A training corpus in stages; each works on all that the one before kept."""
+"""A training corpus in five stages; each works on all that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.decontam import contaminated
 from plumbline.llm.jaccard import jaccard_join
+from plumbline.llm.knn import keep_good
+from plumbline.llm.packing import pack_documents
+from plumbline.llm.pii import mask
+from plumbline.llm.queries import quality_model, tokenizer
 from plumbline.store import place
 
+#: Neighbour votes, shared shingles and packing are no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the neighbour classifier rejects go."""
+    return keep_good(docs, quality_model(docs, _table(spark, sf_dir, "labels")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of links stays: the one with the smallest id."""
-    keep = jaccard_join(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi")
+    """Of each component of links the document with the smallest id stays; one without an id stays."""
+    drop = jaccard_join(docs.select("doc_id", "text")).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return docs.join(drop, "doc_id", "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which a benchmark item leaked go."""
+    leaks = contaminated(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, docs.doc_id.eqNullSafe(leaks.doc_id), "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind, and n_chars follows."""
+    return mask(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences of 2048 tokens."""
+    return pack_documents(docs, tokenizer("byte_bpe_50k.json"), 0, 2048).drop("tokens")
 
 
-STAGES = [("n-gram jaccard join", near_duplicates)]
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("personal data", personal_data),
+    ("best-fit packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         at = place(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(at)

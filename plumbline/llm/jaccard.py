@@ -230,7 +230,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
         d = d.select("key", "text")
     buckets = min(buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 65_536)
     found = stash(d.mapInArrow(_pack(n, buckets), PACKED).groupBy("bucket").applyInArrow(_count, FOUND), "found")
-    every = found.where("kind = 0").select("key", F.col("gram").alias("print"), F.col("cnt").alias("n"))
+    every = stash(found.where("kind = 0").select("key", F.col("gram").alias("print"), F.col("cnt").alias("n")), "texts")
     classes = every.where("n > 0").groupBy("print", "n").agg(F.min("key").alias("rep"))
     grams = found.where("kind = 1").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cnt", "gram"))).alias("g"))
     single = F.col("n") - F.size("g")
@@ -240,6 +240,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
         .select("key", "n", "k", (F.col("n") - F.size("g")).alias("single"), F.col("g.gram").alias("grams")),
         "lists",
     )
+    discard(found)
     posted = lists.select("key", "n", "single", F.posexplode(F.slice("grams", F.lit(1), F.col("k"))).alias("pos", "gram")).select("gram", "key", "n", (F.col("single") + F.col("pos")).alias("pos"))
     x = _boundary(lists, posted, percent)
     light = lists.where(F.col("n") <= x)
@@ -266,6 +267,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     cross = p.join(q, ["gram", "sub"]).where(fits).select(F.col("keyq").alias("a"), F.col("keyp").alias("b")).distinct()
     more = stash(_verified(cross.join(first, ["a", "b"], "left_anti"), lists, percent), "links")
     parts = stash(connected_components(links.union(more), "a", "b"), "parts")
+    for done in (lists, posted, first, links, at, more):
+        discard(done)
     of = every.join(classes.select("print", F.col("n"), "rep"), ["print", "n"], "left").join(parts, F.col("rep") == F.col("node"), "left")
     out = of.select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "key").alias("part"))
     if named:
