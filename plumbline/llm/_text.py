@@ -24,14 +24,14 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POW = {True: np.ones(1, U64), False: np.ones(1, U64)}
 
 #: Bytes of text that are hashed in one go (a longer single text is one go).
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def _powers(n: int, inverse: bool) -> np.ndarray:
     have = _POW[inverse]
     if len(have) < n:
         base = _RINV if inverse else _R
-        size = 1 << int(np.ceil(np.log2(max(n, 1 << 21))))
+        size = 1 << int(np.ceil(np.log2(max(n, SLICE + 1))))
         have = np.full(size, base, U64)
         have[0] = 1
         have = np.multiply.accumulate(have)

@@ -24,7 +24,7 @@ from plumbline.store import arrow_bytes
 MOST, WORDS, SHAPES, RANK, NEIGHBOURS = 4096, 3072, 1024, 64, 25
 #: A neighbour weighs its cosine to this power.
 POWER = 4
-BLOCK = 512
+BLOCK = 128
 
 _CLASS = np.full(256, 7, np.int64)  # other bytes of non-ASCII characters
 _CLASS[:128] = 5  # punctuation
@@ -56,8 +56,8 @@ def _project(word, shape, first, table: np.ndarray) -> np.ndarray:
     some = np.flatnonzero(np.diff(first))
     if len(some):
         # a bounded number of words at a time, whatever one text holds
-        for a in range(0, len(word), 1 << 16):
-            b = min(a + (1 << 16), len(word))
+        for a in range(0, len(word), 1 << 14):
+            b = min(a + (1 << 14), len(word))
             at = np.clip(first, a, b)
             have = np.flatnonzero(np.diff(at))
             rows = table[word[a:b]] + table[shape[a:b]]
