@@ -4,4 +4,10 @@ from __future__ import annotations
 
 from plumbline.queries.base import QUERIES, SQL
 
+
+def _load() -> None:
+    from plumbline.queries import graph  # noqa: F401
+
+
+_load()
 __all__ = ["QUERIES", "SQL"]
