@@ -24,6 +24,9 @@ from plumbline.store import arrow_bytes
 
 #: log2 of the features; the k above; parts in which counts are summed.
 BITS, SHRINK, PARTS = 18, 2.0, 16
+#: What a row counts for; trusted keys that are broadcast at most (16 bytes each: 32 MB).
+RAW, BOTH, TARGET = 0, 1, 2
+KEYS = 2_000_000
 #: Characters that count as symbols, fixed by the contract.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEATED = 50, 50
@@ -99,18 +102,19 @@ def features(h: np.ndarray, first: np.ndarray, bits: int) -> tuple[np.ndarray, n
 
 
 def _gather(bits: int):
-    """Of each task: how often each feature occurs in all texts and in trusted ones."""
+    """Of each task: how often each feature occurs in the raw corpus and in the target."""
 
     def run(batches):
         both = np.zeros((2, 1 << bits), np.int64)
         for batch in batches:
             raw, off = T.buffers(batch.column(0))
-            trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            part = batch.column(1).to_numpy(zero_copy_only=False)
             for i, j in T.slices(off):
                 h, first, _, _ = T.words(raw, off[i : j + 1])
                 f, doc = features(h, first, bits)
-                both[0] += np.bincount(f, minlength=1 << bits)
-                both[1] += np.bincount(f[trusted[i:j][doc]], minlength=1 << bits)
+                of = part[i:j][doc]
+                both[0] += np.bincount(f[of != TARGET], minlength=1 << bits)
+                both[1] += np.bincount(f[of != RAW], minlength=1 << bits)
         step = both.shape[1] // PARTS
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(np.ascontiguousarray(both[:, k * step : (k + 1) * step]).tobytes(), 1) for k in range(PARTS)], pa.binary())], ["part", "counts"])
 
@@ -122,9 +126,16 @@ def _total(group: pa.Table) -> pa.Table:
     return pa.table([group["part"].slice(0, 1), pa.array([all_.tobytes()], pa.binary())], ["part", "counts"])
 
 
-def ratio_weights(docs: DataFrame, text: str, trusted: str, bits: int = BITS, shrink: float = SHRINK) -> np.ndarray:
-    """The weight of each feature, from one scan of all documents.  A fixed 2**bits numbers reach the driver."""
-    d = docs.select(F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(trusted), F.lit(False)))
+def ratio_weights(docs: DataFrame, trusted: DataFrame, bits: int = BITS, shrink: float = SHRINK, keys: int = KEYS) -> np.ndarray:
+    """The weight of each feature, from all docs (key, text) and those with a trusted key.  A fixed 2**bits numbers reach the driver.
+
+    Up to `keys` trusted keys are broadcast and one scan counts both; beyond, trusted texts alone are shuffled.
+    """
+    if trusted.count() <= keys:
+        marked = docs.join(F.broadcast(trusted.select("key", F.lit(BOTH).alias("part"))), "key", "left")
+        d = marked.select("text", F.coalesce("part", F.lit(RAW)))
+    else:
+        d = docs.select("text", F.lit(RAW)).union(docs.join(trusted.select("key"), "key", "left_semi").select("text", F.lit(TARGET)))
     parts = d.mapInArrow(_gather(bits), "part int, counts binary").groupBy("part").applyInArrow(_total, "part int, counts binary").collect()
     if not parts:
         return np.zeros(1 << bits, np.float32)
@@ -182,7 +193,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None, key: str = "
         weights = np.zeros(1 << bits, np.float32)
     else:
         known = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).where("key is not null and label is not null").groupBy("key").agg(F.min("label").alias("label"))
-        weights = ratio_weights(d.join(known.where(half & (F.col("label") == 1)).withColumn("trusted", F.lit(True)), "key", "left"), "text", "trusted", bits)
+        weights = ratio_weights(d, known.where(half & (F.col("label") == 1)), bits)
     sent = spark.sparkContext.broadcast(weights)
     scored = d.mapInArrow(_score(sent, bits), f"key {dict(d.dtypes)['key']}, " + ", ".join(f"{c} long" for c in COUNTS) + ", ratio double")
     if threshold is None and labels is not None:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plumbline.llm import _text as T
-from plumbline.llm.rules import best_threshold, counts, quality_rules
+from plumbline.llm.rules import best_threshold, counts, quality_rules, ratio_weights
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -58,3 +58,9 @@ def test_rejects_what_target_lacks(spark):
     got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, key string")).where("kept").count()
     assert got == 701
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")).collect() == []
+
+
+def test_both_ways_of_counting(spark):
+    docs = spark.createDataFrame([(i, f"a{i % 5} b c", 0) for i in range(50)] + [(None, "x", 0)], "key long, text string, n int")
+    trusted = spark.createDataFrame([(i,) for i in range(0, 50, 3)], "key long")
+    assert np.array_equal(ratio_weights(docs, trusted, 10), ratio_weights(docs, trusted, 10, keys=3))
