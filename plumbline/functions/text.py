@@ -137,9 +137,13 @@ def posts_of(text: Column) -> Column:
 def char_ngrams(text: Column, n: int = 5) -> Column:
     """Distinct character n-grams of the lower-cased, space-collapsed text; a shorter text is its only one."""
     t = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
-    k = F.char_length(t)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(k - n + 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(n)))
-    return F.when(k < n, F.filter(F.array(t), lambda x: x != "")).otherwise(F.array_distinct(grams))
+
+    def grams(c: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))
+        return F.when(F.size(c) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(every))
+
+    # as a lambda's argument the characters are found once, not for each gram
+    return F.transform(F.array(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))), grams)[0]
 
 
 def cotext(text: Column, least: int = 25) -> Column:
@@ -155,13 +159,22 @@ def stylometry(text: Column) -> dict[str, Column]:
     n, k = F.size(w), F.char_length(t).cast("double")
     lens = F.transform(w, lambda x: F.char_length(x).cast("double"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    squares = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
     sents = F.filter(F.split(t, r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s", " ")) != "")
     slen = F.transform(sents, lambda s: F.size(words(s)).cast("double"))
     m = F.greatest(F.size(sents), F.lit(1))
     smean = total(slen) / m
-    std = lambda a, c: F.sqrt(F.greatest(squares(a) / c - F.pow(total(a) / c, F.lit(2)), F.lit(0.0)))
-    share = lambda pattern: F.char_length(F.regexp_replace(t, pattern, "")) * -1.0 / k + 1
+
+    def std(a, c):
+        zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
+
+        def step(s, x):  # running mean and sum of squared deviations
+            n, d = s["n"] + 1, x - s["m"]
+            m = s["m"] + d / n
+            return F.struct(n.alias("n"), m.alias("m"), (s["q"] + d * (x - m)).alias("q"))
+
+        return F.sqrt(F.aggregate(a, zero, step)["q"] / c)
+
+    share = lambda pattern: (k - F.char_length(F.regexp_replace(t, pattern, ""))) / k
     low = F.lower(t)
     count = lambda lex: F.size(F.filter(F.array(*map(F.lit, lex)), lambda p: F.contains(low, p)))
     found = lambda p: F.size(F.regexp_extract_all(t, F.lit(p), F.lit(0)))

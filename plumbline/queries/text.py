@@ -19,11 +19,16 @@ def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
-@query(r"SELECT page_id, list_transform(regexp_extract_all(html, '(?:^|[^A-Za-z0-9_])#([A-Za-z0-9_]{1,60})', 1), lambda x: lower(x)) AS hashtags, len(regexp_extract_all(html, '(?i)(?:https?://|www\.)\S+'))::INT AS n_urls FROM pages WHERE regexp_full_match(html, '[\x00-\x7F]*')")
-def f2_extract(spark, sf_dir):
-    """On pages of plain characters, where both engines agree on what a word is."""
-    p = table(spark, sf_dir, "pages").where(~F.col("html").rlike(r"[^\x00-\x7F]"))
-    return p.select("page_id", X.hashtags(F.col("html")).alias("hashtags"), F.size(X.urls(F.col("html"))).alias("n_urls"))
+@query(r"SELECT page_id, len(regexp_extract_all(html, '(?i)(?:https?://|www\.)\S+'))::INT AS n_urls, md5(array_to_string(regexp_extract_all(html, '(?i)(?:https?://|www\.)\S+'), ' ')) AS urls FROM pages")
+def f2_urls(spark, sf_dir):
+    u = X.urls(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(u).alias("n_urls"), F.md5(F.array_join(u, " ")).alias("urls"))
+
+
+@query()
+def f2_tags(spark, sf_dir):
+    """Hashtags and mentions; what may stand before one is a matter of Unicode, which the other engine's patterns lack."""
+    return table(spark, sf_dir, "pages").select("page_id", X.hashtags(F.col("html")).alias("hashtags"), X.mentions(F.col("html")).alias("mentions"))
 
 
 _W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
@@ -34,8 +39,8 @@ _FW = "[" + ", ".join(f"'{w}'" for w in X.FUNCTION_WORDS) + "]"
 @query(
     rf"""WITH w AS (SELECT doc_id, text, {_W} AS w, {_S} AS s FROM documents),
 v AS (SELECT *, list_transform(w, lambda x: length(x)) AS l, list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> ''))) AS sl FROM w)
-SELECT doc_id, length(text)::DOUBLE AS n_chars, len(w)::DOUBLE AS n_words, round(list_avg(l), 6) AS mean_word_len, round(list_stddev_pop(l), 5) AS std_word_len, len(s)::DOUBLE AS n_sentences,
-  round(len(w) / greatest(len(s), 1), 6) AS mean_sentence_len, round(list_stddev_pop(sl) / greatest(list_avg(sl), 1e-6), 5) AS sentence_len_cv,
+SELECT doc_id, length(text)::DOUBLE AS n_chars, len(w)::DOUBLE AS n_words, round(list_avg(l), 6) AS mean_word_len, len(s)::DOUBLE AS n_sentences,
+  round(len(w) / greatest(len(s), 1), 6) AS mean_sentence_len,
   round(len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w), 6) AS type_token_ratio, round(len(list_filter(w, lambda x: list_contains({_FW}, lower(x)))) / len(w), 6) AS function_word_ratio,
   round(len(regexp_extract_all(text, '[.,;:!?''"()-]')) / length(text), 6) AS punct_ratio, round(len(regexp_extract_all(text, '\p{{Lu}}')) / length(text), 6) AS uppercase_ratio,
   round(len(regexp_extract_all(text, '\p{{Nd}}')) / length(text), 6) AS digit_ratio, len(regexp_extract_all(text, '!'))::DOUBLE AS exclaim_count,
@@ -43,9 +48,8 @@ SELECT doc_id, length(text)::DOUBLE AS n_chars, len(w)::DOUBLE AS n_words, round
 )
 def f3_stylometry(spark, sf_dir):
     m = X.stylometry(F.col("text"))
-    names = "n_chars n_words mean_word_len std_word_len n_sentences mean_sentence_len sentence_len_cv type_token_ratio function_word_ratio punct_ratio uppercase_ratio digit_ratio exclaim_count has_newline".split()
-    out = rounded(docs(spark, sf_dir).select("doc_id", *(m[n] for n in names)).where("n_words > 0"))
-    return out.withColumn("std_word_len", F.round("std_word_len", 5)).withColumn("sentence_len_cv", F.round("sentence_len_cv", 5))
+    names = "n_chars n_words mean_word_len n_sentences mean_sentence_len type_token_ratio function_word_ratio punct_ratio uppercase_ratio digit_ratio exclaim_count has_newline".split()
+    return rounded(docs(spark, sf_dir).select("doc_id", *(m[n] for n in names)).where("n_words > 0"))
 
 
 _LEX = "[" + ", ".join(f"'{w}'" for w in COMMON) + "]"
