@@ -1,0 +1,64 @@
+"""Corpus shapes to the fixed text schema; each is a projection over what readers give."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.functions.text import binary_label, normalise
+
+KEEP = ["text", "label", "threat_class", "generator", "domain", "group_id", "source_dataset", "era"]
+
+
+def finalise(df: DataFrame, dataset: str, era: str = "unknown") -> DataFrame:
+    """Rows of three words or more with a label, under the text schema; uid is the dataset and a hash of content and group."""
+    have = lambda c, d: F.coalesce(F.col(c), F.lit(d)) if c in df.columns else F.lit(d)
+    t = normalise(F.col("text"))
+    out = df.withColumn("text", t).where((F.size(F.split("text", " ")) >= 3) & F.col("label").isNotNull())
+    out = out.select(
+        "text", F.col("label").cast("byte").alias("label"), have("threat_class", None).cast("string").alias("threat_class"), have("generator", "unknown").alias("generator"),
+        have("domain", None).cast("string").alias("domain"), F.coalesce(have("group_id", None).cast("string"), F.md5("text")).alias("group_id"), F.lit(dataset).alias("source_dataset"), F.lit(era).alias("era"),
+    )
+    threat = F.coalesce("threat_class", F.when(F.col("label") == 1, "machine_generated").otherwise("human_benign"))
+    return out.withColumn("threat_class", threat).select(F.concat(F.lit(f"{dataset}:"), F.md5(F.concat_ws("\x1f", "group_id", "generator", "text"))).alias("uid"), *KEEP)
+
+
+def flat(df: DataFrame, text: str, label: str, dataset: str, generator: str | None = None) -> DataFrame:
+    """A text and a label cell of any spelling."""
+    d = df.select(F.col(text).alias("text"), binary_label(F.col(label)).alias("label"), *([F.col(generator).alias("generator")] if generator else []))
+    return finalise(d, dataset)
+
+
+def paired_answers(df: DataFrame, dataset: str, question: str = "question", human: str = "human_answers", machine: str = "chatgpt_answers") -> DataFrame:
+    """Lists of human and machine answers to a question, which stays their group."""
+    part = lambda c, y, g: df.select(F.explode(c).alias("text"), F.lit(y).alias("label"), F.lit(g).alias("generator"), F.col(question).alias("group_id"))
+    return finalise(part(human, 0, "human").union(part(machine, 1, "chatgpt")), dataset)
+
+
+def paired_columns(df: DataFrame, dataset: str, human: str, machine: dict[str, str], group: str) -> DataFrame:
+    """A human text and machine texts in columns (column: generator), one group a row."""
+    cols = {human: "human"} | machine
+    rows = F.array(*(F.struct(F.col(c).alias("text"), F.lit(int(c != human)).alias("label"), F.lit(g).alias("generator")) for c, g in cols.items()))
+    return finalise(df.select(F.col(group).cast("string").alias("group_id"), F.explode(rows).alias("x")).select("group_id", "x.*").where("text is not null"), dataset)
+
+
+def prompts(df: DataFrame, dataset: str, kind: Column, columns: tuple[str, ...] = ("vanilla", "adversarial")) -> DataFrame:
+    """Prompt columns, one row each, harmful where the row's kind says so."""
+    there = [c for c in columns if c in df.columns]
+    d = df.withColumn("label", F.contains(F.lower(kind), F.lit("harmful")).cast("int"))
+    rows = d.select("label", F.explode(F.array(*(F.struct(F.lit(c).alias("form"), F.col(c).alias("text")) for c in there))).alias("x")).select("label", "x.*").where("trim(text) <> ''")
+    threat = F.when(F.col("label") == 0, "human_benign").when(F.col("form") == "adversarial", "jailbreak").otherwise("harmful_completion")
+    return finalise(rows.withColumn("threat_class", threat), dataset)
+
+
+def first_writer_wins(parts: list[DataFrame], key: str) -> DataFrame:
+    """The union of parts in order of precedence, one row a key."""
+    from functools import reduce
+
+    from plumbline.operators.relational import keep_first
+
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("_o", F.lit(i)) for i, p in enumerate(parts)])
+    return keep_first(every, [key], ["_o"]).drop("_o")
+
+
+PARSERS = {"flat": flat, "paired_answers": paired_answers, "paired_columns": paired_columns, "prompts": prompts}
