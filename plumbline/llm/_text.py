@@ -9,6 +9,10 @@ Python object.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 
@@ -48,6 +52,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+def tidied(run):
+    """A task function that gives memory back before and after it runs: workers are reused, and what one held would add up.
+
+    Token memories are dropped as well; the tokenising functions, which profit from them, aren't wrapped in this.
+    """
+
+    def tidy():
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    def wrapped(batches):
+        if tok := sys.modules.get("plumbline.llm._tok"):
+            tok.forget()
+        tidy()
+        yield from run(batches)
+        tidy()
+
+    return wrapped
+
+
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; a null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -143,6 +143,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop what this process remembers of pieces."""
+    for e in _ENCODERS.values():
+        e.young, e.old = {}, {}
+
+
 def groups(column, most: int = 1 << 20):
     """Lists of texts of a string array, null as empty, of about so many characters together."""
     some, size = [], 0

@@ -38,7 +38,7 @@ from plumbline.operators.components import connected_components
 from plumbline.store import arrow_bytes, discard, stash
 
 #: Postings that a task packs at a time.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 #: Light sets never go beyond this size, whatever the cost says: above it subsets only explode.
 LIGHT_MOST = 16
 LOW48 = np.uint64((1 << 48) - 1)
@@ -229,7 +229,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
         names = d.select("key", "name")
         d = d.select("key", "text")
     buckets = min(buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 65_536)
-    found = stash(d.mapInArrow(_pack(n, buckets), PACKED).groupBy("bucket").applyInArrow(_count, FOUND), "found")
+    found = stash(d.mapInArrow(T.tidied(_pack(n, buckets)), PACKED).groupBy("bucket").applyInArrow(_count, FOUND), "found")
     every = stash(found.where("kind = 0").select("key", F.col("gram").alias("print"), F.col("cnt").alias("n")), "texts")
     classes = every.where("n > 0").groupBy("print", "n").agg(F.min("key").alias("rep"))
     grams = found.where("kind = 1").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cnt", "gram"))).alias("g"))

@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label is not null").groupBy("key").agg(F.min("label").alias("label"))
     d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     chosen = d.select("key").distinct().join(known, "key").orderBy(F.xxhash64("key"), "key").limit(most)
-    rows = d.join(F.broadcast(chosen), "key").select("key", "label", "text").mapInArrow(_sparse, f"key {dict(d.dtypes)['key']}, label int, f binary, n binary").collect()
+    rows = d.join(F.broadcast(chosen), "key").select("key", "label", "text").mapInArrow(T.tidied(_sparse), f"key {dict(d.dtypes)['key']}, label int, f binary, n binary").collect()
     by = {}
     for r in rows:
         if r.key not in by or (r.f, r.n) < (by[r.key].f, by[r.key].n):
@@ -176,7 +176,7 @@ def keep_good(docs: DataFrame, model: NeighbourModel, text: str = "text", thresh
     """Those rows of docs, with all their columns, that :func:`knn_quality` predicts as 1; nothing is shuffled."""
     arrow_bytes(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_keeper(sent, text, threshold), docs.schema)
+    return docs.mapInArrow(T.tidied(_keeper(sent, text, threshold)), docs.schema)
 
 
 def fold(key: Column, folds: int) -> Column:
@@ -194,5 +194,5 @@ def knn_quality(docs: DataFrame, model: NeighbourModel, key: str = "doc_id", tex
     arrow_bytes(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out = d.mapInArrow(_scorer(sent), f"key {dict(d.dtypes)['key']}, score double")
+    out = d.mapInArrow(T.tidied(_scorer(sent)), f"key {dict(d.dtypes)['key']}, score double")
     return out.select(F.col("key").alias(key), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -325,12 +325,12 @@ def train(docs: DataFrame, learn: Column, text: str = "text", rounds: int = ROUN
     buckets = min(buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 65_536)
     d = docs.where(learn)
     kind = ", ".join(WORDS.split(", ")[:4])
-    counts = stash(d.select(text).mapInArrow(_count(buckets), kind).groupBy("bucket").applyInArrow(_sum, WORDS), "counts")
+    counts = stash(d.select(text).mapInArrow(T.tidied(_count(buckets)), kind).groupBy("bucket").applyInArrow(_sum, WORDS), "counts")
     model = Model(vocabulary(counts))
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(model)
         part = d.where(F.pmod(F.xxhash64(F.lit("round"), spread), F.lit(rounds)) == k).select(text)
-        changes = part.mapInArrow(_train(sent), "name string, part int, change binary, met binary").groupBy("name", "part").applyInArrow(_mean, "name string, part int, change binary").collect()
+        changes = part.mapInArrow(T.tidied(_train(sent)), "name string, part int, change binary, met binary").groupBy("name", "part").applyInArrow(_mean, "name string, part int, change binary").collect()
         model = _copy(model)
         for r in changes:
             w = getattr(model, r.name)
@@ -416,7 +416,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, buckets: int | None
     spark = docs.sparkSession
     buckets = min(buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 65_536)
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.select("key", "text").mapInArrow(_score(sent, buckets), SCORED)
+    rows = docs.select("key", "text").mapInArrow(T.tidied(_score(sent, buckets)), SCORED)
     have = counts.where("bucket >= 0").select("bucket", "size", "words", "counts")
     sums = rows.groupBy("bucket").cogroup(have.groupBy("bucket")).applyInArrow(_join, JOINED).groupBy("key").agg(*(F.sum(c).alias(c) for c in SUMS))
     v = model.v

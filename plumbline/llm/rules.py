@@ -136,7 +136,7 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, bits: int = BITS, shrink:
         d = marked.select("text", F.coalesce("part", F.lit(RAW)))
     else:
         d = docs.select("text", F.lit(RAW)).union(docs.join(trusted.select("key"), "key", "left_semi").select("text", F.lit(TARGET)))
-    parts = d.mapInArrow(_gather(bits), "part int, counts binary").groupBy("part").applyInArrow(_total, "part int, counts binary").collect()
+    parts = d.mapInArrow(T.tidied(_gather(bits)), "part int, counts binary").groupBy("part").applyInArrow(_total, "part int, counts binary").collect()
     if not parts:
         return np.zeros(1 << bits, np.float32)
     raw, target = np.concatenate([np.frombuffer(r.counts, np.int64).reshape(2, -1) for r in sorted(parts, key=lambda r: r.part)], axis=1)
@@ -195,7 +195,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None, key: str = "
         known = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).where("key is not null and label is not null").groupBy("key").agg(F.min("label").alias("label"))
         weights = ratio_weights(d, known.where(half & (F.col("label") == 1)), bits)
     sent = spark.sparkContext.broadcast(weights)
-    scored = d.mapInArrow(_score(sent, bits), f"key {dict(d.dtypes)['key']}, " + ", ".join(f"{c} long" for c in COUNTS) + ", ratio double")
+    scored = d.mapInArrow(T.tidied(_score(sent, bits)), f"key {dict(d.dtypes)['key']}, " + ", ".join(f"{c} long" for c in COUNTS) + ", ratio double")
     if threshold is None and labels is not None:
         step = 1 / 256
         told = known.where(~(half & (F.col("label") == 1)))
