@@ -24,9 +24,9 @@ from plumbline.store import arrow_bytes
 
 #: log2 of the features; the k above; parts in which counts are summed.
 BITS, SHRINK, PARTS = 18, 2.0, 16
-#: What a row counts for; trusted keys that are broadcast at most (16 bytes each: 32 MB).
+#: What a row counts for; trusted keys that are broadcast at most (about 100 bytes each in a hash relation: 50 MB).
 RAW, BOTH, TARGET = 0, 1, 2
-KEYS = 2_000_000
+KEYS = 500_000
 #: Characters that count as symbols, fixed by the contract.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, REPEATED = 50, 50
