@@ -1,13 +1,11 @@
 """Benchmark passages in documents, by latent semantic retrieval and subsequence checks.
 
 1. One scan of all documents gathers, per task, document frequencies of hashed
-   words, and from a sample of at most about SAMPLE documents (the latent space
-   is fitted on these; every document is searched) a sketch T'(T G) of the
-   passage matrix T, G being random.  With squared inverse document frequencies
-   D it is a sketch of the TF-IDF matrix A = T D: D T'T G = A'A (D^-1 G).  From
-   that the Nystrom form of a randomised SVD gives the leading right vectors.
-   The very first, which only tell languages apart, are left out.  All that
-   reaches the driver has a fixed size.
+   words and a sketch T'(T G) of the passage matrix T, G being random.  With
+   squared inverse document frequencies D it is a sketch of the TF-IDF matrix
+   A = T D: D T'T G = A'A (D^-1 G).  From that the Nystrom form of a randomised
+   SVD gives the leading right vectors.  The very first, which only tell
+   languages apart, are left out.  All that reaches the driver has a fixed size.
 2. A second scan projects windows of each document, as long as benchmark items
    are, four to a length; those whose cosine with an item is high enough are
    candidates.
@@ -35,8 +33,8 @@ from plumbline.store import arrow_bytes
 
 #: Hashed words, right vectors, the first of them that aren't used, further columns of the sketch, words of a passage, parts in which sums are dealt.
 FEATURES, RANK, SKIP, OVER, PASSAGE, PARTS = 8192, 40, 8, 8, 32, 8
-#: Documents on which the latent space is fitted, about, at most.
-SAMPLE = 20_000
+#: Passages that are added to the sketch in one go, about.
+PASSAGES = 1 << 14
 #: Items of a block; cosine of a candidate; shares of an item's words that leak alone and with the answer; words that always do.
 ITEMS, COSINE, ALONE, WITH_ANSWER, LEAST = 20_000, 0.5, 0.6, 0.5, 10
 
@@ -50,13 +48,12 @@ def _hashed(h: np.ndarray) -> np.ndarray:
 
 
 def _gather(batches):
-    """Of each task: documents with each feature, documents, and T'(T G) of the sampled ones."""
-    g = _random(RANK + OVER)
+    """Of each task: documents with each feature, documents, and T'(T G)."""
+    g = np.concatenate([_random(RANK + OVER), np.zeros((1, RANK + OVER), np.float32)])  # the last row: no word, or one that the passage has already
     df, s, total = np.zeros(FEATURES, np.int64), np.zeros((FEATURES, g.shape[1])), 0
     for batch in batches:
         raw, off = T.buffers(batch.column(0))
-        fitted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        total += len(fitted)
+        total += len(off) - 1
         for i, j in T.slices(off):
             h, first, _, _ = T.words(raw, off[i : j + 1])
             n, f = np.diff(first), _hashed(h)
@@ -66,20 +63,15 @@ def _gather(batches):
                 there = np.zeros((64, FEATURES), bool)
                 there[doc[some] - a, f[some]] = True
                 df += there.sum(axis=0)
-            own = fitted[i:j][doc] if len(h) else np.zeros(0, bool)
-            if not own.any():
+            if not len(h):
                 continue
-            place = (np.arange(len(h)) - first[doc]) // PASSAGE
+            at = np.arange(len(h)) - first[doc]
             begin = np.concatenate([[0], np.cumsum(-(-n // PASSAGE))])
-            pair = np.unique(((begin[doc] + place) * FEATURES + f)[own])
-            p, f = pair // FEATURES, pair % FEATURES
-            head = np.diff(p, prepend=-1) > 0
-            rows = np.add.reduceat(g[f], np.flatnonzero(head), axis=0)
-            p = np.cumsum(head) - 1
-            order = np.argsort(f.astype(np.uint16), kind="stable")
-            f, p = f[order], p[order]
-            cut = np.flatnonzero(np.diff(f, prepend=-1))
-            s[f[cut]] += np.add.reduceat(rows[p], cut, axis=0)
+            for a, b in _bounded(begin):
+                some = slice(first[a], first[b])
+                passages = np.full((begin[b] - begin[a], PASSAGE), FEATURES, np.uint16)
+                passages[begin[doc[some]] - begin[a] + at[some] // PASSAGE, at[some] % PASSAGE] = f[some]
+                _add(s, g, passages)
     step = FEATURES // PARTS
     yield pa.RecordBatch.from_arrays(
         [pa.array(range(PARTS), pa.int32()), pa.array([total] * PARTS, pa.int64()), pa.array([zlib.compress(df[k * step : (k + 1) * step].tobytes(), 1) for k in range(PARTS)], pa.binary()), pa.array([s[k * step : (k + 1) * step].astype(np.float32).tobytes() for k in range(PARTS)], pa.binary())],
@@ -87,6 +79,31 @@ def _gather(batches):
     )
 
 
+def _bounded(begin: np.ndarray):
+    """Ranges of documents with about PASSAGES passages; begin has the first passage of each (a longer document is one range)."""
+    a = 0
+    while a < len(begin) - 1:
+        b = max(a + 1, int(np.searchsorted(begin, begin[a] + PASSAGES, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def _add(s: np.ndarray, g: np.ndarray, passages: np.ndarray) -> None:
+    """Add T'(T G) of passages, whose rows are features, to s; a feature counts once in a passage."""
+    passages.sort(axis=1)
+    passages[:, 1:][passages[:, 1:] == passages[:, :-1]] = FEATURES
+    rows = np.zeros((len(passages), g.shape[1]), np.float32)
+    for c in range(PASSAGE):
+        rows += g[passages[:, c]]
+    flat = passages.ravel()
+    order = np.argsort(flat, kind="stable")
+    f = flat[order]
+    have = int(np.searchsorted(f, FEATURES))
+    f, order = f[:have], order[:have]
+    cut = np.flatnonzero(np.diff(f.astype(np.int32), prepend=-1))
+    s[f[cut]] += np.add.reduceat(rows[order // PASSAGE], cut, axis=0)
+
+
 def _total(group: pa.Table) -> pa.Table:
     df = sum(np.frombuffer(zlib.decompress(b), np.int64) for b in group["df"].to_pylist())
     s = sum(np.frombuffer(b, np.float32).astype(float) for b in group["sketch"].to_pylist())
@@ -100,8 +117,7 @@ def latent_table(docs: DataFrame) -> np.ndarray:
     if not n:
         return none
     kind = "part int, texts long, df binary, sketch binary"
-    fitted = F.pmod(F.xxhash64(F.lit("fit"), "key"), F.lit(1_000_000)) < int(min(1, SAMPLE / n) * 1_000_000)
-    rows = docs.select("text", fitted).mapInArrow(T.tidied(_gather), kind).groupBy("part").applyInArrow(_total, kind).collect()
+    rows = docs.select("text").mapInArrow(T.tidied(_gather), kind).groupBy("part").applyInArrow(_total, kind).collect()
     rows.sort(key=lambda r: r.part)
     df = np.concatenate([np.frombuffer(r.df, np.int64) for r in rows])
     s = np.concatenate([np.frombuffer(r.sketch, float).reshape(-1, RANK + OVER) for r in rows])

@@ -28,6 +28,35 @@ def test_nystrom():
     assert np.linalg.norm(a - a @ v @ v.T) < 1e-3 * np.linalg.norm(a)
 
 
+def test_every_document_is_fitted(spark, monkeypatch):
+    n, r = 24_000, random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 5))) for _ in range(n - 1)] + [" ".join(r.choices(words, k=70))]
+    seen = {}
+
+    def spy(y, g, rank):
+        seen["y"], seen["g"] = y, g
+        return right(y, g, rank)
+
+    right = D.right_vectors
+    monkeypatch.setattr(D, "right_vectors", spy)
+    of = {w: int(D._hashed(D.hashes(w))[0]) for w in words}
+    t = [{of[w] for w in x.split()[a : a + D.PASSAGE]} for x in texts for a in range(0, len(x.split()), D.PASSAGE)]
+    rows = np.zeros((len(t), D.FEATURES), bool)
+    for i, features in enumerate(t):
+        rows[i, list(features)] = True
+    used = sorted(set(of.values()))
+    m = rows[:, used].astype(float)
+    df = np.zeros(D.FEATURES)
+    for x in texts:
+        df[list({of[w] for w in x.split()})] += 1
+    weight = (np.log((1 + n) / (1 + df)) + 0.1) ** 2
+    want = m.T @ (m @ D._random(D.RANK + D.OVER)[used]) * weight[used, None]
+    for key in (range(n), [None] * n):
+        D.latent_table(spark.createDataFrame(list(zip(key, texts, strict=True)), "key long, text string").repartition(3))
+        assert np.abs(seen["y"][used] - want).max() < 1e-4 * np.abs(want).max()
+
+
 def test_windows_cover():
     first = np.array([0, 0, 5, 45, 46])
     for size in (4, 8, 12, 16, 64):
