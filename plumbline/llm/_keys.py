@@ -19,3 +19,14 @@ def unique_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
         return d, None
     d = stash(d.select(F.monotonically_increasing_id().alias("key"), "text", F.col("key").alias("name")), "named")
     return d.select("key", "text"), d.select("key", "name")
+
+
+def numbered(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """(docs with a column _row that every row has for itself, whether that is a row number).
+
+    It is the key if that is unique and never null; else the rows are written once under row numbers, as above.
+    """
+    rows, distinct = docs.agg(F.count("*"), F.count_distinct(key)).first()
+    if rows == distinct:
+        return docs.withColumn("_row", F.col(key)), False
+    return stash(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), True

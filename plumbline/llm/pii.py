@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm._keys import numbered
 from plumbline.store import stash
 
 #: The kinds in the order of the contract, with the shape of each; fixed values.  A match begins where its run of
@@ -164,7 +165,8 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """docs with personal data masked in the text; the key must be unique and not null.  A null text stays null."""
-    found_ = personal_data(docs, key, text, **settings).where(F.size("spans") > 0).select(key, F.col("spans").alias("_spans"))
-    out = docs.join(found_, key, "left")
+    """docs with personal data masked in the text, each row by its own spans; keys may repeat or be null.  A null text stays null."""
+    d, _ = numbered(docs, key)
+    found_ = personal_data(d, "_row", text, **settings).where(F.size("spans") > 0).select("_row", F.col("spans").alias("_spans"))
+    out = d.join(found_, "_row", "left")
     return out.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("_spans")))).select(*docs.columns)

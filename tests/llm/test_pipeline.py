@@ -1,5 +1,6 @@
 import corpus_pipeline as P
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontam as D
 from tests.llm.test_decontam import lcs
@@ -48,3 +49,17 @@ def test_stages_do_what_they_say(spark, tmp_path):
             assert max(used.values()) <= 2048 and len(used) <= -(-sum(used.values()) // 2048) + 2
         if k < 4:
             before = after
+
+
+def mixed_up(spark):
+    """The documents with their ids, and with ids that are null or repeat; source tells the rows apart."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.col("doc_id").cast("string"))
+    return docs, docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 1, F.col("doc_id") % 5).when(F.col("doc_id") % 3 == 2, F.col("doc_id")))
+
+
+def test_masking_goes_by_row(spark):
+    docs, mixed = mixed_up(spark)
+    want = {r.source: r.text for r in P.personal_data(spark, docs, SF).collect()}
+    rows = P.personal_data(spark, mixed, SF).collect()
+    assert len(rows) == len(want) and {r.source: r.text for r in rows} == want
+    assert any("<email>" in r.text for r in rows if r.doc_id is None)
