@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm._keys import numbered
 from plumbline.llm.decontam import contaminated
 from plumbline.llm.jaccard import jaccard_join
 from plumbline.llm.knn import keep_good
@@ -27,15 +28,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of links the document with the smallest id stays; one without an id stays."""
-    drop = jaccard_join(docs.select("doc_id", "text")).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti")
+    """Of each component of links one row stays: that of the smallest id, one without an id only where none has any."""
+    d, renamed = numbered(docs, "doc_id")
+    of = jaccard_join(d.select("_row", "text"), "_row")
+    if renamed:
+        of = of.join(d.select("_row", "doc_id"), "_row")
+        least = of.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("stays"))
+        of = of.join(least, "component_id")
+    else:
+        of = of.withColumn("stays", F.col("component_id"))
+    return d.join(of.where(F.col("_row") != F.col("stays")).select("_row"), "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which a benchmark item leaked go."""
-    leaks = contaminated(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, docs.doc_id.eqNullSafe(leaks.doc_id), "left_anti")
+    """Rows into whose own text a benchmark item leaked go."""
+    d, _ = numbered(docs, "doc_id")
+    leaks = contaminated(d, _table(spark, sf_dir, "benchmark"), "_row").select("_row").distinct()
+    return d.join(leaks, "_row", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

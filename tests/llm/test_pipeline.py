@@ -63,3 +63,24 @@ def test_masking_goes_by_row(spark):
     rows = P.personal_data(spark, mixed, SF).collect()
     assert len(rows) == len(want) and {r.source: r.text for r in rows} == want
     assert any("<email>" in r.text for r in rows if r.doc_id is None)
+
+
+def test_one_row_of_a_component_stays(spark):
+    docs, mixed = mixed_up(spark)
+    twice = mixed.union(mixed)
+    part = {i: c for i, _, c in components([(r.doc_id, r.text) for r in docs.collect()])}
+    text = {str(r.doc_id): r.text for r in docs.collect()}
+    kept = [r.source for r in P.near_duplicates(spark, twice, SF).collect()]
+    worded = [s for s in kept if text[s] and text[s].split()]
+    assert sorted(part[int(s)] for s in worded) == sorted({part[int(s)] for s, t in text.items() if t and t.split()})
+    assert len(kept) - len(worded) == 2 * sum(not (t and t.split()) for t in text.values())  # texts without words link with nothing
+    few = [(None, "a b c d e f"), (9, "a b c d e f"), (3, "a b c d e f"), (3, "x y z u v w"), (None, "only this one here"), (None, "only this one here")]
+    got = P.near_duplicates(spark, spark.createDataFrame(few, "doc_id long, text string"), SF).collect()
+    assert sorted((r.text, r.doc_id) for r in got) == [("a b c d e f", 3), ("only this one here", None), ("x y z u v w", 3)]
+
+
+def test_only_rows_that_leak_go(spark):
+    docs, mixed = mixed_up(spark)
+    want = sorted(r.source for r in P.decontamination(spark, docs, SF).collect())
+    assert len(want) < docs.count()
+    assert sorted(r.source for r in P.decontamination(spark, mixed, SF).collect()) == want
