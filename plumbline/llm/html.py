@@ -23,7 +23,9 @@ from plumbline.store import arrow_bytes
 #: Fixed values of HTML: elements without content, with raw content, without a box, blocks, and those with space around.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head title script style template noscript iframe object audio video canvas svg math datalist select noembed noframes textarea".split())
+UNSEEN = frozenset("head title script style template noscript iframe object audio video canvas datalist noembed noframes".split())
+#: Within a formula, and within a drawing, where only text elements and embedded pages show words.
+_UNSEEN_IN = {"math": frozenset(("annotation", "annotation-xml")), "svg": frozenset("defs symbol desc metadata clippath mask pattern marker".split())}
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset".split())
 BLOCKS = SPACED | frozenset("html body address article aside center details dialog dd div dir dt figcaption footer form header hgroup hr legend li main menu nav section summary caption tr thead tbody tfoot option search".split())
 #: A start tag closes an open element of these, looking no further up than the scope.
@@ -46,8 +48,12 @@ SCOPE = frozenset("table td th caption template html".split())
 
 _MARKUP = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*)(?:>|\Z)|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SHOWING = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.I)
+_SIMPLE = re.compile(r"([.#]?)[\w-]+")
+_QUOTED = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|<!--|-->", re.S)
+_FEATURE = re.compile(r"\(\s*(min|max)-width\s*:\s*(\d+(?:\.\d*)?|\.\d+)(px|r?em)?\s*\)")
+#: Columns of pixels of the screen for which style sheets are read.
+SCREEN = 1280
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -58,10 +64,65 @@ class Node:
         self.name, self.attrs, self.kids = name, attrs, []
 
 
-def parse(page: str) -> tuple[Node, set[str]]:
-    """(tree, simple selectors that a style sheet hides)."""
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds for a screen of SCREEN pixels; one with a condition on anything else doesn't."""
+
+    def holds(query: str) -> bool:
+        kind, *features = re.split(r"\s+and\s+", query.strip().lower().removeprefix("only "))
+        if kind not in ("", "all", "screen"):
+            features = [kind, *features]
+        for f in features:
+            m = _FEATURE.fullmatch(f.strip())
+            if not m:
+                return False
+            w = float(m[2]) * (16 if m[3] in ("em", "rem") else 1)
+            if w > SCREEN if m[1] == "min" else w < SCREEN:
+                return False
+        return True
+
+    return any(map(holds, media.split(",")))
+
+
+def _applies(head: str) -> bool:
+    name, _, rest = head.partition(" ") if "(" not in head.split(" ", 1)[0] else head.partition("(")
+    name = name.lower()
+    if name == "@media":
+        return on_screen("(" + rest if "(" in head.split(" ", 1)[0] else rest)
+    return name == "@layer" or name == "@supports" and not rest.strip().lower().startswith("not")
+
+
+def rules(css: str):
+    """(selectors, declarations) that hold on a screen, in order."""
+    css = _QUOTED.sub(" ", css)
+    stack: list[tuple[str | None, bool, bool]] = []  # open blocks: selectors (None of an at-rule), whether they hold, whether a rule is open
+    for text, brace in re.findall(r"([^{}]*)([{}])", css + "}" * css.count("{")):
+        holds, within = stack[-1][1:] if stack else (True, False)
+        if brace == "{":
+            before, _, head = text.rpartition(";")
+            if stack and stack[-1][0] and holds:
+                yield stack[-1][0], before
+            head = " ".join(head.split())
+            if head.startswith("@"):
+                stack.append((None, holds and _applies(head), within))
+            else:
+                stack.append((head, holds and not within, True))  # what a rule nests depends on more than a simple selector
+        elif stack:
+            selectors, holds, _ = stack.pop()
+            if selectors and holds:
+                yield selectors, text
+
+
+def declared(body: str):
+    """(property, value, whether important) of the declarations on display and visibility."""
+    for name, value, important in _SHOWING.findall(body):
+        yield name.lower(), value.lower(), bool(important)
+
+
+def parse(page: str) -> tuple[Node, dict]:
+    """(tree, what style sheets declare for simple selectors: for each and each property its strongest weight and value)."""
     root = Node("#root", {})
-    stack, hidden, at = [root], set(), 0
+    stack, sheet, at = [root], {}, 0
+    order = 0
     opened: Counter[str] = Counter()  # by name, so that a deep stack isn't searched for what it doesn't have
 
     def text(s: str) -> None:
@@ -121,24 +182,88 @@ def parse(page: str) -> tuple[Node, set[str]]:
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>])|\Z", re.I).search(page, at)
                 raw = page[at : end.start()]
-                if name == "style":
-                    for sel, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", raw, flags=re.S)):
-                        if _HIDING.search(body):
-                            hidden.update(s.strip() for s in sel.split(",") if re.fullmatch(r"\s*[.#]?[\w-]+\s*", s))
+                if name == "style" and on_screen(attrs.get("media", "")):
+                    for selectors, body in rules(raw):
+                        order += 1
+                        for sel in selectors.split(","):
+                            if m := _SIMPLE.fullmatch(sel.strip()):
+                                key = m[0] if m[1] else m[0].lower()
+                                for what, value, important in declared(body):
+                                    mine = sheet.setdefault(key, {})
+                                    weight = (important, {"": 1, ".": 2, "#": 3}[m[1]], order)
+                                    if weight >= mine.get(what, ((),))[0]:
+                                        mine[what] = (weight, value)
+                if name == "textarea":
+                    raw = html.unescape(raw.removeprefix("\n"))
                 node.kids.append(raw)
                 close_at = page.find(">", end.start())
                 at = len(page) if end.start() == len(page) or close_at < 0 else close_at + 1
             elif name not in VOID:
                 stack.append(node)
                 opened[name] += 1
-    return root, hidden
-
-
-def visible(node: Node, hidden: set[str]) -> bool:
-    a = node.attrs
-    if node.name in UNSEEN or "hidden" in a or (node.name == "dialog" and "open" not in a) or _HIDING.search(a.get("style", "")):
-        return False
-    return not hidden or not (node.name in hidden or f"#{a.get('id')}" in hidden or any(f".{c}" in hidden for c in a.get("class", "").split()))
+    return root, sheet
+
+
+def style_of(node: Node, sheet: dict) -> dict[str, str]:
+    """display and visibility of an element, where declared: the strongest declaration, of equally strong ones the last."""
+    a, best = node.attrs, {}
+    if "hidden" in a or (node.name == "dialog" and "open" not in a):
+        best["display"] = ((False, 0, 0), "none")
+    if sheet:
+        for key in ("*", node.name, *(f".{c}" for c in a.get("class", "").split()), f"#{a.get('id')}"):
+            for what, found in sheet.get(key, {}).items():
+                best[what] = max(best.get(what, ((False, -1, 0), "")), found)
+    for what, value, important in declared(a.get("style", "")) if "style" in a else ():
+        best[what] = max(best.get(what, ((False, -1, 0), "")), ((important, 4, 0), value), key=lambda x: x[0])
+        if best[what][0][:2] == (important, 4):
+            best[what] = ((important, 4, 0), value)
+    return {what: value for what, (_, value) in best.items()}
+
+
+def options(select: Node) -> list:
+    """What a select element shows: the chosen option's words, or all of a list box."""
+    every, todo = [], list(reversed(select.kids))
+    while todo:
+        k = todo.pop()
+        if isinstance(k, Node):
+            if k.name == "option":
+                every.append(k)
+            todo.extend(reversed(k.kids) if k.name != "option" else ())
+    for o in every:
+        if label := o.attrs.get("label"):
+            o.kids = [label]
+    if "multiple" in select.attrs or re.fullmatch(r"0*[1-9]\d+|0*[2-9]", select.attrs.get("size", "")):
+        for k in select.kids:
+            if isinstance(k, Node) and k.name == "optgroup":
+                k.kids.insert(0, k.attrs.get("label", ""))
+        return select.kids
+    chosen = [o for o in every if "selected" in o.attrs][-1:] or [o for o in every if "disabled" not in o.attrs][:1]
+    return [" ", *chosen[0].kids, " "] if chosen else []
+
+
+def prune(root: Node, sheet: dict) -> None:
+    """Take from a tree all that isn't shown."""
+    todo = [(root, True, "")]
+    while todo:
+        node, shown, inside = todo.pop()
+        if node.name == "select":
+            node.kids = options(node)
+        kids = []
+        for k in node.kids:
+            if isinstance(k, str):
+                if shown and inside != "svg":
+                    kids.append(k)
+                continue
+            if k.name in UNSEEN or k.name in _UNSEEN_IN.get(inside, ()):
+                continue
+            style = style_of(k, sheet)
+            if style.get("display") == "none":
+                continue
+            v = style.get("visibility", "inherit")
+            here = k.name if k.name in _UNSEEN_IN else "" if inside == "svg" and k.name in ("text", "foreignobject") else inside
+            todo.append((k, shown if v in ("inherit", "unset") else v not in ("hidden", "collapse"), here))
+            kids += [" ", k, " "] if inside == "svg" and not here else [k]
+        node.kids = kids
 
 
 def width(s: str) -> int:
@@ -214,7 +339,7 @@ class Lines:
 NESTED = 12
 
 
-def render(root: Node, hidden: set[str], depth: int = 0, pre: bool = False) -> str:
+def render(root: Node, depth: int = 0, pre: bool = False) -> str:
     """The visible text below a node."""
     out, stack = Lines(), [(root, 0, pre, None)]
     while stack:
@@ -235,15 +360,13 @@ def render(root: Node, hidden: set[str], depth: int = 0, pre: bool = False) -> s
             if name in BLOCKS:
                 out.brk(0 if name in ("ul", "ol") and out.indent else gap)
             continue
-        if node is not root and not visible(node, hidden):
-            continue
         if name == "br":
             out.newline()
             continue
         if name in BLOCKS:
             out.brk(0 if name in ("ul", "ol") and out.indent else gap)
         if name == "table" and depth < NESTED and node is not root:
-            for line in table(node, hidden, depth):
+            for line in table(node, depth):
                 out.put(line) if line else out.newline()
                 out.brk()
             out.brk(1)
@@ -254,7 +377,7 @@ def render(root: Node, hidden: set[str], depth: int = 0, pre: bool = False) -> s
         if name in ("blockquote", "dd"):
             out.indent += 2
         stack.append((node, 1, pre, None))
-        pre = pre or name in ("pre", "xmp")
+        pre = pre or name in ("pre", "xmp", "textarea")
         numbers, n = {}, 0
         if name == "ol":
             n = int(node.attrs["start"]) - 1 if re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 0
@@ -266,7 +389,7 @@ def render(root: Node, hidden: set[str], depth: int = 0, pre: bool = False) -> s
     return out.done()
 
 
-def table(node: Node, hidden: set[str], depth: int) -> list[str]:
+def table(node: Node, depth: int) -> list[str]:
     """Lines of a table: a caption, then rows with their cells padded to the columns' widths."""
     rows, heads, loose = [], [], []
     todo = list(reversed(node.kids))
@@ -275,8 +398,6 @@ def table(node: Node, hidden: set[str], depth: int) -> list[str]:
         if isinstance(k, str):
             if k.strip():
                 loose.append(_SPACE.sub(" ", k).strip())
-        elif not visible(k, hidden):
-            continue
         elif k.name in ("thead", "tbody", "tfoot"):
             todo.extend(reversed(k.kids))
         elif k.name == "tr" or k.name in ("td", "th"):
@@ -285,20 +406,20 @@ def table(node: Node, hidden: set[str], depth: int) -> list[str]:
                 if isinstance(c, str):
                     if c.strip():
                         loose.append(_SPACE.sub(" ", c).strip())
-                elif visible(c, hidden):
+                else:
                     if c.name in ("td", "th"):
                         span = c.attrs.get("colspan", "1")
-                        text = render(c, hidden, depth + 1)
+                        text = render(c, depth + 1)
                         cells.append(text.split("\n"))
                         cells.extend([""] for _ in range(min(int(span), 1000) - 1 if re.fullmatch(r"[1-9]\d{0,5}", span) else 0))
                     else:
-                        loose.append(render(c, hidden, depth + 1))
+                        loose.append(render(c, depth + 1))
             if k.name == "tr" or not rows or not getattr(rows[-1], "open", False):
                 rows.append(cells)
             else:
                 rows[-1].extend(cells)
         else:
-            text = render(k, hidden, depth + 1)
+            text = render(k, depth + 1)
             if text:
                 (heads if k.name == "caption" else loose).append(text)
     wide: list[int] = []
@@ -320,8 +441,9 @@ def table(node: Node, hidden: set[str], depth: int) -> list[str]:
 
 def page_text(page: str | None) -> str:
     """The visible text of a page, laid out; empty for null."""
-    root, hidden = parse(page or "")
-    return render(root, hidden)
+    root, sheet = parse(page or "")
+    prune(root, sheet)
+    return render(root)
 
 
 def _extract(batches):

@@ -79,3 +79,30 @@ def test_depth_and_noise(spark):
     df = spark.createDataFrame([(1, "<p>x", "t"), (None, None, "t"), (1, "<p>x", "t")], "page_id long, html string, text string")
     assert sorted(map(tuple, extract_pages(df).collect()), key=str) == [(1, "x"), (1, "x"), (None, "")]
     assert extract_pages(df.limit(0)).collect() == []
+
+
+SHOWN = [
+    ("<style>@media print{.nav{display:none}}@media (max-width:600px){.nav{display:none}}</style><p class=nav>menu", "menu"),
+    ("<style>@media screen and (min-width: 40em){.x{display:none}}@supports (display:grid){.y{display:none}}</style><p class=x>a<p class=y>b<p>c", "c"),
+    ("<style media=print>p{display:none}</style><p>a", "a"),
+    ("<style>.x{display:none}.x{display:block}.y{display:block}.y{display:none}</style><p class=x>a<p class=y>b", "a"),
+    ("<style>#i{display:none}.x{display:block}.z{display:none!important}</style><p class=x id=i>a<p class=z style='display:block'>b<p style='display:none;display:block'>c", "c"),
+    ("<style>p{display:none}@media print{</style>a<p>b", "a"),
+    ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b></div>", "b"),
+    ("x <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> y", "x a=2 y"),
+    ("<svg><title>t</title><desc>d</desc><defs><text>n</text></defs><text x=1>one</text><text>two</text></svg>", "one two"),
+    ("<textarea>a &amp;\n  b</textarea>", "a &\n  b"),
+    ("pick <select><option>a<option selected>b<option>c</select> now", "pick b now"),
+    ("<select><option disabled>a<option>b</select>", "b"),
+]
+
+
+@pytest.mark.parametrize("page,text", SHOWN)
+def test_what_is_shown(page, text):
+    assert page_text(page) == text
+
+
+def test_hidden_elements_are_these_alone():
+    hidden = "head title script style template noscript iframe object audio video canvas datalist noembed noframes".split()
+    for name in [*hidden, *"div p span section nav article math textarea button label summary b td".split()]:
+        assert page_text(f"<{name}>word</{name}>") == ("" if name in hidden else "word"), name
