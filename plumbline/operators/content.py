@@ -5,16 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import char_ngrams, normalise
+from plumbline.operators.components import connected_components
+from plumbline.operators.dedup import near_pairs
+from plumbline.store import stash
 
-def duplication(posts: DataFrame, norm: Column | None = None) -> DataFrame:
-    """(user_id, content_duplication_ratio, cross_account_dup_ratio) by equal normalised text.
 
-    A text of one account repeats its own count less one times; of several
+def duplication(posts: DataFrame, norm: Column | None = None, near: float | None = 0.75) -> DataFrame:
+    """(user_id, content_duplication_ratio, cross_account_dup_ratio) by near-equal normalised text.
+
+    Texts whose character 5-gram sets overlap by near or more are linked, and a
+    component of links is one text; None: equal texts alone.  A text of one account repeats its own count less one times; of several
     accounts, all its posts are cross-account copies.  Empty texts are no posts.
     Counts for each (text, user) come first, so a text's copies are one row a user.
     """
-    norm = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " ")) if norm is None else norm
-    per = posts.where("user_id is not null").select("user_id", F.md5(norm).alias("t"), (norm != "").alias("ok")).where("ok").groupBy("t", "user_id").agg(F.count("*").alias("c"))
+    norm = normalise(F.col("text"), lower=True, most=None) if norm is None else norm
+    p = posts.where("user_id is not null").select("user_id", norm.alias("norm")).where("norm <> ''")
+    per = p.groupBy(F.md5("norm").alias("t"), "user_id").agg(F.count("*").alias("c"), F.min("norm").alias("norm"))
+    if near is not None:
+        per = stash(per, "reuse")
+        texts = per.groupBy("t").agg(F.min("norm").alias("norm")).withColumn("g", F.md5(F.array_join(F.array_sort(char_ngrams(F.col("norm"))), "\x1f")))
+        texts = stash(texts, "texts")  # g: equal gram sets are one text
+        pairs = near_pairs(texts.groupBy("g").agg(F.min("norm").alias("norm")), "g", "norm", near)
+        group = texts.select("t", "g").join(connected_components(pairs, "a", "b"), F.col("g") == F.col("node"), "left").select("t", F.coalesce("component", "g").alias("group"))
+        per = per.join(group, "t").groupBy(F.col("group").alias("t"), "user_id").agg(F.sum("c").alias("c"))
     users = per.groupBy("t").agg(F.count("*").alias("u"))
     j = per.join(users, "t")
     a = j.groupBy("user_id").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("u") > 1, F.col("c")).otherwise(0)).alias("x"), F.sum(F.when(F.col("u") == 1, F.col("c") - 1).otherwise(0)).alias("s"))

@@ -11,9 +11,9 @@ from plumbline.operators.structure import architecture
 from plumbline.store import stash
 
 
-def analyze_network(nodes: DataFrame, edges: DataFrame, posts: DataFrame, window: int = 60) -> DataFrame:
+def analyze_network(nodes: DataFrame, edges: DataFrame, posts: DataFrame, window: int = 60, near: float | None = 0.75) -> DataFrame:
     """One row: the report on a submission of accounts, their ties and their posts.  Features are computed once."""
-    f = stash(build_features(nodes, edges, posts, window), "features")
+    f = stash(build_features(nodes, edges, posts, window, near), "features")
     m = S.coordination_metrics(f)
     n = f.agg(F.count("*").alias("total_nodes"), F.count_if(S.is_participant()).alias("coordinated_accounts"))
     a = architecture(nodes, edges)

@@ -63,6 +63,12 @@ def g5_profile(spark, sf_dir):
 
 @query(part(V.STRUCTURE, V.CONTENT) + f"SELECT user_id, {r('content_duplication_ratio', 'cross_account_dup_ratio')} FROM dup")
 def g6_content_duplication(spark, sf_dir):
+    return rounded(content.duplication(V.posts(spark, sf_dir), near=None))  # the SQL knows equal texts alone
+
+
+@query()
+def g6_near_duplication(spark, sf_dir):
+    """Near copies linked, which the SQL of the other queries leaves out."""
     return rounded(content.duplication(V.posts(spark, sf_dir)))
 
 
@@ -79,7 +85,7 @@ def g7_components(spark, sf_dir):
 
 
 def _built(spark, sf_dir):
-    return features.build_features(V.accounts(spark, sf_dir), V.edges(spark, sf_dir), V.posts(spark, sf_dir), 3600)
+    return features.build_features(V.accounts(spark, sf_dir), V.edges(spark, sf_dir), V.posts(spark, sf_dir), 3600, near=None)
 
 
 @query(V.with_features(3600) + f"SELECT user_id, label, split, {r(*FEATURES)} FROM feats")
@@ -231,5 +237,5 @@ SELECT total_nodes, coordinated_accounts, network_architecture, architecture_con
 
 @query(V.with_features(3600) + _REPORT)
 def analyze_network(spark, sf_dir):
-    out = analysed(V.accounts(spark, sf_dir), V.edges(spark, sf_dir), V.posts(spark, sf_dir), 3600)
+    out = analysed(V.accounts(spark, sf_dir), V.edges(spark, sf_dir), V.posts(spark, sf_dir), 3600, near=None)
     return rounded(out.select("total_nodes", "coordinated_accounts", "network_architecture", "architecture_confidence", "evidence_score", "peak_synchrony", "reciprocity_rate", "hashtag_overlap", "classification", "triage_band", "attack_profile"))

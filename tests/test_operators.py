@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
-from plumbline.operators import dedup, metrics, relational, scoring, structure, temporal
+from plumbline.operators import content, dedup, metrics, relational, scoring, structure, temporal
 from plumbline.operators.components import connected_components
 from plumbline.sources import readers, sinks
 
@@ -139,3 +139,14 @@ def test_entry_without_the_llm_parts(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 60 and set(o) <= set(q) and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_reworded_posts_are_copies(spark):
+    say = "our great summer sale ends tonight so do not miss the best offers of the whole year at the market {}"
+    rows = [("a", say.format("hall")), ("b", say.format("hall!!")), ("c", "Our great  summer sale ends tonight so do not miss the best offers of the whole year at the market stall"), ("d", "something quite different about birds and lakes"), ("d", "a third thing that has no likeness to any other"), ("e", "a thought of my own that I like to say again one"), ("e", "a thought of my own that I like to say again two"), (None, "x"), ("f", None)]
+    df = spark.createDataFrame(rows, "user_id string, text string")
+    got = {r.user_id: (r.content_duplication_ratio, r.cross_account_dup_ratio) for r in content.duplication(df).collect()}
+    assert got == {"a": (0, 1), "b": (0, 1), "c": (0, 1), "d": (0, 0), "e": (0.5, 0)}
+    exact = {r.user_id: r.cross_account_dup_ratio for r in content.duplication(df, near=None).collect()}
+    assert set(exact) == set(got) and not any(exact.values())
+    assert content.duplication(df.limit(0)).collect() == []
