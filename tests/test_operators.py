@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as X
 from plumbline.operators import content, dedup, metrics, relational, scoring, structure, temporal
 from plumbline.operators.components import connected_components
-from plumbline.sources import readers, sinks
+from plumbline.queries.text import f1_normalise
+from plumbline.sources import corpora, readers, sinks
 
 
 @pytest.mark.parametrize(
@@ -150,3 +151,11 @@ def test_reworded_posts_are_copies(spark):
     exact = {r.user_id: r.cross_account_dup_ratio for r in content.duplication(df, near=None).collect()}
     assert set(exact) == set(got) and not any(exact.values())
     assert content.duplication(df.limit(0)).collect() == []
+
+
+def test_long_texts_stay_whole(spark, tmp_path):
+    text = " ".join(f"w{i % 1000}" for i in range(5000))
+    df = spark.createDataFrame([(1, text, 1)], "doc_id long, text string, label int")
+    assert corpora.finalise(df, "d").first().text == text
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert f1_normalise(spark, str(tmp_path)).first().text == text
