@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,21 +38,24 @@ def _seeded(seed: int):
     return lambda x: F.xxhash64(F.lit(seed), x)
 
 
-def near_dedupe(df: DataFrame, key: str, text: str, threshold: float = 0.85, rounds: int = 20) -> DataFrame:
+def near_dedupe(df: DataFrame, key: str, text: str, threshold: float = 0.85, rounds: int | None = None) -> DataFrame:
     """Rows in order of key, each dropped if a kept earlier one is near; equal gram sets keep the first.
 
     The greedy choice is found in rounds: a text all of whose earlier
-    neighbours are decided is decided too.
+    neighbours are decided is decided too.  Each round decides one at least, so
+    they end; with a number of rounds, more that are needed raise an error.
     """
     pairs = stash(near_pairs(df, key, text, threshold).select("a", "b"), "near")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     state = stash(ids.select("id", F.lit(None).cast("boolean").alias("keep")), "state")
-    for _ in range(rounds):
+    for k in itertools.count(1):
         e = pairs.join(state.toDF("a", "ka"), "a").groupBy("b").agg(F.bool_or(F.coalesce("ka", F.lit(False))).alias("hit"), F.bool_and(F.col("ka").isNotNull()).alias("all"))
         new = state.join(e.withColumnRenamed("b", "id"), "id", "left").select("id", F.coalesce("keep", F.when(F.col("hit"), False).when(F.coalesce("all", F.lit(True)), True)).alias("keep"))
         state = stash(new, "state")
         if state.where("keep is null").isEmpty():
             break
+        if k == rounds:
+            raise RuntimeError(f"texts are undecided after {rounds} rounds")
     gone = state.where("not keep").select(F.col("id").alias(key))
     g = F.when(F.size(char_ngrams(F.col(text))) > 0, F.md5(F.array_join(F.array_sort(char_ngrams(F.col(text))), "\x1f"))).otherwise(F.col(key).cast("string"))
     return keep_first(df, [g], [key]).join(gone, key, "left_anti")

@@ -159,3 +159,12 @@ def test_long_texts_stay_whole(spark, tmp_path):
     assert corpora.finalise(df, "d").first().text == text
     df.write.parquet(str(tmp_path / "documents.parquet"))
     assert f1_normalise(spark, str(tmp_path)).first().text == text
+
+
+def test_near_chain_is_decided_whole(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text number {i}") for i in range(8)], "id long, t string")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(7)], "a long, b long")
+    monkeypatch.setattr(dedup, "near_pairs", lambda *_: chain)
+    assert sorted(r.id for r in dedup.near_dedupe(df, "id", "t").collect()) == [0, 2, 4, 6]
+    with pytest.raises(RuntimeError):
+        dedup.near_dedupe(df, "id", "t", rounds=2)
