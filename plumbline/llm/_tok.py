@@ -93,9 +93,12 @@ class Encoder:
         return piece if self.kind == "dropped" or piece[:1] == "\n" else " " + piece
 
     def _ends(self, piece: str) -> int:
-        """Where the letters of a piece end and its punctuation, a pre-token of its own, begins; 0 if it can't be cut there."""
+        """Where the letters of a piece end and its punctuation, a pre-token of its own, begins; 0 if it can't be cut there.
+
+        U+0130 in lower case ends in a combining mark, which is no letter and joins the punctuation.
+        """
         at = len(piece.rstrip(_PUNCT))
-        return at if 0 < at < len(piece) and piece[at - 1].isalpha() and piece[at - 1] < "\u0250" and "<|" not in piece else 0
+        return at if 0 < at < len(piece) and piece[at - 1].isalpha() and piece[at - 1] < "\u0250" and piece[at - 1] != "\u0130" and "<|" not in piece else 0
 
     def _parts(self, piece: str) -> list[str]:
         """Pieces that have the same ids in a row: a line break, what is before the punctuation at the end, that punctuation."""

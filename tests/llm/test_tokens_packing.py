@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from plumbline.llm.packing import pack_documents, place_pieces
 
 TEXTS = [
     "", None, "a", " a", "a ", "a  b", "a\n\nb", "x\ty z", "<|endoftext|> foo<|endoftext|>\nbar", "foo <|endoftext|>", "é b", "a b c", "Don't I'll 'S\n's",
-    "\x1c a\x1db", "a\r\nb c", "\rq w", "w \re", "123 4567\n89", "日本 語。x", "ΣΑΣ Σ", "x!! \n.. Ab,c. É!", "İa ÉÈ, ab_ µ.", "a<|endoftext|>.. b", "word " * 9000, "z" * 5000,
+    "\x1c a\x1db", "a\r\nb c", "\rq w", "w \re", "123 4567\n89", "日本 語。x", "ΣΑΣ Σ", "x!! \n.. Ab,c. É!", "İa ÉÈ, ab_ µ.", "a<|endoftext|>.. b", "İ.", "aİ, İİ?! i̇.", "word " * 9000, "z" * 5000,
 ]
 
 
@@ -28,6 +29,18 @@ def test_encoder_is_the_library(name):
         assert [np.frombuffer(b, np.uint32).tolist() for b in enc.encode(texts)] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_on_letters_before_punctuation(name):
+    path = public_tokenizers.path(name)
+    tok, enc = Tokenizer.from_file(path), Encoder(path)
+    letters = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xA0, 0x250), 0x300, 0x307, 0x345, 0x3A3, 0x1E9E, 0x212B]]
+    texts = [h + a + b + p + t for a in letters for b in ("", "i") for p in (".", ",!", "'s", "-x") for h, t in (("", ""), ("b ", " c"))]
+    r = random.Random(3)
+    texts += ["".join(r.choices([*letters, *" \n.,;:'\"-!?()", "1", "İ", "<|endoftext|>"], k=r.randint(1, 9))) for _ in range(20_000)]
+    want = [np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert enc.encode(texts) == want
+
+
 @settings(deadline=None, max_examples=200)
 @given(st.integers(1, 32), st.data())
 def test_pack_round_trip(width, data):
