@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._keys import numbered
+from plumbline.llm._spans import cutter, let, running, total
 from plumbline.store import stash
 
 #: The kinds in the order of the contract, with the shape of each; fixed values.  A match begins where its run of
@@ -31,26 +32,41 @@ SHAPES = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Other identifiers: joined runs of letters and digits with at least four digits and six characters.
-OTHER = r"(?<![A-Za-z0-9])(?=[A-Za-z._/@-]{0,64}[0-9])[A-Za-z0-9]++(?:[-._/@][A-Za-z0-9]++)*+"
+#: Other identifiers, in this order: addresses with the mark spelled out or without a dot; numbers in groups; groups of hexadecimal
+#: digits; joined runs of letters and digits.  Runs are possessive and begin where a word does, so none is looked at twice.
+OTHER = "|".join([
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[(\[{<](?i:at)[)\]}>] ?|@)[A-Za-z0-9-]++(?:(?: ?[(\[{<](?i:dot)[)\]}>] ?|\.)[A-Za-z0-9-]++)*+",
+    r"(?<![A-Za-z0-9])[0-9A-Fa-f]{1,4}+(?::{1,2}[0-9A-Fa-f]{1,4}+){3,7}+",
+    r"(?<![A-Za-z0-9])\(?[0-9]++\)?(?:[ ./-]{1,2}\(?[0-9]++\)?)++(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])(?=[A-Za-z._/@-]{0,64}[0-9])[A-Za-z0-9]++(?:[-._/@][A-Za-z0-9]++)*+",
+])
+#: One that is taken: an address, or six characters and four digits.
+ADDRESS = r"(?i)@|[(\[{<]at[)\]}>]"
 #: Characters before an identifier in which its context is looked for.
 BEFORE = 48
 #: Seeds that a pattern needs, the confidence it needs, the score an identifier needs, rounds.
 SUPPORT, CONFIDENT, CERTAIN, ROUNDS = 5, 0.7, 0.8, 2
+#: Parts into which the rows of one key of a join are dealt.
+SALTS = 16
+FOUND = "array<struct<start:int,end:int,value:string,left:string>>"
 
 
 def found(text: Column, shape: str) -> Column:
-    """array<struct<start, end, value>> of all matches, in code points from 0, end exclusive."""
-    matches, gaps = F.regexp_extract_all(text, F.lit(shape), F.lit(0)), F.split(text, shape, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    """array<struct<start, end, value, left>> of all matches: code points from 0, end exclusive; left: what is before, from the match before on, at most BEFORE."""
 
-    def step(acc, x):
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    def spans(x: Column) -> Column:
+        n = F.size(x["matches"])
+        pairs = F.zip_with(F.slice(x["gaps"], F.lit(1), n), x["matches"], lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
+        before = F.zip_with(F.slice(F.concat(F.array(F.lit("")), x["matches"]), F.lit(1), n), pairs, lambda b, p: F.struct(p["gap"].alias("gap"), p["value"].alias("value"), F.right(F.concat(b, p["gap"]), F.lit(BEFORE)).alias("left")))
+        at = running(F.transform(pairs, lambda p: F.char_length(p["gap"]) + F.char_length(p["value"])), 0, total)
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("value")))
-    return F.aggregate(pairs, zero, step)["out"]
+        def span(p: Column, a: Column) -> Column:
+            start = a + F.char_length(p["gap"])
+            return F.struct(start.alias("start"), (start + F.char_length(p["value"])).alias("end"), p["value"].alias("value"), p["left"].alias("left"))
+
+        return F.zip_with(before, at, span)
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(shape), F.lit(0)).alias("matches"), F.split(text, shape, -1).alias("gaps")), spans)
 
 
 def luhn(digits: Column) -> Column:
@@ -76,12 +92,12 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<start, kind (place in KINDS), end, value>> of the plain shapes, by start, then kind."""
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    """array<struct<start, kind (place in KINDS), end, value, left>> of the plain shapes, by start, then kind."""
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,left:string>>")
 
     def hits(k: int, kind: str) -> Column:
         good = F.filter(found(text, SHAPES[kind]), lambda x: valid(kind, x["value"]))
-        named = F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
+        named = F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left")))
         gate = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]"))
         return F.when(gate, named).otherwise(empty)
 
@@ -89,11 +105,28 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*each))
 
 
-def _contexts(text: Column, start: Column) -> Column:
+def _contexts(left: Column) -> Column:
     """The word before a place, and the two words before it, in lower case."""
-    left = F.lower(F.substr(text, F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE))))
-    one, two = F.regexp_extract(left, r"([\p{L}\p{N}]+)[^\p{L}\p{N}]{0,8}$", 1), F.regexp_extract(left, r"([\p{L}\p{N}]+[^\p{L}\p{N}]{1,8}[\p{L}\p{N}]+)[^\p{L}\p{N}]{0,8}$", 1)
-    return F.filter(F.array(one, F.regexp_replace(two, r"[^\p{L}\p{N}]+", " ")), lambda x: x != "")
+
+    def words(t: Column) -> Column:
+        one, two = F.regexp_extract(t, r"([\p{L}\p{N}]+)[^\p{L}\p{N}]{0,8}$", 1), F.regexp_extract(t, r"([\p{L}\p{N}]+[^\p{L}\p{N}]{1,8}[\p{L}\p{N}]+)[^\p{L}\p{N}]{0,8}$", 1)
+        return F.filter(F.array(one, F.regexp_replace(two, r"[^\p{L}\p{N}]+", " ")), lambda x: x != "")
+
+    return let(F.lower(left), words)
+
+
+def _apart(every: Column) -> Column:
+    """Those of the spans (by start) that have a kind, and of the others those that meet none of them."""
+    far = 2**31 - 1
+
+    def kept(v: Column) -> Column:
+        end = running(F.transform(v, lambda x: F.when(x["kind"].isNull(), 0).otherwise(x["end"])), 0, F.greatest)
+        start = F.reverse(running(F.reverse(F.transform(v, lambda x: F.when(x["kind"].isNull(), far).otherwise(x["start"]))), far, F.least))
+        near = F.zip_with(end, start, lambda e, s: F.struct(e.alias("end"), s.alias("start")))
+        both = F.zip_with(v, near, lambda x, n: F.struct(x.alias("x"), (x["kind"].isNotNull() | ((n["end"] <= x["start"]) & (n["start"] >= x["end"]))).alias("good")))
+        return F.transform(F.filter(both, lambda b: b["good"]), lambda b: b["x"])
+
+    return let(every, kept)
 
 
 def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -101,12 +134,20 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key), t).alias("row"), t.alias("t"))
     d = d.withColumn("base", base_spans(F.col("t")))
-    other = F.filter(found(F.col("t"), OTHER), lambda x: (F.char_length(x["value"]) >= 6) & (F.char_length(F.regexp_replace(x["value"], "[^0-9]", "")) >= 4))
-    free = F.filter(F.when(F.col("t").rlike("[0-9]"), other).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>")), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    ident = lambda x, kind: F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), F.xxhash64(F.lower(x["value"])).alias("value"), _contexts(F.col("t"), x["start"]).alias("ctx"))
-    every = F.concat(F.transform("base", lambda x: ident(x, x["kind"])), F.transform(free, lambda x: ident(x, F.lit(None).cast("int"))))
+    other = F.filter(found(F.col("t"), OTHER), lambda x: x["value"].rlike(ADDRESS) | ((F.char_length(x["value"]) >= 6) & (F.char_length(F.regexp_replace(x["value"], "[^0-9]", "")) >= 4)))
+    other = F.transform(other, lambda x: F.struct(x["start"].alias("start"), F.lit(None).cast("int").alias("kind"), x["end"].alias("end"), x["value"].alias("value"), x["left"].alias("left")))
+    other = F.when(F.col("t").rlike("[0-9@]|" + ADDRESS[4:]), other).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string,left:string>>"))
+    every = F.when(F.size(other) > 0, _apart(F.array_sort(F.concat("base", other)))).otherwise(F.col("base"))
+    ids = F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), F.xxhash64(F.lower(x["value"])).alias("value"), _contexts(x["left"]).alias("ctx")))
     bare = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    return d.select("key", "row", bare.alias("base"), every.alias("ids"))
+    return d.select("key", "row", bare.alias("base"), ids.alias("ids"))
+
+
+def _dealt(many: DataFrame, few: DataFrame, on: str, spread: Column, how: str = "inner") -> DataFrame:
+    """A join with one row of few for each key: the rows of a key in many are dealt to SALTS tasks, and few is repeated for each."""
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return salted.join(repeated, [on, "_salt"], how).drop("_salt")
 
 
 def _promoted(edges: DataFrame, seeds: DataFrame, support: int, confident: float, certain: float) -> DataFrame:
@@ -114,11 +155,11 @@ def _promoted(edges: DataFrame, seeds: DataFrame, support: int, confident: float
 
     edges (ctx, value) are distinct; seeds (value, kind) have one kind for each value.
     """
-    known = edges.join(seeds, "value", "left")
+    known = _dealt(edges, seeds, "value", F.col("ctx"), "left")
     by_kind = known.groupBy("ctx", "kind").agg(F.count("*").alias("n"))
     best = by_kind.groupBy("ctx").agg(F.sum("n").alias("all"), F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("top"))
     patterns = best.where((F.col("top.n") >= support) & (F.col("top.n") >= confident * F.col("all"))).select("ctx", F.col("top.kind").alias("kind"), (F.col("top.n") / F.col("all")).alias("conf"))
-    hits = known.where("kind is null").drop("kind").join(patterns, "ctx")
+    hits = _dealt(known.where("kind is null").drop("kind"), patterns, "ctx", F.col("value"))
     doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-6)))))
     scored = hits.groupBy("value", "kind").agg((1 - doubt).alias("score")).where(F.col("score") >= certain)
     return scored.groupBy("value").agg(F.max(F.struct("score", "kind"))["kind"].alias("kind"))
@@ -141,8 +182,8 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", supp
     for _ in range(rounds):
         more = stash(_promoted(edges, seeds if new is None else seeds.union(new), support, confident, certain), "promoted")
         new = more if new is None else new.union(more)
-    extra = ids.where("kind is null").drop("kind").join(new, "value").groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
-    out = at.select("key", "row", "base").join(extra, "row", "left")
+    extra = _dealt(ids.where("kind is null").drop("kind"), new, "value", F.col("row")).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
+    out = _dealt(at.select("key", "row", "base"), extra, "row", F.monotonically_increasing_id(), "left")
     spans = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "extra")))
     return out.select(F.col("key").alias(key), "base", spans.alias("spans"))
 
@@ -154,14 +195,18 @@ def written(spans: Column) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span (by start) replaced by its kind in angle brackets; one that begins inside another goes with it."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
+
+    def joined(cut) -> Column:
+        def parts(ends: Column) -> Column:
+            put = F.zip_with(spans, ends, lambda x, at: F.when(x["start"] < at, "").otherwise(F.concat(cut(at, x["start"]), F.element_at(names, x["kind"] + 1))))
+            return F.array_join(put, "")
 
-    def step(acc, x):
-        inside = x["start"] < acc["at"]
-        put = F.array(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("<"), F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), F.lit(">")))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], put)).alias("out"))
+        ends = F.transform(spans, lambda x: x["end"])
+        last = F.coalesce(F.array_max(ends), F.lit(0))
+        return F.concat(let(running(ends, 0, F.greatest), parts), cut(last, F.char_length(text)))
 
-    return F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1, F.char_length(text) + 1)))
+    return cutter(text, joined)
 
 
 def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:

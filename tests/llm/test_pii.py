@@ -52,3 +52,41 @@ def test_patterns_find_more(spark):
     hidden = {x.doc_id: x.text for x in mask(spark.createDataFrame(rows[:43], "doc_id long, text string, value int")).collect()}
     assert hidden[100] == rows[40][1].replace("555-123-4567", "<phone>") and hidden[101] == rows[41][1] and hidden[102] is None
     assert personal_data(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_unseen_shapes_by_their_context(spark):
+    r = random.Random(9)
+    words = [f"w{c}" for c in "abcdefghijklmnop"]
+    some = lambda: " ".join(r.choices(words, k=8))
+    name = lambda: "".join(r.choices("abcdefgh", k=6))
+
+    def card():
+        d = "".join(r.choices("0123456789", k=15))
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    rows = [(i, f"{some()} write to: {name()}@{name()}.org {some()} charge the card {card()} {some()} from host {r.randint(1, 255)}.{r.randint(1, 255)}.7.9 {some()}") for i in range(40)]
+    new = {
+        1000: ("write to: ", "jane_doe (at) mail (dot) org", "email"), 1001: ("write to ", "jane.doe@localhost", "email"), 1002: ("charge the card ", "4111 1111 1111 1112", "card"),
+        1003: ("charge the card ", "3782-822463-10006x", None), 1004: ("from host ", "2001:db8:0:1:1:1:1:1", "ip"), 1005: ("see page ", "12345-6789", None), 1006: ("meet @ ", "noon", None),
+    }
+    rows += [(k, f"é {some()} {before}{value} {some()}") for k, (before, value, _) in new.items()]
+    got = {x.doc_id: x.s for x in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", written(F.col("spans")).alias("s")).collect()}
+    text = dict(rows)
+    for k, (_, value, kind) in new.items():
+        at = text[k].index(value)
+        if kind:
+            assert got[k] == f"{kind}:{at}:{at + len(value)}", (k, got[k])
+        elif k > 1003:
+            assert got[k] == "", (k, got[k])
+    assert all(got[k].count(":") == 6 for k in range(40))
+
+
+def test_many_identifiers_in_one_text(spark):
+    n = 8000
+    text = "é " + " ".join(f"to u{i}@m.org or 10.0.{i % 256}.{i // 256} x12345-{i}" for i in range(n))
+    df = spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string")
+    got = personal_data(df).select(F.size("base").alias("n"), written(F.slice("base", 1, 200)).alias("s")).collect()
+    assert sorted(x.n for x in got) == [0, 2 * n, 2 * n]
+    assert all(x.s == ",".join(brute(text[:9000]).split(",")[:200]) for x in got if x.n)
+    out = mask(df).where("doc_id = 1").first().text
+    assert out == re.sub(r"u\d+@m.org", "<email>", re.sub(r"10\.0\.\d+\.\d+", "<ip>", text))
