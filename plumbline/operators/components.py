@@ -1,29 +1,33 @@
 """Connected components of an edge list by alternating large-star and small-star steps.
 
 Each step is a grouped minimum with map-side combine and one equi-join, so a
-node with very many neighbours is never gathered in one task.  The number of
-rounds is logarithmic in practice.  No edge reaches the driver.
+node with very many neighbours is never gathered in one value.  Steps go on
+until nothing changes; their number is logarithmic in practice.  No edge
+reaches the driver.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.store import discard, stash
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
     Edges with a null end are dropped; self-loops make a component of their own;
-    repeated and reversed edges count once; no edges give no rows.
+    repeated and reversed edges count once; no edges give no rows.  With a
+    number of rounds, more that are needed raise an error.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
     e = stash(e.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    for k in itertools.count(1):
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -36,6 +40,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         e = new
         if now == seen:
             break
+        if k == rounds:
+            raise RuntimeError(f"components are not found after {rounds} rounds")
         seen = now
     label = e.groupBy("u").agg(F.min("v").alias("v"))
     return nodes.join(label, nodes.node == label.u, "left").select("node", F.coalesce("v", "node").alias("component"))

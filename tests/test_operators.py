@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as X
 from plumbline.operators import content, dedup, metrics, relational, scoring, structure, temporal
 from plumbline.operators.components import connected_components
+from plumbline.operators.skew import spread_join
 from plumbline.queries.text import f1_normalise
 from plumbline.sources import corpora, readers, sinks
 
@@ -168,3 +169,19 @@ def test_near_chain_is_decided_whole(spark, monkeypatch):
     assert sorted(r.id for r in dedup.near_dedupe(df, "id", "t").collect()) == [0, 2, 4, 6]
     with pytest.raises(RuntimeError):
         dedup.near_dedupe(df, "id", "t", rounds=2)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hot_keys_of_a_join(spark, how):
+    many = spark.createDataFrame([(7 if i % 3 else i, i) for i in range(900)] + [(None, -1)], "k long, v long").repartition(3)
+    few = spark.createDataFrame([(7, "hot"), (30, "x"), (60, "y"), (60, "z"), (None, "n")], "k long, w string")
+    got = spread_join(many, few, ["k"], F.col("v"), how)
+    want = many.join(few, "k", how)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_components_of_a_path(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in connected_components(e, "a", "b").collect()} == {0}
+    with pytest.raises(RuntimeError):
+        connected_components(e, "a", "b", rounds=1)
