@@ -17,10 +17,14 @@ shingles, without ever listing all pairs of a group:
    subsets stops being cheaper than scanning the lists, from their measured
    lengths.
 5. In each list a pivot per band of sizes is compared with the others, so a
-   list costs what it is long.  Links join classes into components; lists
-   that still touch several components have just those cross pairs compared,
-   so no link between components is lost, and pairs already connected are not
-   listed.
+   list costs what it is long.  Links join classes into components.
+6. Lists that still touch several components have cross pairs compared, so no
+   link is lost.  The join itself leaves out what can't link: sizes too far
+   apart by their bands; pairs within a list's largest component; and pairs
+   whose smaller set has its entry so late in its order that what follows is
+   too little for any partner of its size or more (pages that share most of
+   their shingles, but not enough, are all of that kind).  Long lists are dealt
+   to several tasks.
 """
 
 from __future__ import annotations
@@ -35,12 +39,15 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import _text as T
 from plumbline.operators.components import connected_components
+from plumbline.operators.skew import spread_join
 from plumbline.store import arrow_bytes, discard, stash
 
 #: Postings that a task packs at a time.
 FLUSH = 1_000_000
 #: Light sets never go beyond this size, whatever the cost says: above it subsets only explode.
 LIGHT_MOST = 16
+#: Entries of a list that one task compares with the others.
+LIST = 4096
 LOW48 = np.uint64((1 << 48) - 1)
 PACKED = "bucket int, size int, base long, ids binary, marks binary"
 FOUND = "kind byte, key long, gram long, cnt int"
@@ -200,13 +207,38 @@ def _boundary(lists: DataFrame, posted: DataFrame, percent: int) -> int:
 
 
 def _verified(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
+    """Those of the pairs (a, b) that link; b may be a pivot that very many pairs have."""
     one = lists.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
     two = lists.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("o", F.size(F.array_intersect("ga", "gb")))
+    both = spread_join(pairs, two, ["b"], F.col("a")).join(one, "a").withColumn("o", F.size(F.array_intersect("ga", "gb")))
     return both.where(100 * F.col("o") >= percent * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
+def _crossing(at: DataFrame, x: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of entries (gram, sub, key, n, pos, band, part) of one list that may link and are of different parts."""
+    size = F.count("*").alias("c")
+    parts = at.groupBy("gram", "sub", "part").agg(size)
+    lists = parts.groupBy("gram", "sub").agg(F.max(F.struct("c", "part"))["part"].alias("major"), F.sum("c").alias("c"), size.alias("parts")).where("parts > 1")
+    entries = spread_join(at, lists.select("gram", "sub", "major", F.ceil(F.col("c") / LIST).cast("int").alias("s")), ["gram", "sub"], F.col("key"), counts=lists.select("gram", "sub", "c"))
+    entries = stash(entries.withColumn("most", F.col("part") == F.col("major")).drop("major"), "mixed")
+    least = F.ceil(2 * percent * F.col("n") / F.lit(100 + percent))
+    p = entries.where(F.col("n") - F.col("pos") >= least).withColumn("salt", F.pmod(F.xxhash64("key"), "s").cast("int"))
+    q = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+    on = ["gram", "sub", "band", "salt"]
+    p, q = (d.select(*on, "most", *(F.col(c).alias(c + t) for c in ("key", "n", "pos", "part"))) for d, t in ((p, "p"), (q, "q")))
+    need = F.ceil(percent * (F.col("np") + F.col("nq")) / F.lit(100 + percent))
+    fits = (
+        (F.col("partp") != F.col("partq")) & ((F.col("np") < F.col("nq")) | ((F.col("np") == F.col("nq")) & (F.col("keyp") < F.col("keyq"))))
+        & (100 * F.col("np") >= percent * F.col("nq"))
+        & (F.col("sub") | ((F.col("nq") > x) & (F.least(F.col("np") - F.col("posp"), F.col("nq") - F.col("posq")) >= need)))
+    )
+    pairs = None
+    for left, right in ((p.where("not most"), q), (p.where("most"), q.where("not most"))):
+        some = left.drop("most").join(right.drop("most"), on).where(fits).select(F.greatest("keyp", "keyq").alias("a"), F.least("keyp", "keyq").alias("b"))
+        pairs = some if pairs is None else pairs.union(some)
+    return stash(pairs.distinct(), "crossing")
+
+
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, buckets: int | None = None) -> DataFrame:
     """(key, n_shingles int, component_id) for each row of docs.
 
@@ -231,7 +263,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     buckets = min(buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 65_536)
     found = stash(d.mapInArrow(T.tidied(_pack(n, buckets)), PACKED).groupBy("bucket").applyInArrow(_count, FOUND), "found")
     every = stash(found.where("kind = 0").select("key", F.col("gram").alias("print"), F.col("cnt").alias("n")), "texts")
-    classes = every.where("n > 0").groupBy("print", "n").agg(F.min("key").alias("rep"))
+    classes = stash(every.where("n > 0").groupBy("print", "n").agg(F.min("key").alias("rep"), F.count("*").alias("c")), "classes")
     grams = found.where("kind = 1").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("cnt", "gram"))).alias("g"))
     single = F.col("n") - F.size("g")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
@@ -245,32 +277,26 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     x = _boundary(lists, posted, percent)
     light = lists.where(F.col("n") <= x)
     subsets = light.select("key", "n", "grams").mapInArrow(_subsets(percent), "key long, gram long").join(light.select("key", "n"), "key")
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)))
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     posted = stash(
         posted.select("gram", "key", "n", "pos", F.lit(False).alias("sub")).union(subsets.select("gram", "key", "n", F.lit(0), F.lit(True))).withColumn("band", band),
         "posted",
     )
-    pivots = posted.groupBy("gram", "sub", "band").agg(F.min("key").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
-    first = stash(posted.join(pivots, ["gram", "sub", "band"]).where("key <> b").select(F.col("key").alias("a"), "b").distinct(), "pairs")
+    on = ["gram", "sub", "band"]
+    pivots = stash(posted.groupBy(*on).agg(F.min("key").alias("b"), F.count("*").alias("c")).where("c > 1"), "pivots")
+    first = spread_join(posted, pivots.drop("c"), on, F.col("key"), counts=pivots.select(*on, "c")).where("key <> b")
+    first = stash(first.select(F.col("key").alias("a"), "b").distinct(), "pairs")
     links = stash(_verified(first, lists, percent), "links")
     parts = stash(connected_components(links, "a", "b"), "parts")
-    at = posted.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component", "band")
-    mixed = at.groupBy("gram", "sub").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("gram", "sub")
-    at = stash(at.join(mixed, ["gram", "sub"], "left_semi"), "mixed")
-    p, q = (at.select("gram", "sub", *(F.col(c).alias(c + s) for c in ("key", "n", "pos", "part"))) for s in "pq")
-    need = F.ceil(percent * (F.col("np") + F.col("nq")) / F.lit(100 + percent))
-    fits = (
-        (F.col("keyp") < F.col("keyq")) & (F.col("partp") != F.col("partq"))
-        & (100 * F.least("np", "nq") >= percent * F.greatest("np", "nq"))
-        & (F.col("sub") | ((F.greatest("np", "nq") > x) & (F.least(F.col("np") - F.col("posp"), F.col("nq") - F.col("posq")) >= need)))
-    )
-    cross = p.join(q, ["gram", "sub"]).where(fits).select(F.col("keyq").alias("a"), F.col("keyp").alias("b")).distinct()
+    at = posted.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component")
+    cross = _crossing(stash(at, "parted"), x, percent)
     more = stash(_verified(cross.join(first, ["a", "b"], "left_anti"), lists, percent), "links")
     parts = stash(connected_components(links.union(more), "a", "b"), "parts")
-    for done in (lists, posted, first, links, at, more):
+    for done in (lists, posted, pivots, first, links, cross, more):
         discard(done)
-    of = every.join(classes.select("print", F.col("n"), "rep"), ["print", "n"], "left").join(parts, F.col("rep") == F.col("node"), "left")
-    out = of.select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "key").alias("part"))
+    least = classes.join(parts, F.col("rep") == F.col("node"), "left").select("print", "n", F.coalesce("component", "rep").alias("part"), "c")
+    of = spread_join(every, least.drop("c"), ["print", "n"], F.col("key"), "left", counts=least.select("print", "n", "c"))
+    out = of.select("key", F.col("n").alias("n_shingles"), F.coalesce("part", "key").alias("part"))
     if named:
         out = out.join(names, "key")
         least = out.groupBy("part").agg(F.min("name").alias("component_id"))

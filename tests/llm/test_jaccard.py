@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from plumbline.llm import jaccard
 from plumbline.llm.jaccard import jaccard_join
 
 
@@ -61,3 +62,31 @@ def test_edges(spark):
     df = spark.createDataFrame([(7, "a b c", 1), (7, "x y z", 1), (None, "a b c", 2), (3, "x y z", 2)], "doc_id long, text string, n int")
     got = sorted(map(tuple, jaccard_join(df).collect()), key=str)
     assert got == [(3, 1, 3), (7, 1, 3), (7, 1, 7), (None, 1, 7)]
+
+
+def test_boilerplate_under_the_threshold(spark, monkeypatch):
+    """Pages that share just too little: none link, and their lists' pairs aren't formed."""
+    common = " ".join(f"c{i}" for i in range(200))
+    rows = [(i, " ".join(f"u{i}_{j}" for j in range(30)) + " " + common) for i in range(600)] + [(5000 + i, f"x{i} " + common.replace("c", "y")) for i in range(40)]
+    seen = []
+    cross = jaccard._crossing
+    monkeypatch.setattr(jaccard, "_crossing", lambda *a: seen.append(cross(*a)) or seen[0])
+    monkeypatch.setattr(jaccard, "discard", lambda _: None)
+    got = {r.doc_id: r.component_id for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert all(got[i] == i for i in range(600)) and all(got[5000 + i] == 5000 for i in range(40))
+    assert seen[0].count() < len(rows)
+
+
+def test_lists_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST", 3)
+    rows = made(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, jaccard_join(df).collect())) == brute(rows)
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i * 7919 % 100_003}" for i in range(400_000))
+    df = spark.createDataFrame([(1, text), (2, text + " end"), (3, "w1 w2"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df).collect()}
+    sizes = {len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for w in (text.split(), (text + " end").split())}
+    assert {got[1][0], got[2][0]} == sizes and got[1][1] == got[2][1] == 1 and got[3] == (1, 3) and got[4] == (0, 4)
