@@ -4,7 +4,8 @@ A word is a maximal run of bytes other than ``\\x20`` and ``\\x09``-``\\x0D``;
 A-Z count as a-z when ``lower`` is set.  The 64-bit hash of a word is a
 polynomial over random byte values, taken as a difference of one running sum,
 so a batch of texts is hashed by a few numpy passes and no word becomes a
-Python object.
+Python object.  A very long text is hashed in pieces, cut between words, so
+that what is held besides its bytes doesn't grow with it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import sys
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POW = {True: np.ones(1, U64), False: np.ones(1, U64)}
 
-#: Bytes of text that are hashed in one go (a longer single text is one go).
+#: Bytes of text that are hashed in one go; a single text of twice as many is cut into pieces.
 SLICE = 1 << 19
 
 
@@ -87,16 +89,56 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def slices(offsets: np.ndarray, most: int = SLICE):
-    """Ranges of rows whose texts together have about ``most`` bytes."""
+def slices(offsets: np.ndarray):
+    """Ranges of rows whose texts together have about SLICE bytes."""
     n, i = len(offsets) - 1, 0
     while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1
+        j = int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
 
 
+def cuts(raw: np.ndarray, low: int, high: int, ends: np.ndarray = _SPACE):
+    """Ranges of about SLICE bytes of raw[low:high], each ending behind a byte that ``ends`` marks or at high."""
+    a = low
+    while a < high:
+        b, at = a, None
+        while b < high and (at is None or not len(at)):
+            begin, b = b, min(b + SLICE, high)
+            at = np.flatnonzero(ends[raw[begin:b]])
+        c = high if b == high else begin + int(at[-1]) + 1
+        yield a, c
+        a = c
+
+
+@dataclass
+class Piece:
+    """Words of the texts ``low`` .. ``high - 1``, or some of one text's: the first ``lead`` of these were in the piece before."""
+
+    low: int
+    high: int
+    words: np.ndarray
+    first: np.ndarray
+    lead: int = 0
+    last: bool = True
+
+
+def pieces(raw: np.ndarray, offsets: np.ndarray, lead: int = 0, lower: bool = True):
+    """The words of all texts in slices, those of a very long one in several pieces which repeat the last ``lead`` words of the one before."""
+    for i, j in slices(offsets):
+        low, high = int(offsets[i]), int(offsets[j])
+        if high - low <= 2 * SLICE:
+            h, first, _, _ = words(raw, offsets[i : j + 1], lower)
+            yield Piece(i, j, h, first)
+            continue
+        before = np.zeros(0, U64)
+        for a, b in cuts(raw, low, high):
+            h = np.concatenate([before, words(raw, np.array([a, b], np.int64), lower)[0]])
+            yield Piece(i, j, h, np.array([0, len(h)], np.int64), len(before), b == high)
+            before = h[max(0, len(h) - lead) :] if lead else before
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True):
     """(hash of each word, first word of each text; one more entry at the end, start byte, end byte)."""
     base = int(offsets[0])

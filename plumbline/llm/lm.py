@@ -1,44 +1,55 @@
-"""A hashed maximum-entropy language model with a class-factored softmax.
-
-P(word | history) = P(class | history) P(word | class, history).  Both are
-softmaxes over weights found by hashing features of the history: the last
-word, the last two, and, skipping one, the word before the last.  Frequent
-words are members of classes of equal size; the end of a text and all other
-words have a class each, and another word then has its add-one share of what
-training saw outside the vocabulary.
-
-Counts come first: exact, in packed buckets of the hash space.  Then the
-documents are trained on in rounds: in each, tasks take minibatch gradient
-steps over their own documents from the same weights, and every hashed row of
-weights becomes the mean of the tasks' rows, weighted by how often they met
-it.  Weights have a fixed size.  Scoring is the same sparse gather in batches;
-counts of words too rare to broadcast are joined by bucket.
+"""A hashed maximum-entropy language model with a class-factored softmax in nested classes.
+
+A word's place in a tree of classes has a digit for each level, and
+P(word | history) is the product over levels of P(digit | digits before it,
+history).  Each factor is a softmax over weights found by hashing features of
+the history (the last word, the last two, and, skipping one, the word before
+the last) with the node.  The end of a text is a leaf of the root; frequent
+words are two levels deep; the rest of the vocabulary is below one class of
+the root, as deep as their number needs.  A word outside the vocabulary is a
+leaf there too, and has its add-one share of what training saw outside.
+
+Counts come first: exact, in packed buckets of the hash space.  The vocabulary
+and the tables of weights grow with what was counted.  Then the documents are
+trained on, each in one of the rounds: tasks take minibatch gradient steps over
+their documents from the same weights, and every hashed row of weights becomes
+the mean of the tasks' rows, weighted by how often they met it, added level by
+level.  Scoring is the same sparse gather in batches; counts of words too rare
+to broadcast are joined by bucket.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import _text as T
 from plumbline.llm._keys import unique_rows
+from plumbline.llm._merge import merged
 from plumbline.llm.jaccard import planes, unplanes
 from plumbline.store import arrow_bytes, stash
 
-#: Word classes, members of each; classes in all (others and the end before them); log2 of the hashed rows of either factor.
-GROUPS, MEMBERS = 30, 32
-CLASSES = GROUPS + 2
-ROWS, INNER = 13, 14
-#: Words whose counts are broadcast at most, tokens of a minibatch, rounds, step size.
-COMMON, BATCH, ROUNDS, STEP = 1 << 16, 8192, 2, 0.15
+#: Slots of a node; root slots of the rest and the end before those of frequent words.
+WIDTH, REST, STOP, FIRST = 32, 0, 1, 2
+#: Words of the two upper levels.
+FREQUENT = (WIDTH - FIRST) * WIDTH
+#: Words of the vocabulary, the square root of this much per training token: at least, at most.
+WORDS_LEAST, WORDS_MOST, WORDS_PER = 1 << 15, 1 << 20, 64
+#: log2 of the rows of the root's weights for 2**22 tokens, more for each eightfold, at most; the other nodes share four times as many.
+ROWS, ROWS_MOST = 13, 18
+#: Tokens of a minibatch, rounds, step size.
+BATCH, ROUNDS, STEP = 8192, 2, 0.15
 PARTS = 8
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-OTHER_ID, END_ID = 0, 1
+#: Codes of tokens outside the vocabulary and of ends; those of words are their rank from 0.
+OUTSIDE, ENDS = -1, -2
 
 
 def tokens(h: np.ndarray, first: np.ndarray):
@@ -61,63 +72,102 @@ def tokens(h: np.ndarray, first: np.ndarray):
 
 @dataclass
 class Vocabulary:
-    """Broadcast: the counts of common words, and the classes of the most common."""
+    """Broadcast: the common words with their counts and codes; words of the vocabulary are those that are common."""
 
     total: int  # N: training tokens, ends included
     distinct: int  # V: different ones
     texts: int
     common: np.ndarray  # sorted hashes
     counts: np.ndarray
-    ids: np.ndarray  # of common words; OTHER_ID outside the classes
-    size: np.ndarray  # training count of each id
+    codes: np.ndarray
 
     @classmethod
     def of(cls, common: np.ndarray, counts: np.ndarray, total: int, distinct: int, texts: int) -> Vocabulary:
-        order = np.lexsort((common, -counts))[: GROUPS * MEMBERS]
-        ids = np.zeros(len(common), np.int32)
-        rank = np.arange(len(order))
-        ids[order] = (2 + rank % GROUPS) * MEMBERS + rank // GROUPS  # classes of about the same weight
-        size = np.zeros(CLASSES * MEMBERS, np.int64)
-        np.add.at(size, ids[order], counts[order])
-        size[END_ID * MEMBERS] = texts
-        size[OTHER_ID * MEMBERS] = total - texts - counts[order].sum()
-        return cls(total, distinct, texts, common, counts, ids, size)
+        codes = np.empty(len(common), np.int32)
+        codes[np.lexsort((common, -counts))] = np.arange(len(common))
+        return cls(total, distinct, texts, common, counts, codes)
 
     @property
     def outside(self) -> float:
-        """What a word outside the classes is divided by: its tokens, its words, and one for unseen ones."""
-        return float(self.size[OTHER_ID * MEMBERS] + (self.distinct - (self.texts > 0) - int((self.ids > 0).sum())) + 1)
+        """What a word outside the vocabulary is divided by: its tokens, its words, and one for unseen ones."""
+        return float(self.total - self.texts - self.counts.sum() + self.distinct - (self.texts > 0) - len(self.common) + 1)
+
+    @property
+    def rows(self) -> int:
+        """log2 of the rows of the root's weights."""
+        return min(ROWS_MOST, ROWS + max(0, (max(self.total, 1).bit_length() - 23) // 3))
 
     def look(self, e: np.ndarray):
-        """(training count, -1 if the word isn't common; id) of tokens."""
-        at = np.searchsorted(self.common, e)
-        at[at == len(self.common)] = 0
-        hit = self.common[at] == e if len(self.common) else np.zeros(len(e), bool)
+        """(training count, -1 if the word isn't common; code) of tokens."""
+        if not len(self.common):
+            count, codes = np.full(len(e), -1), np.full(len(e), OUTSIDE, np.int32)
+        else:
+            at = np.minimum(np.searchsorted(self.common, e), len(self.common) - 1)
+            hit = self.common[at] == e
+            count, codes = np.where(hit, self.counts[at], -1), np.where(hit, self.codes[at], OUTSIDE)
         end = e == END
-        count = np.where(hit, self.counts[at], -1) if len(self.common) else np.full(len(e), -1)
-        ids = np.where(hit, self.ids[at], 0) if len(self.common) else np.zeros(len(e), np.int32)
-        ids = np.where(ids > 0, ids, OTHER_ID * MEMBERS)
-        return np.where(end, self.texts, count), np.where(end, END_ID * MEMBERS, ids)
+        return np.where(end, self.texts, count), np.where(end, ENDS, codes)
+
+
+def depth(words: int) -> int:
+    """Levels below the root's class of the rest for so many words: its own, then as many as their number needs."""
+    below, room = 1, WIDTH - 1
+    while room < words - FREQUENT:
+        below, room = below + 1, room * WIDTH
+    return below
+
+
+def paths(codes: np.ndarray, levels: int):
+    """(root slot of each code; for each further level the places in codes, nodes and slots).
+
+    Nodes: REST, and FIRST .. WIDTH - 1 for frequent words, by the slot of the
+    root; from WIDTH on those below REST, level by level.  Words are dealt to
+    slots by rank, so slots of a node are about equally likely.
+    """
+    root = np.where(codes >= FREQUENT, REST, np.where(codes >= 0, FIRST + codes % (WIDTH - FIRST), np.where(codes == ENDS, STOP, REST)))
+    up, low, out = np.flatnonzero((codes >= 0) & (codes < FREQUENT)), np.flatnonzero(codes >= FREQUENT), np.flatnonzero(codes == OUTSIDE)
+    rank = codes[low] - FREQUENT
+    slot, left = rank % (WIDTH - 1), rank // (WIDTH - 1)
+    steps = [(np.concatenate([up, low, out]), np.concatenate([root[up], np.full(len(low) + len(out), REST)]), np.concatenate([codes[up] // (WIDTH - FIRST), slot + 1, np.zeros(len(out), np.int64)]))]
+    node, first, many = slot, WIDTH, WIDTH - 1
+    for _ in range(levels - 1):
+        slot, left = left % WIDTH, left // WIDTH
+        steps.append((low, first + node, slot))
+        node, first, many = node * WIDTH + slot, first + many, many * WIDTH
+    return root, steps
+
+
+def nodes(levels: int) -> int:
+    return WIDTH + (WIDTH - 1) * sum(WIDTH**k for k in range(levels - 1))
 
 
 class Model:
-    """Weights: outer[row, class], inner[row, member], with biases from the counts."""
+    """Weights: outer[row, slot of the root], inner[row, slot of another node], with biases from the counts."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-        self.outer = np.zeros((1 << ROWS, CLASSES), np.float32)
-        self.inner = np.zeros((1 << INNER, MEMBERS), np.float32)
-        size = vocabulary.size.reshape(CLASSES, MEMBERS)
-        self.class_bias = np.log(size.sum(axis=1) + 0.5).astype(np.float32)
-        there = size > 0
-        there[:, 0] = True  # a class is never without a member
-        self.word_bias = np.where(there, np.log(size + 0.5), -30).astype(np.float32)
-
-    def rows(self, one: np.ndarray, two: np.ndarray, cls: np.ndarray):
-        """Hashed rows of the three features, for the class and for the word in it."""
-        f = [T.mix(one ^ _SALT[0]), T.mix(one * _SALT[1] + two), T.mix(two ^ _SALT[2])]
-        c = (cls.astype(np.uint64) + np.uint64(1)) * _SALT[0]
-        return [(x >> np.uint64(64 - ROWS)).astype(np.uint16) for x in f], [(T.mix(x + c) >> np.uint64(64 - INNER)).astype(np.uint16) for x in f]
+        self.v = v = vocabulary
+        self.levels = depth(len(v.common))
+        self.bits = (v.rows, v.rows + 2)
+        self.outer = np.zeros((1 << self.bits[0], WIDTH), np.float32)
+        self.inner = np.zeros((1 << self.bits[1], WIDTH), np.float32)
+        known = v.counts[np.argsort(v.codes)]
+        n = np.concatenate([known, [v.texts, max(0, v.total - v.texts - known.sum())]])
+        root, steps = paths(np.concatenate([np.arange(len(known)), [ENDS, OUTSIDE]]), self.levels)
+        size = np.bincount(root, n, minlength=WIDTH)
+        self.outer_bias = self._bias(size, np.bincount(root, minlength=WIDTH) > 0)
+        size, there = np.zeros((nodes(self.levels), WIDTH)), np.zeros((nodes(self.levels), WIDTH), bool)
+        for at, node, slot in steps:
+            np.add.at(size, (node, slot), n[at])
+            there[node, slot] = True
+        self.inner_bias = self._bias(size, there)
+
+    @staticmethod
+    def _bias(size: np.ndarray, there: np.ndarray) -> np.ndarray:
+        return np.where(there, np.log(size + 0.5), -30).astype(np.float32)
+
+    def rows(self, one: np.ndarray, two: np.ndarray):
+        """Hashes of the three features."""
+        return T.mix(one ^ _SALT[0]), T.mix(one * _SALT[1] + two), T.mix(two ^ _SALT[2])
 
     @staticmethod
     def softmax(logits: np.ndarray) -> np.ndarray:
@@ -126,22 +176,25 @@ class Model:
         logits /= logits.sum(axis=1, keepdims=True)
         return logits
 
-    def probabilities(self, one, two, ids):
-        """(P of all classes, P of all members of the token's class, the rows used)."""
-        cls = ids // MEMBERS
-        f, g = self.rows(one, two, cls)
-        p = self.softmax(self.outer[f[0]] + self.outer[f[1]] + self.outer[f[2]] + self.class_bias)
-        q = self.softmax(self.inner[g[0]] + self.inner[g[1]] + self.inner[g[2]] + self.word_bias[cls])
-        return p, q, f, g
-
-    def log10(self, one, two, ids) -> np.ndarray:
-        """log10 of the probability of each id after its history."""
-        out = np.empty(len(ids))
-        for a in range(0, len(ids), BATCH):
+    def probabilities(self, one, two, codes):
+        """For the root, then all further steps together: (places in codes, P of all slots, slot, rows used)."""
+        root, steps = paths(codes, self.levels)
+        features = self.rows(one, two)
+        f = [(x >> np.uint64(64 - self.bits[0])).astype(np.uint32) for x in features]
+        p = self.softmax(self.outer[f[0]] + self.outer[f[1]] + self.outer[f[2]] + self.outer_bias)
+        at, node, slot = (np.concatenate([s[k] for s in steps]) for k in range(3))
+        c = (node.astype(np.uint64) + np.uint64(1)) * _SALT[0]
+        g = [(T.mix(x[at] + c) >> np.uint64(64 - self.bits[1])).astype(np.uint32) for x in features]
+        q = self.softmax(self.inner[g[0]] + self.inner[g[1]] + self.inner[g[2]] + self.inner_bias[node])
+        return (np.arange(len(codes)), p, root, f), (at, q, slot, g)
+
+    def log10(self, one, two, codes) -> np.ndarray:
+        """log10 of the probability of each code after its history."""
+        out = np.zeros(len(codes))
+        for a in range(0, len(codes), BATCH):
             s = slice(a, a + BATCH)
-            p, q, _, _ = self.probabilities(one[s], two[s], ids[s])
-            k = np.arange(len(p))
-            out[s] = np.log10(np.maximum(p[k, ids[s] // MEMBERS], 1e-30)) + np.log10(np.maximum(q[k, ids[s] % MEMBERS], 1e-30))
+            for at, p, slot, _ in self.probabilities(one[s], two[s], codes[s]):
+                out[s] += np.bincount(at, np.log10(np.maximum(p[np.arange(len(at)), slot], 1e-30)), minlength=len(out[s]))
         return out
 
 
@@ -158,56 +211,78 @@ def _step(w: np.ndarray, power: np.ndarray, met: np.ndarray, rows: list[np.ndarr
     met[at] += np.diff(np.append(cut, len(r)))
 
 
+CHANGED = "part int, task int, change binary, met binary"
+
+
 def _train(sent):
-    """The change of the weights by this task's documents, with how often each row was met."""
+    """The change of the weights by this task's documents, each row times how often it was met, in parts of both tables."""
 
     def run(batches):
         m = _copy(sent.value)
-        outer0, inner0 = m.outer.copy(), m.inner.copy()
-        power = [np.full(len(w), 1e-2, np.float32) for w in (m.outer, m.inner)]
-        met = [np.zeros(len(w), np.float32) for w in (m.outer, m.inner)]
+        tables = (m.outer, m.inner)
+        before = [w.copy() for w in tables]
+        power = [np.full(len(w), 1e-2, np.float32) for w in tables]
+        met = [np.zeros(len(w), np.float32) for w in tables]
         for batch in batches:
             raw, off = T.buffers(batch.column(0))
-            for i, j in T.slices(off):
-                h, first, _, _ = T.words(raw, off[i : j + 1])
-                e, _, one, two = tokens(h, first)
-                _, ids = m.v.look(e)
+            for _, (e, _, one, two) in _sliced(raw, off):
+                _, codes = m.v.look(e)
                 for a in range(0, len(e), BATCH):
                     s = slice(a, a + BATCH)
-                    p, q, f, g = m.probabilities(one[s], two[s], ids[s])
-                    k = np.arange(len(p))
-                    p[k, ids[s] // MEMBERS] -= 1
-                    q[k, ids[s] % MEMBERS] -= 1
-                    _step(m.outer, power[0], met[0], f, p)
-                    word = np.flatnonzero(ids[s] // MEMBERS > END_ID)  # classes of one member have nothing to learn
-                    if len(word):
-                        _step(m.inner, power[1], met[1], [x[word] for x in g], q[word])
-        for name, w, w0, n in (("outer", m.outer, outer0, met[0]), ("inner", m.inner, inner0, met[1])):
-            step = len(w) // PARTS
-            if n.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * PARTS), pa.array(range(PARTS), pa.int32()), pa.array([(w - w0)[k * step : (k + 1) * step].astype(np.float16).tobytes() for k in range(PARTS)], pa.binary()), pa.array([n[k * step : (k + 1) * step].tobytes() for k in range(PARTS)], pa.binary())],
-                    ["name", "part", "change", "met"],
-                )
+                    for k, (at, p, slot, rows) in enumerate(m.probabilities(one[s], two[s], codes[s])):
+                        if len(at):
+                            p[np.arange(len(at)), slot] -= 1
+                            _step(tables[k], power[k], met[k], rows, p)
+        if not met[0].any():
+            return
+        task = TaskContext.get().partitionId()
+        for k, (w, w0, n) in enumerate(zip(tables, before, met, strict=True)):
+            size = len(w) // PARTS
+            for part in range(PARTS):
+                s = slice(part * size, (part + 1) * size)
+                yield _changed(k * PARTS + part, task, (w[s] - w0[s]) * n[s, None], n[s])
 
     return run
 
 
+def _changed(part: int, task: int, change: np.ndarray, met: np.ndarray) -> pa.RecordBatch:
+    """A part's change as 16-bit means of its met rows."""
+    mean = np.divide(change, met[:, None], out=np.zeros_like(change), where=met[:, None] > 0)[met > 0].astype(np.float16)
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([task], pa.int32()), pa.array([mean.tobytes()], pa.binary()), pa.array([met.tobytes()], pa.binary())], ["part", "task", "change", "met"])
+
+
+def _unchanged(change, met) -> tuple[np.ndarray, np.ndarray]:
+    met = np.frombuffer(met, np.float32)
+    out = np.zeros((len(met), WIDTH), np.float32)
+    out[met > 0] = np.frombuffer(change, np.float16).reshape(-1, WIDTH)
+    return out, met
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part of the weights: the changes of several tasks, each row weighted by how often its task met it."""
+    total = weight = 0
+    part = task = None
+    for b in batches:
+        for part, task, change, met in zip(*(b.column(k) for k in range(4)), strict=True):
+            c, n = _unchanged(change.as_buffer(), met.as_buffer())
+            total, weight = total + c * n[:, None], weight + n
+    yield _changed(part.as_py(), task.as_py(), total, weight)
+
+
 def _copy(m: Model) -> Model:
-    out = Model(m.v)
+    out = Model.__new__(Model)
+    out.__dict__.update(m.__dict__)
     out.outer, out.inner = m.outer.copy(), m.inner.copy()
     return out
 
 
-def _mean(group: pa.Table) -> pa.Table:
-    """Of a part of the weights: the tasks' changes, each row weighted by how often its task met it."""
-    total = weight = 0
-    for c, n in zip(group["change"], group["met"], strict=True):
-        n = np.frombuffer(n.as_buffer(), np.float32)
-        c = np.frombuffer(c.as_buffer(), np.float16).reshape(len(n), -1).astype(np.float32)
-        total, weight = total + c * n[:, None], weight + n
-    mean = (total / np.maximum(weight, 1)[:, None]).astype(np.float32)
-    return pa.table([group["name"].slice(0, 1), group["part"].slice(0, 1), pa.array([mean.tobytes()], pa.binary())], ["name", "part", "change"])
+def _sliced(raw: np.ndarray, off: np.ndarray):
+    """(the piece, its :func:`tokens`): in pieces of one text without the words that were in the one before, the end in the last only."""
+    for p in T.pieces(raw, off, lead=2):
+        t = tokens(p.words, p.first)
+        if p.lead or not p.last:
+            t = tuple(x[p.lead : len(x) - (not p.last)] for x in t)
+        yield p, t
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -244,8 +319,8 @@ def _count(buckets: int):
         for batch in batches:
             raw, off = T.buffers(batch.column(0))
             texts += len(off) - 1
-            for i, j in T.slices(off):
-                todo.append(T.words(raw, off[i : j + 1])[0])
+            for p in T.pieces(raw, off):
+                todo.append(p.words)
                 size += len(todo[-1])
                 if size >= 1 << 21:
                     fold()
@@ -299,7 +374,7 @@ def _frequent(least: int):
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From counted buckets: sums, and words from such a power of two on that COMMON at most are sent to the driver."""
+    """From counted buckets: sums, and words from such a power of two on that they are as many as the tokens allow, WORDS_MOST at the most."""
     total, distinct, texts, bins = 0, 0, 0, np.zeros(48, np.int64)
     # one short row for each bucket
     for r in counts.select("bucket", "size", "total", "bins").toLocalIterator():
@@ -308,7 +383,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         else:
             total, distinct, bins = total + r.total, distinct + r.size, bins + np.frombuffer(r.bins, np.int64)
     over = np.cumsum(bins[::-1])[::-1]
-    k = int(np.argmax(over <= COMMON))
+    k = int(np.argmax(over <= min(WORDS_MOST, max(WORDS_LEAST, int((WORDS_PER * total) ** 0.5)))))
     rows = counts.where("bucket >= 0").select("size", "words", "counts").mapInArrow(_frequent(1 << k), "word long, n long").toPandas()
     h, n = rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     o = np.argsort(h)
@@ -330,18 +405,18 @@ def train(docs: DataFrame, learn: Column, text: str = "text", rounds: int = ROUN
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(model)
         part = d.where(F.pmod(F.xxhash64(F.lit("round"), spread), F.lit(rounds)) == k).select(text)
-        changes = part.mapInArrow(T.tidied(_train(sent)), "name string, part int, change binary, met binary").groupBy("name", "part").applyInArrow(_mean, "name string, part int, change binary").collect()
+        changes = merged(part.mapInArrow(T.tidied(_train(sent)), CHANGED), "part", _add, CHANGED).collect()
         model = _copy(model)
         for r in changes:
-            w = getattr(model, r.name)
-            step = len(w) // PARTS
-            w[r.part * step : (r.part + 1) * step] += np.frombuffer(r.change, np.float32).reshape(step, -1)
+            w = (model.outer, model.inner)[r.part // PARTS]
+            size = len(w) // PARTS
+            w[r.part % PARTS * size : (r.part % PARTS + 1) * size] += _unchanged(r.change, r.met)[0]
         sent.unpersist()
     return model, counts
 
 
 SCORED = "bucket int, size int, base long, keys binary, words binary, many binary, sums binary"
-SUMS = ["n_tokens", "n_known", "common", "model", "others"]
+SUMS = ["n_tokens", "n_known", "common", "model", "others"]  # others: tokens outside the vocabulary
 
 
 def _score(sent, buckets: int):
@@ -353,15 +428,13 @@ def _score(sent, buckets: int):
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             raw, off = T.buffers(batch.column(1))
-            for i, j in T.slices(off):
-                h, first, _, _ = T.words(raw, off[i : j + 1])
-                e, own, one, two = tokens(h, first)
-                count, ids = v.look(e)
-                rare, n = count < 0, j - i
+            for piece, (e, own, one, two) in _sliced(raw, off):
+                i, j = piece.low, piece.high
+                count, codes = v.look(e)
+                rare, n = codes == OUTSIDE, j - i
                 lg = np.log10(np.maximum(count, 0) + 1.0)
-                other = ids == OTHER_ID * MEMBERS
-                score = m.log10(one, two, ids) + np.where(other & ~rare, lg, 0)
-                sums = [np.bincount(own, minlength=n).astype(float), np.bincount(own, count > 0, minlength=n), np.bincount(own, np.where(rare, 0, lg), minlength=n), np.bincount(own, score, minlength=n), np.bincount(own, other, minlength=n)]
+                score = m.log10(one, two, codes)
+                sums = [np.bincount(own, minlength=n).astype(float), np.bincount(own, count > 0, minlength=n), np.bincount(own, np.where(rare, 0, lg), minlength=n), np.bincount(own, score, minlength=n), np.bincount(own, rare, minlength=n)]
                 k = np.ascontiguousarray(keys[i:j], np.int64)
                 out = [[-1 - int(k[0]) % buckets, n, 0, k.tobytes(), b"", b"", np.concatenate(sums).tobytes()]]
                 if rare.any():

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import lm
@@ -45,17 +46,22 @@ def test_scores(spark):
     assert held > 0.95 * base  # context tells the two languages apart
 
 
-def test_sums_to_one():
+@pytest.mark.parametrize("words", [0, 5, 960, 961, 991, 992, 5000, 40_000])
+def test_sums_to_one(words):
     rng = np.random.default_rng(0)
-    common = np.sort(rng.integers(1, 1 << 62, 5000).astype(np.uint64))
-    v = lm.Vocabulary.of(common, rng.integers(1, 900, 5000), 3_000_000, 90_000, 50)
+    common = np.unique(rng.integers(1, 1 << 62, words).astype(np.uint64))
+    v = lm.Vocabulary.of(common, rng.integers(1, 900, len(common)), 30_000_000, 90_000, 50)
     m = lm.Model(v)
     m.outer += rng.standard_normal(m.outer.shape).astype(np.float32)
     m.inner += rng.standard_normal(m.inner.shape).astype(np.float32)
-    ids = np.arange(lm.CLASSES * lm.MEMBERS)
-    ids = ids[(ids % lm.MEMBERS == 0) | (ids >= 2 * lm.MEMBERS)]
-    h = np.full(len(ids), 12345, np.uint64)
-    assert abs((10 ** m.log10(h, h, ids)).sum() - 1) < 1e-3
+    codes = np.concatenate([np.arange(len(common)), [lm.ENDS, lm.OUTSIDE]])
+    h = np.full(len(codes), 12345, np.uint64)
+    assert abs((10 ** m.log10(h, h, codes)).sum() - 1) < 1e-3
+
+
+def test_rows_grow():
+    size = lambda n: lm.Vocabulary(n, 1, 1, *[np.zeros(0, np.int64)] * 3).rows
+    assert [size(n) for n in (0, 1 << 22, 1 << 25, 1 << 28, 1 << 60)] == [13, 13, 14, 15, 18]
 
 
 def test_tokens():
