@@ -13,13 +13,16 @@ then decided by it alone.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import _text as T
+from plumbline.llm._merge import merged
 from plumbline.store import arrow_bytes
 
 #: log2 of the features; the k above; parts in which counts are summed.
@@ -47,13 +50,15 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((len(offsets) - 1, 5), np.int64)
     for i, j in T.slices(offsets):
         off = offsets[i : j + 1]
+        if off[-1] - off[0] > 2 * T.SLICE:
+            out[i] = _long_counts(raw, int(off[0]), int(off[-1]))
+            continue
         base = int(off[0])
         text, at = raw[base : int(off[-1])], off - base
         h, first, _, _ = T.words(raw, off, lower=False)
         n = np.diff(first)
         out[i:j, 0] = n
-        solid = ~T._SPACE[text]
-        for col, mark in ((1, solid & ((text & 0xC0) != 0x80)), (2, _SYMBOL[text])):
+        for col, mark in zip((1, 2), _marks(text), strict=True):
             run = np.zeros(len(text) + 1, np.int64)
             np.cumsum(mark, out=run[1:])
             out[i:j, col] = run[at[1:]] - run[at[:-1]]
@@ -61,44 +66,91 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(h) >= 3:
             g = T.mix(T.grams(h, 3) + doc[:-2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             own = doc[2:] == doc[:-2]
-            _, which, often = np.unique(g, return_inverse=True, return_counts=True)
+            # a window that runs into the next text is none, and must not make an equal one count
+            at3 = np.flatnonzero(own)
+            _, which, often = np.unique(g[at3], return_inverse=True, return_counts=True)
             twice = np.zeros(len(h), bool)
-            twice[:-2] = (often[which] > 1) & own
+            twice[at3[often[which] > 1]] = True
             covered = twice.copy()
             covered[1:] |= twice[:-1]
             covered[2:] |= twice[:-2]
             out[i:j, 4] = np.bincount(doc[covered], minlength=j - i)
-        # lines: cut after each \n and at each text's end
         if len(text):
-            breaks, some = np.flatnonzero(text == 10), np.diff(at) > 0
-            ends = np.unique(np.concatenate([breaks, at[1:][some]]))
-            starts = np.unique(np.concatenate([breaks + 1, at[:-1][some]]))
-            starts = starts[starts < len(text)]
-            starts = starts[text[starts] != 10]
-            ends = ends[np.searchsorted(ends, starts, side="right")]
-            run = np.zeros(len(text) + 1, np.int64)
-            np.cumsum(solid, out=run[1:])
-            full = run[ends] > run[starts]
-            starts, ends = starts[full], ends[full]
-            hashes = np.zeros(len(text) + 1, np.uint64)
-            np.cumsum(T._BYTE[text] * T._powers(len(text), False), out=hashes[1:])
-            line = (hashes[ends] - hashes[starts]) * T._powers(len(text), True)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-            of = np.searchsorted(at, starts, side="right") - 1
-            line = T.mix(T.mix(line) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            _, once = np.unique(line, return_index=True)
+            line, of = _lines(text, at)
+            _, once = np.unique(T.mix(line + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
             again = np.ones(len(line), bool)
             again[once] = False
             out[i:j, 3] = np.bincount(of[again], minlength=j - i)
     return out
 
 
-def features(h: np.ndarray, first: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, text) of all unigrams and bigrams."""
+def _marks(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that begin a character of a word, and symbols."""
+    return ~T._SPACE[text] & ((text & 0xC0) != 0x80), _SYMBOL[text]
+
+
+def _lines(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of each line with a word; lines are cut after each \\n and where a text ends."""
+    breaks, some = np.flatnonzero(text == 10), np.diff(at) > 0
+    ends = np.unique(np.concatenate([breaks, at[1:][some]]))
+    starts = np.unique(np.concatenate([breaks + 1, at[:-1][some]]))
+    starts = starts[starts < len(text)]
+    starts = starts[text[starts] != 10]
+    ends = ends[np.searchsorted(ends, starts, side="right")]
+    run = np.zeros(len(text) + 1, np.int64)
+    np.cumsum(~T._SPACE[text], out=run[1:])
+    full = run[ends] > run[starts]
+    starts, ends = starts[full], ends[full]
+    hashes = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(T._BYTE[text] * T._powers(len(text), False), out=hashes[1:])
+    line = (hashes[ends] - hashes[starts]) * T._powers(len(text), True)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    return T.mix(line), np.searchsorted(at, starts, side="right") - 1
+
+
+def _long_counts(raw: np.ndarray, low: int, high: int) -> list[int]:
+    """The row of one very long text, in pieces: besides its bytes only hashes of its words and lines are held."""
+    h = np.concatenate([p.words for p in T.pieces(raw, np.array([low, high]), lower=False)])
+    chars = symbols = 0
+    for a in range(low, high, T.SLICE):
+        word, symbol = _marks(raw[a : min(a + T.SLICE, high)])
+        chars, symbols = chars + int(word.sum()), symbols + int(symbol.sum())
+    newline = np.zeros(256, bool)
+    newline[10] = True
+    lines, size = [np.zeros(0, np.uint64)], T.SLICE
+    for a, b in T.cuts(raw, low, high, ends=newline):
+        if b - a <= 2 * size:
+            lines.append(_lines(raw[a:b], np.array([0, b - a]))[0])
+        else:  # a very long line, which is hashed in parts, and perhaps short ones
+            end = next((x + int(k[0]) for x in range(a, b, size) if len(k := np.flatnonzero(raw[x : min(x + size, b)] == 10))), b)
+            if not all(T._SPACE[raw[x : min(x + size, end)]].all() for x in range(a, end, size)):
+                total, power = (end - a) * 0xD1B54A32D192ED03, 1
+                for x in range(a, end, size):
+                    part = raw[x : min(x + size, end)]
+                    total += int((T._BYTE[part] * T._powers(len(part), False)).sum(dtype=np.uint64)) * power
+                    power = power * pow(int(T._R), len(part), 1 << 64) % (1 << 64)
+                lines.append(T.mix(np.array([total % (1 << 64)], np.uint64)))
+            if end + 1 < b:
+                lines.append(_lines(raw[end + 1 : b], np.array([0, b - end - 1]))[0])
+    found = np.concatenate(lines)
+    g = T.grams(h, 3)
+    s = np.sort(g)
+    twice = np.unique(s[1:][s[1:] == s[:-1]])
+    del s
+    covered = np.zeros(len(h), bool)
+    for a in range(0, len(g) if len(twice) else 0, 1 << 20):
+        at = np.searchsorted(twice, g[a : a + (1 << 20)])
+        k = np.flatnonzero(twice[np.minimum(at, len(twice) - 1)] == g[a : a + (1 << 20)]) + a
+        covered[k] = covered[k + 1] = covered[k + 2] = True
+    return [len(h), chars, symbols, len(found) - len(np.unique(found)), int(covered.sum())]
+
+
+def features(h: np.ndarray, first: np.ndarray, bits: int, lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, text) of all unigrams, but for the first `lead`, and bigrams."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     g = T.grams(h, 2)
     own = doc[1:] == doc[:-1] if len(doc) else np.zeros(0, bool)
     top = np.uint64(64 - bits)
-    return np.concatenate([h >> top, g[own[: len(g)]] >> top]).astype(np.int64), np.concatenate([doc, doc[1:][own]])
+    return np.concatenate([h[lead:] >> top, g[own[: len(g)]] >> top]).astype(np.int64), np.concatenate([doc[lead:], doc[1:][own]])
 
 
 def _gather(bits: int):
@@ -109,21 +161,30 @@ def _gather(bits: int):
         for batch in batches:
             raw, off = T.buffers(batch.column(0))
             part = batch.column(1).to_numpy(zero_copy_only=False)
-            for i, j in T.slices(off):
-                h, first, _, _ = T.words(raw, off[i : j + 1])
-                f, doc = features(h, first, bits)
-                of = part[i:j][doc]
+            for p in T.pieces(raw, off, lead=1):
+                f, doc = features(p.words, p.first, bits, p.lead)
+                of = part[p.low : p.high][doc]
                 both[0] += np.bincount(f[of != TARGET], minlength=1 << bits)
                 both[1] += np.bincount(f[of != RAW], minlength=1 << bits)
-        step = both.shape[1] // PARTS
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(np.ascontiguousarray(both[:, k * step : (k + 1) * step]).tobytes(), 1) for k in range(PARTS)], pa.binary())], ["part", "counts"])
+        if both.any():
+            step = both.shape[1] // PARTS
+            for k in range(PARTS):
+                yield _row(k, TaskContext.get().partitionId(), both[:, k * step : (k + 1) * step])
 
     return run
 
 
-def _total(group: pa.Table) -> pa.Table:
-    all_ = sum(np.frombuffer(zlib.decompress(b), np.int64) for b in group["counts"].to_pylist())
-    return pa.table([group["part"].slice(0, 1), pa.array([all_.tobytes()], pa.binary())], ["part", "counts"])
+def _row(part: int, task: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([task], pa.int32()), pa.array([zlib.compress(np.ascontiguousarray(counts).tobytes(), 1)], pa.binary())], ["part", "task", "counts"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part's counts of several tasks."""
+    total, part, task = 0, None, None
+    for b in batches:
+        for part, task, counts_ in zip(*(b.column(k) for k in range(3)), strict=True):
+            total = total + np.frombuffer(zlib.decompress(counts_.as_buffer()), np.int64)
+    yield _row(part.as_py(), task.as_py(), total)
 
 
 def ratio_weights(docs: DataFrame, trusted: DataFrame, bits: int = BITS, shrink: float = SHRINK, keys: int = KEYS) -> np.ndarray:
@@ -136,25 +197,41 @@ def ratio_weights(docs: DataFrame, trusted: DataFrame, bits: int = BITS, shrink:
         d = marked.select("text", F.coalesce("part", F.lit(RAW)))
     else:
         d = docs.select("text", F.lit(RAW)).union(docs.join(trusted.select("key"), "key", "left_semi").select("text", F.lit(TARGET)))
-    parts = d.mapInArrow(T.tidied(_gather(bits)), "part int, counts binary").groupBy("part").applyInArrow(_total, "part int, counts binary").collect()
+    kind = "part int, task int, counts binary"
+    parts = merged(d.mapInArrow(T.tidied(_gather(bits)), kind), "part", _add, kind).collect()
     if not parts:
         return np.zeros(1 << bits, np.float32)
-    raw, target = np.concatenate([np.frombuffer(r.counts, np.int64).reshape(2, -1) for r in sorted(parts, key=lambda r: r.part)], axis=1)
+    raw, target = np.concatenate([np.frombuffer(zlib.decompress(r.counts), np.int64).reshape(2, -1) for r in sorted(parts, key=lambda r: r.part)], axis=1)
     expected = raw * (target.sum() / max(1, raw.sum()))
     return np.log((target + shrink) / (expected + shrink)).astype(np.float32)
 
 
+def _mean_weight(raw: np.ndarray, off: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
+    """The mean weight of each text's features, 0 without any."""
+    s, n = np.zeros((2, len(off) - 1))
+    for p in T.pieces(raw, off, lead=1):
+        f, doc = features(p.words, p.first, bits, p.lead)
+        s[p.low : p.high] += np.bincount(doc, w[f], minlength=p.high - p.low)
+        n[p.low : p.high] += np.bincount(doc, minlength=p.high - p.low)
+    return s / np.maximum(1, n)
+
+
 def _score(weights, bits: int):
     def run(batches):
-        w = weights.value
         for batch in batches:
             raw, off = T.buffers(batch.column(1))
-            c, s = counts(raw, off), np.zeros(len(off) - 1)
-            for i, j in T.slices(off):
-                h, first, _, _ = T.words(raw, off[i : j + 1])
-                f, doc = features(h, first, bits)
-                s[i:j] = np.bincount(doc, w[f], minlength=j - i) / np.maximum(1, np.bincount(doc, minlength=j - i))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c[:, k]) for k in range(5)), pa.array(s)], ["key", *COUNTS, "ratio"])
+            c = counts(raw, off)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c[:, k]) for k in range(5)), pa.array(_mean_weight(raw, off, weights.value, bits))], ["key", *COUNTS, "ratio"])
+
+    return run
+
+
+def _ratios(weights, bits: int):
+    """(label, ratio) of labelled texts."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(_mean_weight(*T.buffers(batch.column(1)), weights.value, bits))], ["label", "ratio"])
 
     return run
 
@@ -192,14 +269,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None = None, key: str = "
     if labels is None:
         weights = np.zeros(1 << bits, np.float32)
     else:
-        known = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).where("key is not null and label is not null").groupBy("key").agg(F.min("label").alias("label"))
+        known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label is not null").groupBy("key").agg(F.min("label").alias("label"))
         weights = ratio_weights(d, known.where(half & (F.col("label") == 1)), bits)
     sent = spark.sparkContext.broadcast(weights)
     scored = d.mapInArrow(T.tidied(_score(sent, bits)), f"key {dict(d.dtypes)['key']}, " + ", ".join(f"{c} long" for c in COUNTS) + ", ratio double")
     if threshold is None and labels is not None:
         step = 1 / 256
         told = known.where(~(half & (F.col("label") == 1)))
-        bins = scored.select("key", F.floor(F.greatest(F.least("ratio", F.lit(16.0)), F.lit(-16.0)) / step).alias("bin")).join(told, "key").groupBy("bin", "label").count().collect()
+        few = told.count() <= KEYS
+        judged = d.join(F.broadcast(told) if few else told, "key").select("key", "text", "label").mapInArrow(T.tidied(_ratios(sent, bits)), "label int, ratio double")
+        bins = judged.select("label", F.floor(F.greatest(F.least("ratio", F.lit(16.0)), F.lit(-16.0)) / step).alias("bin")).groupBy("bin", "label").count().collect()
         threshold = best_threshold({r.bin: r["count"] for r in bins if r.label == 1}, {r.bin: r["count"] for r in bins if r.label == 0}, step)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     out = scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= F.lit(float("-inf") if threshold is None else threshold)))

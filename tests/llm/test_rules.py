@@ -31,6 +31,11 @@ def test_counts(texts):
     assert counts(raw, off).tolist() == [plain(t) for t in texts]
 
 
+def test_windows_end_with_their_text():
+    texts = ["a b c a b", "c x", "a b c"]
+    assert counts(*T.buffers(pa.array(texts))).tolist() == [plain(t) for t in texts]
+
+
 def test_words_and_hashes():
     texts = ["The tHe\tEND\n", None, "", "é É x" * 3, " a"]
     raw, off = T.buffers(pa.array(texts, pa.string()).slice(0))
