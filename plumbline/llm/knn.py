@@ -35,48 +35,70 @@ _CLASS[list(b"!")] = 4
 _CLASS[list(b"#*$%&|<>")] = 6
 
 
-def text_features(raw: np.ndarray, offsets: np.ndarray):
-    """(features of each word, in two columns, and the first word of each text)."""
+def text_features(raw: np.ndarray, offsets: np.ndarray, before: int | None = None):
+    """(features of each word, in two columns; the first word of each text; the hash of the last word, which `before` is of the text so far)."""
     h, first, begin, end = T.words(raw, offsets, lower=False)
     word = (h % np.uint64(WORDS)).astype(np.int64)
     if len(h):
         again = np.zeros(len(h), np.int64)
         again[1:] = h[1:] == h[:-1]
+        again[first[:-1][np.diff(first) > 0]] = 0  # a text's first word repeats none
+        again[0] = before is not None and int(h[0]) == before
         size = np.minimum(end - begin, 16) // 2
         second = _CLASS[raw[np.minimum(begin + 1, end - 1)]] % 4
         shape = WORDS + ((((_CLASS[raw[begin]] * 8 + _CLASS[raw[end - 1]]) * 4 + second) * 2 + again) * 9 + size) % SHAPES
     else:
         shape = word
-    return word, shape, first
+    return word, shape, first, int(h[-1]) if len(h) else before
 
 
-def _project(word, shape, first, table: np.ndarray) -> np.ndarray:
-    """The sum of the table's rows for each text, scaled to length 1 (0 without words)."""
+def _pieces(raw: np.ndarray, off: np.ndarray):
+    """(first text, end, features) of slices; a very long text comes in several pieces."""
+    for i, j in T.slices(off):
+        low, high = int(off[i]), int(off[j])
+        if high - low <= 2 * T.SLICE:
+            yield i, j, text_features(raw, off[i : j + 1])[:3]
+        else:
+            last = None
+            for a, b in T.cuts(raw, low, high):
+                word, shape, first, last = text_features(raw, np.array([a, b], np.int64), last)
+                yield i, j, (word, shape, first)
+
+
+def _sums(word, shape, first, table: np.ndarray) -> np.ndarray:
+    """The sum of the table's rows for each text."""
     out = np.zeros((len(first) - 1, table.shape[1]), np.float32)
-    some = np.flatnonzero(np.diff(first))
-    if len(some):
-        # a bounded number of words at a time, whatever one text holds
-        for a in range(0, len(word), 1 << 14):
-            b = min(a + (1 << 14), len(word))
-            at = np.clip(first, a, b)
-            have = np.flatnonzero(np.diff(at))
-            rows = table[word[a:b]] + table[shape[a:b]]
-            out[have] += np.add.reduceat(rows, at[have] - a, axis=0)
-    n = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(n > 0, n, 1)
+    # a bounded number of words at a time, whatever one text holds
+    for a in range(0, len(word), 1 << 14):
+        b = min(a + (1 << 14), len(word))
+        at = np.clip(first, a, b)
+        have = np.flatnonzero(np.diff(at))
+        rows = table[word[a:b]] + table[shape[a:b]]
+        out[have] += np.add.reduceat(rows, at[have] - a, axis=0)
+    return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1)
 
 
 def _sparse(batches):
     """The distinct features of each text with their counts."""
     for batch in batches:
         raw, off = T.buffers(batch.column(2))
-        index, count = [], []
-        for i, j in T.slices(off):
-            word, shape, first = text_features(raw, off[i : j + 1])
-            for a, b in zip(first[:-1], first[1:], strict=True):
+        index, count = [b""] * (len(off) - 1), [b""] * (len(off) - 1)
+        long: dict[int, np.ndarray] = {}
+        for i, j, (word, shape, first) in _pieces(raw, off):
+            if j - i == 1:
+                long[i] = long.get(i, 0) + np.bincount(word, minlength=WORDS + SHAPES) + np.bincount(shape, minlength=WORDS + SHAPES)
+                continue
+            for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True), i):
                 f, n = np.unique(np.concatenate([word[a:b], shape[a:b]]), return_counts=True)
-                index.append(f.astype(np.int32).tobytes())
-                count.append(n.astype(np.float32).tobytes())
+                index[k], count[k] = f.astype(np.int32).tobytes(), n.astype(np.float32).tobytes()
+        for k, n in long.items():
+            f = np.flatnonzero(n)
+            index[k], count[k] = f.astype(np.int32).tobytes(), n[f].astype(np.float32).tobytes()
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(index, pa.binary()), pa.array(count, pa.binary())], ["key", "label", "f", "n"])
 
 
@@ -118,10 +140,10 @@ class NeighbourModel:
 
     def score_arrow(self, column) -> np.ndarray:
         raw, off = T.buffers(column)
-        out = np.zeros(len(off) - 1)
-        for i, j in T.slices(off):
-            out[i:j] = self.votes(_project(*text_features(raw, off[i : j + 1]), self.table))
-        return out
+        out = np.zeros((len(off) - 1, self.table.shape[1]), np.float32)
+        for i, j, features in _pieces(raw, off):
+            out[i:j] += _sums(*features, self.table)
+        return self.votes(_unit(out))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST) -> NeighbourModel:
@@ -147,12 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return NeighbourModel(np.zeros((WORDS + SHAPES, 1), np.float32), np.zeros((len(rows), 1), np.float32), y)
     idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     x *= idf
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    x /= np.where(n > 0, n, 1)
+    x = _unit(x)
     _, v = randomised_svd(x, RANK)
-    p = x @ v
-    n = np.linalg.norm(p, axis=1, keepdims=True)
-    return NeighbourModel(np.ascontiguousarray(idf[:, None] * v, np.float32), np.ascontiguousarray(p / np.where(n > 0, n, 1), np.float32), y)
+    return NeighbourModel(np.ascontiguousarray(idf[:, None] * v, np.float32), np.ascontiguousarray(_unit(x @ v), np.float32), y)
 
 
 def _scorer(model):

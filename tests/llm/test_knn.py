@@ -32,8 +32,8 @@ def test_project_in_parts():
     texts = ["a b c", "", "x " * 70_000 + "y", "z"]
     raw, off = T.buffers(pa.array(texts))
     table = np.random.default_rng(2).standard_normal((knn.WORDS + knn.SHAPES, 3)).astype(np.float32)
-    got = knn._project(*knn.text_features(raw, off), table)
-    w, s, f = knn.text_features(raw, off)
+    got = knn._unit(knn._sums(*knn.text_features(raw, off)[:3], table))
+    w, s, f, _ = knn.text_features(raw, off)
     for k in range(4):
         want = (table[w[f[k] : f[k + 1]]].astype(float) + table[s[f[k] : f[k + 1]]]).sum(axis=0)
         assert np.allclose(got[k], want / (np.linalg.norm(want) or 1), atol=1e-3)
