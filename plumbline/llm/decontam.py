@@ -21,14 +21,17 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import _text as T
+from plumbline.llm._merge import merged
 from plumbline.store import arrow_bytes
 
 #: Hashed words, right vectors, the first of them that aren't used, further columns of the sketch, words of a passage, parts in which sums are dealt.
@@ -51,32 +54,48 @@ def _gather(batches):
     """Of each task: documents with each feature, documents, and T'(T G)."""
     g = np.concatenate([_random(RANK + OVER), np.zeros((1, RANK + OVER), np.float32)])  # the last row: no word, or one that the passage has already
     df, s, total = np.zeros(FEATURES, np.int64), np.zeros((FEATURES, g.shape[1])), 0
+    seen, left = np.zeros(FEATURES, bool), np.zeros(0, np.int64)  # of a text that comes in pieces
     for batch in batches:
         raw, off = T.buffers(batch.column(0))
         total += len(off) - 1
-        for i, j in T.slices(off):
-            h, first, _, _ = T.words(raw, off[i : j + 1])
-            n, f = np.diff(first), _hashed(h)
+        for p in T.pieces(raw, off):
+            first, f = p.first, _hashed(p.words)
+            if p.high - p.low == 1:
+                f = np.concatenate([left, f])
+                seen[f] = True
+                full = len(f) if p.last else len(f) // PASSAGE * PASSAGE
+                f, left = f[:full], f[full:]
+                first = np.array([0, full])
+                if p.last:
+                    df, seen = df + seen, np.zeros(FEATURES, bool)
+            n = np.diff(first)
             doc = np.repeat(np.arange(len(n)), n)
-            for a in range(0, len(n), 64):
+            for a in range(0, len(n) if p.high - p.low > 1 else 0, 64):
                 some = slice(first[a], first[min(a + 64, len(n))])
                 there = np.zeros((64, FEATURES), bool)
                 there[doc[some] - a, f[some]] = True
                 df += there.sum(axis=0)
-            if not len(h):
+            if not len(f):
                 continue
-            at = np.arange(len(h)) - first[doc]
+            at = np.arange(len(f)) - first[doc]
             begin = np.concatenate([[0], np.cumsum(-(-n // PASSAGE))])
             for a, b in _bounded(begin):
                 some = slice(first[a], first[b])
                 passages = np.full((begin[b] - begin[a], PASSAGE), FEATURES, np.uint16)
                 passages[begin[doc[some]] - begin[a] + at[some] // PASSAGE, at[some] % PASSAGE] = f[some]
                 _add(s, g, passages)
-    step = FEATURES // PARTS
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(range(PARTS), pa.int32()), pa.array([total] * PARTS, pa.int64()), pa.array([zlib.compress(df[k * step : (k + 1) * step].tobytes(), 1) for k in range(PARTS)], pa.binary()), pa.array([s[k * step : (k + 1) * step].astype(np.float32).tobytes() for k in range(PARTS)], pa.binary())],
-        ["part", "texts", "df", "sketch"],
-    )
+    if total:
+        step, task = FEATURES // PARTS, TaskContext.get().partitionId()
+        for k in range(PARTS):
+            yield _row(k, task, total, df[k * step : (k + 1) * step], s[k * step : (k + 1) * step])
+
+
+SKETCH = "part int, task int, texts long, df binary, sketch binary"
+
+
+def _row(part: int, task: int, texts: int, df: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array([part], pa.int32()), pa.array([task], pa.int32()), pa.array([texts], pa.int64()), pa.array([zlib.compress(df.astype(np.int64).tobytes(), 1)], pa.binary()), pa.array([sketch.astype(np.float32).tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SKETCH.split(", ")])
 
 
 def _bounded(begin: np.ndarray):
@@ -104,10 +123,13 @@ def _add(s: np.ndarray, g: np.ndarray, passages: np.ndarray) -> None:
     s[f[cut]] += np.add.reduceat(rows[order // PASSAGE], cut, axis=0)
 
 
-def _total(group: pa.Table) -> pa.Table:
-    df = sum(np.frombuffer(zlib.decompress(b), np.int64) for b in group["df"].to_pylist())
-    s = sum(np.frombuffer(b, np.float32).astype(float) for b in group["sketch"].to_pylist())
-    return pa.table([group["part"].slice(0, 1), pa.array([sum(group["texts"].to_pylist())]), pa.array([df.tobytes()], pa.binary()), pa.array([s.tobytes()], pa.binary())], ["part", "texts", "df", "sketch"])
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A part's document frequencies and sketches of several tasks."""
+    texts, df, s, part, task = 0, 0, 0, None, None
+    for b in batches:
+        for part, task, n, d, x in zip(*(b.column(k) for k in range(5)), strict=True):
+            texts, df, s = texts + n.as_py(), df + np.frombuffer(zlib.decompress(d.as_buffer()), np.int64), s + np.frombuffer(x.as_buffer(), np.float32).astype(float)
+    yield _row(part.as_py(), task.as_py(), texts, df, s)
 
 
 def latent_table(docs: DataFrame) -> np.ndarray:
@@ -116,11 +138,10 @@ def latent_table(docs: DataFrame) -> np.ndarray:
     n = docs.count()
     if not n:
         return none
-    kind = "part int, texts long, df binary, sketch binary"
-    rows = docs.select("text").mapInArrow(T.tidied(_gather), kind).groupBy("part").applyInArrow(_total, kind).collect()
+    rows = merged(docs.select("text").mapInArrow(T.tidied(_gather), SKETCH), "part", _sum, SKETCH).collect()
     rows.sort(key=lambda r: r.part)
-    df = np.concatenate([np.frombuffer(r.df, np.int64) for r in rows])
-    s = np.concatenate([np.frombuffer(r.sketch, float).reshape(-1, RANK + OVER) for r in rows])
+    df = np.concatenate([np.frombuffer(zlib.decompress(r.df), np.int64) for r in rows])
+    s = np.concatenate([np.frombuffer(r.sketch, np.float32).reshape(-1, RANK + OVER).astype(float) for r in rows])
     if not s.any():
         return none
     weight = (np.log((1 + n) / (1 + df)) + 0.1) ** 2
@@ -207,13 +228,16 @@ def verdict(item: list[int], answer: list[int], region: list[int]) -> tuple[int,
     return (k, there) if k * 1000 >= int(ALONE * 1000) * n or there else None
 
 
-def windows(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, end) of windows, each a quarter of its length after the one before; the last one ends with the text."""
+def windows(first: np.ndarray, size: int, most: int = 1 << 14):
+    """(text, first word, end) of windows, each a quarter of its length after the one before; the last one ends with the text.  So many at a time."""
     n, step = np.diff(first), max(1, size // 4)
     many = np.where(n > 0, np.maximum(0, -(-(n - size) // step)) + 1, 0)
-    doc = np.repeat(np.arange(len(n)), many)
-    start = first[doc] + (np.arange(len(doc)) - np.concatenate([[0], np.cumsum(many)])[doc]) * step
-    return doc, start, np.minimum(start + size, first[doc + 1])
+    begin = np.concatenate([[0], np.cumsum(many)])
+    for a in range(0, int(begin[-1]), most):
+        k = np.arange(a, min(a + most, int(begin[-1])))
+        doc = np.searchsorted(begin, k, side="right") - 1
+        start = first[doc] + (k - begin[doc]) * step
+        yield doc, start, np.minimum(start + size, first[doc + 1])
 
 
 def _search(sent, tables):
@@ -225,23 +249,22 @@ def _search(sent, tables):
             keys = batch.column(0)
             raw, off = T.buffers(batch.column(1))
             for i, j in T.slices(off):
-                h, first, _, _ = T.words(raw, off[i : j + 1])
-                if not len(h):
-                    continue
-                run_ = np.zeros((len(h) + 1, table.shape[1]), np.float64)
-                np.cumsum(table[_hashed(h)], axis=0, out=run_[1:])
+                some = list(T.pieces(raw, off[i : j + 1]))
+                h = np.concatenate([p.words for p in some])
+                first = some[0].first if len(some) == 1 else np.array([0, len(h)])
                 best: dict[tuple[int, int], tuple] = {}
                 for size, (at, vectors) in items.groups.items():
-                    doc, start, end = windows(first, size)
-                    for a in range(0, len(doc), 1 << 14):
-                        part = slice(a, a + (1 << 14))
-                        v = (run_[end[part]] - run_[start[part]]).astype(np.float32)
+                    for doc, start, end in windows(first, size):
+                        low = int(start[0])
+                        run_ = np.zeros((int(end.max()) - low + 1, table.shape[1]))
+                        np.cumsum(table[_hashed(h[low : low + len(run_) - 1])], axis=0, out=run_[1:])
+                        v = (run_[end - low] - run_[start - low]).astype(np.float32)
                         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
                         cos = v @ vectors.T
                         where, which = np.nonzero(cos >= COSINE)
                         for w, k in zip(where.tolist(), which.tolist(), strict=True):
-                            d, item = int(doc[a + w]), int(at[k])
-                            lo, hi = max(int(first[d]), int(start[a + w]) - size // 4), min(int(first[d + 1]), int(end[a + w]) + size // 4)
+                            d, item = int(doc[w]), int(at[k])
+                            lo, hi = max(int(first[d]), int(start[w]) - size // 4), min(int(first[d + 1]), int(end[w]) + size // 4)
                             if got := verdict(item_words[item], answers[item], h[lo:hi].tolist()):
                                 best[d, item] = max(best.get((d, item), (0, False, 0.0)), (*got, float(cos[w, k])))
                 found += [(keys[i + d].as_py(), items.ids[item], n, len(item_words[item]), there, c) for (d, item), (n, there, c) in best.items()]
