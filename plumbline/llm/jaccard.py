@@ -78,16 +78,25 @@ def unplanes(b: bytes, n: int) -> np.ndarray:
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int):
     """The sorted distinct n-word shingle hashes of each text; a shorter one's whole sequence is its only shingle."""
-    for i, j in T.slices(offsets):
-        h, first, _, _ = T.words(raw, offsets[i : j + 1])
-        g = T.grams(h, n)
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            if b - a >= n:
+    some: list[np.ndarray] = []  # of a text that comes in pieces
+    for p in T.pieces(raw, offsets, lead=n - 1):
+        h, g = p.words, T.grams(p.words, n)
+        whole = p.last and not p.lead and not some
+        for a, b in zip(p.first[:-1], p.first[1:], strict=True):
+            if not whole:
+                some.append(np.unique(g))
+            if not p.last:
+                continue
+            if not whole and any(map(len, some)):
+                yield np.unique(np.concatenate(some))
+            elif b - a >= n:
                 yield np.unique(g[a : b - n + 1])
             elif b > a:
                 yield T.mix(T.grams(h[a:b], int(b - a)) + np.uint64(b - a))
             else:
                 yield np.zeros(0, np.uint64)
+        if p.last:
+            some = []
 
 
 def set_print(s: np.ndarray) -> int:
@@ -130,12 +139,13 @@ def _pack(n: int, buckets: int):
                 sizes.append(len(s))
                 if len(s) and key < seen.get((p, len(s)), 1 << 63):
                     seen[p, len(s)] = int(key)
-                    keys.append(int(key))
-                    sets.append(s)
-                    total += len(s)
-                if total >= FLUSH:
-                    yield flush()
-                    keys, sets, total = [], [], 0
+                    for a in range(0, len(s), FLUSH):
+                        keys.append(int(key))
+                        sets.append(s[a : a + FLUSH])
+                        total += len(sets[-1])
+                        if total >= FLUSH:
+                            yield flush()
+                            keys, sets, total = [], [], 0
             if len(ids):
                 where = -1 - int(ids[0]) % buckets
                 yield pa.RecordBatch.from_arrays(
