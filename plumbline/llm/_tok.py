@@ -4,13 +4,16 @@ Two kinds of tokenizer let a text be cut at single spaces and line breaks
 without changing any id: one that drops white space before it looks at words,
 and the byte-level kind whose pattern gives a lone space to the word after it
 and makes a lone line break a token.  Other tokenizers, and texts with other
-white space, are encoded whole.  The memory of pieces is bounded.
+white space, are encoded whole.  A very long text is first cut between two
+words with one space, where a new pre-token begins in either kind.  The memory
+of pieces is bounded.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
@@ -18,6 +21,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces remembered by one Python worker for one tokenizer, and the longest that is.
 MEMORY, LONGEST = 800_000, 200
+#: Characters that are encoded in one go, about; where a longer text may be cut.
+SEGMENT, _GAP = 1 << 20, re.compile(r"(?<=\w) (?=\w)")
 #: Without the apostrophe, which contractions have, and the backslash.
 _PUNCT = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: How byte-level models write bytes: printable Latin-1 characters as they are, the others from U+0100 on in their order.
@@ -70,6 +75,14 @@ class Encoder:
             out[i] = b
         return out
 
+    def _segments(self, text: str) -> list[str]:
+        """Parts of a long text whose ids, in a row, are the text's; all but the first begin with a space."""
+        out, at = [], 0
+        while self.kind != "whole" and len(text) - at > 2 * SEGMENT and (m := _GAP.search(text, at + SEGMENT)):
+            out.append(text[at : m.start()])
+            at = m.start()
+        return [*out, text[at:]]
+
     def _pieces(self, text: str) -> list[str] | None:
         """Pieces whose ids, in a row, are the text's; None if the text must be encoded whole."""
         if self.kind == "dropped":
@@ -80,11 +93,13 @@ class Encoder:
                 pass
             return text.replace("\n", " ").split(" ")
         if self.kind == "leading" and text:
+            inner = text[0] == " "
+            start, text = ("", text[1:]) if inner else ("\r", text)
             bare = text.split()
             gaps = len(bare) - 1
             if gaps >= 0 and len(text) - sum(map(len, bare)) == gaps == text.count(" ") + text.count("\n") and not (text[0].isspace() or text[-1].isspace()):
                 # "a b\nc" gives "\ra", "b", "\nc": a piece without a mark has a space before it
-                return ("\r" + text.replace("\n", " \n")).split(" ")
+                return (start + text.replace("\n", " \n")).split(" ")
         return None
 
     def _spelled(self, piece: str) -> str:
@@ -121,6 +136,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
+        if max(map(len, texts), default=0) > 2 * SEGMENT:
+            return [b"".join([self._encode([part])[0] for part in self._segments(t)]) for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > MEMORY // 2:
             self.old, self.young = self.young, {}
         cut = [self._pieces(t) for t in texts]

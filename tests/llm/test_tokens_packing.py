@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from plumbline.llm import _tok
 from plumbline.llm import tokens as K
 from plumbline.llm._tok import Encoder
 from plumbline.llm.packing import pack_documents, place_pieces
@@ -41,6 +42,17 @@ def test_encoder_on_letters_before_punctuation(name):
     assert enc.encode(texts) == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_long_texts_in_segments(name, monkeypatch):
+    monkeypatch.setattr(_tok, "SEGMENT", 20)
+    path = public_tokenizers.path(name)
+    r = random.Random(8)
+    texts = ["".join(r.choices(["word", "İa.", "don't", "é", "日本", "12", " ", " ", " ", "\n", "  ", "\t", "<|endoftext|>", "Σ", "_"], k=r.randint(0, 90))) for _ in range(400)]
+    tok, enc = Tokenizer.from_file(path), Encoder(path)
+    want = [np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert enc.encode(texts) == want and max(len(enc._segments(t)) for t in texts) > 5
+
+
 @settings(deadline=None, max_examples=200)
 @given(st.integers(1, 32), st.data())
 def test_pack_round_trip(width, data):
@@ -58,7 +70,7 @@ def test_width(n, width):
 
 
 def rows():
-    return [(k * 7 % 25, t, "x") for k, t in enumerate(TEXTS)]
+    return [(k * 7 % 31, t, "x") for k, t in enumerate(TEXTS)]
 
 
 def test_written_and_read(spark, tmp_path):
