@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from plumbline.llm._spans import cutter, let, running, total
+
 #: Fixed values of the format.
 BEGIN, STOP = "<|im_start|>", "<|im_end|>"
 CONTROLS = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
@@ -37,9 +39,12 @@ class Layout:
     paths: tuple[str, ...]
     messages: tuple[str, str, str] | None = None  # list, role, text
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()  # role, fields joined by a blank line
+    rows: tuple[str, str, str] | None = None  # of a table with a row for each turn: order, role, text
+    renamed: bool = True  # whether roles get their canonical names
 
 
 LAYOUTS = [
+    Layout("rows by turn", ("role", "text", "turn"), rows=("turn", "role", "text"), renamed=False),
     Layout("messages", ("messages[].content", "messages[].role"), ("messages", "role", "content")),
     Layout("messages of text", ("messages[].role", "messages[].text"), ("messages", "role", "text")),
     Layout("conversations", ("conversations[].from", "conversations[].value"), ("conversations", "from", "value")),
@@ -50,9 +55,7 @@ LAYOUTS = [
     Layout("system, prompt and response", ("prompt", "response", "system"), fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
     Layout("question and answer", ("answer", "question"), fields=(("user", ("question",)), ("assistant", ("answer",)))),
 ]
-#: Paths of a table with a row for each turn.
-ROWS_BY_TURN = ("role", "text", "turn")
-KNOWN = sorted({p for lay in LAYOUTS for p in lay.paths} | set(ROWS_BY_TURN))
+KNOWN = sorted({p for lay in LAYOUTS for p in lay.paths})
 
 
 def fingerprint(paths) -> str:
@@ -71,19 +74,13 @@ def schema_paths(kind: Ty.DataType, at: str = "") -> list[str]:
 
 def record_paths(v: Column) -> Column:
     """Nested field paths of a variant, as far as a layout may know them: top fields, and fields of the objects in their lists."""
-    out = []
-    for p in KNOWN:
-        if "[]." in p:
-            top, name = p.split("[].")
-            has = _any_has(v, top, name)
-        else:
-            has = F.map_contains_key(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(p))
-        out.append(F.when(has, F.lit(p)))
-    return F.array_compact(F.array(*out))
 
+    def there(top: Column) -> Column:
+        has = {p: F.map_contains_key(top, F.lit(p)) for p in KNOWN if "[]." not in p}
+        has |= {p: F.exists(F.try_variant_get(F.try_element_at(top, F.lit(p.split("[].")[0])), "$", "array<map<string,variant>>"), (lambda name: lambda m: F.map_contains_key(m, F.lit(name)))(p.split("[].")[1])) for p in KNOWN if "[]." in p}
+        return F.array_compact(F.array(*(F.when(has[p], F.lit(p)) for p in KNOWN)))
 
-def _any_has(v: Column, top: str, name: str) -> Column:
-    return F.exists(F.try_variant_get(v, f"$.{top}", "array<map<string,variant>>"), lambda m: F.map_contains_key(m, F.lit(name)))
+    return let(F.try_variant_get(v, "$", "map<string,variant>"), there)
 
 
 def role_name(role: Column) -> Column:
@@ -91,15 +88,15 @@ def role_name(role: Column) -> Column:
     return F.coalesce(F.element_at(names, F.lower(role)), role, F.lit(""))
 
 
-def _turn(role: Column, text: Column) -> Column:
-    return F.struct(role_name(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+def _turn(role: Column, text: Column, renamed: bool = True) -> Column:
+    return F.struct((role_name(role) if renamed else F.coalesce(role, F.lit(""))).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def _mapped(lay: Layout, get) -> Column:
     """The turns of a record; get(path, type) reads a field."""
     if lay.messages:
         many, role, text = lay.messages
-        return F.transform(F.coalesce(get(many, f"array<struct<`{role}`:string,`{text}`:string>>"), F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>")), lambda m: _turn(m[role], m[text]))
+        return F.transform(F.coalesce(get(many, f"array<struct<`{role}`:string,`{text}`:string>>"), F.array().cast(f"array<struct<`{role}`:string,`{text}`:string>>")), lambda m: _turn(m[role], m[text], lay.renamed))
     turns = []
     for role, fields in lay.fields:
         parts = [F.when(get(f, "string") != "", get(f, "string")) for f in fields]
@@ -109,12 +106,16 @@ def _mapped(lay: Layout, get) -> Column:
 
 def json_turns(payload: Column) -> Column:
     """Canonical turns of a JSON record; null if it isn't JSON, is over the size of a variant, or has an unknown layout."""
-    v = F.try_parse_json(payload)
-    print_ = F.sha2(F.array_join(F.array_sort(record_paths(v)), "\n"), 256)
-    out = F.lit(None).cast(TURNS)
-    for lay in LAYOUTS:
-        out = F.when(print_ == fingerprint(lay.paths), _mapped(lay, lambda f, t: F.try_variant_get(v, f"$.{f}", t))).otherwise(out)
-    return out
+
+    def mapped(x: Column) -> Column:
+        v, out = x["v"], F.lit(None).cast(TURNS)
+        for lay in LAYOUTS:
+            if not lay.rows:
+                out = F.when(x["print"] == fingerprint(lay.paths), _mapped(lay, lambda f, t: F.try_variant_get(v, f"$.{f}", t))).otherwise(out)
+        return out
+
+    prints = lambda v: F.sha2(F.array_join(F.array_sort(record_paths(v)), "\n"), 256)
+    return let(F.try_parse_json(payload), lambda v: let(F.struct(v.alias("v"), prints(v).alias("print")), mapped))
 
 
 def table_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -125,12 +126,13 @@ def table_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
     result, so all its turns meet in one row.  Other columns are ignored.
     """
     paths = schema_paths(df.schema)
-    if fingerprint(paths) == fingerprint(ROWS_BY_TURN):
-        row = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        rows = df.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("r"))
-        return rows.select(key, F.transform("r", lambda x: _turn(x["role"], x["text"])).alias("turns"))
     for lay in LAYOUTS:
         if fingerprint(paths) == fingerprint(lay.paths):
+            if lay.rows:
+                order, role, text = lay.rows
+                row = F.struct(F.col(order).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+                rows = df.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("r"))
+                return rows.select(key, F.transform("r", lambda x: _turn(x["role"], x["text"], lay.renamed)).alias("turns"))
             return df.select(key, _mapped(lay, lambda f, t: F.col(f).cast(t) if t == "string" else F.transform(F.col(f), lambda m: F.struct(*(m[n].cast("string").alias(n) for n in lay.messages[1:])))).alias("turns"))
     raise ValueError(f"no layout for the fields {paths}")
 
@@ -152,18 +154,21 @@ def unescaped(x: Column, role: bool = False) -> Column:
 
 def formatted(turns: Column) -> Column:
     """struct<formatted, loss>: the training text, and the array<struct<start, end>> of code points in it that are assistant text."""
-    parts = F.transform(turns, lambda t: F.struct(F.concat(F.lit(BEGIN), escaped(t["role"], True), F.lit("\n")).alias("head"), escaped(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))
     tail = len(STOP) + 1
+    every = F.transform(turns, lambda t: F.struct(F.concat(F.lit(BEGIN), escaped(t["role"], True), F.lit("\n")).alias("head"), escaped(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")))
+
+    def written(parts: Column) -> Column:
+        at = running(F.transform(parts, lambda p: F.char_length(p["head"]) + F.char_length(p["text"]) + tail), 0, total)
+
+        def span(p: Column, start: Column) -> Column:
+            begin = start + F.char_length(p["head"])
+            return F.struct(p["loss"].alias("loss"), begin.alias("start"), (begin + F.char_length(p["text"])).alias("end"))
 
-    def step(acc, p):
-        start = acc["at"] + F.char_length(p["head"])
-        end = start + F.char_length(p["text"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct((end + tail).alias("at"), F.when(p["loss"], F.concat(acc["loss"], span)).otherwise(acc["loss"]).alias("loss"))
+        spans = F.transform(F.filter(F.zip_with(parts, at, span), lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        text = F.array_join(F.transform(parts, lambda p: F.concat(p["head"], p["text"], F.lit(STOP + "\n"))), "")
+        return F.struct(text.alias("formatted"), spans.alias("loss"))
 
-    text = F.array_join(F.transform(parts, lambda p: F.concat(p["head"], p["text"], F.lit(STOP + "\n"))), "")
-    return F.struct(text.alias("formatted"), F.aggregate(parts, zero, step)["loss"].alias("loss"))
+    return let(every, written)
 
 
 def read_back(text: Column) -> Column:
@@ -180,7 +185,7 @@ def read_back(text: Column) -> Column:
 
 def loss_text(text: Column, loss: Column) -> Column:
     """All text under the mask, unescaped."""
-    return F.array_join(F.transform(loss, lambda s: unescaped(F.substr(text, s["start"] + 1, s["end"] - s["start"]))), "")
+    return cutter(text, lambda cut: F.array_join(F.transform(loss, lambda s: unescaped(cut(s["start"], s["end"]))), ""))
 
 
 def format_chats(df: DataFrame, key: str = "conv_id", payload: str | None = None) -> DataFrame:

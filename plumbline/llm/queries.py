@@ -111,11 +111,9 @@ def op6_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-@query
-def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(["user", "assistant"])], "conv_id long, turn long, role string, text string")
-    out = format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own))
-    out = out.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss")).alias("loss"))
+def chat_digests(chats: DataFrame) -> DataFrame:
+    """What op10 returns of formatted chats (conv_id, formatted, loss), read back from them."""
+    out = chats.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss")).alias("loss"))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(flat, 256).alias("turns_sha256"),
@@ -123,6 +121,25 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, whose table's fingerprint names the layout by turn, and one of control strings alone."""
+    own = spark.createDataFrame([(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(["user", "assistant"])], "conv_id long, turn long, role string, text string")
+    return chat_digests(format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)))
+
+
+@query
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same conversations as JSON records of three layouts, by conv_id: each record's own fingerprint must find its mapping."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t"))
+    named = [("messages", "role", "content"), ("messages", "role", "text"), ("conversations", "from", "value")]
+    records = [F.to_json(F.struct(F.transform("t", (lambda r, x: lambda m: F.struct(m["role"].alias(r), m["text"].alias(x)))(role, text)).alias(top))) for top, role, text in named]
+    which = F.pmod(F.col("conv_id"), F.lit(len(records)))
+    body = F.when(which == 0, records[0]).when(which == 1, records[1]).otherwise(records[2])
+    return chat_digests(format_chats(c.select("conv_id", body.alias("body")), payload="body"))
+
+
 def _escaped(column: str) -> str:
     out = f"replace({column}, '\\', '\\\\')"
     for c in CONTROLS:
@@ -130,15 +147,19 @@ def _escaped(column: str) -> str:
     return out
 
 
-SQL["op10_chat_format"] = f"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+CHATS = f"""
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   sum(24 + length({_escaped("role")}) + length({_escaped("text")}))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+TURNS = "SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations"
+SQL["op10_chat_format"] = f"""
+WITH c AS ({TURNS}
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+{CHATS}"""
+SQL["chat_layouts"] = f"WITH c AS ({TURNS}) {CHATS}"
 
 
 @query

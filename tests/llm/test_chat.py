@@ -21,13 +21,13 @@ def test_round_trip(spark):
     bits = [*C.CONTROLS, "\\", "\\n", "\n", "n", "<", "[", "|", "é日", "im_end|>", " ", "</", "INST]", "s>"]
     some = lambda: "".join(r.choices(bits, k=r.randint(0, 8)))
     rows = [(k // 4, k % 4, r.choice(["user", "assistant", "system", some()]), some(), 0) for k in range(800)]
-    rows += [(-1, 0, "user", "</s>[INST] ok [/INST]", 0), (-1, 1, "assistant", "</s>[INST] ok [/INST]", 0), (900, 0, None, None, 0), (None, 1, "assistant", "b", 0), (None, 1, "assistant", "a", 0), (901, 0, "assistant", "long " * 40_000, 0)]
+    rows += [(902, 0, "human", "h", 0), (902, 1, "gpt", "g", 0), (-1, 0, "user", "</s>[INST] ok [/INST]", 0), (-1, 1, "assistant", "</s>[INST] ok [/INST]", 0), (900, 0, None, None, 0), (None, 1, "assistant", "b", 0), (None, 1, "assistant", "a", 0), (901, 0, "assistant", "long " * 40_000, 0)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
     got = C.format_chats(df).select("conv_id", "formatted", C.read_back(F.col("formatted")).alias("turns"), C.loss_text(F.col("formatted"), F.col("loss")).alias("loss")).collect()
     want = {}
     for c, t, role, text, _ in rows:
         role = role or ""
-        want.setdefault(c, []).append((t, C.ROLES.get(role.lower(), role), text or ""))
+        want.setdefault(c, []).append((t, role, text or ""))
     assert len(got) == len(want)
     for x in got:
         turns = [(a, b) for _, a, b in sorted(want[x.conv_id])]
@@ -64,3 +64,19 @@ def test_typed_tables(spark):
     assert C.format_chats(df).first().formatted == fmt([("user", "q"), ("assistant", "")])
     df = spark.createDataFrame([(1, "p", "r"), (2, None, "r")], "conv_id long, prompt string, response string")
     assert [x.formatted for x in C.format_chats(df).orderBy("conv_id").collect()] == [fmt([("user", "p"), ("assistant", "r")]), fmt([("user", ""), ("assistant", "r")])]
+
+
+def test_very_many_turns(spark):
+    n = 6000
+    rows = [(1, k, ["user", "assistant"][k % 2], f"é {k} \\ </s>") for k in range(n)]
+    x = C.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select("formatted", C.loss_text(F.col("formatted"), F.col("loss")).alias("loss")).first()
+    assert x.formatted == fmt([(r, t) for _, _, r, t in rows]) and x.loss == "".join(t for _, _, r, t in rows if r == "assistant")
+
+
+def test_the_query_over_mixed_layouts(spark, tmp_path):
+    from plumbline.llm import queries as Q
+
+    rows = [(c, k, ["user", "assistant", "system"][k % 3], f"t{c} {k}" if k else None) for c in range(40) for k in range(c % 5 + 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    mixed = sorted(map(tuple, Q.chat_layouts(spark, str(tmp_path)).collect()))
+    assert mixed == sorted(tuple(r) for r in Q.op10_chat_format(spark, str(tmp_path)).collect() if r.conv_id >= 0) and len(mixed) == 40
