@@ -19,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._tok import encoder, groups
+from plumbline.llm import _text as T
+from plumbline.llm._tok import encoder
 from plumbline.store import arrow_bytes, stash
 
 #: Pieces of a bucket, about; the gap that a sequence may keep; levels at most.
@@ -62,21 +63,22 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
     def run(batches):
         enc = encoder(tokenizer)
         row = TaskContext.get().partitionId() << 33
-        end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            at = iter(batch.column(0).to_pylist())
-            for some in groups(batch.column(1)):
-                cols = [[] for _ in range(7)]
-                for b in enc.encode(some):
-                    key, b = next(at), b + end
-                    n = len(b) // 4
+            names, at = batch.column(0).to_pylist(), 0
+            for ids, ends in enc.encode_texts(*T.buffers(batch.column(1))):
+                raw = np.insert(ids, ends, end_id).tobytes()
+                cols, begin = [[] for _ in range(7)], 0
+                for key, stop in zip(names[at : at + len(ends)], (ends + np.arange(1, len(ends) + 1)).tolist(), strict=True):
+                    n = stop - begin
                     first = n if n <= capacity else n % capacity or capacity
                     cuts = [0, *range(first, n + 1, capacity)]
                     for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                        p = b[4 * i : 4 * j]
+                        p = raw[4 * (begin + i) : 4 * (begin + j)]
                         for c, v in zip(cols, (row, key, k, i, j - i, zlib.crc32(p), p), strict=True):
                             c.append(v)
                         row += 1
+                    begin = stop
+                at += len(ends)
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 

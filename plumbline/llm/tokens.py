@@ -35,7 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm._tok import encoder, groups
+from plumbline.llm import _text as T
+from plumbline.llm._tok import encoder
 from plumbline.store import arrow_bytes
 
 HEAD = struct.Struct("<4sHHQQq")
@@ -71,11 +72,9 @@ def unpack(bits, width: int, start: int, stop: int) -> np.ndarray:
     return b.reshape(-1, width) @ (np.uint32(1) << np.arange(width, dtype=np.uint32))
 
 
-def write_block(keys: list[int], ids: list[bytes], width: int, before: int) -> bytes:
-    """A block from the keys and the little-endian 32-bit ids of its documents."""
-    flat = np.frombuffer(b"".join(ids), np.uint32)
-    ends = np.cumsum([len(b) // 4 for b in ids], dtype=np.int64)
-    return HEAD.pack(b"PLTB", 1, width, len(keys), len(flat), before) + np.array(keys, np.int64).tobytes() + ends.tobytes() + pack(flat, width)
+def write_block(keys: list[int], ids: np.ndarray, ends: np.ndarray, width: int, before: int) -> bytes:
+    """A block from its documents' keys, all their ids, and where each document's end in these."""
+    return HEAD.pack(b"PLTB", 1, width, len(keys), len(ids), before) + np.array(keys, np.int64).tobytes() + np.asarray(ends, np.int64).tobytes() + pack(ids, width)
 
 
 class Block:
@@ -97,24 +96,28 @@ def _writer(tokenizer: str, end_id: int, vocabulary: int | None):
     def run(batches):
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
         width = width_of(vocabulary or max(enc.size, end_id + 1))
-        end = struct.pack("<I", end_id)
-        keys, ids, size, before, k = [], [], 0, 0, 0
+        keys, ids, ends, size, before, k = [], [], [], 0, 0, 0
 
         def block():
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([k], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([size], pa.int64()), pa.array([write_block(keys, ids, width, before)], pa.binary())], ["shard", "block", "documents", "ids", "bytes"])
+            raw = write_block(keys, np.concatenate(ids), np.concatenate(ends), width, before)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([k], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([size], pa.int64()), pa.array([raw], pa.binary())], ["shard", "block", "documents", "ids", "bytes"])
 
         for batch in batches:
-            at = iter(batch.column(0).to_pylist())
-            for some in groups(batch.column(1)):
-                for b in enc.encode(some):
-                    key = next(at)
-                    keys.append(NULL_KEY if key is None else key)
-                    ids.append(b + end)
-                    size += len(b) // 4 + 1
+            names, at = batch.column(0).to_pylist(), 0
+            for some, stop in enc.encode_texts(*T.buffers(batch.column(1))):
+                some, stop = np.insert(some, stop, end_id), stop + np.arange(1, len(stop) + 1)
+                d = begin = 0
+                while d < len(stop):  # documents up to that which fills a block
+                    e = min(int(np.searchsorted(stop, begin + BLOCK - size)) + 1, len(stop))
+                    keys += [NULL_KEY if key is None else key for key in names[at + d : at + e]]
+                    ids.append(some[begin : stop[e - 1]])
+                    ends.append(stop[d:e] - begin + size)
+                    size, begin, d = size + len(ids[-1]), int(stop[e - 1]), e
                     if size >= BLOCK:
                         yield block()
                         before, k = before + size, k + 1
-                        keys, ids, size = [], [], 0
+                        keys, ids, ends, size = [], [], [], 0
+                at += len(stop)
         if keys:
             yield block()
 

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from plumbline.llm import _text as T
 from plumbline.llm import _tok
 from plumbline.llm import tokens as K
 from plumbline.llm._tok import Encoder
@@ -45,12 +46,26 @@ def test_encoder_on_letters_before_punctuation(name):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_long_texts_in_segments(name, monkeypatch):
     monkeypatch.setattr(_tok, "SEGMENT", 20)
+    monkeypatch.setattr(T, "SLICE", 15)
     path = public_tokenizers.path(name)
     r = random.Random(8)
     texts = ["".join(r.choices(["word", "İa.", "don't", "é", "日本", "12", " ", " ", " ", "\n", "  ", "\t", "<|endoftext|>", "Σ", "_"], k=r.randint(0, 90))) for _ in range(400)]
     tok, enc = Tokenizer.from_file(path), Encoder(path)
     want = [np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
     assert enc.encode(texts) == want and max(len(enc._segments(t)) for t in texts) > 5
+    plain = [" ".join(t.split()) for t in texts]
+    assert enc.encode(plain) == [np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(plain, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_full_table_begins_anew(name):
+    path = public_tokenizers.path(name)
+    tok, enc = Tokenizer.from_file(path), Encoder(path)
+    enc.table = _tok._Table(300)
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(900)}" for _ in range(r.randint(0, 60))) for _ in range(300)] + ["long" * 90 + " a " + "long" * 90, "x" * 300 + "\n" + "x" * 300]
+    want = [np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert sum([enc.encode(texts[k : k + 5]) for k in range(0, len(texts), 5)], []) == want and enc.encode(texts) == want
 
 
 @settings(deadline=None, max_examples=200)
