@@ -4,10 +4,11 @@ A word's place in a tree of classes has a digit for each level, and
 P(word | history) is the product over levels of P(digit | digits before it,
 history).  Each factor is a softmax over weights found by hashing features of
 the history (the last word, the last two, and, skipping one, the word before
-the last) with the node.  The end of a text is a leaf of the root; frequent
-words are two levels deep; the rest of the vocabulary is below one class of
-the root, as deep as their number needs.  A word outside the vocabulary is a
-leaf there too, and has its add-one share of what training saw outside.
+the last; below the second level the last word alone) with the node.  The end
+of a text is a leaf of the root; frequent words are two levels deep; the rest
+of the vocabulary is below one class of the root, as deep as their number
+needs.  A word outside the vocabulary is a leaf there too, and has its add-one
+share of what training saw outside.
 
 Counts come first: exact, in packed buckets of the hash space.  The vocabulary
 and the tables of weights grow with what was counted.  Then the documents are
@@ -40,8 +41,8 @@ WIDTH, REST, STOP, FIRST = 32, 0, 1, 2
 #: Words of the two upper levels.
 FREQUENT = (WIDTH - FIRST) * WIDTH
 #: Words of the vocabulary, the square root of this much per training token: at least, at most.
-WORDS_LEAST, WORDS_MOST, WORDS_PER = 1 << 15, 1 << 20, 64
-#: log2 of the rows of the root's weights for 2**22 tokens, more for each eightfold, at most; the other nodes share four times as many.
+WORDS_LEAST, WORDS_MOST, WORDS_PER = 1 << 13, 1 << 20, 8
+#: log2 of the rows of the root's weights for 2**22 tokens, more for each eightfold, at most; the other nodes share twice as many.
 ROWS, ROWS_MOST = 13, 18
 #: Tokens of a minibatch, rounds, step size.
 BATCH, ROUNDS, STEP = 8192, 2, 0.15
@@ -147,7 +148,7 @@ class Model:
     def __init__(self, vocabulary: Vocabulary):
         self.v = v = vocabulary
         self.levels = depth(len(v.common))
-        self.bits = (v.rows, v.rows + 2)
+        self.bits = (v.rows, v.rows + 1)
         self.outer = np.zeros((1 << self.bits[0], WIDTH), np.float32)
         self.inner = np.zeros((1 << self.bits[1], WIDTH), np.float32)
         known = v.counts[np.argsort(v.codes)]
@@ -177,38 +178,51 @@ class Model:
         return logits
 
     def probabilities(self, one, two, codes):
-        """For the root, then all further steps together: (places in codes, P of all slots, slot, rows used)."""
+        """For the root, the level below, and all further levels: (table, places in codes, P of all slots, slot, rows used)."""
         root, steps = paths(codes, self.levels)
         features = self.rows(one, two)
-        f = [(x >> np.uint64(64 - self.bits[0])).astype(np.uint32) for x in features]
-        p = self.softmax(self.outer[f[0]] + self.outer[f[1]] + self.outer[f[2]] + self.outer_bias)
-        at, node, slot = (np.concatenate([s[k] for s in steps]) for k in range(3))
-        c = (node.astype(np.uint64) + np.uint64(1)) * _SALT[0]
-        g = [(T.mix(x[at] + c) >> np.uint64(64 - self.bits[1])).astype(np.uint32) for x in features]
-        q = self.softmax(self.inner[g[0]] + self.inner[g[1]] + self.inner[g[2]] + self.inner_bias[node])
-        return (np.arange(len(codes)), p, root, f), (at, q, slot, g)
+        f = [self._top(x, 0) for x in features]
+        yield 0, np.arange(len(codes)), self._softmax(self.outer, f, self.outer_bias), root, f
+        for some, use in ((steps[:1], features), (steps[1:], features[:1])):
+            at, node, slot = (np.concatenate([s[k] for s in some]) for k in range(3)) if some else [np.zeros(0, np.int64)] * 3
+            if len(at):
+                c = (node.astype(np.uint64) + np.uint64(1)) * _SALT[0]
+                g = [self._top(T.mix(x[at] + c), 1) for x in use]
+                yield 1, at, self._softmax(self.inner, g, self.inner_bias[node]), slot, g
+
+    def _top(self, h: np.ndarray, table: int) -> np.ndarray:
+        """The row that a hash names; 16 bits where they are enough, as these sort faster."""
+        return (h >> np.uint64(64 - self.bits[table])).astype(np.uint16 if self.bits[table] <= 16 else np.uint32)
+
+    def _softmax(self, w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+        x = w[rows[0]]
+        for r in rows[1:]:
+            x += w[r]
+        x += bias
+        return self.softmax(x)
 
     def log10(self, one, two, codes) -> np.ndarray:
         """log10 of the probability of each code after its history."""
         out = np.zeros(len(codes))
         for a in range(0, len(codes), BATCH):
             s = slice(a, a + BATCH)
-            for at, p, slot, _ in self.probabilities(one[s], two[s], codes[s]):
+            for _, at, p, slot, _ in self.probabilities(one[s], two[s], codes[s]):
                 out[s] += np.bincount(at, np.log10(np.maximum(p[np.arange(len(at)), slot], 1e-30)), minlength=len(out[s]))
         return out
 
 
 def _step(w: np.ndarray, power: np.ndarray, met: np.ndarray, rows: list[np.ndarray], slope: np.ndarray) -> None:
-    """One update of all rows of a minibatch, each with a step that shrinks with its past slopes."""
-    r = np.concatenate(rows)
-    o = np.argsort(r, kind="stable")
-    r = r[o]
-    cut = np.flatnonzero(np.diff(r.astype(np.int64), prepend=-1))
-    g = np.add.reduceat(slope[o % len(slope)], cut, axis=0)
-    at = r[cut]
-    power[at] += (g * g).mean(axis=1)
-    w[at] -= (STEP / np.sqrt(power[at]))[:, None] * g
-    met[at] += np.diff(np.append(cut, len(r)))
+    """An update of all rows of a minibatch by each feature, each row with a step that shrinks with its past slopes."""
+    for r in rows:
+        o = np.argsort(r, kind="stable")
+        r = r[o]
+        cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        g = np.add.reduceat(slope[o], cut, axis=0)
+        at = r[cut]
+        power[at] += np.einsum("ij,ij->i", g, g) / WIDTH
+        g *= (STEP / np.sqrt(power[at]))[:, None]
+        w[at] -= g
+        met[at] += np.diff(np.append(cut, len(r)))
 
 
 CHANGED = "part int, task int, change binary, met binary"
@@ -229,10 +243,9 @@ def _train(sent):
                 _, codes = m.v.look(e)
                 for a in range(0, len(e), BATCH):
                     s = slice(a, a + BATCH)
-                    for k, (at, p, slot, rows) in enumerate(m.probabilities(one[s], two[s], codes[s])):
-                        if len(at):
-                            p[np.arange(len(at)), slot] -= 1
-                            _step(tables[k], power[k], met[k], rows, p)
+                    for k, at, p, slot, rows in m.probabilities(one[s], two[s], codes[s]):
+                        p[np.arange(len(at)), slot] -= 1
+                        _step(tables[k], power[k], met[k], rows, p)
         if not met[0].any():
             return
         task = TaskContext.get().partitionId()
