@@ -152,42 +152,47 @@ def cotext(text: Column, least: int = 25) -> Column:
     return F.when(F.char_length(t) >= least, t)
 
 
-def stylometry(text: Column) -> dict[str, Column]:
-    """The 22 measures of a text by name, all doubles; all 0 for a text without words."""
+def stylometry(text: Column) -> Column:
+    """A struct of the 22 measures of a text, all doubles; all 0 for a text without words.
+
+    Words, sentences and the lower case are found once, as arguments of a
+    lambda; take the struct as a column first and its fields from that.
+    """
     t = F.coalesce(text, F.lit(""))
-    w = words(t)
-    n, k = F.size(w), F.char_length(t).cast("double")
-    lens = F.transform(w, lambda x: F.char_length(x).cast("double"))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     sents = F.filter(F.split(t, r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s", " ")) != "")
-    slen = F.transform(sents, lambda s: F.size(words(s)).cast("double"))
-    m = F.greatest(F.size(sents), F.lit(1))
-    smean = total(slen) / m
+    have = F.struct(t.alias("t"), F.lower(t).alias("low"), words(t).alias("w"), F.transform(sents, lambda s: F.size(words(s)).cast("double")).alias("slen"))
+    return F.transform(F.array(have), _measures)[0]
+
+
+def _measures(x: Column) -> Column:
+    t, low, w, slen = x["t"], x["low"], x["w"], x["slen"]
+    n, k, m = F.size(w), F.char_length(t).cast("double"), F.greatest(F.size(slen), F.lit(1))
+    lens = F.transform(w, lambda v: F.char_length(v).cast("double"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
     def std(a, c):
         zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
 
-        def step(s, x):  # running mean and sum of squared deviations
-            n, d = s["n"] + 1, x - s["m"]
+        def step(s, v):  # running mean and sum of squared deviations
+            n, d = s["n"] + 1, v - s["m"]
             m = s["m"] + d / n
-            return F.struct(n.alias("n"), m.alias("m"), (s["q"] + d * (x - m)).alias("q"))
+            return F.struct(n.alias("n"), m.alias("m"), (s["q"] + d * (v - m)).alias("q"))
 
         return F.sqrt(F.aggregate(a, zero, step)["q"] / c)
 
     share = lambda pattern: (k - F.char_length(F.regexp_replace(t, pattern, ""))) / k
-    low = F.lower(t)
     count = lambda lex: F.size(F.filter(F.array(*map(F.lit, lex)), lambda p: F.contains(low, p)))
     found = lambda p: F.size(F.regexp_extract_all(t, F.lit(p), F.lit(0)))
     out = {
-        "n_chars": k, "n_words": n, "mean_word_len": total(lens) / n, "std_word_len": std(lens, n), "n_sentences": F.size(sents), "mean_sentence_len": n / m,
-        "sentence_len_cv": F.when(F.size(sents) > 0, std(slen, m) / F.greatest(smean, F.lit(1e-6))).otherwise(0.0),
-        "type_token_ratio": F.size(F.array_distinct(F.transform(w, F.lower))) / n, "function_word_ratio": F.size(F.filter(w, lambda x: F.lower(x).isin(FUNCTION_WORDS))) / n,
+        "n_chars": k, "n_words": n, "mean_word_len": total(lens) / n, "std_word_len": std(lens, n), "n_sentences": F.size(slen), "mean_sentence_len": n / m,
+        "sentence_len_cv": F.when(F.size(slen) > 0, std(slen, m) / F.greatest(total(slen) / m, F.lit(1e-6))).otherwise(0.0),
+        "type_token_ratio": F.size(F.array_distinct(F.transform(w, F.lower))) / n, "function_word_ratio": F.size(F.filter(w, lambda v: F.lower(v).isin(FUNCTION_WORDS))) / n,
         "punct_ratio": share(r"[.,;:!?\-'\"()]"), "uppercase_ratio": share(r"\p{Lu}"), "digit_ratio": share(r"\p{Nd}"), "emoji_ratio": share(r"\p{So}"),
         "exclaim_count": found("!"), "question_count": found(r"\?"), "n_hashtags": found(HASHTAG_RE), "n_mentions": found(MENTION_RE), "n_urls": found(URL_RE),
         "has_newline": F.contains(t, F.lit("\n")).cast("int"), "llm_tell_count": count(LLM_TELLS), "injection_tell_count": count(INJECTION_TELLS),
         "imperative_start": F.coalesce(F.lower(F.try_element_at(w, F.lit(1))).isin(IMPERATIVES), F.lit(False)).cast("int"),
     }
-    return {name: F.when(n > 0, c.cast("double")).otherwise(F.lit(0.0)).alias(name) for name, c in out.items()}
+    return F.struct(*(F.when(n > 0, c.cast("double")).otherwise(F.lit(0.0)).alias(name) for name, c in out.items()))
 
 
 def binary_label(value: Column, extra: list[str] | None = None) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import char_ngrams, normalise
 from plumbline.operators.components import connected_components
-from plumbline.operators.dedup import near_pairs
+from plumbline.operators.dedup import near_links
 from plumbline.store import stash
 
 
@@ -26,8 +26,8 @@ def duplication(posts: DataFrame, norm: Column | None = None, near: float | None
         per = stash(per, "reuse")
         texts = per.groupBy("t").agg(F.min("norm").alias("norm")).withColumn("g", F.md5(F.array_join(F.array_sort(char_ngrams(F.col("norm"))), "\x1f")))
         texts = stash(texts, "texts")  # g: equal gram sets are one text
-        pairs = near_pairs(texts.groupBy("g").agg(F.min("norm").alias("norm")), "g", "norm", near)
-        group = texts.select("t", "g").join(connected_components(pairs, "a", "b"), F.col("g") == F.col("node"), "left").select("t", F.coalesce("component", "g").alias("group"))
+        links = near_links(texts.groupBy("g").agg(F.min("norm").alias("norm")), "g", "norm", near)
+        group = texts.select("t", "g").join(connected_components(links, "a", "b"), F.col("g") == F.col("node"), "left").select("t", F.coalesce("component", "g").alias("group"))
         per = per.join(group, "t").groupBy(F.col("group").alias("t"), "user_id").agg(F.sum("c").alias("c"))
     users = per.groupBy("t").agg(F.count("*").alias("u"))
     j = per.join(users, "t")

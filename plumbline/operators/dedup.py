@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import char_ngrams
+from plumbline.operators.components import connected_components
 from plumbline.operators.relational import keep_first
+from plumbline.operators.skew import spread_join
 from plumbline.store import stash
 
 
@@ -18,24 +20,53 @@ def exact_dedupe(df: DataFrame, key: str, text: str) -> DataFrame:
     return keep_first(df, [F.md5(norm)], [key])
 
 
+def _signed(df: DataFrame, key: str, text: str, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """((id, g) of one row for each set of hashed character 5-grams, by its least key; (id, band, h) of its MinHash bands)."""
+    g = df.select(F.col(key).alias("id"), F.array_sort(F.transform(char_ngrams(F.col(text)), lambda x: F.xxhash64(x))).alias("g")).where(F.size("g") > 0)
+    one = stash(g.groupBy(F.xxhash64("g").alias("p"), F.size("g").alias("n")).agg(F.min(F.struct("id", "g")).alias("x")).select("x.*"), "grams")
+    n = bands * rows
+    least = one.select("id", F.explode("g").alias("x")).groupBy("id").agg(*(F.min(F.xxhash64(F.lit(k), "x")).alias(f"m{k}") for k in range(n)))
+    hashed = F.array(*(F.xxhash64(*(F.col(f"m{b * rows + r}") for r in range(rows))) for b in range(bands)))
+    return one, stash(least.select("id", F.posexplode(hashed).alias("band", "h")), "bands")
+
+
+def _near(pairs: DataFrame, one: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of those pairs whose sets overlap so much."""
+    j = pairs.join(one.toDF("a", "ga"), "a").join(one.toDF("b", "gb"), "b")
+    s = F.size(F.array_intersect("ga", "gb"))
+    return j.select("a", "b", (s / (F.size("ga") + F.size("gb") - s)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
 def near_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.85, bands: int = 16, rows: int = 4) -> DataFrame:
     """(a, b, jaccard), a < b: texts whose character 5-gram sets overlap so much, candidates by banded MinHash.
 
-    Equal gram sets are one row first, so copies don't multiply candidates.
+    Equal gram sets are one row first, so copies don't multiply candidates;
+    the candidates of a hot band are dealt to several tasks.
     """
-    g = df.select(F.col(key).alias("id"), F.array_sort(char_ngrams(F.col(text))).alias("g")).where(F.size("g") > 0)
-    one = stash(g.groupBy("g").agg(F.min("id").alias("id")), "grams")
-    sig = F.array(*(F.array_min(F.transform("g", _seeded(s))) for s in range(bands * rows)))
-    band = one.select("id", sig.alias("m")).select("id", F.posexplode(F.array(*(F.xxhash64(*(F.col("m")[b * rows + r] for r in range(rows))) for b in range(bands)))).alias("band", "h"))
-    x, y = band.withColumnRenamed("id", "a"), band.withColumnRenamed("id", "b")
-    cand = x.join(y, ["band", "h"]).where("a < b").select("a", "b").distinct()
-    j = cand.join(one.toDF("ga", "a"), "a").join(one.toDF("gb", "b"), "b")
-    s = F.size(F.array_intersect("ga", "gb"))
-    return j.select("a", "b", (s / (F.size("ga") + F.size("gb") - s)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    one, band = _signed(df, key, text, bands, rows)
+    cand = spread_join(band.withColumnRenamed("id", "a"), band.withColumnRenamed("id", "b"), ["band", "h"], F.col("a")).where("a < b").select("a", "b").distinct()
+    return _near(cand, one, threshold)
 
 
-def _seeded(seed: int):
-    return lambda x: F.xxhash64(F.lit(seed), x)
+def near_links(df: DataFrame, key: str, text: str, threshold: float = 0.85, bands: int = 16, rows: int = 4) -> DataFrame:
+    """(a, b): links with the same components as those of :func:`near_pairs`, without all pairs of a band.
+
+    Members of a band are compared with its least one; bands that then still
+    touch several components have just the pairs across these compared.
+    """
+    one, band = _signed(df, key, text, bands, rows)
+    on = ["band", "h"]
+    pivots = stash(band.groupBy(*on).agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1"), "pivots")
+    first = spread_join(band, pivots.drop("c"), on, F.col("id"), counts=pivots.select(*on, "c")).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    links = stash(_near(first, one, threshold).select("a", "b"), "links")
+    part = connected_components(links, "a", "b").withColumnRenamed("node", "id")
+    at = band.join(pivots.select(*on), on, "left_semi").join(part, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    some = at.groupBy(*on, "part").agg(F.count("*").alias("c")).groupBy(*on).agg(F.max(F.struct("c", "part"))["part"].alias("major"), F.count("*").alias("parts")).where("parts > 1")
+    at = stash(at.join(some.drop("parts"), on), "mixed")
+    x, y = (at.select(*on, F.col("id").alias("id" + s), F.col("part").alias("part" + s), (F.col("part") == F.col("major")).alias("most" + s)) for s in "xy")
+    cross = spread_join(x.where("not mostx"), y, on, F.col("idx")).where((F.col("partx") != F.col("party")) & (F.col("mosty") | (F.col("idx") > F.col("idy"))))
+    more = cross.select(F.greatest("idx", "idy").alias("a"), F.least("idx", "idy").alias("b")).distinct()
+    return links.union(_near(more, one, threshold).select("a", "b"))
 
 
 def near_dedupe(df: DataFrame, key: str, text: str, threshold: float = 0.85, rounds: int | None = None) -> DataFrame:

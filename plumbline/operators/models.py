@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.structure import EXACT, SAMPLE
+
 
 def _probability(df: DataFrame) -> DataFrame:
     return df.withColumn("model_score", vector_to_array("probability")[1])
@@ -69,7 +72,11 @@ def propagate(edges: DataFrame, features: DataFrame, columns: list[str], hops: i
 
 
 def betweenness(edges: DataFrame, network: str) -> DataFrame:
-    """(network, user_id, betweenness) of each network on its own, exact; a network is a submission of bounded size and one group."""
+    """(network, user_id, betweenness) of each network on its own; a network is a submission of bounded size and one group.
+
+    Beyond EXACT accounts paths are counted from SAMPLE of them, by a hash, and
+    scaled up; for one network of any size see structure.betweenness.
+    """
 
     def brandes(pdf: pd.DataFrame) -> pd.DataFrame:
         from collections import deque
@@ -79,7 +86,8 @@ def betweenness(edges: DataFrame, network: str) -> DataFrame:
         for s, t in set(zip(pdf["source"], pdf["target"], strict=True)):
             near.setdefault(s, []).append(t)
         total = dict.fromkeys(nodes, 0.0)
-        for root in nodes:
+        roots = sorted(nodes) if len(nodes) <= EXACT else sorted(nodes, key=lambda x: (hashlib.md5(f"42:{x}".encode()).hexdigest(), x))[:SAMPLE]
+        for root in roots:
             order, back, paths, dist = [], {}, {root: 1.0}, {root: 0}
             queue = deque([root])
             while queue:
@@ -99,8 +107,39 @@ def betweenness(edges: DataFrame, network: str) -> DataFrame:
                 if w != root:
                     total[w] += share[w]
         n = len(nodes)
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+        scale = n / len(roots) / ((n - 1) * (n - 2)) if n > 2 else 0.0
         return pd.DataFrame({"network": [pdf["network"].iloc[0]] * n, "user_id": list(total), "betweenness": [x * scale for x in total.values()]})
 
     e = edges.select(F.col(network).cast("string").alias("network"), "source", "target")
     return e.groupBy("network").applyInPandas(brandes, "network string, user_id long, betweenness double")
+
+
+def stacked(train: DataFrame, columns: list[str], label: str = "label"):
+    """Logistic regression over other models' scores, both classes weighing the same."""
+    n = train.where(F.col(label).isNotNull()).groupBy(label).agg((1.0 / F.count("*")).alias("_w"))  # two rows
+    return feature_model(train.join(F.broadcast(n), label), columns, "logistic", label, "_w")
+
+
+def calibrated(fitted: DataFrame, df: DataFrame, score: str = "score", label: str = "label", kind: str = "sigmoid") -> DataFrame:
+    """df with calibrated: the share of label 1 at each score, learnt from fitted by a logistic curve or monotone steps."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    if kind == "sigmoid":
+        model = feature_model(fitted, [score], "logistic", label)
+        return scores(model, df).withColumnRenamed("model_score", "calibrated")
+    x = VectorAssembler(inputCols=[score], outputCol="_x")
+    model = IsotonicRegression(featuresCol="_x", labelCol=label, predictionCol="calibrated").fit(x.transform(fitted))
+    return model.transform(x.transform(df)).select(*df.columns, "calibrated")
+
+
+def length_baseline(train: DataFrame, df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
+    """df with model_score from the text's length alone: what any text model must beat."""
+    long = lambda d: d.withColumn("_n", F.log1p(F.char_length(F.coalesce(text, F.lit(""))).cast("double")))
+    return scores(feature_model(long(train), ["_n"], "logistic", label), long(df)).drop("_n")
+
+
+def random_baseline(train: DataFrame, df: DataFrame, key: str, label: str = "label", seed: int = 42) -> DataFrame:
+    """df with a drawn prediction: 1 as often as in train."""
+    share = train.agg(F.coalesce(F.avg(F.col(label).cast("double")), F.lit(0.0)).alias("_p"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return df.join(F.broadcast(share)).withColumn("prediction", (u < F.col("_p")).cast("int")).drop("_p")  # one row

@@ -120,3 +120,50 @@ def integrity(nodes: DataFrame, edges: DataFrame, posts: DataFrame) -> DataFrame
     ends2 = edges.join(ids.toDF("target"), "target", "left_anti").agg(F.count("*").alias("n")).select(F.lit("dangling_target"), "n")
     lost = posts.join(ids, "user_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("dangling_post"), "n")
     return dup.union(ends).union(ends2).union(lost)
+
+
+#: The most accounts, edges and posts of one submission.
+LIMITS = {"nodes": 10_000, "edges": 100_000, "posts": 100_000}
+
+
+def size_check(nodes: DataFrame, edges: DataFrame, posts: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """(part, n, most, ok) of a submission's three tables."""
+    limits, out = limits or LIMITS, None
+    for name, df in (("nodes", nodes), ("edges", edges), ("posts", posts)):
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n", F.lit(limits[name]).cast("long").alias("most"), (F.col("n") <= limits[name]).alias("ok"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def join_once(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with what right has for its keys, numbers it lacks being 0; a key that either has twice is an error."""
+    for df in (left, right):
+        if not df.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+            raise ValueError(f"keys {', '.join(keys)} repeat")
+    more = [c for c, t in right.dtypes if c not in keys and t in ("double", "float", "int", "bigint", "tinyint", "smallint")]
+    return left.join(right, keys, "left").fillna(0, more)
+
+
+def crossing_rate(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row (n, crossing, rate): rows whose two labels differ."""
+    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    one = d.agg(F.count("*").alias("n"), F.count_if(F.col(a) != F.col(b)).alias("crossing"))
+    return one.withColumn("rate", F.coalesce(F.try_divide("crossing", "n"), F.lit(0.0)))
+
+
+def length_alarm(df: DataFrame, label: str, length: str, most: float = 1.75) -> DataFrame:
+    """One row (ratio, alarm): the largest over the smallest mean length of a class; so large a ratio lets a model read length alone."""
+    m = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.avg(length).alias("m")).agg(F.max("m").alias("a"), F.min("m").alias("b"))
+    return m.select(F.try_divide("a", "b").alias("ratio")).withColumn("alarm", F.coalesce(F.col("ratio") >= most, F.lit(False)))
+
+
+def truth_counts(df: DataFrame, group: str, truth: str) -> DataFrame:
+    """(group, size, truth_counts map): members of each group by what they truly are, unknown ones left out of the map."""
+    per = df.groupBy(group, F.col(truth).cast("string").alias("_t")).agg(F.count("*").alias("c"))
+    known = F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct(F.col("_t").alias("k"), F.col("c").alias("v")))))
+    return per.groupBy(group).agg(F.sum("c").alias("size"), F.map_from_entries(known).alias("truth_counts"))
+
+
+def label_shares(df: DataFrame, split: str, label: str) -> DataFrame:
+    """(split, n, positive_share): whether a split by groups kept the labels' balance."""
+    return df.groupBy(split).agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("positive_share"))

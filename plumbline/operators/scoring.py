@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import payload_alerts
+
 #: Decision floors, fixed by the measures' definitions.
 SYNCHRONY, DUPLICATION, RECIPROCITY, SWARM, BURSTY, FOLLOW_RATIO = 0.35, 0.30, 0.50, 2, 0.30, -1.5
 #: Output name, aggregate, feature.
@@ -82,23 +84,33 @@ def says(text: Column, phrases: list[str]) -> Column:
     return F.coalesce(F.lit(False) if not phrases else F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(text, p)), F.lit(False))
 
 
-def attack_profile(posts: DataFrame, edges: DataFrame, metrics: DataFrame, architecture: DataFrame, alerts: int = 0) -> DataFrame:
-    """One row (attack_profile).  Each group of phrases is looked for post by post and folded to a flag: texts are never joined up."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    flags = posts.agg(*(F.coalesce(F.bool_or(says(low, p)), F.lit(False)).alias(n) for n, p in (("protocol", PROTOCOL), ("relay", RELAY), ("silence", SILENCING), ("direct", DIRECT))))
-    replies = edges.agg(F.count_if(F.col("relation") == "replied_to").alias("replies"))
-    one = architecture.join(F.broadcast(metrics)).join(F.broadcast(flags)).join(F.broadcast(replies))  # single rows
-    fed = F.col("network_architecture") == "decentralized_federated"
-    return one.select(
-        F.when(fed & F.col("protocol"), "A2A/MCP Protocol Discovery Spoof").when(fed & (F.col("relay") | F.lit(alerts > 0)), "Distributed Relay Prompt Injection")
+def phrase_flags(text: Column) -> dict[str, Column]:
+    """Whether a text has a phrase of each group."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return {n: says(low, p) for n, p in (("protocol", PROTOCOL), ("relay", RELAY), ("silence", SILENCING), ("direct", DIRECT))}
+
+
+def profile(federated: Column, alerts: Column) -> Column:
+    """The attack profile of a row with protocol, relay, silence, direct, hashtag_overlap, peak_synchrony and replies; the first rule that holds."""
+    fed, warned = federated, alerts > 0
+    return (
+        F.when(fed & F.col("protocol"), "A2A/MCP Protocol Discovery Spoof").when(fed & (F.col("relay") | warned), "Distributed Relay Prompt Injection")
         .when(fed & F.col("silence"), "Federation Moderation Bypass").when(fed, "Cross-Instance Sybil Bridge Attack")
-        .when(F.lit(alerts > 0) | F.col("direct"), "Direct Prompt Injection").when((F.col("hashtag_overlap") >= 0.35) | (F.col("peak_synchrony") >= 0.50), "Synchronized Hashtag Flood")
-        .when(F.col("replies") >= 5, "Central Hub Reply-Hijack").otherwise("Algorithmic Retweet Ring").alias("attack_profile")
+        .when(warned | F.col("direct"), "Direct Prompt Injection").when((F.col("hashtag_overlap") >= 0.35) | (F.col("peak_synchrony") >= 0.50), "Synchronized Hashtag Flood")
+        .when(F.col("replies") >= 5, "Central Hub Reply-Hijack").otherwise("Algorithmic Retweet Ring")
     )
 
 
+def attack_profile(posts: DataFrame, edges: DataFrame, metrics: DataFrame, architecture: DataFrame) -> DataFrame:
+    """One row (attack_profile, payload_alerts).  Each group of phrases is looked for post by post and folded to a flag: texts are never joined up."""
+    flags = posts.agg(*(F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in phrase_flags(F.col("text")).items()), F.coalesce(F.sum(F.size(payload_alerts(F.col("text")))), F.lit(0)).alias("payload_alerts"))
+    replies = edges.agg(F.count_if(F.col("relation") == "replied_to").alias("replies"))
+    one = architecture.join(F.broadcast(metrics)).join(F.broadcast(flags)).join(F.broadcast(replies))  # single rows
+    return one.select(profile(F.col("network_architecture") == "decentralized_federated", F.col("payload_alerts")).alias("attack_profile"), "payload_alerts")
+
+
 def suspicious_edges(edges: DataFrame, flagged: DataFrame) -> DataFrame:
-    """Edges whose two ends are both flagged accounts."""
+    """Edges whose two ends are both among the accounts, such as those coordinated and those a model flagged, one under the other."""
     f = flagged.select("user_id").distinct()
     return edges.join(f.toDF("source"), "source", "left_semi").join(f.toDF("target"), "target", "left_semi").select(*edges.columns)
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.store import stash
+
+#: Accounts up to which betweenness is exact; accounts from which it is estimated beyond.
+EXACT, SAMPLE = 400, 100
+
 
 def finalise_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges between known accounts, without self-loops, once for each (source, target, relation), with is_cross_instance."""
@@ -69,14 +74,61 @@ def domain_entropy(nodes: DataFrame) -> DataFrame:
     return t.select(F.when(F.col("k") > 1, F.greatest(e, F.lit(0.0))).otherwise(0.0).alias("entropy"), F.col("k").alias("n_domains"), F.coalesce("n", F.lit(0)).alias("n_nodes"))
 
 
+def betweenness(edges: DataFrame, nodes: DataFrame, exact: int = EXACT, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """(user_id, betweenness) of every account in the directed graph of distinct ties.
+
+    Shortest paths are counted outward from all roots at once, a join a level,
+    and the shares of paths through an account added up inward, level by
+    level, so no task holds a graph.  With more than `exact` accounts the roots
+    are the first `sample` in seeded order, and the sums scaled up.
+    """
+    n = nodes.count()
+    ids = nodes.select("user_id")
+    e = edges.where("source <> target").select("source", "target").distinct().join(ids.toDF("source"), "source", "left_semi").join(ids.toDF("target"), "target", "left_semi")
+    e = stash(e.select("source", "target"), "ties")
+    roots = ids if n <= exact else ids.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("user_id").cast("string"))), "user_id").limit(sample)
+    levels = [stash(roots.select(F.col("user_id").alias("s"), F.col("user_id").alias("v"), F.lit(1.0).alias("g")), "paths")]
+    seen = levels[0].select("s", "v")
+    while not levels[-1].isEmpty():
+        step = levels[-1].join(e, F.col("v") == F.col("source")).groupBy("s", F.col("target").alias("v")).agg(F.sum("g").alias("g"))
+        levels.append(stash(step.join(seen, ["s", "v"], "left_anti"), "paths"))
+        seen = seen.union(levels[-1].select("s", "v"))
+    share = levels[-1].select("s", "v", "g", F.lit(0.0).alias("d"))
+    total = None
+    for near in reversed(levels[:-1]):
+        far = share.select("s", F.col("v").alias("target"), F.col("g").alias("gw"), F.col("d").alias("dw"))
+        add = near.join(e, F.col("v") == F.col("source")).join(far, ["s", "target"]).groupBy("s", "v").agg(F.sum(F.col("g") / F.col("gw") * (1 + F.col("dw"))).alias("d"))
+        share = stash(near.join(add, ["s", "v"], "left").select("s", "v", "g", F.coalesce("d", F.lit(0.0)).alias("d")), "shares")
+        part = share.where("s <> v").select("v", "d")
+        total = part if total is None else total.union(part)
+    scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0) * (n / sample if n > exact else 1)
+    if total is None:
+        return ids.select("user_id", F.lit(0.0).alias("betweenness"))
+    sums = total.groupBy(F.col("v").alias("user_id")).agg(F.sum("d").alias("d"))
+    return ids.join(sums, "user_id", "left").select("user_id", (F.coalesce("d", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def bridge_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (federation_bridge_centrality): the share of betweenness that accounts with ties to other instances have, to four places.
+
+    Their share of accounts where no account is between others; 0 without such ties.
+    """
+    dom = nodes.select("user_id", F.lower(F.coalesce("instance_domain", F.lit("x.com"))).alias("d"))
+    cross = edges.join(dom.toDF("source", "ds"), "source").join(dom.toDF("target", "dt"), "target").where("ds <> dt")
+    ends = cross.select(F.explode(F.array("source", "target")).alias("user_id")).distinct().withColumn("_b", F.lit(True))
+    a = betweenness(edges, nodes).join(ends, "user_id", "left").agg(F.sum("betweenness").alias("t"), F.sum(F.when(F.col("_b"), F.col("betweenness"))).alias("x"), F.count("_b").alias("k"), F.count("*").alias("n"))
+    share = F.when(F.col("t") > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("x", F.lit(0.0)) / F.col("t")))).otherwise(F.try_divide("k", "n"))
+    return a.select(F.round(F.when(F.col("k") > 0, share).otherwise(0.0), 4).alias("federation_bridge_centrality"))
+
+
 def architecture(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: centralised or federated, with confidence, domain entropy, cross-instance share and in-degree inequality, to four places."""
+    """One row: centralised or federated, with confidence, domain entropy, cross-instance share, in-degree inequality and bridge centrality, to four places."""
     dom = nodes.select("user_id", F.lower(F.coalesce("instance_domain", F.lit("x.com"))).alias("d"))
     e = edges.join(dom.toDF("source", "ds"), "source", "left").join(dom.toDF("target", "dt"), "target", "left")
     cross = F.coalesce("ds", F.lit("x.com")) != F.coalesce("dt", F.lit("x.com"))
     ratio = e.agg(F.coalesce(F.avg(cross.cast("double")), F.lit(0.0)).alias("r"))
     deg = nodes.select("user_id").join(edges.groupBy(F.col("target").alias("user_id")).agg(F.count("*").alias("i")), "user_id", "left").select(F.coalesce("i", F.lit(0)).alias("i"))
-    one = domain_entropy(nodes).join(F.broadcast(ratio)).join(F.broadcast(gini(deg, "i")))  # three single rows
+    one = domain_entropy(nodes).join(F.broadcast(ratio)).join(F.broadcast(gini(deg, "i"))).join(F.broadcast(bridge_centrality(nodes, edges)))  # single rows
     h, r = F.col("entropy"), F.col("r")
     fed = ((h >= 0.30) & (r >= 0.04)) | ((F.col("n_domains") >= 2) & (r >= 0.10))
     clip = lambda x: F.greatest(F.lit(0.5), F.least(F.lit(0.99), x))
@@ -84,7 +136,7 @@ def architecture(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     conf = F.when(fed, clip(0.55 + 0.30 * F.least(one_, h / 1.4) + 0.15 * F.least(one_, r / 0.3))).otherwise(clip(0.60 + 0.40 * (1 - F.least(one_, h / 0.30)) * (1 - F.least(one_, r / 0.04))))
     return one.select(
         F.when(fed, "decentralized_federated").otherwise("centralized").alias("network_architecture"), F.round(conf, 4).alias("architecture_confidence"),
-        F.round(h, 4).alias("instance_entropy"), F.round(r, 4).alias("cross_instance_edge_ratio"), F.round("gini", 4).alias("hub_dominance_gini"),
+        F.round(h, 4).alias("instance_entropy"), F.round(r, 4).alias("cross_instance_edge_ratio"), F.round("gini", 4).alias("hub_dominance_gini"), "federation_bridge_centrality",
     )
 
 
@@ -101,7 +153,7 @@ def assortativity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def topology(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row: nodes, edges, density of distinct directed edges, overall reciprocity, components, share of the largest."""
+    """One row: nodes, edges, density of distinct directed edges, overall reciprocity, components, share of the largest, mean and largest degree."""
     from plumbline.operators.components import connected_components
 
     n = nodes.agg(F.count("*").alias("n_nodes"))
@@ -110,17 +162,26 @@ def topology(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     e = one.join(back, ["source", "target"], "left").agg(F.count("*").alias("n_edges"), F.coalesce(F.try_divide(F.count("m"), F.count("*")), F.lit(0.0)).alias("reciprocity"))
     part = nodes.select(F.col("user_id").alias("node")).join(connected_components(edges, "source", "target"), "node", "left")
     c = part.groupBy(F.coalesce("component", "node").alias("c")).agg(F.count("*").alias("s")).agg(F.count("*").alias("n_components"), F.max("s").alias("largest"))
-    j = n.join(F.broadcast(e)).join(F.broadcast(c))
-    return j.select("n_nodes", "n_edges", F.try_divide(F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1.0)).alias("density"), "reciprocity", "n_components", F.try_divide(F.col("largest"), "n_nodes").alias("giant_share"))
+    ends = one.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    deg = ends.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("sum_degree"), F.coalesce(F.max("d"), F.lit(0)).alias("max_degree"))
+    j = n.join(F.broadcast(e)).join(F.broadcast(c)).join(F.broadcast(deg))
+    return j.select("n_nodes", "n_edges", F.try_divide(F.col("n_edges"), F.col("n_nodes") * (F.col("n_nodes") - 1.0)).alias("density"), "reciprocity", "n_components", F.try_divide(F.col("largest"), "n_nodes").alias("giant_share"), F.try_divide("sum_degree", "n_nodes").alias("mean_degree"), "max_degree")
 
 
-def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 5) -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 5, supplied: str | None = None) -> DataFrame:
     """(user_id, community) by synchronous label propagation, then numbered 1.. by size, then smallest member.
 
+    supplied: a column of nodes with community labels; if any account has one
+    they stand, numbered 1.. in their own order, and accounts without get 0.
+
     An account takes the label most of its neighbours and itself have, the smallest of ties.
     """
-    from plumbline.store import stash
+    if supplied is not None and not nodes.where(F.col(supplied).isNotNull()).isEmpty():
+        names = nodes.where(F.col(supplied).isNotNull()).select(F.col(supplied).cast("string").alias("_c")).distinct()
+        from plumbline.operators.relational import dense_index
 
+        num = dense_index(names, "_c").select("_c", (F.col("index") + 1).alias("community"))
+        return nodes.select("user_id", F.col(supplied).cast("string").alias("_c")).join(num, "_c", "left").select("user_id", F.coalesce("community", F.lit(0)).cast("long").alias("community"))
     e = edges.where("source <> target").select("source", "target").union(edges.where("source <> target").select("target", "source")).distinct()
     e = stash(e.union(nodes.select("user_id", F.col("user_id"))), "neighbours")
     lab = nodes.select(F.col("user_id").alias("target"), F.col("user_id").alias("l"))
@@ -130,3 +191,28 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 5) -> DataFram
     size = lab.groupBy("l").agg(F.count("*").alias("s"), F.min("target").alias("m"))
     num = size.withColumn("community", F.row_number().over(Window.orderBy(F.desc("s"), "m")))
     return lab.join(num.select("l", "community"), "l").select(F.col("target").alias("user_id"), "community")
+
+
+def dropout(edges: DataFrame, share: float, seed: int = 42, training: bool = True) -> DataFrame:
+    """edges without a drawn share of account pairs, both directions of a pair together; all of them when not training."""
+    if not training:
+        return edges
+    pair = F.concat_ws(":", F.lit(str(seed)), F.least("source", "target").cast("string"), F.greatest("source", "target").cast("string"))
+    return edges.where(F.conv(F.substring(F.md5(pair), 1, 8), 16, 10).cast("double") / 4294967296.0 >= share)
+
+
+def permuted_targets(edges: DataFrame, seed: int = 42) -> DataFrame:
+    """(source, target): the same sources and targets, the targets in a seeded order: a graph without structure to compare with."""
+    from plumbline.operators.relational import dense_index
+
+    key = F.concat_ws(":", F.lit(str(seed)), F.col("source").cast("string"), F.col("target").cast("string"))
+    e = edges.select("source", "target").distinct()
+    plain = dense_index(e.withColumn("_k", F.struct("source", "target")), "_k", "i").select("source", "i")
+    mixed = dense_index(e.withColumn("_k", F.struct(F.md5(key).alias("h"), F.col("source").alias("s"), F.col("target").alias("t"))), "_k", "i").select("target", "i")
+    return plain.join(mixed, "i").select("source", "target")
+
+
+def importance(values: DataFrame, name: str, value: str, k: int | None = None) -> DataFrame:
+    """Features by the size of a value, largest first, ties by name."""
+    out = values.select(name, value).orderBy(F.desc(F.abs(F.col(value))), name)
+    return out if k is None else out.limit(k)

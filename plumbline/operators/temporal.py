@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.store import stash
+
 
 def ratio(a, b):
     """a / b, null where b is 0."""
@@ -49,13 +51,30 @@ def presence(posts: DataFrame, window: int) -> DataFrame:
     return posts.where("user_id is not null and created_at is not null").select("user_id", F.floor(F.unix_timestamp("created_at") / window).alias("bucket")).distinct()
 
 
-def co_posting(here: DataFrame) -> DataFrame:
-    """(u, v, n): pairs u < v and the occupied buckets whose members, with those of the next bucket, hold both."""
+#: Accounts of a bucket that one task pairs with the others.
+BLOCK = 1024
+
+
+def co_posting(here: DataFrame, least: int = 1) -> DataFrame:
+    """(u, v, n): pairs u < v and the occupied buckets whose members, with those of the next bucket, hold both.
+
+    least: pairs with fewer buckets aren't asked for, so accounts with fewer are
+    left out before any pairing; so are accounts alone in a bucket.  A bucket of
+    very many accounts is paired in blocks, by several tasks.
+    """
     buckets = here.select("bucket").distinct()
     early = here.select("user_id", (F.col("bucket") - 1).alias("bucket")).join(buckets, "bucket", "left_semi")
     pool = here.unionByName(early).distinct()
-    a, b = pool.withColumnRenamed("user_id", "u"), pool.withColumnRenamed("user_id", "v")
-    return a.join(b, "bucket").where("u < v").groupBy("u", "v").agg(F.count("*").alias("n"))
+    if least > 1:
+        pool = stash(pool, "pool")
+        pool = pool.join(pool.groupBy("user_id").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("user_id"), "user_id", "left_semi")
+    size = pool.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket", F.ceil(F.col("c") / BLOCK).cast("int").alias("s"))
+    pool = pool.join(size, "bucket")
+    # what is little here is much once paired: the parts are not to be put together again
+    parts = int(here.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = pool.select(F.col("user_id").alias("u"), "bucket", F.pmod(F.xxhash64("user_id"), "s").cast("int").alias("part")).repartition(parts, "bucket", "part")
+    b = pool.select(F.col("user_id").alias("v"), "bucket", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("part")).repartition(parts, "bucket", "part")
+    return a.join(b, ["bucket", "part"]).where("u < v").groupBy("u", "v").agg(F.count("*").alias("n"))
 
 
 def synchrony(posts: DataFrame, window: int = 60, min_events: int = 3, lift: float = 2.0) -> DataFrame:
@@ -64,10 +83,10 @@ def synchrony(posts: DataFrame, window: int = 60, min_events: int = 3, lift: flo
     Pairs that meet in min_events buckets or more are weighed against what
     their activity lets expect; score is 1 - exp(-z / 6) of the best pair.
     """
-    here = presence(posts, window)
+    here = stash(presence(posts, window), "presence")
     active = here.groupBy("user_id").agg(F.count("*").alias("a"))
     total = here.agg(F.count_distinct("bucket").alias("w"))
-    pairs = co_posting(here).where(F.col("n") >= min_events)
+    pairs = co_posting(here, min_events).where(F.col("n") >= min_events)
     au, av = active.select(F.col("user_id").alias("u"), F.col("a").alias("au")), active.select(F.col("user_id").alias("v"), F.col("a").alias("av"))
     e = pairs.join(au, "u").join(av, "v").join(F.broadcast(total)).where("w >= 2").withColumn("e", F.greatest(F.col("au") * F.col("av") / F.col("w"), F.lit(1e-9)))
     z = F.greatest((F.col("n") - F.col("e")) / F.sqrt("e"), F.lit(0.0))

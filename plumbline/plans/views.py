@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.structure import finalise_edges
 from plumbline.queries.base import table
+from plumbline.store import stash
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,17 +16,25 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("post_id"), "user_id", F.col("ts").cast("timestamp").alias("created_at"), F.array(F.concat(F.lit("#"), k)).alias("hashtags"), k.cast("long").alias("k"), "event_type", "value", F.concat_ws(" ", "event_type", k).alias("text"))
 
 
-def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = posts(spark, sf_dir)
+def accounts(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    p = posts(spark, sf_dir) if of is None else of
     a = p.groupBy("user_id").agg(F.count("*").alias("statuses_count"), F.count_distinct("k").alias("followers_count"), F.count_distinct("event_type").alias("following_count"), F.floor((F.max(F.unix_timestamp("created_at")) - F.min(F.unix_timestamp("created_at"))) / 86400).alias("account_age_days"))
     split = F.when(F.col("user_id") % 10 < 7, "train").when(F.col("user_id") % 10 == 7, "val").otherwise("test")
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("user_id"), F.col("toxic").alias("label"))
     return a.join(lab, "user_id", "left").select("user_id", F.coalesce("label", F.lit(0)).alias("label"), split.alias("split"), "statuses_count", "followers_count", "following_count", "account_age_days", F.concat(F.lit("inst"), F.col("user_id") % 4).alias("instance_domain"), (F.col("user_id") % 6).alias("campaign_id"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = posts(spark, sf_dir).select(F.col("user_id").alias("source"), F.col("k").alias("target"), F.col("event_type").alias("relation"))
-    return finalise_edges(e, accounts(spark, sf_dir))
+def edges(spark: SparkSession, sf_dir: str, of: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    p = posts(spark, sf_dir) if of is None else of
+    e = p.select(F.col("user_id").alias("source"), F.col("k").alias("target"), F.col("event_type").alias("relation"))
+    return finalise_edges(e, accounts(spark, sf_dir, p) if nodes is None else nodes)
+
+
+def network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(accounts, edges, posts), each made once and written, for plans that read them several times."""
+    p = stash(posts(spark, sf_dir), "posts")
+    n = stash(accounts(spark, sf_dir, p), "accounts")
+    return n, stash(edges(spark, sf_dir, p, n), "ties"), p
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,3 +108,20 @@ feats AS (SELECT a.user_id, a.label, a.split, {", ".join(f"coalesce({c if c not
 
 def with_features(window: int) -> str:
     return "WITH " + ",".join(x.strip() for x in (SQL_VIEWS, TEMPORAL, synchrony_sql(window), STRUCTURE, CONTENT, FEATURES_SQL))
+
+
+def between_sql(adjacent: str, members: str, levels: int = 7) -> str:
+    """CTEs up to btw (net, user_id, d): shares of shortest paths through each member, for graphs no deeper than so many levels.
+
+    adjacent: a query of distinct (net, a, b); members: one of (net, user_id).
+    """
+    out = [f"adj AS MATERIALIZED ({adjacent})", f"mem AS MATERIALIZED ({members})", "p0 AS MATERIALIZED (SELECT net, user_id AS s, user_id AS v, 1.0::DOUBLE AS g FROM mem)", "z0 AS MATERIALIZED (SELECT net, s, v FROM p0)"]
+    for k in range(1, levels + 1):
+        out.append(f"p{k} AS MATERIALIZED (SELECT p.net, p.s, j.b AS v, sum(g) AS g FROM p{k - 1} p JOIN adj j ON j.net = p.net AND j.a = p.v ANTI JOIN z{k - 1} z ON z.net = p.net AND z.s = p.s AND z.v = j.b GROUP BY 1, 2, 3)")
+        out.append(f"z{k} AS MATERIALIZED (SELECT * FROM z{k - 1} UNION ALL SELECT net, s, v FROM p{k})")
+    out.append(f"q{levels} AS MATERIALIZED (SELECT net, s, v, g, 0.0::DOUBLE AS d FROM p{levels})")
+    for k in range(levels - 1, -1, -1):
+        out.append(f"q{k} AS MATERIALIZED (SELECT p.net, p.s, p.v, any_value(p.g) AS g, coalesce(sum(p.g / q.g * (1 + q.d)), 0) AS d FROM p{k} p LEFT JOIN adj j ON j.net = p.net AND j.a = p.v LEFT JOIN q{k + 1} q ON q.net = p.net AND q.s = p.s AND q.v = j.b GROUP BY 1, 2, 3)")
+    every = " UNION ALL ".join(f"SELECT net, s, v, d FROM q{k}" for k in range(levels + 1))
+    out.append(f"btw AS (SELECT net, v AS user_id, sum(CASE WHEN s <> v THEN d ELSE 0 END) AS d FROM ({every}) GROUP BY 1, 2)")
+    return ",\n".join(out)

@@ -6,7 +6,7 @@ from plumbline.queries.base import QUERIES, SQL
 
 
 def _load() -> None:
-    from plumbline.queries import graph, metrics, models, tables, text  # noqa: F401
+    from plumbline.queries import corpora, graph, metrics, models, service, tables, text  # noqa: F401
 
 
 _load()

@@ -8,7 +8,8 @@ from plumbline.operators import content, features, scoring, structure, temporal
 from plumbline.operators.components import connected_components
 from plumbline.plans import views as V
 from plumbline.plans.network import analyze_network as analysed
-from plumbline.queries.base import query
+from plumbline.functions import text as X
+from plumbline.queries.base import SQL, query
 from plumbline.schemas import FEATURES, TRANSFER
 
 WITH = "WITH " + V.SQL_VIEWS.strip()
@@ -66,7 +67,11 @@ def g6_content_duplication(spark, sf_dir):
     return rounded(content.duplication(V.posts(spark, sf_dir), near=None))  # the SQL knows equal texts alone
 
 
-@query()
+@query("WITH RECURSIVE " + V.SQL_VIEWS.strip() + """, tx AS (SELECT t, CASE WHEN length(t) < 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) END AS g FROM (SELECT DISTINCT event_type || ' ' || k AS t FROM posts)),
+lk AS (SELECT x.t AS a, y.t AS b FROM tx x JOIN tx y ON x.t <> y.t AND len(list_intersect(x.g, y.g)) >= 0.75 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))),
+reach AS (SELECT t AS node, t AS root FROM tx UNION SELECT r.node, b FROM reach r JOIN lk ON a = r.root), grp AS (SELECT node AS t, min(root) AS grp FROM reach GROUP BY node),
+per AS (SELECT grp AS t, user_id, count(*) AS c FROM posts JOIN grp ON grp.t = event_type || ' ' || k GROUP BY 1, 2), uses AS (SELECT t, count(*) AS u FROM per GROUP BY 1)
+SELECT user_id, round(sum(CASE WHEN u = 1 THEN c - 1 ELSE 0 END) * 1.0 / sum(c), 6) + 0.0 AS content_duplication_ratio, round(sum(CASE WHEN u > 1 THEN c ELSE 0 END) * 1.0 / sum(c), 6) + 0.0 AS cross_account_dup_ratio FROM per JOIN uses USING (t) GROUP BY 1""")
 def g6_near_duplication(spark, sf_dir):
     """Near copies linked, which the SQL of the other queries leaves out."""
     return rounded(content.duplication(V.posts(spark, sf_dir)))
@@ -85,7 +90,7 @@ def g7_components(spark, sf_dir):
 
 
 def _built(spark, sf_dir):
-    return features.build_features(V.accounts(spark, sf_dir), V.edges(spark, sf_dir), V.posts(spark, sf_dir), 3600, near=None)
+    return features.build_features(*V.network(spark, sf_dir), 3600, near=None)
 
 
 @query(V.with_features(3600) + f"SELECT user_id, label, split, {r(*FEATURES)} FROM feats")
@@ -130,15 +135,20 @@ x AS (SELECT coalesce(avg(CASE WHEN a.instance_domain <> b.instance_domain THEN
 ind AS (SELECT user_id, count(source) AS i FROM accounts LEFT JOIN edges ON target = user_id GROUP BY 1),
 rk AS (SELECT i, row_number() OVER (ORDER BY i) AS k FROM ind),
 g AS (SELECT CASE WHEN sum(i) > 0 AND count(*) > 1 THEN greatest(0, least(1, 2.0 * sum(k * i) / (count(*) * sum(i)) - (count(*) + 1.0) / count(*))) ELSE 0 END AS g FROM rk)"""
+_BETWEEN = ", " + V.between_sql("SELECT DISTINCT 'all' AS net, source AS a, target AS b FROM edges WHERE source <> target", "SELECT 'all' AS net, user_id FROM accounts") + """,
+bends AS (SELECT unnest([source, target]) AS user_id FROM edges JOIN accounts a ON a.user_id = source JOIN accounts b ON b.user_id = target WHERE a.instance_domain <> b.instance_domain),
+br AS (SELECT CASE WHEN count(*) FILTER (user_id IN (SELECT user_id FROM bends)) = 0 THEN 0 WHEN sum(d) > 1e-9 THEN greatest(0, least(1, sum(d) FILTER (user_id IN (SELECT user_id FROM bends)) / sum(d)))
+  ELSE count(*) FILTER (user_id IN (SELECT user_id FROM bends)) * 1.0 / count(*) END AS bridge FROM btw)"""
 _FED = "((h >= 0.30 AND r >= 0.04) OR (k >= 2 AND r >= 0.10))"
 _ARCH_COLS = f"""CASE WHEN {_FED} THEN 'decentralized_federated' ELSE 'centralized' END AS network_architecture,
   round(CASE WHEN {_FED} THEN greatest(0.5, least(0.99, 0.55 + 0.30 * least(1, h / 1.4) + 0.15 * least(1, r / 0.3))) ELSE greatest(0.5, least(0.99, 0.60 + 0.40 * (1 - least(1, h / 0.30)) * (1 - least(1, r / 0.04)))) END, 4) AS architecture_confidence,
-  round(h, 4) AS instance_entropy, round(r, 4) AS cross_instance_edge_ratio, round(g, 4) AS hub_dominance_gini"""
+  round(h, 4) AS instance_entropy, round(r, 4) AS cross_instance_edge_ratio, round(g, 4) AS hub_dominance_gini, round(bridge, 4) + 0.0 AS federation_bridge_centrality"""
 
 
-@query(WITH + _ARCH + f"SELECT {_ARCH_COLS} FROM h, x, g")
+@query(WITH + _ARCH + _BETWEEN + f"SELECT {_ARCH_COLS} FROM h, x, g, br")
 def g13_architecture(spark, sf_dir):
-    return structure.architecture(V.accounts(spark, sf_dir), V.edges(spark, sf_dir))
+    nodes, edges, _ = V.network(spark, sf_dir)
+    return structure.architecture(nodes, edges)
 
 
 @query(WITH + """, d AS (SELECT DISTINCT user_id, k FROM posts WHERE k IS NOT NULL), pop AS (SELECT k, count(*) AS n FROM d GROUP BY k HAVING count(*) BETWEEN 2 AND 70)
@@ -170,9 +180,71 @@ def g18_suspicious_edges(spark, sf_dir):
     return scoring.suspicious_edges(e.select("source", "target", "relation"), f)
 
 
-@query()
+_LPA = ",\n".join(
+    [f"l{k} AS MATERIALIZED (SELECT source, l FROM (SELECT e.source, l.l, row_number() OVER (PARTITION BY e.source ORDER BY count(*) DESC, l.l) AS k FROM nb e JOIN l{k - 1} l ON l.source = e.target GROUP BY 1, 2) WHERE k = 1)" for k in range(1, 6)]
+)
+
+
+@query(WITH + f""", nb AS MATERIALIZED (SELECT source, target FROM edges WHERE source <> target UNION SELECT target, source FROM edges WHERE source <> target UNION SELECT user_id, user_id FROM accounts),
+l0 AS (SELECT user_id AS source, user_id AS l FROM accounts), {_LPA},
+num AS (SELECT l, row_number() OVER (ORDER BY count(*) DESC, min(source)) AS community FROM l5 GROUP BY l)
+SELECT source AS user_id, community FROM l5 JOIN num USING (l)""")
 def g17_communities(spark, sf_dir):
-    return structure.communities(V.edges(spark, sf_dir), V.accounts(spark, sf_dir))
+    nodes, edges, _ = V.network(spark, sf_dir)
+    return structure.communities(edges, nodes).withColumn("community", F.col("community").cast("long"))
+
+
+@query(WITH + """, c AS (SELECT user_id, CASE WHEN user_id % 7 > 0 THEN campaign_id::VARCHAR END AS c FROM accounts), n AS (SELECT c, row_number() OVER (ORDER BY c) AS k FROM (SELECT DISTINCT c FROM c WHERE c IS NOT NULL))
+SELECT user_id, coalesce(k, 0) AS community FROM c LEFT JOIN n USING (c)""")
+def g17_supplied(spark, sf_dir):
+    """Communities that came with the accounts, some without one."""
+    nodes, edges, _ = V.network(spark, sf_dir)
+    return structure.communities(edges, nodes.withColumn("given", F.when(F.col("user_id") % 7 > 0, F.col("campaign_id"))), supplied="given")
+
+
+_U = "('0x' || substr(md5({}), 1, 8))::UBIGINT / 4294967296.0"
+
+
+@query(WITH + f"SELECT source, target, relation FROM edges WHERE {_U.format("'42:' || least(source, target) || ':' || greatest(source, target)")} >= 0.3")
+def g12_dropout(spark, sf_dir):
+    return structure.dropout(V.edges(spark, sf_dir).select("source", "target", "relation"), 0.3)
+
+
+@query(WITH + """, one AS (SELECT DISTINCT source, target FROM edges), p AS (SELECT source, row_number() OVER (ORDER BY source, target) AS i FROM one),
+q AS (SELECT target, row_number() OVER (ORDER BY md5('42:' || source || ':' || target), source, target) AS i FROM one) SELECT source, target FROM p JOIN q USING (i)""")
+def g19_null_graph(spark, sf_dir):
+    return structure.permuted_targets(V.edges(spark, sf_dir))
+
+
+@query(WITH + """, o AS (SELECT post_id, user_id FROM posts) SELECT DISTINCT p.user_id AS source, o.user_id AS target, 'retweeted' AS relation
+FROM posts p JOIN o ON o.post_id = p.k WHERE p.user_id <> o.user_id AND p.event_type = 'purchase'""")
+def g16_retweet_edges(spark, sf_dir):
+    p = V.posts(spark, sf_dir).withColumn("repost_of", F.when(F.col("event_type") == "purchase", F.col("k")))
+    return content.reference_edges(p, "repost_of", "retweeted")
+
+
+@query(WITH + """SELECT DISTINCT p.user_id AS source, a.user_id AS target, 'mentioned' AS relation FROM posts p JOIN accounts a ON a.user_id = p.k WHERE p.user_id <> a.user_id""")
+def g16_mention_edges(spark, sf_dir):
+    nodes, _, posts = V.network(spark, sf_dir)
+    said = posts.withColumn("text", F.concat(F.lit("so says @User_"), F.col("k").cast("string"), F.lit(" today")))
+    return content.mention_edges(said, nodes.withColumn("screen_name", F.concat(F.lit("USER_"), F.col("user_id").cast("string"))))
+
+
+@query(WITH + """, d AS (SELECT DISTINCT user_id, md5(trim(regexp_replace(lower('A shared line: ' || event_type || ' number ' || k || ', see there!'), '[^a-z0-9_]+', ' ', 'g'))) AS t FROM posts WHERE k IS NOT NULL AND length(event_type || k) < 9),
+pop AS (SELECT t FROM d GROUP BY t HAVING count(*) BETWEEN 2 AND 30)
+SELECT DISTINCT a.user_id AS source, b.user_id AS target, 'co_text' AS relation FROM d a JOIN d b ON a.t = b.t AND a.user_id < b.user_id WHERE a.t IN (SELECT t FROM pop)""")
+def g15_cotext(spark, sf_dir):
+    """Accounts that share a text once links, case and signs are taken off."""
+    p = V.posts(spark, sf_dir).where(F.col("k").isNotNull() & (F.char_length(F.concat("event_type", F.col("k").cast("string"))) < 9))
+    said = F.concat(F.lit("A shared  line: https://x.y/"), F.col("post_id").cast("string"), F.lit(" "), "event_type", F.lit(" number "), F.col("k").cast("string"), F.lit(", see there!"))
+    return content.coactivity_edges(p.select("user_id", F.md5(X.cotext(said)).alias("item")), "co_text", 2, 30, None)
+
+
+@query(part(V.STRUCTURE) + """SELECT source, target, relation FROM edges WHERE source IN (SELECT user_id FROM structure WHERE reciprocity > 0.5 UNION SELECT user_id FROM accounts WHERE label = 1) AND target IN (SELECT user_id FROM structure WHERE reciprocity > 0.5 UNION SELECT user_id FROM accounts WHERE label = 1)""")
+def u6_flagged_or_coordinated(spark, sf_dir):
+    nodes, edges, _ = V.network(spark, sf_dir)
+    one = structure.structural_features(nodes, edges).where("reciprocity > 0.5").select("user_id")
+    return scoring.suspicious_edges(edges.select("source", "target", "relation"), one.union(nodes.where("label = 1").select("user_id")))
 
 
 _SY = "coalesce(max(synchrony_score), 0)"
@@ -212,6 +284,12 @@ def a18_cohens_d(spark, sf_dir):
     return features.cohens_d(_built(spark, sf_dir), _D).withColumn("cohens_d", F.col("cohens_d") + 0.0)
 
 
+@query(f"SELECT feature, cohens_d FROM ({SQL['a18_cohens_d']}) ORDER BY abs(cohens_d) DESC, feature LIMIT 5")
+def m13_importance(spark, sf_dir):
+    """The five strongest features: a top-k report."""
+    return structure.importance(a18_cohens_d(spark, sf_dir), "feature", "cohens_d", 5)
+
+
 @query(WITH + ", c AS (SELECT a.label AS a, b.label AS b, count(*) * 1.0 / sum(count(*)) OVER () AS p FROM edges JOIN accounts a ON a.user_id = source JOIN accounts b ON b.user_id = target GROUP BY 1, 2), s AS (SELECT coalesce(sum(p) FILTER (a = b), 0) AS tr FROM c), q AS (SELECT sum(x * y) AS s FROM (SELECT a AS k, sum(p) AS x FROM c GROUP BY 1) JOIN (SELECT b AS k, sum(p) AS y FROM c GROUP BY 1) USING (k)) SELECT round((tr - s) / nullif(1 - s, 0), 6) + 0.0 AS assortativity FROM s, q")
 def a23_assortativity(spark, sf_dir):
     return rounded(structure.assortativity(V.edges(spark, sf_dir), V.accounts(spark, sf_dir)))
@@ -221,21 +299,23 @@ def a23_assortativity(spark, sf_dir):
 reach AS (SELECT user_id AS node, user_id AS root FROM accounts UNION SELECT r.node, s.b FROM reach r JOIN sym s ON s.a = r.root),
 comp AS (SELECT root, count(*) AS s FROM (SELECT node, min(root) AS root FROM reach GROUP BY node) GROUP BY root),
 n AS (SELECT count(*) AS n FROM accounts), e AS (SELECT count(*) AS m, count(b.source) * 1.0 / count(*) AS r FROM one a LEFT JOIN one b ON a.source = b.target AND a.target = b.source)
-SELECT n AS n_nodes, m AS n_edges, round(m / (n * (n - 1.0)), 6) AS density, round(r, 6) AS reciprocity, (SELECT count(*) FROM comp) AS n_components, round((SELECT max(s) FROM comp) / n, 6) AS giant_share FROM n, e""")
+SELECT n AS n_nodes, m AS n_edges, round(m / (n * (n - 1.0)), 6) AS density, round(r, 6) AS reciprocity, (SELECT count(*) FROM comp) AS n_components, round((SELECT max(s) FROM comp) / n, 6) AS giant_share,
+  round((SELECT sum(d) FROM (SELECT a, count(*) AS d FROM (SELECT source AS a FROM one UNION ALL SELECT target FROM one) GROUP BY a)) * 1.0 / n, 6) AS mean_degree,
+  (SELECT max(d) FROM (SELECT a, count(*) AS d FROM (SELECT source AS a FROM one UNION ALL SELECT target FROM one) GROUP BY a)) AS max_degree FROM n, e""")
 def a24_topology(spark, sf_dir):
     return rounded(structure.topology(V.edges(spark, sf_dir), V.accounts(spark, sf_dir)))
 
 
-_REPORT = f""", m AS (SELECT {_METRICS}, count(*) AS total_nodes, count(*) FILTER ({_PART}) AS coordinated_accounts FROM feats){_ARCH.replace("\nx AS", "\nxr AS")},
+_REPORT = f""", m AS (SELECT {_METRICS}, count(*) AS total_nodes, count(*) FILTER ({_PART}) AS coordinated_accounts FROM feats){_ARCH.replace("\nx AS", "\nxr AS")}{_BETWEEN},
 rep AS (SELECT m.*, {_ARCH_COLS}, least(1, 0.35 * least(1, greatest(0, peak_synchrony)) + 0.30 * least(1, greatest(0, peak_cross_account_duplication)) + 0.15 * least(1, greatest(0, peak_reciprocity)) + 0.20 * coordinated_accounts / greatest(total_nodes, 1)) AS evidence_score,
   CASE WHEN coordinated_accounts >= 2 AND (peak_cross_account_duplication >= 0.30 OR peak_reciprocity >= 0.50) THEN 'coordinated_ai_agent_swarm'
-    WHEN burstiness >= 0.30 OR follower_following_log_ratio <= -1.5 THEN 'simple_spambot' ELSE 'human' END AS classification FROM m, h, xr, g)
-SELECT total_nodes, coordinated_accounts, network_architecture, architecture_confidence, {r("evidence_score", "peak_synchrony", "reciprocity_rate", "hashtag_overlap")}, classification,
+    WHEN burstiness >= 0.30 OR follower_following_log_ratio <= -1.5 THEN 'simple_spambot' ELSE 'human' END AS classification FROM m, h, xr, g, br)
+SELECT total_nodes, coordinated_accounts, network_architecture, architecture_confidence, federation_bridge_centrality, 0::BIGINT AS payload_alerts, {r("evidence_score", "peak_synchrony", "reciprocity_rate", "hashtag_overlap")}, classification,
   CASE WHEN evidence_score >= 0.85 THEN 'critical' WHEN evidence_score >= 0.60 THEN 'high' WHEN evidence_score >= 0.35 THEN 'elevated' ELSE 'low' END AS triage_band,
   CASE WHEN network_architecture = 'decentralized_federated' THEN 'Cross-Instance Sybil Bridge Attack' WHEN hashtag_overlap >= 0.35 OR peak_synchrony >= 0.50 THEN 'Synchronized Hashtag Flood' ELSE 'Algorithmic Retweet Ring' END AS attack_profile FROM rep"""
 
 
 @query(V.with_features(3600) + _REPORT)
 def analyze_network(spark, sf_dir):
-    out = analysed(V.accounts(spark, sf_dir), V.edges(spark, sf_dir), V.posts(spark, sf_dir), 3600, near=None)
-    return rounded(out.select("total_nodes", "coordinated_accounts", "network_architecture", "architecture_confidence", "evidence_score", "peak_synchrony", "reciprocity_rate", "hashtag_overlap", "classification", "triage_band", "attack_profile"))
+    out = analysed(*V.network(spark, sf_dir), 3600, near=None)
+    return rounded(out.select("total_nodes", "coordinated_accounts", "network_architecture", "architecture_confidence", "federation_bridge_centrality", "payload_alerts", "evidence_score", "peak_synchrony", "reciprocity_rate", "hashtag_overlap", "classification", "triage_band", "attack_profile"))

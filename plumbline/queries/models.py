@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from plumbline.operators import features, models
 from plumbline.plans import views as V
 from plumbline.queries.base import query, table
+from plumbline.queries.graph import rounded
 from plumbline.schemas import TRANSFER
 from plumbline.store import stash
 from plumbline.streaming.posting import co_posting_counts
 
 
 def _features(spark, sf_dir):
-    return stash(features.build_features(V.accounts(spark, sf_dir), V.edges(spark, sf_dir), V.posts(spark, sf_dir), 3600), "features")
+    return stash(features.build_features(*V.network(spark, sf_dir), 3600), "features")
 
 
 @query()
@@ -28,14 +29,43 @@ def n6_tfidf(spark, sf_dir):
     return models.scores(models.text_model(d.where("doc_id % 5 <> 0")), d.where("doc_id % 5 = 0")).select("doc_id", "label", "model_score")
 
 
-@query()
+@query(V.with_features(3600) + """, ud AS (SELECT DISTINCT source AS a, target AS b FROM edges UNION SELECT DISTINCT target, source FROM edges),
+h1 AS (SELECT a AS user_id, avg(in_degree) AS x, avg(burstiness) AS y FROM ud JOIN feats ON user_id = b GROUP BY 1), h2 AS (SELECT a AS user_id, avg(x) AS x, avg(y) AS y FROM ud JOIN h1 ON user_id = b GROUP BY 1)
+SELECT f.user_id, round(in_degree, 6) + 0.0 AS in_degree, round(burstiness, 6) + 0.0 AS burstiness, round(coalesce(h1.x, 0), 6) + 0.0 AS in_degree_hop1, round(coalesce(h1.y, 0), 6) + 0.0 AS burstiness_hop1,
+round(coalesce(h2.x, 0), 6) + 0.0 AS in_degree_hop2, round(coalesce(h2.y, 0), 6) + 0.0 AS burstiness_hop2 FROM feats f LEFT JOIN h1 USING (user_id) LEFT JOIN h2 USING (user_id)""")
 def n8_propagate(spark, sf_dir):
+    return rounded(_propagated(spark, sf_dir))
+
+
+def _propagated(spark, sf_dir):
     return models.propagate(V.edges(spark, sf_dir), _features(spark, sf_dir).select("user_id", "in_degree", "burstiness"), ["in_degree", "burstiness"])
 
 
-@query()
+@query("WITH " + V.SQL_VIEWS.strip() + ", " + V.between_sql("SELECT DISTINCT relation AS net, source AS a, target AS b FROM edges WHERE source <> target", "SELECT DISTINCT relation AS net, unnest([source, target]) AS user_id FROM edges") + """
+SELECT b.net AS network, b.user_id, round(d / ((n - 1) * (n - 2)), 6) + 0.0 AS betweenness FROM btw b JOIN (SELECT net, count(*) AS n FROM mem GROUP BY net) USING (net)""")
 def g14_bridges(spark, sf_dir):
-    return models.betweenness(V.edges(spark, sf_dir).withColumn("network", F.col("relation")), "network")
+    """Betweenness in each relation's network; the SQL counts from all accounts, as the operator does for up to 400."""
+    return rounded(models.betweenness(V.edges(spark, sf_dir).withColumn("network", F.col("relation")), "network"))
+
+
+@query("SELECT doc_id, (('0x' || substr(md5('42:' || doc_id), 1, 8))::UBIGINT / 4294967296.0 < (SELECT avg(toxic) FROM labels WHERE doc_id % 5 <> 0))::INT AS prediction FROM labels")
+def n7_random_baseline(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return models.random_baseline(d.where("doc_id % 5 <> 0"), d, "doc_id").select("doc_id", "prediction")
+
+
+@query()
+def n7_length_baseline(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
+    return models.length_baseline(d.where("doc_id % 5 <> 0"), d.where("doc_id % 5 = 0")).select("doc_id", "label", "model_score")
+
+
+@query()
+def d12_stacking(spark, sf_dir):
+    """Two scores stacked by a balanced logistic regression, then calibrated by monotone steps."""
+    s = stash(V.scored(spark, sf_dir).select("doc_id", F.col("y").cast("double").alias("label"), F.col("score").alias("graph"), ((F.col("doc_id") * 13 % 101) / 101.0).alias("text")).where("label is not null"), "stack")
+    out = models.scores(models.stacked(s.where("doc_id % 5 <> 0"), ["graph", "text"]), s).withColumnRenamed("model_score", "stacked")
+    return models.calibrated(out.where("doc_id % 5 <> 0"), out, "stacked", kind="isotonic").select("doc_id", "stacked", "calibrated")
 
 
 @query("SELECT epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS start, count(*) AS posts FROM events GROUP BY 1")

@@ -85,14 +85,6 @@ def a12_clusters(spark, sf_dir):
     return rounded(V.accounts(spark, sf_dir).groupBy("campaign_id").agg(F.count("*").alias("size"), F.count_if(F.col("statuses_count") >= 60).alias("active"), F.avg("statuses_count").alias("mean_posts"), F.count_if(F.col("label") == 1).alias("agents")))
 
 
-@query("""WITH s AS (SELECT conv_id, (length(text) % 101) / 100.0 AS s FROM conversations) SELECT conv_id, count(*) AS posts, round(avg(s), 6) AS mean_score, round(max(s), 6) AS peak_score, count(*) FILTER (s >= 0.5) AS flagged,
-CASE WHEN max(s) >= 0.85 THEN 'critical' WHEN max(s) >= 0.6 THEN 'high' WHEN max(s) >= 0.35 THEN 'elevated' ELSE 'low' END AS band FROM s GROUP BY 1""")
-def a13_threads(spark, sf_dir):
-    s = table(spark, sf_dir, "conversations").select("conv_id", (F.char_length("text") % 101 / 100.0).alias("s"))
-    a = s.groupBy("conv_id").agg(F.count("*").alias("posts"), F.avg("s").alias("mean_score"), F.max("s").alias("peak_score"), F.count_if(F.col("s") >= 0.5).alias("flagged"))
-    return rounded(a.withColumn("band", S.band(F.col("peak_score"))))
-
-
 _RK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
 
 

@@ -10,8 +10,6 @@ from plumbline.operators import relational as R
 from plumbline.queries.base import query, table
 from plumbline.queries.graph import rounded
 
-COMMON = ["the", "de", "und", "que", "tion", "er"]
-SQL_LOW = "lower(coalesce(text, ''))"
 NORM = r"trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))"
 
 
@@ -25,44 +23,45 @@ def f2_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(u).alias("n_urls"), F.md5(F.array_join(u, " ")).alias("urls"))
 
 
-@query()
+_AFTER = r"[^\p{L}\p{N}_]"
+
+
+@query(rf"""SELECT page_id, list_transform(regexp_extract_all(' ' || html, '{_AFTER}#([A-Za-z0-9_]{{1,60}})', 1), lambda x: lower(x)) AS hashtags,
+list_transform(regexp_extract_all(' ' || html, '{_AFTER}@([A-Za-z0-9_]{{2,30}})', 1), lambda x: lower(x)) AS mentions FROM pages""")
 def f2_tags(spark, sf_dir):
-    """Hashtags and mentions; what may stand before one is a matter of Unicode, which the other engine's patterns lack."""
+    """Hashtags and mentions; the SQL reads the sign before one instead of looking behind."""
     return table(spark, sf_dir, "pages").select("page_id", X.hashtags(F.col("html")).alias("hashtags"), X.mentions(F.col("html")).alias("mentions"))
 
 
+#: The measures of a text but for hashtags and mentions.
+MEASURES = (
+    "n_chars n_words mean_word_len std_word_len n_sentences mean_sentence_len sentence_len_cv type_token_ratio function_word_ratio punct_ratio uppercase_ratio digit_ratio emoji_ratio "
+    "exclaim_count question_count n_urls has_newline llm_tell_count injection_tell_count imperative_start"
+).split()
 _W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 _S = r"list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '\s', ' ', 'g')) <> '')"
 _FW = "[" + ", ".join(f"'{w}'" for w in X.FUNCTION_WORDS) + "]"
 
 
+_IN = lambda lexicon: "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in lexicon) + "]"
+
+
 @query(
-    rf"""WITH w AS (SELECT doc_id, text, {_W} AS w, {_S} AS s FROM documents),
-v AS (SELECT *, list_transform(w, lambda x: length(x)) AS l, list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> ''))) AS sl FROM w)
-SELECT doc_id, length(text)::DOUBLE AS n_chars, len(w)::DOUBLE AS n_words, round(list_avg(l), 6) AS mean_word_len, len(s)::DOUBLE AS n_sentences,
-  round(len(w) / greatest(len(s), 1), 6) AS mean_sentence_len,
-  round(len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w), 6) AS type_token_ratio, round(len(list_filter(w, lambda x: list_contains({_FW}, lower(x)))) / len(w), 6) AS function_word_ratio,
-  round(len(regexp_extract_all(text, '[.,;:!?''"()-]')) / length(text), 6) AS punct_ratio, round(len(regexp_extract_all(text, '\p{{Lu}}')) / length(text), 6) AS uppercase_ratio,
-  round(len(regexp_extract_all(text, '\p{{Nd}}')) / length(text), 6) AS digit_ratio, len(regexp_extract_all(text, '!'))::DOUBLE AS exclaim_count,
-  (contains(text, chr(10)))::INT::DOUBLE AS has_newline FROM v WHERE len(w) > 0"""
+    rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_W.replace("(text,", "(coalesce(text, ''),")} AS w, {_S.replace("(text,", "(coalesce(text, ''),")} AS s FROM documents),
+v AS (SELECT *, list_transform(w, lambda x: length(x)) AS l, list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> ''))) AS sl FROM w),
+m AS (SELECT doc_id, text, w, length(text)::DOUBLE AS n_chars, len(w)::DOUBLE AS n_words, list_avg(l) AS mean_word_len, list_stddev_pop(l) AS std_word_len, len(s)::DOUBLE AS n_sentences, len(w) / greatest(len(s), 1) AS mean_sentence_len,
+  CASE WHEN len(s) > 0 THEN list_stddev_pop(sl) / greatest(list_avg(sl), 1e-6) ELSE 0 END AS sentence_len_cv,
+  len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w) AS type_token_ratio, len(list_filter(w, lambda x: list_contains({_FW}, lower(x)))) / len(w) AS function_word_ratio,
+  len(regexp_extract_all(text, '[.,;:!?''"()-]')) / length(text) AS punct_ratio, len(regexp_extract_all(text, '\p{{Lu}}')) / length(text) AS uppercase_ratio,
+  len(regexp_extract_all(text, '\p{{Nd}}')) / length(text) AS digit_ratio, len(regexp_extract_all(text, '\p{{So}}')) / length(text) AS emoji_ratio, len(regexp_extract_all(text, '!'))::DOUBLE AS exclaim_count, len(regexp_extract_all(text, '[?]'))::DOUBLE AS question_count,
+  len(regexp_extract_all(text, '(?i)(?:https?://|www\.)\S+'))::DOUBLE AS n_urls, (contains(text, chr(10)))::INT::DOUBLE AS has_newline,
+  len(list_filter({_IN(X.LLM_TELLS)}, lambda p: contains(lower(text), p)))::DOUBLE AS llm_tell_count, len(list_filter({_IN(X.INJECTION_TELLS)}, lambda p: contains(lower(text), p)))::DOUBLE AS injection_tell_count,
+  list_contains({_IN(X.IMPERATIVES)}, lower(coalesce(w[1], '')))::INT::DOUBLE AS imperative_start FROM v)
+SELECT doc_id, {", ".join(f"CASE WHEN len(w) > 0 THEN round({c}, 6) + 0.0 ELSE 0 END AS {c}" for c in MEASURES)} FROM m"""
 )
 def f3_stylometry(spark, sf_dir):
-    m = X.stylometry(F.col("text"))
-    names = "n_chars n_words mean_word_len n_sentences mean_sentence_len type_token_ratio function_word_ratio punct_ratio uppercase_ratio digit_ratio exclaim_count has_newline".split()
-    return rounded(docs(spark, sf_dir).select("doc_id", *(m[n] for n in names)).where("n_words > 0"))
-
-
-_LEX = "[" + ", ".join(f"'{w}'" for w in COMMON) + "]"
-
-
-@query(f"SELECT doc_id, round(1 - exp(-0.9 * len(list_filter({_LEX}, lambda p: contains({SQL_LOW}, p)))), 6) AS score FROM documents")
-def f4_lexical_score(spark, sf_dir):
-    return rounded(docs(spark, sf_dir).select("doc_id", X.lexical_score(F.col("text"), COMMON).alias("score")))
-
-
-@query(f"SELECT doc_id, list_filter({_LEX}, lambda p: contains({SQL_LOW}, p)) AS phrases FROM documents")
-def f5_matches(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", X.tells(F.col("text"), COMMON).alias("phrases"))
+    """All documents, those without words too; two measures are left out, whose patterns the other engine lacks."""
+    return rounded(docs(spark, sf_dir).select("doc_id", X.stylometry(F.col("text")).alias("m")).select("doc_id", *(F.col(f"m.{c}").alias(c) for c in MEASURES)))
 
 
 @query(r"""WITH p AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '') AS a, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS b FROM conversations)
@@ -88,21 +87,6 @@ def f1_normalise(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.normalise(F.col("text"), most=None).alias("text"))
 
 
-@query()
-def f6_match_spans(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", X.match_spans(F.col("text"), COMMON).alias("spans"))
-
-
-@query()
-def f7_sentences(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.sentence_spans(F.col("text")).alias("sentences"))
-
-
-@query()
-def f9_alerts(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.payload_alerts(F.col("text"), COMMON).alias("alerts"))
-
-
 @query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5({NORM})")
 def x1_exact_dedupe(spark, sf_dir):
     return D.exact_dedupe(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "text").select("doc_id")
@@ -117,9 +101,18 @@ def x3_leakage(spark, sf_dir):
     return rounded(R.leakage(docs(spark, sf_dir).withColumn("split", s), "split", norm))
 
 
-@query()
+@query(rf"""WITH RECURSIVE t AS (SELECT doc_id, {NORM} AS t FROM documents),
+g AS MATERIALIZED (SELECT doc_id, unnest(CASE WHEN length(t) = 0 THEN [] WHEN length(t) < 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) END) AS g FROM t),
+df AS (SELECT g, count(*) AS c FROM g GROUP BY g), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS MATERIALIZED (SELECT doc_id, g FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY c, g) AS k, n FROM g JOIN df USING (g) JOIN n USING (doc_id)) WHERE k <= n - ceil(0.85 * n) + 1),
+cand AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM p x JOIN p y ON x.g = y.g AND x.doc_id < y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id WHERE least(nx.n, ny.n) >= 0.85 * greatest(nx.n, ny.n)),
+shared AS (SELECT a, b, count(*) AS o FROM cand JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b AND y.g = x.g GROUP BY 1, 2),
+near AS (SELECT b, list(a) AS near, row_number() OVER (ORDER BY b) AS k FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE o >= 0.85 * (na.n + nb.n - o) GROUP BY b),
+r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL SELECT near.k, CASE WHEN len(list_filter(near, lambda a: NOT list_contains(gone, a))) > 0 THEN list_append(gone, b) ELSE gone END FROM r JOIN near ON near.k = r.k + 1)
+SELECT doc_id FROM documents WHERE NOT list_contains((SELECT gone FROM r ORDER BY k DESC LIMIT 1), doc_id)""")
 def x2_near_dedupe(spark, sf_dir):
-    return D.near_dedupe(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "text").select("item_id")
+    """All documents in order of id, each left out if a kept one before it is near; the SQL finds all near pairs by prefixes of their rarest 5-grams."""
+    return D.near_dedupe(docs(spark, sf_dir).select("doc_id", "text"), "doc_id", "text").select("doc_id")
 
 
 _H = "('0x' || substr(md5('42:' || source), 1, 8))::UBIGINT / 4294967296.0"

@@ -51,6 +51,62 @@ def prompts(df: DataFrame, dataset: str, kind: Column, columns: tuple[str, ...]
     return finalise(rows.withColumn("threat_class", threat), dataset)
 
 
+#: Names of text generators as they occur in file names, in the order they are looked for; fixed values.
+GENERATORS = "chatgpt gpt4 gpt-4 gpt3 davinci cohere dolly bloomz llama mistral flant5 gpt2 claude gemini qwen".split()
+
+
+def generator_of(name: Column) -> Column:
+    """The generator that a file's name says, the first of the known names; unknown_llm if none."""
+    low, out = F.lower(F.coalesce(name, F.lit(""))), F.lit("unknown_llm")
+    for g in reversed(GENERATORS):
+        out = F.when(F.contains(low, F.lit(g)), g).otherwise(out)
+    return out
+
+
+def harm_flags(df: DataFrame, dataset: str, prompt: str = "prompt", harm: str = "prompt_harm_label", adversarial: str = "adversarial", domain: str | None = None) -> DataFrame:
+    """Prompts flagged harmful or adversarial: either makes label 1; an adversarial one is an injection, whatever it asks for."""
+    flag = lambda c, tokens: F.coalesce(binary_label(F.col(c), tokens), F.lit(0)) if c in df.columns else F.lit(0)
+    d = df.select(F.col(prompt).alias("text"), flag(harm, ["harmful"]).alias("h"), flag(adversarial, ["true", "yes"]).alias("a"), (F.col(domain) if domain else F.lit("safety")).alias("domain"))
+    label = F.greatest("h", "a")
+    threat = F.when(F.col("a") > 0, "prompt_injection").when(F.col("h") > 0, "harmful_completion").otherwise("human_benign")
+    return finalise(d.select("text", label.alias("label"), threat.alias("threat_class"), F.when(label > 0, "adversarial_human_or_llm").otherwise("human").alias("generator"), "domain"), dataset)
+
+
+def build_text_corpus(parts: dict[str, DataFrame], threshold: float = 0.9, near: bool = True) -> DataFrame:
+    """All corpora under one another, each text once over all of them, near copies too, with new uids: copies across corpora would leak between splits."""
+    from functools import reduce
+
+    from plumbline.operators.dedup import exact_dedupe, near_dedupe
+
+    if not parts:
+        raise ValueError("no corpora")
+    order = F.struct("_o", "uid")
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.select("uid", *KEEP).withColumn("_o", F.lit(i)) for i, df in enumerate(parts.values())])
+    every = exact_dedupe(every.withColumn("_k", F.concat_ws(":", F.lpad(F.col("_o").cast("string"), 6, "0"), "uid")), "_k", "text")
+    if near:
+        every = near_dedupe(every, "_k", "text", threshold)
+    return every.select(F.concat(F.lit("corpus:"), F.md5(F.to_json(order))).alias("uid"), *KEEP)
+
+
+def drop_heavy(df: DataFrame, columns: list[str] = ("raw", "html", "embedding")) -> DataFrame:
+    """df without columns that no later step reads."""
+    return df.drop(*columns)
+
+
+def resolve_first(sources: list[tuple[str, callable]], least: int = 1) -> tuple[str, DataFrame]:
+    """(name, rows) of the first source that can be read and has so many rows; the last one's error if none has."""
+    problem: Exception | None = None
+    for name, read in sources:
+        try:
+            df = read()
+            if df.limit(least).count() >= least:
+                return name, df
+            problem = ValueError(f"{name}: under {least} rows")
+        except Exception as e:  # the next source is tried, and this problem raised if none serves
+            problem = e
+    raise problem or ValueError("no sources")
+
+
 def first_writer_wins(parts: list[DataFrame], key: str) -> DataFrame:
     """The union of parts in order of precedence, one row a key."""
     from functools import reduce
@@ -61,4 +117,4 @@ def first_writer_wins(parts: list[DataFrame], key: str) -> DataFrame:
     return keep_first(every, [key], ["_o"]).drop("_o")
 
 
-PARSERS = {"flat": flat, "paired_answers": paired_answers, "paired_columns": paired_columns, "prompts": prompts}
+PARSERS = {"flat": flat, "paired_answers": paired_answers, "paired_columns": paired_columns, "prompts": prompts, "harm_flags": harm_flags}

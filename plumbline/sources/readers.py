@@ -95,17 +95,26 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mode", "DROPMALFORMED").json(path)
 
 
-def read_many(spark: SparkSession, paths: list[str], source: bool = True) -> DataFrame:
-    """The union by name of several files, with the name of each row's file and folder."""
-    parts = []
-    for p in paths:
-        df = read_any(spark, p)
+def read_many(spark: SparkSession, paths: list[str], source: bool = True, rows_per_file: int | None = None, files: int | None = None) -> DataFrame:
+    """The union by name of several files, with the name of each row's file and folder; files without rows or that can't be read are passed over.
+
+    rows_per_file and files are a caller's own limits; if no file can be read the last problem is raised.
+    """
+    parts, problem = [], ValueError("no files")
+    for p in paths[:files]:
+        try:
+            df = read_any(spark, p, limit=rows_per_file)
+            if df.isEmpty():
+                continue
+        except Exception as e:  # noqa: BLE001 - a broken file must not stop the others
+            problem = e
+            continue
         if source:
             at = F.col("_metadata.file_path") if suffix(p) != ".json" else F.lit(p)
             df = df.select("*", at.alias("_at")).withColumn("__source_file", F.element_at(F.split("_at", "/"), -1)).withColumn("__source_dir", F.element_at(F.split("_at", "/"), -2)).drop("_at")
         parts.append(df)
     if not parts:
-        raise ValueError("no files")
+        raise problem
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -148,6 +157,60 @@ def archive_members(spark: SparkSession, path: str, names: str = r"\.(csv|tsv|tx
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, content binary")
 
 
+def archive_table(spark: SparkSession, path: str, name: str, columns: list[str], skip: tuple[str, ...] = ()) -> DataFrame:
+    """(columns as strings, __source_dir) of the CSV file `name` in every archive within the archives at path.
+
+    __source_dir is the inner archive's name without its endings.  Nothing is
+    unpacked to disk; rows are read in pieces, an archive at a time in a task.
+    """
+    left = tuple(x.lower() for x in skip)
+
+    def rows(batches):
+        import io
+        import tarfile
+        import zipfile
+
+        def inner(raw: bytes):
+            f = io.BytesIO(raw)
+            if zipfile.is_zipfile(f):
+                with zipfile.ZipFile(f) as z:
+                    yield from ((n, z.read(n)) for n in sorted(z.namelist()) if n.lower().endswith(".zip"))
+            else:
+                f.seek(0)
+                with tarfile.open(fileobj=f) as t:
+                    yield from ((m.name, t.extractfile(m).read()) for m in sorted(t.getmembers(), key=lambda m: m.name) if m.isfile() and m.name.lower().endswith(".zip"))
+
+        for b in batches:
+            for raw in b["content"]:
+                for member, blob in inner(raw):
+                    group = re.sub(r"(\.csv)?\.zip$", "", member.rsplit("/", 1)[-1], flags=re.IGNORECASE)
+                    if group.lower() in left:
+                        continue
+                    with zipfile.ZipFile(io.BytesIO(blob)) as z:
+                        for n in z.namelist():
+                            if n.rsplit("/", 1)[-1].lower() == name.lower() and "__MACOSX" not in n:
+                                with z.open(n) as f:
+                                    for part in pd.read_csv(f, dtype=str, chunksize=100_000, encoding="utf-8", encoding_errors="replace", on_bad_lines="skip"):
+                                        yield part.reindex(columns=columns).assign(__source_dir=group)
+
+    schema = ", ".join(f"`{c}` string" for c in [*columns, "__source_dir"])
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, schema)
+
+
+def extract_archives(spark: SparkSession, path: str, to: str) -> DataFrame:
+    """(archive, member, content) of an archive's members, written once below `to` by the committed writer.
+
+    The writer's own mark of success is the sentinel: with it the members are
+    read from there and the archive isn't opened.  Names that lead out of a
+    folder are left out.
+    """
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{to.rstrip('/')}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        safe = ~F.col("member").startswith("/") & ~F.array_contains(F.split("member", r"[/\\]"), "..")
+        archive_members(spark, path, ".").where(safe).write.mode("overwrite").parquet(to)
+    return spark.read.parquet(to)
+
+
 def readiness(spark: SparkSession, places: dict[str, str]) -> DataFrame:
     """(dataset, status, files, bytes): READY, EMPTY or MISSING for each named folder."""
     rows = []

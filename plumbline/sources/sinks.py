@@ -61,3 +61,15 @@ def dashboard(records: DataFrame, limit: int = 20) -> tuple[DataFrame, DataFrame
         raise ValueError("limit must be 1 to 100")
     totals = records.agg(F.count("*").alias("total"), F.count_if(F.col("analysis_type") == "text").alias("texts"), F.count_if(F.col("analysis_type") == "network").alias("networks"), F.count_if(F.col("score") >= 0.6).alias("high_risk"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_score"))
     return totals, records.orderBy(F.desc("created_at")).limit(limit)
+
+
+def manifest_summary(manifest_: DataFrame) -> DataFrame:
+    """(provenance, datasets, rows) of a manifest's current entries."""
+    return manifest_.groupBy("provenance").agg(F.count("*").alias("datasets"), F.sum("rows").alias("rows")).orderBy("provenance")
+
+
+def status_table(readiness_: DataFrame, manifest_: DataFrame) -> DataFrame:
+    """(dataset, status, files, bytes, provenance, rows): what is on disk beside what was registered, problems first."""
+    j = readiness_.join(manifest_.select("dataset", "provenance", "rows"), "dataset", "full_outer")
+    order = F.when(F.col("status") == "MISSING", 0).when(F.col("status").isNull(), 1).when(F.col("status") == "EMPTY", 2).otherwise(3)
+    return j.select("dataset", F.coalesce("status", F.lit("UNKNOWN")).alias("status"), "files", "bytes", F.coalesce("provenance", F.lit("UNREGISTERED")).alias("provenance"), "rows").orderBy(order, "dataset")
