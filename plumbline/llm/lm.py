@@ -45,8 +45,9 @@ WORDS_LEAST, WORDS_MOST, WORDS_PER = 1 << 13, 1 << 20, 8
 #: log2 of the rows of the root's weights for 2**22 tokens, more for each eightfold, at most; the other nodes share twice as many.
 ROWS, ROWS_MOST = 13, 18
 #: Tokens of a minibatch, rounds, step size.
-BATCH, ROUNDS, STEP = 8192, 2, 0.15
+BATCH, ROUNDS, STEP = 2048, 2, 0.15
 PARTS = 8
+_ONES = np.ones(WIDTH, np.float32)
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 #: Codes of tokens outside the vocabulary and of ends; those of words are their rank from 0.
@@ -164,50 +165,60 @@ class Model:
 
     @staticmethod
     def _bias(size: np.ndarray, there: np.ndarray) -> np.ndarray:
-        return np.where(there, np.log(size + 0.5), -30).astype(np.float32)
+        out = np.log(size + 0.5)
+        out -= np.log((np.exp(out) * there).sum(axis=-1, keepdims=True) + 1e-9)
+        return np.where(there, out, -30).astype(np.float32)
 
     def rows(self, one: np.ndarray, two: np.ndarray):
         """Hashes of the three features."""
         return T.mix(one ^ _SALT[0]), T.mix(one * _SALT[1] + two), T.mix(two ^ _SALT[2])
 
-    @staticmethod
-    def softmax(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        return logits
-
-    def probabilities(self, one, two, codes):
-        """For the root, the level below, and all further levels: (table, places in codes, P of all slots, slot, rows used)."""
+    def logits(self, one, two, codes):
+        """For the root, the level below, and all further levels: (table, places in codes, logits of all slots, slot, rows used)."""
         root, steps = paths(codes, self.levels)
         features = self.rows(one, two)
         f = [self._top(x, 0) for x in features]
-        yield 0, np.arange(len(codes)), self._softmax(self.outer, f, self.outer_bias), root, f
+        yield 0, np.arange(len(codes)), self._sum(self.outer, f, self.outer_bias), root, f
         for some, use in ((steps[:1], features), (steps[1:], features[:1])):
             at, node, slot = (np.concatenate([s[k] for s in some]) for k in range(3)) if some else [np.zeros(0, np.int64)] * 3
             if len(at):
                 c = (node.astype(np.uint64) + np.uint64(1)) * _SALT[0]
                 g = [self._top(T.mix(x[at] + c), 1) for x in use]
-                yield 1, at, self._softmax(self.inner, g, self.inner_bias[node]), slot, g
+                yield 1, at, self._sum(self.inner, g, self.inner_bias.take(node, axis=0)), slot, g
 
     def _top(self, h: np.ndarray, table: int) -> np.ndarray:
         """The row that a hash names; 16 bits where they are enough, as these sort faster."""
         return (h >> np.uint64(64 - self.bits[table])).astype(np.uint16 if self.bits[table] <= 16 else np.uint32)
 
-    def _softmax(self, w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-        x = w[rows[0]]
+    @staticmethod
+    def _sum(w: np.ndarray, rows: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+        x = w.take(rows[0], axis=0)
         for r in rows[1:]:
-            x += w[r]
+            x += w.take(r, axis=0)
         x += bias
-        return self.softmax(x)
+        return x
+
+    @staticmethod
+    def total(x: np.ndarray) -> np.ndarray:
+        """x becomes exp(x), and its rows' sums are returned.  Logits are near log shares; should a sum overflow, rows are first drawn down."""
+        before = x.copy() if (high := float(x.max(initial=0))) > 60 else None
+        if before is not None:
+            x -= high
+        np.exp(x, out=x)
+        n = x @ _ONES
+        if before is not None and not (n > 0).all():
+            x[:] = np.exp(before - before.max(axis=1, keepdims=True))
+            n = x @ _ONES
+        return n
 
     def log10(self, one, two, codes) -> np.ndarray:
         """log10 of the probability of each code after its history."""
         out = np.zeros(len(codes))
         for a in range(0, len(codes), BATCH):
             s = slice(a, a + BATCH)
-            for _, at, p, slot, _ in self.probabilities(one[s], two[s], codes[s]):
-                out[s] += np.bincount(at, np.log10(np.maximum(p[np.arange(len(at)), slot], 1e-30)), minlength=len(out[s]))
+            for _, at, x, slot, _ in self.logits(one[s], two[s], codes[s]):
+                n = self.total(x)
+                out[s] += np.bincount(at, np.log10(np.maximum(x[np.arange(len(at)), slot], 1e-30) / n), minlength=len(out[s]))
         return out
 
 
@@ -217,7 +228,7 @@ def _step(w: np.ndarray, power: np.ndarray, met: np.ndarray, rows: list[np.ndarr
         o = np.argsort(r, kind="stable")
         r = r[o]
         cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        g = np.add.reduceat(slope[o], cut, axis=0)
+        g = np.add.reduceat(slope.take(o, axis=0), cut, axis=0)
         at = r[cut]
         power[at] += np.einsum("ij,ij->i", g, g) / WIDTH
         g *= (STEP / np.sqrt(power[at]))[:, None]
@@ -243,7 +254,8 @@ def _train(sent):
                 _, codes = m.v.look(e)
                 for a in range(0, len(e), BATCH):
                     s = slice(a, a + BATCH)
-                    for k, at, p, slot, rows in m.probabilities(one[s], two[s], codes[s]):
+                    for k, at, p, slot, rows in m.logits(one[s], two[s], codes[s]):
+                        p *= (1 / m.total(p))[:, None]
                         p[np.arange(len(at)), slot] -= 1
                         _step(tables[k], power[k], met[k], rows, p)
         if not met[0].any():
