@@ -21,12 +21,20 @@ def unique_rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     return d.select("key", "text"), d.select("key", "name")
 
 
-def numbered(docs: DataFrame, key: str) -> tuple[DataFrame, bool]:
-    """(docs with a column _row that every row has for itself, whether that is a row number).
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it none of docs' columns."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, key: str, name: str) -> tuple[DataFrame, bool]:
+    """(docs with a column of this new name that every row has for itself, whether that is a row number).
 
     It is the key if that is unique and never null; else the rows are written once under row numbers, as above.
     """
     rows, distinct = docs.agg(F.count("*"), F.count_distinct(key)).first()
     if rows == distinct:
-        return docs.withColumn("_row", F.col(key)), False
-    return stash(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered"), True
+        return docs.withColumn(name, F.col(key)), False
+    return stash(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), True

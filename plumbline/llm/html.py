@@ -49,7 +49,8 @@ SCOPE = frozenset("table td th caption template html".split())
 _MARKUP = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<odd>[!?][^>]*)(?:>|\Z)|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SHOWING = re.compile(r"(?:^|[;\s])(display|visibility)\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.I)
-_SIMPLE = re.compile(r"([.#]?)[\w-]+")
+#: A selector of one element: a name or none, then classes and ids.
+_COMPOUND = re.compile(r"(\*|[\w-]+)?((?:[.#][\w-]+)*)")
 _QUOTED = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|<!--|-->", re.S)
 _FEATURE = re.compile(r"\(\s*(min|max)-width\s*:\s*(\d+(?:\.\d*)?|\.\d+)(px|r?em)?\s*\)")
 #: Columns of pixels of the screen for which style sheets are read.
@@ -119,7 +120,12 @@ def declared(body: str):
 
 
 def parse(page: str) -> tuple[Node, dict]:
-    """(tree, what style sheets declare for simple selectors: for each and each property its strongest weight and value)."""
+    """(tree, what style sheets declare for selectors of one element).
+
+    By the selector's last id or class or its name: the names, classes and ids
+    that an element must have besides, and for each property the strongest
+    weight and its value.
+    """
     root = Node("#root", {})
     stack, sheet, at = [root], {}, 0
     order = 0
@@ -186,11 +192,14 @@ def parse(page: str) -> tuple[Node, dict]:
                     for selectors, body in rules(raw):
                         order += 1
                         for sel in selectors.split(","):
-                            if m := _SIMPLE.fullmatch(sel.strip()):
-                                key = m[0] if m[1] else m[0].lower()
+                            if (m := _COMPOUND.fullmatch(sel.strip())) and m[0]:
+                                tag, marks = (m[1] or "").lower(), re.findall(r"[.#][\w-]+", m[2])
+                                parts = [*([tag] if tag not in ("", "*") else []), *sorted(set(marks), key=lambda x: (x[0] == "#", x))]
+                                key, also = (parts[-1], frozenset(parts[:-1])) if parts else ("*", frozenset())
+                                power = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), int(tag not in ("", "*")))
                                 for what, value, important in declared(body):
-                                    mine = sheet.setdefault(key, {})
-                                    weight = (important, {"": 1, ".": 2, "#": 3}[m[1]], order)
+                                    mine = sheet.setdefault(key, {}).setdefault(also, {})
+                                    weight = (important, power, order)
                                     if weight >= mine.get(what, ((),))[0]:
                                         mine[what] = (weight, value)
                 if name == "textarea":
@@ -207,16 +216,19 @@ def parse(page: str) -> tuple[Node, dict]:
 def style_of(node: Node, sheet: dict) -> dict[str, str]:
     """display and visibility of an element, where declared: the strongest declaration, of equally strong ones the last."""
     a, best = node.attrs, {}
+    own = (4,)  # an element's own style is stronger than any selector
     if "hidden" in a or (node.name == "dialog" and "open" not in a):
-        best["display"] = ((False, 0, 0), "none")
+        best["display"] = ((False, (0,), 0), "none")
     if sheet:
-        for key in ("*", node.name, *(f".{c}" for c in a.get("class", "").split()), f"#{a.get('id')}"):
-            for what, found in sheet.get(key, {}).items():
-                best[what] = max(best.get(what, ((False, -1, 0), "")), found)
-    for what, value, important in declared(a.get("style", "")) if "style" in a else ():
-        best[what] = max(best.get(what, ((False, -1, 0), "")), ((important, 4, 0), value), key=lambda x: x[0])
-        if best[what][0][:2] == (important, 4):
-            best[what] = ((important, 4, 0), value)
+        keys = ["*", node.name, *(f".{c}" for c in a.get("class", "").split()), *([f"#{a['id']}"] if "id" in a else [])]
+        have = set(keys)
+        for key in keys:
+            for also, found in sheet.get(key, {}).items():
+                if also <= have:
+                    for what, x in found.items():
+                        best[what] = max(best.get(what, ((False, (-1,), 0), "")), x)
+    for k, (what, value, important) in enumerate(declared(a.get("style", "")) if "style" in a else ()):
+        best[what] = max(best.get(what, ((False, (-1,), 0), "")), ((important, (1 << 30, *own), k), value), key=lambda x: x[0])
     return {what: value for what, (_, value) in best.items()}
 
 
@@ -390,30 +402,59 @@ def render(root: Node, depth: int = 0, pre: bool = False) -> str:
 
 
 def table(node: Node, depth: int) -> list[str]:
-    """Lines of a table: a caption, then rows with their cells padded to the columns' widths."""
+    """Lines of a table: a caption, then rows with their cells padded to the columns' widths.
+
+    A cell that spans rows keeps its columns free in those below, as far as its
+    group of rows goes.
+    """
     rows, heads, loose = [], [], []
-    todo = list(reversed(node.kids))
+    todo, down = list(reversed(node.kids)), {}  # down: rows for which a column is still taken
+
+    def free(cells: list, more: bool = True) -> None:
+        """Go on to a column that isn't taken; at a row's end over all taken ones."""
+        while down.get(len(cells), 0) > 0 or not more and any(c >= len(cells) for c in down):
+            c = len(cells)
+            cells.append([""])
+            if down.get(c, 0) > 1:
+                down[c] -= 1
+            else:
+                down.pop(c, None)
+
+    def number(text: str, most: int) -> int:
+        return min(int(text), most) if re.fullmatch(r"[1-9]\d{0,5}", text) else 1
+
     while todo:
         k = todo.pop()
-        if isinstance(k, str):
+        if k is None:
+            down.clear()
+        elif isinstance(k, str):
             if k.strip():
                 loose.append(_SPACE.sub(" ", k).strip())
         elif k.name in ("thead", "tbody", "tfoot"):
+            down.clear()
+            todo.append(None)
             todo.extend(reversed(k.kids))
         elif k.name == "tr" or k.name in ("td", "th"):
-            cells = []
+            cells, new = [], {}
             for c in k.kids if k.name == "tr" else [k]:
                 if isinstance(c, str):
                     if c.strip():
                         loose.append(_SPACE.sub(" ", c).strip())
                 else:
                     if c.name in ("td", "th"):
-                        span = c.attrs.get("colspan", "1")
-                        text = render(c, depth + 1)
-                        cells.append(text.split("\n"))
-                        cells.extend([""] for _ in range(min(int(span), 1000) - 1 if re.fullmatch(r"[1-9]\d{0,5}", span) else 0))
+                        if k.name == "tr":
+                            free(cells)
+                        across, rest = number(c.attrs.get("colspan", "1"), 1000), c.attrs.get("rowspan", "1").strip()
+                        begin, below = len(cells), (1 << 16 if rest == "0" else number(rest, 1 << 16)) - 1
+                        cells.append(render(c, depth + 1).split("\n"))
+                        cells.extend([""] for _ in range(across - 1))
+                        if below and k.name == "tr":
+                            new.update((i, below) for i in range(begin, len(cells)))
                     else:
                         loose.append(render(c, depth + 1))
+            if k.name == "tr":
+                free(cells, False)
+                down.update(new)
             if k.name == "tr" or not rows or not getattr(rows[-1], "open", False):
                 rows.append(cells)
             else:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._keys import numbered
+from plumbline.llm._keys import numbered, unused
 from plumbline.llm._spans import cutter, let, running, total
 from plumbline.store import stash
 
@@ -211,7 +211,8 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """docs with personal data masked in the text, each row by its own spans; keys may repeat or be null.  A null text stays null."""
-    d, _ = numbered(docs, key)
-    found_ = personal_data(d, "_row", text, **settings).where(F.size("spans") > 0).select("_row", F.col("spans").alias("_spans"))
-    out = d.join(found_, "_row", "left")
-    return out.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("_spans")))).select(*docs.columns)
+    row, found_ = unused(docs, "_row"), unused(docs, "_spans")
+    d, _ = numbered(docs, key, row)
+    spans = personal_data(d.select(row, text), row, text, **settings).where(F.size("spans") > 0).select(row, F.col("spans").alias(found_))
+    out = d.join(spans, row, "left")
+    return out.withColumn(text, F.when(F.col(found_).isNull(), F.col(text)).otherwise(masked(F.col(text), F.col(found_)))).select(*docs.columns)

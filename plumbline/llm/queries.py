@@ -46,6 +46,7 @@ def tokenizer(name: str) -> str:
 
 @query
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids by place, number and checksum, as read back from the bit-packed blocks that were written."""
     path = place(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), 2)
     return read_tokens(spark, path, ids=False)
@@ -53,11 +54,13 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 0, 2048).drop("tokens")
 
 
 @query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and the component of links that it is in."""
     return jaccard_join(table(spark, sf_dir, "documents")).withColumn("n_shingles", F.col("n_shingles").cast("long"))
 
 
@@ -77,16 +80,63 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(root) AS c FR
 
 @query
 def op7_ngram_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain counts of every document, the n-gram ratio, and the verdict."""
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def plain_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op7 that SQL can say: the operator's own, without its ratio and verdict."""
+    return op7_ngram_ratio_rules(spark, sf_dir).drop("ratio", "kept")
+
+
+#: The words of a text as they are, in DuckDB.
+PLAIN = WORDS.format("coalesce(text, '')")
+SQL["plain_rules_base"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {PLAIN} AS w FROM documents),
+v AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM d WHERE len(w) >= 3),
+r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM v) WHERE c > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d),
+c AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+
+
 @query
 def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: how many of each kind by the plain shapes, and all spans, those of the patterns too."""
     found = personal_data(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", (lambda k: lambda x: x["kind"] == k)(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+@query
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op2 that SQL can say: what the plain shapes find."""
+    return op2_bootstrapped_pii(spark, sf_dir).drop("spans")
+
+
+_OCTET = "0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr({_DIGITS}, length({_DIGITS}) - i + 1, 1)::INT ELSE (2 * substr({_DIGITS}, length({_DIGITS}) - i + 1, 1)::INT) % 10 + (2 * substr({_DIGITS}, length({_DIGITS}) - i + 1, 1)::INT) // 10 END)) % 10 = 0"
+#: Kind, shape as the contract writes it, what a match must be.
+_BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", rf"regexp_full_match(v, '{_OCTET}(\.{_OCTET}){{3}}')"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
+]
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS k, '{kind}' AS kind, s, v FROM (SELECT doc_id, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)))::BIGINT AS s, unnest(m) AS v "
+    f"FROM (SELECT doc_id, regexp_extract_all(t, '{shape}') AS m, regexp_split_to_array(t, '{shape}') AS g FROM d)) WHERE {good}"
+    for k, (kind, shape, good) in enumerate(_BASE)
+)
+SQL["personal_data_base"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({_FOUND})
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind, _, _ in _BASE)}, sha256(coalesce(string_agg(kind || ':' || s || ':' || (s + length(v)), ',' ORDER BY s, k), '')) AS base_sha256
+FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def quality_model(docs: DataFrame, labels: DataFrame) -> NeighbourModel:
     """Learnt from labels whose key isn't held out."""
     return fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
@@ -94,6 +144,7 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> NeighbourModel:
 
 @query
 def op9_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score and label by its labelled neighbours."""
     docs = table(spark, sf_dir, "documents")
     out = knn_quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
@@ -101,16 +152,33 @@ def op9_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leak of a benchmark item into a document."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query
 def op6_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability by the model and by add-one counts."""
     out = language_model_scores(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) != 2)
     held_out = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(True))
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def add_one_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of op6 that SQL can say: the counts and the add-one score, to four places."""
+    return op6_maxent_scores(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+
+
+#: crc32 of a key as text: a byte at a time, eight steps each.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT)"
+SQL["add_one_base"] = f"""
+WITH d AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, {WORDS.format(LOWER)} AS w FROM documents), t AS (SELECT doc_id, held_out, unnest(list_append(list_transform(w, lambda x: 'w' || x), 'end')) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), n AS (SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1.0))), 4) AS base_score FROM t LEFT JOIN c USING (w), n GROUP BY doc_id, held_out
+"""
+
+
 def chat_digests(chats: DataFrame) -> DataFrame:
     """What op10 returns of formatted chats (conv_id, formatted, loss), read back from them."""
     out = chats.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss")).alias("loss"))
@@ -164,5 +232,6 @@ SQL["chat_layouts"] = f"WITH c AS ({TURNS}) {CHATS}"
 
 @query
 def op8_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page as a browser would lay it out."""
     out = extract_pages(table(spark, sf_dir, "pages"))
     return out.select("page_id", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -106,3 +106,17 @@ def test_hidden_elements_are_these_alone():
     hidden = "head title script style template noscript iframe object audio video canvas datalist noembed noframes".split()
     for name in [*hidden, *"div p span section nav article math textarea button label summary b td".split()]:
         assert page_text(f"<{name}>word</{name}>") == ("" if name in hidden else "word"), name
+
+
+def test_cells_that_span_rows():
+    page = "<table><tr><th rowspan=2>a<th>b<th colspan=2>c</tr><tr><td>d<td rowspan=0>e<td>f</tr><tr><td>g<td>h<td>i</tr><tbody><tr><td>j<td>k<td rowspan=9>l<tr><td>m</table>"
+    assert page_text(page) == "a  b  c\n   d  e  f\ng  h     i\nj  k  l\nm"
+    assert page_text("<table><tr><td rowspan=99999>x<td>y<tr><tr><td>z</table>") == "x  y\n   z"
+
+
+def test_selectors_of_one_element():
+    css = "<style>p.a{display:none} .a.b{display:block} #k.c{display:none} *.d{visibility:hidden} p.a#z{display:block!important} q.a{display:none} div .e{display:none}</style>"
+    page = css + "<p class=a>one<p class='b a'>two<p id=k>three<p id=k class=c>four<p class=d>five<p class=a id=z>six<div class=a>seven</div><div><i class=e>eight</i></div>"
+    # the fourth names an element by id and class, the second has two classes against a name and a class
+    assert page_text(page).split() == ["two", "three", "six", "seven", "eight"]
+    assert page_text("<style>.a{display:none!important}.b.c{display:block}</style><p class='a b c' style='display:block'>no</p><p class=a style='display:block!important'>yes</p>") == "yes"

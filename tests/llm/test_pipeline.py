@@ -84,3 +84,20 @@ def test_only_rows_that_leak_go(spark):
     want = sorted(r.source for r in P.decontamination(spark, docs, SF).collect())
     assert len(want) < docs.count()
     assert sorted(r.source for r in P.decontamination(spark, mixed, SF).collect()) == want
+
+
+def test_empty_tables_nulls_and_clashing_columns(spark):
+    rows = [(1, None, "_row"), (2, "", "key"), (3, "mail a.b@c.org now", "x"), (None, "mail a.b@c.org now", None), (4, "word " * 300, "part")]
+    docs = spark.createDataFrame([(i, t, s, s, 7, 8, 9) for i, t, s in rows], "doc_id long, text string, source string, _row string, key int, part int, n_chars long")
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
+    dup = P.near_duplicates(spark, docs, SF)
+    assert dup.columns == docs.columns and sorted((r.doc_id, r._row) for r in dup.collect()) == [(1, "_row"), (2, "key"), (3, "x"), (4, "part")]
+    clean = P.decontamination(spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() == 5
+    hidden = P.personal_data(spark, docs, SF).collect()
+    assert sorted((r._row or "", r.text) for r in hidden if r.text and "mail" in r.text) == [("", "mail <email> now"), ("x", "mail <email> now")]
+    assert [r.n_chars for r in hidden if r.doc_id == 1] == [None] and {r.key for r in hidden} == {7}
+    assert P.quality(spark, docs, SF).columns == docs.columns
+    pieces = P.packing(spark, docs, SF).collect()
+    assert len({(r.doc_id, r.piece) for r in pieces}) == len(pieces) == 5
