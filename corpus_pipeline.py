@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm._keys import numbered
+from plumbline.llm._keys import numbered, unused
 from plumbline.llm.decontam import contaminated
 from plumbline.llm.jaccard import jaccard_join
 from plumbline.llm.knn import keep_good
@@ -29,22 +29,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of links one row stays: that of the smallest id, one without an id only where none has any."""
-    d, renamed = numbered(docs, "doc_id")
-    of = jaccard_join(d.select("_row", "text"), "_row")
+    row = unused(docs, "_row")
+    d, renamed = numbered(docs, "doc_id", row)
+    of = jaccard_join(d.select(row, "text"), row).withColumnRenamed(row, "row")
     if renamed:
-        of = of.join(d.select("_row", "doc_id"), "_row")
-        least = of.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("stays"))
+        of = of.join(d.select(F.col(row).alias("row"), "doc_id"), "row")
+        least = of.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("stays"))
         of = of.join(least, "component_id")
     else:
         of = of.withColumn("stays", F.col("component_id"))
-    return d.join(of.where(F.col("_row") != F.col("stays")).select("_row"), "_row", "left_anti").select(*docs.columns)
+    return d.join(of.where("row <> stays").select(F.col("row").alias(row)), row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows into whose own text a benchmark item leaked go."""
-    d, _ = numbered(docs, "doc_id")
-    leaks = contaminated(d, _table(spark, sf_dir, "benchmark"), "_row").select("_row").distinct()
-    return d.join(leaks, "_row", "left_anti").select(*docs.columns)
+    row = unused(docs, "_row")
+    d, _ = numbered(docs, "doc_id", row)
+    leaks = contaminated(d.select(row, "text"), _table(spark, sf_dir, "benchmark"), row).select(row).distinct()
+    return d.join(leaks, row, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
