@@ -36,8 +36,8 @@ from plumbline.store import arrow_bytes
 
 #: Hashed words, right vectors, the first of them that aren't used, further columns of the sketch, words of a passage, parts in which sums are dealt.
 FEATURES, RANK, SKIP, OVER, PASSAGE, PARTS = 8192, 40, 8, 8, 32, 8
-#: Passages that are added to the sketch in one go, about.
-PASSAGES = 1 << 14
+#: Passages that are added to the sketch in one go, about; words of a very long text whose windows are searched in one go.
+PASSAGES, SPAN = 1 << 14, 1 << 16
 #: Items of a block; cosine of a candidate; shares of an item's words that leak alone and with the answer; words that always do.
 ITEMS, COSINE, ALONE, WITH_ANSWER, LEAST = 20_000, 0.5, 0.6, 0.5, 10
 
@@ -228,16 +228,19 @@ def verdict(item: list[int], answer: list[int], region: list[int]) -> tuple[int,
     return (k, there) if k * 1000 >= int(ALONE * 1000) * n or there else None
 
 
-def windows(first: np.ndarray, size: int, most: int = 1 << 14):
-    """(text, first word, end) of windows, each a quarter of its length after the one before; the last one ends with the text.  So many at a time."""
+def windows(first: np.ndarray, size: int, low: int = 0, high: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end) of windows, each a quarter of its length after the one before; the last one ends with the text.
+
+    low, high: only those that begin between these words, of a single text.
+    """
     n, step = np.diff(first), max(1, size // 4)
     many = np.where(n > 0, np.maximum(0, -(-(n - size) // step)) + 1, 0)
-    begin = np.concatenate([[0], np.cumsum(many)])
-    for a in range(0, int(begin[-1]), most):
-        k = np.arange(a, min(a + most, int(begin[-1])))
-        doc = np.searchsorted(begin, k, side="right") - 1
-        start = first[doc] + (k - begin[doc]) * step
-        yield doc, start, np.minimum(start + size, first[doc + 1])
+    if high is not None:
+        start = np.arange(-(-low // step), min(int(many[0]), -(-high // step))) * step
+        return np.zeros(len(start), np.int64), start, np.minimum(start + size, n[0])
+    doc = np.repeat(np.arange(len(n)), many)
+    start = first[doc] + (np.arange(len(doc)) - np.concatenate([[0], np.cumsum(many)])[doc]) * step
+    return doc, start, np.minimum(start + size, first[doc + 1])
 
 
 def _search(sent, tables):
@@ -253,20 +256,25 @@ def _search(sent, tables):
                 h = np.concatenate([p.words for p in some])
                 first = some[0].first if len(some) == 1 else np.array([0, len(h)])
                 best: dict[tuple[int, int], tuple] = {}
-                for size, (at, vectors) in items.groups.items():
-                    for doc, start, end in windows(first, size):
-                        low = int(start[0])
-                        run_ = np.zeros((int(end.max()) - low + 1, table.shape[1]))
-                        np.cumsum(table[_hashed(h[low : low + len(run_) - 1])], axis=0, out=run_[1:])
-                        v = (run_[end - low] - run_[start - low]).astype(np.float32)
-                        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-                        cos = v @ vectors.T
-                        where, which = np.nonzero(cos >= COSINE)
-                        for w, k in zip(where.tolist(), which.tolist(), strict=True):
-                            d, item = int(doc[w]), int(at[k])
-                            lo, hi = max(int(first[d]), int(start[w]) - size // 4), min(int(first[d + 1]), int(end[w]) + size // 4)
-                            if got := verdict(item_words[item], answers[item], h[lo:hi].tolist()):
-                                best[d, item] = max(best.get((d, item), (0, False, 0.0)), (*got, float(cos[w, k])))
+                # a very long text is gone through in spans, so that its words' vectors aren't all there at once
+                spans = [(0, None)] if len(some) == 1 else [(a, a + SPAN) for a in range(0, len(h), SPAN)]
+                for low, high in spans:
+                    stop = len(h) if high is None else min(len(h), high + max(items.groups, default=0))
+                    run_ = np.zeros((stop - low + 1, table.shape[1]))
+                    np.cumsum(table[_hashed(h[low:stop])], axis=0, out=run_[1:])
+                    for size, (at, vectors) in items.groups.items():
+                        doc, start, end = windows(first, size, low, high)
+                        for a in range(0, len(doc), 1 << 14):
+                            part = slice(a, a + (1 << 14))
+                            v = (run_[end[part] - low] - run_[start[part] - low]).astype(np.float32)
+                            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+                            cos = v @ vectors.T
+                            where, which = np.nonzero(cos >= COSINE)
+                            for w, k in zip(where.tolist(), which.tolist(), strict=True):
+                                d, item = int(doc[a + w]), int(at[k])
+                                lo, hi = max(int(first[d]), int(start[a + w]) - size // 4), min(int(first[d + 1]), int(end[a + w]) + size // 4)
+                                if got := verdict(item_words[item], answers[item], h[lo:hi].tolist()):
+                                    best[d, item] = max(best.get((d, item), (0, False, 0.0)), (*got, float(cos[w, k])))
                 found += [(keys[i + d].as_py(), items.ids[item], n, len(item_words[item]), there, c) for (d, item), (n, there, c) in best.items()]
             cols = list(zip(*found, strict=True)) if found else [[]] * 6
             types = [keys.type, pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.float64()]

@@ -76,6 +76,7 @@ def test_scores_of_neighbours(both):
 
 
 def test_sketch_and_search(both, monkeypatch):
+    monkeypatch.setattr(decontam, "SPAN", 11)
     monkeypatch.setattr(decontam, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
     texts = pa.RecordBatch.from_arrays([pa.array(made())], ["text"])
     for a, b in zip(*both(lambda raw, off: list(decontam._gather([texts]))), strict=True):
