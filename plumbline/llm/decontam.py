@@ -38,6 +38,8 @@ from plumbline.store import arrow_bytes
 FEATURES, RANK, SKIP, OVER, PASSAGE, PARTS = 8192, 40, 8, 8, 32, 8
 #: Passages that are added to the sketch in one go, about; words of a very long text whose windows are searched in one go.
 PASSAGES, SPAN = 1 << 14, 1 << 16
+#: Bytes of a block's items.
+BYTES = 32 << 20
 #: Items of a block; cosine of a candidate; shares of an item's words that leak alone and with the answer; words that always do.
 ITEMS, COSINE, ALONE, WITH_ANSWER, LEAST = 20_000, 0.5, 0.6, 0.5, 10
 
@@ -297,7 +299,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     arrow_bytes(spark)
     d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     queries = benchmark.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("t")).where("t is not null and item is not null").distinct()
-    blocks = max(1, -(-queries.count() // ITEMS))
+    many, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    blocks = max(1, -(-many // ITEMS), -(-size // BYTES))
     table = latent_table(d)
     tables, out = spark.sparkContext.broadcast(table), None
     for b in range(blocks):
