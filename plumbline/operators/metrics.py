@@ -1,8 +1,8 @@
 """Threshold-aware metrics of scored rows (y, score), whole or by group.
 
 Scores are folded to one row of counts for each group and distinct score
-before anything is ordered, so ties are treated as one point and windows run
-over distinct scores.  Undefined values are null.
+before anything is ordered, so ties are treated as one point; counts up to a
+score are summed in ranges of scores.  Undefined values are null.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.relational import quantiles, running
+
 BETA2 = 1.5 * 1.5
 LOW_SUPPORT = 20
 CUTS = (0.35, 0.60, 0.82)
@@ -43,10 +45,9 @@ def evaluate(df: DataFrame, y: str = "y", score: str = "score", group: str | Non
 
     Where all scores are 0 or 1 the last three are null; with one class AUC, average precision and MCC are.
     """
-    d = points(prepared(df, y, score, group))
-    up = Window.partitionBy("g").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("g").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("below", F.coalesce(F.sum("neg").over(up), F.lit(0))).withColumn("tp", F.sum("pos").over(down)).withColumn("n", F.sum(F.col("pos") + F.col("neg")).over(down))
+    d = running(points(prepared(df, y, score, group)), ["g"], ["s"], ["pos", "neg"])
+    total = d.groupBy("g").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    d = d.join(total, "g").withColumn("below", F.col("before_neg")).withColumn("tp", F.col("P") - F.col("before_pos")).withColumn("n", F.col("tp") + F.col("N") - F.col("before_neg"))
     hit = F.col("s") >= threshold
     a = d.groupBy("g").agg(
         *(F.coalesce(F.sum(F.when(c, F.col(k))), F.lit(0)).alias(n) for n, c, k in (("tp", hit, "pos"), ("fp", hit, "neg"), ("fn", ~hit, "pos"), ("tn", ~hit, "neg"))),
@@ -68,9 +69,9 @@ def evaluate(df: DataFrame, y: str = "y", score: str = "score", group: str | Non
 
 def candidates(df: DataFrame, score: str = "score", steps: int = 201) -> DataFrame:
     """(threshold): score quantiles, 0.5 and the band cuts, distinct, inside (0, 1)."""
-    q = F.percentile(F.col("s"), F.array(*(F.lit(k / (steps - 1)) for k in range(steps))))
     p = df.select(F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"))
-    t = p.agg(F.concat(F.coalesce(q, F.array().cast("array<double>")), F.array(*map(F.lit, (0.5, *CUTS)))).alias("q")).select(F.explode("q").alias("t"))
+    q = quantiles(p, "s", [k / (steps - 1) for k in range(steps)])
+    t = q.select(F.explode(F.concat(F.coalesce("q", F.array().cast("array<double>")), F.array(*map(F.lit, (0.5, *CUTS))))).alias("t"))
     return t.select(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("t"))).alias("threshold")).distinct()
 
 
@@ -80,12 +81,11 @@ def sweep(df: DataFrame, thresholds: DataFrame, y: str = "y", score: str = "scor
     Thresholds are merged into the distinct scores and one running sum serves
     all: rows are never paired with thresholds.
     """
-    d = points(prepared(df, y, score)).select("s", "pos", "neg", F.lit(0).alias("k"))
-    t = thresholds.select(F.col("threshold").alias("s"), F.lit(0).alias("pos"), F.lit(0).alias("neg"), F.lit(1).alias("k"))
-    w = Window.orderBy(F.desc("s"), "k").rowsBetween(Window.unboundedPreceding, 0)
-    run = d.unionByName(t).withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w)).where("k = 1")
+    d = points(prepared(df, y, score)).select("s", "pos", "neg", F.lit(1).alias("k"))
+    t = thresholds.select(F.col("threshold").alias("s"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"), F.lit(0).alias("k")).distinct()
+    run = running(d.unionByName(t), [], ["s", "k"], ["pos", "neg"]).where("k = 0")
     all_ = d.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("P"), F.coalesce(F.sum("neg"), F.lit(0)).alias("N"))
-    j = run.join(F.broadcast(all_))  # one row
+    j = run.join(F.broadcast(all_)).withColumn("tp", F.col("P") - F.col("before_pos")).withColumn("fp", F.col("N") - F.col("before_neg"))  # one row
     tp, fp = F.col("tp"), F.col("fp")
     fn, tn = F.col("P") - tp, F.col("N") - fp
     x = rates(tp, fp, fn, tn)
@@ -130,9 +130,9 @@ def confusion(df: DataFrame, y: str = "y", score: str = "score", threshold: floa
 def roc_points(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr, precision) at each distinct score."""
     d = points(prepared(df, y, score))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     all_ = d.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = d.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w)).join(F.broadcast(all_))  # one row
+    j = running(d, [], ["s"], ["pos", "neg"]).join(F.broadcast(all_))  # one row
+    j = j.withColumn("tp", F.col("P") - F.col("before_pos")).withColumn("fp", F.col("N") - F.col("before_neg"))
     return j.select(F.col("s").alias("threshold"), F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 

@@ -21,6 +21,42 @@ def dense_index(df: DataFrame, key: str, name: str = "index", buckets: int = 102
     return out.withColumn(name, pos).select(*df.columns, name)
 
 
+def running(df: DataFrame, group: list[str], order: list[str], sums: list[str]) -> DataFrame:
+    """df with before_<c> for each c: its sum over the rows of the group that come earlier in the order, which has no ties.
+
+    Rows are summed within ranges of (group, order), and each range begins
+    with the sums of those before: no task sees a whole group.
+    """
+    from plumbline.store import stash
+
+    d = stash(df.repartitionByRange(*group, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    per = d.groupBy("_p", *group).agg(*(F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums)))
+    # a row for each range and group that it has a part of
+    earlier = Window.partitionBy(*group or [F.lit(0)]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_p", *group, *(F.coalesce(F.sum(f"_s{i}").over(earlier), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))))
+    here = Window.partitionBy("_p", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = d.select("*", *(F.coalesce(F.sum(c).over(here), F.lit(0)).alias(f"_h{i}") for i, c in enumerate(sums))).join(per, ["_p", *group])
+    return out.select(*df.columns, *((F.col(f"_h{i}") + F.col(f"_b{i}")).alias(f"before_{c}") for i, c in enumerate(sums)))
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row (q array<double>): exact quantiles by linear interpolation; null without rows.
+
+    Values are counted and the counts summed up in ranges, so no task holds all of them.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    r = running(c, [], ["v"], ["n"])
+    n = r.agg(F.coalesce(F.max(F.col("before_n") + F.col("n")), F.lit(0)).alias("total"))
+    at = F.array(*(F.lit(float(q)) for q in shares))
+    want = n.select(F.col("total").alias("_t"), F.transform(at, lambda q: q * (F.col("total") - 1)).alias("_at"))
+    spots = F.array_distinct(F.flatten(F.transform("_at", lambda a: F.array(F.floor(a), F.ceil(a)))))
+    hits = r.join(F.broadcast(want)).select("v", F.explode(F.filter(spots, lambda k: (k >= F.col("before_n")) & (k < F.col("before_n") + F.col("n")))).alias("k"))  # one row of places
+    found = hits.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    j = want.join(F.broadcast(found))
+    low, high = (lambda a: F.element_at("m", F.floor(a))), (lambda a: F.element_at("m", F.ceil(a)))
+    return j.select(F.when(F.col("_t") > 0, F.transform("_at", lambda a: low(a) + (high(a) - low(a)) * (a - F.floor(a)))).alias("q"))
+
+
 def quota(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each group in an order: the operator's own limit.  Spark keeps n rows a group before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)
@@ -96,15 +132,16 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, rho) for each pair of columns: Pearson over average ranks; null for a constant column.
 
-    Ranks come from counts of distinct values, whose rows are few when values tie.
+    Ranks come from counts of distinct values, added up in ranges; rows with a very common value are dealt to several tasks.
     """
-    long = df.select(F.monotonically_increasing_id().alias("_id"), *columns).unpivot(["_id"], columns, "c", "v")
-    tie = long.groupBy("c", "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    rank = tie.select("c", "v", (F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2).alias("r"))
-    out = df
+    from plumbline.operators.skew import spread_join
+
+    out = df.select(F.monotonically_increasing_id().alias("_id"), *columns)
+    tie = out.unpivot(["_id"], columns, "c", "v").where("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
+    rank = running(tie, ["c"], ["v"], ["n"]).select("c", "v", "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("r"))
     for c in columns:
-        out = out.join(rank.where(F.col("c") == c).select(F.col("v").alias(c), F.col("r").alias(f"_r_{c}")), c, "left")
+        one = rank.where(F.col("c") == c).select(F.col("v").alias(c), F.col("r").alias(f"_r_{c}"), "n")
+        out = spread_join(out, one.drop("n"), [c], F.col("_id"), "left", counts=one.select(c, F.col("n").alias("c")))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     x = lambda c: F.col(f"_r_{c}").cast("double")
     one = out.agg(*(F.covar_pop(x(a), x(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)), *(F.stddev_pop(x(c)).alias(f"s_{c}") for c in columns))

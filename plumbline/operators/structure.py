@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.relational import dense_index, running
 from plumbline.store import stash
 
 #: Accounts up to which betweenness is exact; accounts from which it is estimated beyond.
@@ -58,8 +59,7 @@ def structural_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def gini(counts: DataFrame, value: str) -> DataFrame:
     """One row (gini) of the inequality of a count.  Ranks come from a count for each value, so equal values share one row."""
     tie = counts.groupBy(F.col(value).cast("double").alias("x")).agg(F.count("*").alias("c"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    r = tie.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    r = running(tie, [], ["x"], ["c"]).withColumnRenamed("before_c", "before")
     # ranks before+1 .. before+c
     a = r.agg(F.sum(F.col("x") * (F.col("c") * F.col("before") + F.col("c") * (F.col("c") + 1) / 2)).alias("s"), F.sum(F.col("x") * F.col("c")).alias("t"), F.sum("c").alias("n"))
     g = 2 * F.col("s") / (F.col("n") * F.col("t")) - (F.col("n") + 1) / F.col("n")
@@ -178,8 +178,6 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 5, supplied: s
     """
     if supplied is not None and not nodes.where(F.col(supplied).isNotNull()).isEmpty():
         names = nodes.where(F.col(supplied).isNotNull()).select(F.col(supplied).cast("string").alias("_c")).distinct()
-        from plumbline.operators.relational import dense_index
-
         num = dense_index(names, "_c").select("_c", (F.col("index") + 1).alias("community"))
         return nodes.select("user_id", F.col(supplied).cast("string").alias("_c")).join(num, "_c", "left").select("user_id", F.coalesce("community", F.lit(0)).cast("long").alias("community"))
     e = edges.where("source <> target").select("source", "target").union(edges.where("source <> target").select("target", "source")).distinct()
@@ -189,8 +187,8 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 5, supplied: s
         n = e.join(lab, "target").groupBy("source", "l").agg(F.count("*").alias("c"))
         lab = stash(n.groupBy("source").agg(F.min(F.struct(-F.col("c"), F.col("l").alias("l")))["l"].alias("l")).withColumnRenamed("source", "target"), "labels")
     size = lab.groupBy("l").agg(F.count("*").alias("s"), F.min("target").alias("m"))
-    num = size.withColumn("community", F.row_number().over(Window.orderBy(F.desc("s"), "m")))
-    return lab.join(num.select("l", "community"), "l").select(F.col("target").alias("user_id"), "community")
+    num = dense_index(size.withColumn("_o", F.struct(-F.col("s"), "m")), "_o").select("l", (F.col("index") + 1).alias("community"))
+    return lab.join(num, "l").select(F.col("target").alias("user_id"), "community")
 
 
 def dropout(edges: DataFrame, share: float, seed: int = 42, training: bool = True) -> DataFrame:
@@ -203,8 +201,6 @@ def dropout(edges: DataFrame, share: float, seed: int = 42, training: bool = Tru
 
 def permuted_targets(edges: DataFrame, seed: int = 42) -> DataFrame:
     """(source, target): the same sources and targets, the targets in a seeded order: a graph without structure to compare with."""
-    from plumbline.operators.relational import dense_index
-
     key = F.concat_ws(":", F.lit(str(seed)), F.col("source").cast("string"), F.col("target").cast("string"))
     e = edges.select("source", "target").distinct()
     plain = dense_index(e.withColumn("_k", F.struct("source", "target")), "_k", "i").select("source", "i")

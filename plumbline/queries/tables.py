@@ -65,7 +65,7 @@ def a5_account_scores_hist(spark, sf_dir):
 @query("WITH q AS (SELECT quantile_cont(n_chars, [0.25, 0.5, 0.75]) AS q FROM documents), b AS (SELECT CASE WHEN n_chars <= q[1] THEN 1 WHEN n_chars <= q[2] THEN 2 WHEN n_chars <= q[3] THEN 3 ELSE 4 END AS bucket, n_chars FROM documents, q) SELECT bucket, count(*) AS n, round(avg(n_chars), 6) AS mean FROM b GROUP BY 1")
 def a7_quartiles(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("n_chars")
-    q = d.agg(F.percentile("n_chars", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = R.quantiles(d, "n_chars", [0.25, 0.5, 0.75])
     b = d.join(F.broadcast(q)).select(F.when(F.col("n_chars") <= F.col("q")[0], 1).when(F.col("n_chars") <= F.col("q")[1], 2).when(F.col("n_chars") <= F.col("q")[2], 3).otherwise(4).alias("bucket"), "n_chars")  # one row of cuts
     return rounded(b.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean")))
 

@@ -71,5 +71,5 @@ def manifest_summary(manifest_: DataFrame) -> DataFrame:
 def status_table(readiness_: DataFrame, manifest_: DataFrame) -> DataFrame:
     """(dataset, status, files, bytes, provenance, rows): what is on disk beside what was registered, problems first."""
     j = readiness_.join(manifest_.select("dataset", "provenance", "rows"), "dataset", "full_outer")
-    order = F.when(F.col("status") == "MISSING", 0).when(F.col("status").isNull(), 1).when(F.col("status") == "EMPTY", 2).otherwise(3)
+    order = F.when(F.col("status") == "MISSING", 0).when(F.col("status") == "UNKNOWN", 1).when(F.col("status") == "EMPTY", 2).otherwise(3)
     return j.select("dataset", F.coalesce("status", F.lit("UNKNOWN")).alias("status"), "files", "bytes", F.coalesce("provenance", F.lit("UNREGISTERED")).alias("provenance"), "rows").orderBy(order, "dataset")

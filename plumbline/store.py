@@ -2,30 +2,58 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The session whose tables go at the driver's end, once there are any.
+_ENDING: list[SparkSession] = []
 #: What the session had for bytes of a batch when first asked.
 _BYTES: dict[str, str] = {}
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) one of our own."""
+    """The folder named by spark.checkpoint.dir; one of our own where that is unset, on a single machine (tests) only.
+
+    On a cluster such a folder would be the driver's alone, so that is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.sparkContext.getCheckpointDir()
         if not at:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
             at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared(spark)}/plumbline/{spark.sparkContext.applicationId}"
+
+
 def place(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in this application's part of it."""
+    if not _ENDING:
+        _ENDING.append(spark)
+        atexit.register(_end)
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has placed; nothing may read it any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _end() -> None:
+    """At the driver's end nothing reads the application's tables; a session that has been stopped leaves them."""
+    with contextlib.suppress(Exception):
+        clear(_ENDING[0])
 
 
 def stash(df: DataFrame, name: str, **options) -> DataFrame:
