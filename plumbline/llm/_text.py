@@ -54,17 +54,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+def tidy() -> None:
+    """Give memory that isn't used back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidied(run):
     """A task function that gives memory back before and after it runs: workers are reused, and what one held would add up.
 
     Token memories are dropped as well; the tokenising functions, which profit from them, aren't wrapped in this.
     """
 
-    def tidy():
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
-
     def wrapped(batches):
         if tok := sys.modules.get("plumbline.llm._tok"):
             tok.forget()

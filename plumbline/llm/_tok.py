@@ -122,6 +122,11 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def rest(self) -> None:
+        """At a task's end: the table stays for the worker's next task, what takes most memory for least use goes."""
+        self.parts = {}
+        T.tidy()
+
     def _segments(self, text: str) -> list[str]:
         """Parts of a long text whose ids, in a row, are the text's; all but the first begin with a space."""
         out, at = [], 0
@@ -148,7 +153,7 @@ class Encoder:
         with a space before it is written without it, others with a carriage
         return, which no piece has.
         """
-        if len(self.parts) > MEMORY // 2:
+        if len(self.parts) > MEMORY // 4:
             self.parts = {}
         known, cut, heads = self.parts, [], ["\r", "", "\r"] if self.kind == "leading" else [""] * 3
         for p, k in zip(self._texts(raw, begin, end), lead.tolist(), strict=True):

@@ -81,6 +81,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
                 at += len(ends)
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+        enc.rest()
 
     return run
 

@@ -120,6 +120,7 @@ def _writer(tokenizer: str, end_id: int, vocabulary: int | None):
                 at += len(stop)
         if keys:
             yield block()
+        enc.rest()
 
     return run
 
