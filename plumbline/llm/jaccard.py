@@ -76,6 +76,14 @@ def unplanes(b: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers of x in order; x is sorted in place."""
+    x.sort()
+    keep = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int):
     """The sorted distinct n-word shingle hashes of each text; a shorter one's whole sequence is its only shingle."""
     some: list[np.ndarray] = []  # of a text that comes in pieces
@@ -84,13 +92,14 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int):
         whole = p.last and not p.lead and not some
         for a, b in zip(p.first[:-1], p.first[1:], strict=True):
             if not whole:
-                some.append(np.unique(g))
+                some.append(distinct(g))
             if not p.last:
                 continue
             if not whole and any(map(len, some)):
-                yield np.unique(np.concatenate(some))
+                all_, some = np.concatenate(some), []
+                yield distinct(all_)
             elif b - a >= n:
-                yield np.unique(g[a : b - n + 1])
+                yield distinct(g[a : b - n + 1])
             elif b > a:
                 yield T.mix(T.grams(h[a:b], int(b - a)) + np.uint64(b - a))
             else:
@@ -101,8 +110,11 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int):
 
 def set_print(s: np.ndarray) -> int:
     """A hash of a whole set as a signed long."""
-    with np.errstate(over="ignore"):
-        return int(T.mix(T.mix(s) + np.uint64(len(s))).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0
+    total = 0
+    for a in range(0, len(s), FLUSH):
+        total += int(T.mix(T.mix(s[a : a + FLUSH]) + np.uint64(len(s))).sum(dtype=np.uint64))
+    total %= 1 << 64
+    return total - (1 << 64) if total >> 63 else total
 
 
 def _pack(n: int, buckets: int):
