@@ -73,7 +73,7 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def arrow_bytes(spark: SparkSession, most: int = 16 << 20) -> None:
+def arrow_bytes(spark: SparkSession, most: int = 4 << 20) -> None:
     """Bound what one Arrow batch holds, so that very long texts do not add up; a setting of the user's stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) == _BYTES.setdefault("default", spark.conf.get(key)):
