@@ -67,7 +67,7 @@ def analyze_account(spark: SparkSession, handle: str, peers: int = 5, window: in
 
     name, g = simulate_account(spark, handle, peers)
     nodes, edges, posts = (stash(df, "account") for df in (g.nodes, g.edges, g.posts))
-    t = score_threads(score_texts(posts.withColumn("handle", F.lit(name))), "handle").select("handle", F.col("risk_score").alias("text_score"), "payload_alerts", "flagged_posts")
+    t = score_threads(score_texts(posts.withColumn("handle", F.lit(name))), "handle").select("handle", F.col("risk_score").alias("text_score"), "flagged_posts")
     n = analyze_network(nodes, edges, posts, window)
     one = n.join(F.broadcast(t))  # single rows
     return one.withColumn("threat_score", headline(F.col("text_score"), F.col("evidence_score"), F.lit(None).cast("double"), F.lit(None).cast("double"))).withColumn("band", S.band(F.col("threat_score")))
