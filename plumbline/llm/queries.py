@@ -16,6 +16,7 @@ from plumbline.llm.lm import language_model_scores
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.pii import KINDS, personal_data, written
 from plumbline.llm.rules import quality_rules
+from plumbline.llm.sessions import sessionise
 from plumbline.llm.tokens import read_tokens, write_tokens
 from plumbline.store import place
 
@@ -96,7 +97,8 @@ SQL["plain_rules_base"] = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {PLAIN} AS w FROM documents),
 v AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM d WHERE len(w) >= 3),
 r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM v) WHERE c > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM d),
 c AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
@@ -235,3 +237,27 @@ def op8_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text of every page as a browser would lay it out."""
     out = extract_pages(table(spark, sf_dir, "pages"))
     return out.select("page_id", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op13_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session of every client's clicks, and why it ended."""
+    return sessionise(table(spark, sf_dir, "clicks"), (F.col("value") >= 60) & (F.col("kind") == "error"))
+
+
+# runs are what certain starts leave; within one, each session is found from the one before
+SQL["op13_gap_sessions"] = """
+WITH RECURSIVE d AS (SELECT click_id, min(client_id) AS client_id, epoch_us(min(ts)) AS t, epoch_us(min(arrived_at)) AS arrived, coalesce(min(kind) = 'error' AND min(value) >= 60, false) AS final, coalesce(floor(100 * min(value) + 0.5), 0)::BIGINT AS cents
+  FROM clicks WHERE click_id IS NOT NULL AND ts IS NOT NULL AND client_id IS NOT NULL GROUP BY click_id),
+c AS (SELECT *, lag(t) OVER w AS before, lag(final) OVER w AS ended, row_number() OVER w AS n FROM d WHERE coalesce(arrived - t <= 21600000000, true) WINDOW w AS (PARTITION BY client_id ORDER BY t, click_id)),
+r AS (SELECT *, CASE WHEN before IS NULL THEN 'first' WHEN ended THEN 'end' WHEN t - before >= 600000000 THEN 'gap' END AS why FROM c),
+k AS (SELECT *, count(why) OVER (PARTITION BY client_id ORDER BY n) AS run FROM r),
+s AS (SELECT client_id, run, n, t FROM k WHERE why IS NOT NULL
+  UNION ALL SELECT s.client_id, s.run, min(k.n), min(k.t) FROM s JOIN k ON k.client_id = s.client_id AND k.run = s.run AND k.t - s.t > 2400000000 GROUP BY s.client_id, s.run, s.n),
+b AS (SELECT k.*, s.n IS NOT NULL AS begins FROM k LEFT JOIN s USING (client_id, n)),
+g AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY client_id ORDER BY n) AS sid FROM b),
+o AS (SELECT client_id, sid, arg_min(click_id, n) AS session_id, min(t) AS start_us, max(t) AS end_us, count(*) AS n_clicks, sum(cents)::BIGINT AS value_cents, arg_max(final, n) AS final, arg_min(coalesce(why, 'length'), n) AS why, sha256(string_agg(click_id::VARCHAR, ',' ORDER BY n)) AS path_sha256 FROM g GROUP BY client_id, sid),
+p AS (SELECT *, lead(start_us) OVER w AS next, lead(why) OVER w AS closing FROM o WINDOW w AS (PARTITION BY client_id ORDER BY sid)),
+l AS (SELECT p.client_id, p.sid, count(*) AS n_late FROM p JOIN d ON d.client_id = p.client_id AND d.arrived - d.t > 21600000000 AND d.t >= p.start_us AND (p.next IS NULL OR d.t < p.next) GROUP BY 1, 2)
+SELECT client_id, session_id, start_us, end_us, n_clicks, coalesce(n_late, 0) AS n_late, value_cents, coalesce(closing, CASE WHEN final THEN 'end' ELSE 'none' END) AS closed_by, path_sha256 FROM p LEFT JOIN l USING (client_id, sid)
+"""
