@@ -320,7 +320,8 @@ def sessionise(
     """
     spark = clicks.sparkSession
     ntz = {c: isinstance(clicks.schema[c].dataType, TimestampNTZType) for c in (at, arrived)}
-    cents = F.coalesce(F.expr(f"try_cast(floor(100 * CAST(`{value}` AS double) + 0.5D) AS bigint)"), F.lit(0))
+    hundreds = 100 * F.col(value).cast("double") + 0.5
+    cents = F.when(F.abs(hundreds) < 2.0**63, F.floor(hundreds)).otherwise(0)
     d = clicks.select(
         F.col(client).cast("long").alias("client"), F.col(key).cast("long").alias("id"), micros(F.col(at), ntz[at]).alias("at"), micros(F.col(arrived), ntz[arrived]).alias("arrived"),
         cents.cast("long").alias("cents"), F.coalesce(final, F.lit(False)).alias("final"),
