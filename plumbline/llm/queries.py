@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.align import align
 from plumbline.llm.chat import CONTROLS, format_chats, loss_text, read_back
 from plumbline.llm.decontam import contaminated
 from plumbline.llm.html import extract_pages
@@ -261,3 +262,9 @@ p AS (SELECT *, lead(start_us) OVER w AS next, lead(why) OVER w AS closing FROM
 l AS (SELECT p.client_id, p.sid, count(*) AS n_late FROM p JOIN d ON d.client_id = p.client_id AND d.arrived - d.t > 21600000000 AND d.t >= p.start_us AND (p.next IS NULL OR d.t < p.next) GROUP BY 1, 2)
 SELECT client_id, session_id, start_us, end_us, n_clicks, coalesce(n_late, 0) AS n_late, value_cents, coalesce(closing, CASE WHEN final THEN 'end' ELSE 'none' END) AS closed_by, path_sha256 FROM p LEFT JOIN l USING (client_id, sid)
 """
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, the groups that both cut, their links, and how common these are."""
+    return align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
