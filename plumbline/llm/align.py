@@ -1,10 +1,11 @@
 """Alignment of two tokenizers' tokens by where they end.
 
 Both tokenizers are known to end a token before a space or line break that
-follows another character, if the one is byte-level with the usual pattern
-(white space ends its matches) and no piece of the other has a space or line
-break behind other characters.  Texts are cut there, into words with the white
-space before them, and no token, group or link crosses a cut.  Each different
+follows another character, and between a letter and the digit or punctuation
+behind it, if the one is byte-level with the usual pattern (whose matches end
+there) and no piece of the other has such a place within it.  Texts are cut
+there, into words with the white space before them, and no token, group or
+link crosses a cut.  Each different
 word of the corpus is aligned once, as the rows of a relation; for tokenizers
 without that property a word is a whole text.
 
@@ -23,6 +24,7 @@ keys are rows like others.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,15 @@ from plumbline.operators.skew import spread_join
 from plumbline.store import arrow_bytes, discard, stash
 
 #: Words, and bytes of them, after which a block's code book is closed.
-BOOK, BOOK_BYTES = 1 << 18, 32 << 20
+BOOK, BOOK_BYTES = 1 << 19, 64 << 20
+#: Id pairs up to which their counts are broadcast.
+PAIRS = 1 << 18
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[33:127] = ~_LETTER[33:127]
+_BREAK = re.compile(r"[A-Za-z][!-@\[-`{-~]|[^▁]▁|.?\n", re.S)
 _THIN = [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]
 
 
@@ -57,7 +65,7 @@ class Pair:
         self.a_bytes = {i: bytes(rest.get(ord(c), ord(c) & 255) for c in piece) for piece, i in self.a.get_vocab().items() if all(ord(c) in as_is or ord(c) in rest for c in piece)}
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names) if not (self.b.is_control(i) or self.b.is_unknown(i))}
-        self.words = encoder(a).kind == "leading" and not any("▁" in p.lstrip("▁") or "\n" in p for p in names) and self._local()
+        self.words = encoder(a).kind == "leading" and not any(_BREAK.search(p) for i, p in enumerate(names) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))) and self._local()
 
     def _local(self) -> bool:
         """Whether B writes each character for itself: no normalising, bytes for what it lacks, one space before a text."""
@@ -71,7 +79,7 @@ class Pair:
         return bool(plain and bpe and self.b.encode("\n", out_type=str) == ["▁", "<0x0A>"])
 
     def tokens(self, words: list[bytes]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """(A's ids, B's ids, whether both spell the word) of each word, which begins with a space or line break."""
+        """(A's ids, B's ids, whether both spell the word) of each word."""
         a = [e.ids for e in self.a.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         if self.words:  # behind a line break, of which no piece is a part
             b = [ids[2:] for ids in self.b.encode(["\n" + w.decode() for w in words], num_threads=1)]
@@ -96,8 +104,8 @@ def starts(raw: np.ndarray, low: int, high: int) -> np.ndarray:
     out = [np.array([low], np.int64)]
     for p in range(low + 1, high, T.SLICE):
         x = raw[p : min(p + T.SLICE, high)]
-        at = np.flatnonzero((x == 32) | (x == 10)) + p
-        at = at[~_BLANK[raw[at - 1]]]
+        before = raw[p - 1 : p - 1 + len(x)]
+        at = np.flatnonzero((((x == 32) | (x == 10)) & ~_BLANK[before]) | (_MARK[x] & _LETTER[before])) + p
         wide = np.flatnonzero(raw[at - 1] >= 128)
         if len(wide):  # white space of two or three bytes before it: no cut
             c, b, a = (raw[at[wide] - k] for k in (1, 2, 3))
@@ -196,21 +204,32 @@ def _tokens(a: str, b: str):
 
 
 def links(segs: DataFrame) -> DataFrame:
-    """segs (seg, occurrences, a, b: arrays of (id, len)) to a row a merged end: (seg, end, a, b: the ids linked there, a_id, b_id: those that end there, grp: number of its group from the last)."""
+    """segs (seg, word, occurrences, a, b: arrays of (id, len)) to rows (word, seg, occurrences, n_a, n_b, n_groups, n_links, groups, links: array of (a, b)).
+
+    All steps work on one deal of segs: run it with COLOCATED.
+    """
     dealt = segs.repartition("seg")
 
     def side(name):
-        at = dealt.select("seg", "occurrences", F.posexplode(name).alias("pos", "token"))
+        at = dealt.select("seg", F.posexplode(name).alias("pos", "token"))
         w = Window.partitionBy("seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return at.select("seg", F.sum(F.col("token.len").cast("long")).over(w).alias("end"), F.col("token.id").alias(f"{name}_id"), F.col("occurrences").alias(f"{name}_n"))
+        return at.select("seg", F.sum(F.col("token.len").cast("long")).over(w).alias("end"), F.col("token.id").alias(f"{name}_id"))
 
     both = side("a").join(side("b"), ["seg", "end"], "full")
+    # from the end back, the last id seen is that of the token that reaches over this place
     back = Window.partitionBy("seg").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = lambda c: F.last(c, ignorenulls=True).over(back)
     cut = (F.col("a_id").isNotNull() & F.col("b_id").isNotNull()).cast("long")
-    return both.select(
-        "seg", "end", F.last("a_id", ignorenulls=True).over(back).alias("a"), F.last("b_id", ignorenulls=True).over(back).alias("b"), "a_id", "b_id",
-        F.sum(cut).over(back).alias("grp"), F.coalesce("a_n", "b_n").alias("occurrences"),
-    )
+    rows = both.select("seg", "end", over("a_id").alias("a"), over("b_id").alias("b"), "a_id", "b_id", F.sum(cut).over(back).alias("grp"))
+    ids = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c)))), lambda x: x[c].cast("string")), ",")
+    groups = rows.groupBy("seg", "grp").agg(F.count("a_id").alias("n_a"), F.count("b_id").alias("n_b"), F.concat(ids("a_id"), F.lit("|"), ids("b_id")).alias("text"), F.collect_list(F.struct("a", "b")).alias("links"))
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("grp", "text")), asc=False), lambda x: x["text"]), ";")
+    groups = groups.groupBy("seg").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), texts.alias("groups"), F.flatten(F.collect_list("links")).alias("links"))
+    return dealt.select("seg", "word", "occurrences").join(groups, "seg").withColumn("n_links", F.size("links").cast("long"))
+
+
+#: A join on (seg, end) may use a deal by seg.
+COLOCATED = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 _NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -268,19 +287,24 @@ def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "tex
     words = coded.where("what = 'word'")
     segs = words.groupBy("word").agg(F.sum("occurrences").alias("occurrences")).select(F.monotonically_increasing_id().alias("seg"), "word", "occurrences")
     segs = stash(segs.mapInArrow(_tokens(a, b), _TOKENS), "segs")
-    linked = stash(links(segs.select("seg", "occurrences", "a", "b")), "links")
-    counts = linked.groupBy("a", "b").agg(F.sum("occurrences").alias("count"), F.count("*").alias("c"))
-    counts = stash(counts, "pairs")
+    before = spark.conf.get(COLOCATED)
+    spark.conf.set(COLOCATED, "false")
+    try:
+        linked = stash(links(segs), "links")
+    finally:
+        spark.conf.set(COLOCATED, before)
+    discard(segs)
+    each = linked.select("seg", "occurrences", F.explode("links").alias("link")).select("seg", "occurrences", "link.*")
+    counts = stash(each.groupBy("a", "b").agg(F.sum("occurrences").alias("count"), F.count("*").alias("c")), "pairs")
     best = counts.groupBy("b").agg(F.max("count").alias("most"))
     scored = counts.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
-    total = linked.count()
-    sums = spread_join(linked.select("seg", "a", "b"), scored, ["a", "b"], F.col("seg"), counts=counts.select("a", "b", "c"), total=total)
-    sums = sums.groupBy("seg").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    ids = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c)))), lambda x: x[c].cast("string")), ",")
-    groups = linked.groupBy("seg", "grp").agg(F.count("a_id").alias("n_a"), F.count("b_id").alias("n_b"), F.concat(ids("a_id"), F.lit("|"), ids("b_id")).alias("text"))
-    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("grp", "text")), asc=False), lambda x: x["text"]), ";")
-    groups = groups.groupBy("seg").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), texts.alias("groups"))
-    found = segs.select("seg", "word").join(groups, "seg").join(sums, "seg").drop("seg")
+    each = each.select("seg", "a", "b")
+    if counts.count() <= PAIRS:
+        sums = each.join(F.broadcast(scored), ["a", "b"])
+    else:
+        sums = spread_join(each, scored, ["a", "b"], F.col("seg"), counts=counts.select("a", "b", "c"), total=counts.agg(F.sum("c")).first()[0])
+    sums = sums.groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    found = linked.drop("links", "occurrences").join(sums, "seg").drop("seg")
     book = words.select("block", "code", "word").join(found, "word", "left")
     none = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in _NUMBERS]
     rows = book.select(F.lit("word").alias("what"), "block", "code", F.lit(None).cast("long").alias("key"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("long").alias("n"), *none, F.coalesce("groups", F.lit("")).alias("groups"))
