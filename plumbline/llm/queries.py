@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.align import align
 from plumbline.llm.chat import CONTROLS, format_chats, loss_text, read_back
+from plumbline.llm.counts import count_tokens
 from plumbline.llm.decontam import contaminated
 from plumbline.llm.html import extract_pages
 from plumbline.llm.jaccard import jaccard_join
@@ -268,3 +269,9 @@ SELECT client_id, session_id, start_us, end_us, n_clicks, coalesce(n_late, 0) AS
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens by two tokenizers, the groups that both cut, their links, and how common these are."""
     return align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, huge ones counted by overlapping chunks."""
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
