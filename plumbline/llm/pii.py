@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._keys import numbered, unused
 from plumbline.llm._spans import cutter, let, running, total
+from plumbline.operators.skew import spread_join
 from plumbline.store import stash
 
 #: The kinds in the order of the contract, with the shape of each; fixed values.  A match begins where its run of
@@ -33,11 +34,11 @@ SHAPES = {
 }
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Other identifiers, in this order: addresses with the mark spelled out or without a dot; numbers in groups; groups of hexadecimal
-#: digits; joined runs of letters and digits.  Runs are possessive and begin where a word does, so none is looked at twice.
+#: digits; joined runs of letters and digits.  Runs are possessive, begin where a word does and end before what can't belong to them, so none is looked at twice.
 OTHER = "|".join([
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[(\[{<](?i:at)[)\]}>] ?|@)[A-Za-z0-9-]++(?:(?: ?[(\[{<](?i:dot)[)\]}>] ?|\.)[A-Za-z0-9-]++)*+",
     r"(?<![A-Za-z0-9])[0-9A-Fa-f]{1,4}+(?::{1,2}[0-9A-Fa-f]{1,4}+){3,7}+",
-    r"(?<![A-Za-z0-9])\(?[0-9]++\)?(?:[ ./-]{1,2}\(?[0-9]++\)?)++(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])\(?[0-9]++\)?+(?![A-Za-z0-9])(?:[ ./-]{1,2}\(?[0-9]++\)?+(?![A-Za-z0-9]))++",
     r"(?<![A-Za-z0-9])(?=[A-Za-z._/@-]{0,64}[0-9])[A-Za-z0-9]++(?:[-._/@][A-Za-z0-9]++)*+",
 ])
 #: One that is taken: an address, or six characters and four digits.
@@ -46,8 +47,6 @@ ADDRESS = r"(?i)@|[(\[{<]at[)\]}>]"
 BEFORE = 48
 #: Seeds that a pattern needs, the confidence it needs, the score an identifier needs, rounds.
 SUPPORT, CONFIDENT, CERTAIN, ROUNDS = 5, 0.7, 0.8, 2
-#: Parts into which the rows of one key of a join are dealt.
-SALTS = 16
 FOUND = "array<struct<start:int,end:int,value:string,left:string>>"
 
 
@@ -143,23 +142,20 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     return d.select("key", "row", bare.alias("base"), ids.alias("ids"))
 
 
-def _dealt(many: DataFrame, few: DataFrame, on: str, spread: Column, how: str = "inner") -> DataFrame:
-    """A join with one row of few for each key: the rows of a key in many are dealt to SALTS tasks, and few is repeated for each."""
-    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return salted.join(repeated, [on, "_salt"], how).drop("_salt")
+def _counts(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count("*").alias("c"))
 
 
-def _promoted(edges: DataFrame, seeds: DataFrame, support: int, confident: float, certain: float) -> DataFrame:
+def _promoted(edges: DataFrame, total: int, seeds: DataFrame, support: int, confident: float, certain: float) -> DataFrame:
     """(value, kind) of unlabelled identifiers whose patterns are sure of them.
 
-    edges (ctx, value) are distinct; seeds (value, kind) have one kind for each value.
+    edges (ctx, value), so many, are distinct; seeds (value, kind) have one kind for each value.
     """
-    known = _dealt(edges, seeds, "value", F.col("ctx"), "left")
+    known = spread_join(edges, seeds, ["value"], F.col("ctx"), "left", _counts(edges, "value"), total)
     by_kind = known.groupBy("ctx", "kind").agg(F.count("*").alias("n"))
     best = by_kind.groupBy("ctx").agg(F.sum("n").alias("all"), F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("top"))
     patterns = best.where((F.col("top.n") >= support) & (F.col("top.n") >= confident * F.col("all"))).select("ctx", F.col("top.kind").alias("kind"), (F.col("top.n") / F.col("all")).alias("conf"))
-    hits = _dealt(known.where("kind is null").drop("kind"), patterns, "ctx", F.col("value"))
+    hits = spread_join(known.where("kind is null").drop("kind"), patterns, ["ctx"], F.col("value"), counts=_counts(edges, "ctx"), total=total)
     doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-6)))))
     scored = hits.groupBy("value", "kind").agg((1 - doubt).alias("score")).where(F.col("score") >= certain)
     return scored.groupBy("value").agg(F.max(F.struct("score", "kind"))["kind"].alias("kind"))
@@ -177,13 +173,15 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", supp
     at = stash(scan(docs, key, text), "identifiers")
     ids = at.select("row", F.explode("ids").alias("x")).select("row", "x.*")
     edges = stash(ids.select("value", F.explode("ctx").alias("ctx")).distinct(), "edges")
+    total = edges.count()
     seeds = ids.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind"))
     new = None
     for _ in range(rounds):
-        more = stash(_promoted(edges, seeds if new is None else seeds.union(new), support, confident, certain), "promoted")
+        more = stash(_promoted(edges, total, seeds if new is None else seeds.union(new), support, confident, certain), "promoted")
         new = more if new is None else new.union(more)
-    extra = _dealt(ids.where("kind is null").drop("kind"), new, "value", F.col("row")).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
-    out = _dealt(at.select("key", "row", "base"), extra, "row", F.monotonically_increasing_id(), "left")
+    extra = spread_join(ids.where("kind is null").drop("kind"), new, ["value"], F.col("row")).groupBy("row").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
+    rows = at.select("key", "row", "base")
+    out = spread_join(rows, extra, ["row"], F.monotonically_increasing_id(), "left")
     spans = F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "extra")))
     return out.select(F.col("key").alias(key), "base", spans.alias("spans"))
 
