@@ -1,10 +1,12 @@
 """Vectorised word hashing over Arrow string buffers.
 
 A word is a maximal run of bytes other than ``\\x20`` and ``\\x09``-``\\x0D``;
-A-Z count as a-z when ``lower`` is set.  The 64-bit hash of a word is a
-polynomial over random byte values, taken as a difference of one running sum,
-so a batch of texts is hashed by a few numpy passes and no word becomes a
-Python object.  A very long text is hashed in pieces, cut between words, so
+A-Z count as a-z when ``lower`` is set.  The hash of a word is a polynomial
+over its bytes modulo the prime 2**61 - 1, taken as a difference of running
+sums, so a batch of texts is hashed by a few numpy passes and no word becomes
+a Python object.  (Modulo a power of two, whatever the base, words made of two
+others in the order of Thue and Morse would have one hash with their
+complements.)  A very long text is hashed in pieces, cut between words, so
 that what is held besides its bytes doesn't grow with it.
 """
 
@@ -19,32 +21,77 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_RNG = np.random.default_rng(20240229)
-_R = U64(int(_RNG.integers(1 << 62, 1 << 63)) * 2 + 1)
-_RINV = U64(pow(int(_R), -1, 1 << 64))
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: The prime, the base and its inverse.
+PRIME = (1 << 61) - 1
+BASE = 0x1B4F6D2C8E93A57 % PRIME
+_INVERSE = pow(BASE, -1, PRIME)
+_LOW29, _LOW32, _P = U64((1 << 29) - 1), U64((1 << 32) - 1), U64(PRIME)
+_BYTE = np.arange(1, 257, dtype=U64)
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POW = {True: np.ones(1, U64), False: np.ones(1, U64)}
+_POW = {BASE: np.ones(1, U64), _INVERSE: np.ones(1, U64)}
+_HALVES: list[np.ndarray] = [np.ones(1, U64), np.zeros(1, U64)]
 
 #: Bytes of text that are hashed in one go; a single text of twice as many is cut into pieces.
 SLICE = 1 << 19
 
 
-def _powers(n: int, inverse: bool) -> np.ndarray:
-    have = _POW[inverse]
-    if len(have) < n:
-        base = _RINV if inverse else _R
-        size = 1 << int(np.ceil(np.log2(max(n, SLICE + 1))))
-        have = np.full(size, base, U64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _POW[inverse] = have
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x >> U64(61)) + (x & _P)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, by halves."""
+    ah, al, bh, bl = a >> U64(32), a & _LOW32, b >> U64(32), b & _LOW32
+    mid, low = ah * bl + al * bh, al * bl
+    return _reduced((ah * bh << U64(3)) + (mid >> U64(29)) + ((mid & _LOW29) << U64(32)) + (low >> U64(61)) + (low & _P))
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    have = _POW[base]
+    while len(have) < n:
+        have = np.concatenate([have, times(have, np.full(len(have), pow(base, len(have), PRIME), U64))])
+        _POW[base] = have
     return have[:n]
 
 
+def _halves(n: int) -> list[np.ndarray]:
+    if len(_HALVES[0]) < n:
+        p = _powers(max(n, 2 * SLICE), BASE)
+        _HALVES[:] = [p & _LOW32, p >> U64(32)]
+    return [x[:n] for x in _HALVES]
+
+
+def hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """The hash of each text[begin:end]; halves of powers times bytes add up to less than 2**64 for 2**23 bytes."""
+    value, sums = (_BYTE_LOWER if lower else _BYTE)[text], []
+    for half in _halves(len(text)):
+        run = np.zeros(len(text) + 1, U64)
+        np.cumsum(value * half, out=run[1:])
+        sums.append(run[end] - run[begin])
+    low, high = sums
+    total = _reduced((high >> U64(29)) + ((high & _LOW29) << U64(32)) + (low >> U64(61)) + (low & _P))
+    return sealed(times(total, _powers(len(text) + 1, _INVERSE)[begin]), (end - begin).astype(U64))
+
+
+def sealed(total: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash from a polynomial's value and the number of its bytes."""
+    return mix(total + size * U64(0x9E3779B97F4A7C15))
+
+
+def joined_hash(parts) -> int:
+    """The hash of parts of one run of bytes in a row."""
+    total, size = 0, 0
+    for part in parts:
+        low, high = (int((_BYTE[part] * half).sum(dtype=U64)) for half in _halves(len(part)))
+        total = (total + (low + (high << 32)) * pow(BASE, size, PRIME)) % PRIME
+        size += len(part)
+    return int(sealed(np.array([total], U64), np.array([size % (1 << 64)], U64))[0])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of a well-known 64-bit mixer; a bijection."""
     h = h ^ (h >> U64(30))
@@ -158,11 +205,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True):
     at = off[1:][full] - 1
     last[at] = solid[at]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    run = np.zeros(n + 1, U64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[text] * _powers(n, False), out=run[1:])
-    h = (run[end] - run[begin]) * _powers(n, True)[begin]
-    h = mix(h + (end - begin).astype(U64) * U64(0x9E3779B97F4A7C15))
-    return h, np.searchsorted(begin, off), begin + base, end + base
+    return hashes(text, begin, end, lower), np.searchsorted(begin, off), begin + base, end + base
 
 
 def word_hash(word: str, lower: bool = True) -> int:

@@ -8,8 +8,9 @@ white space, are encoded whole.  A very long text is first cut between two
 words with one space, where a new pre-token begins in either kind.
 
 Pieces are found and hashed by numpy passes over a batch's bytes and looked up
-in an open-addressed table, whose entries say where a pool has the piece's ids;
-only pieces that the table lacks become Python strings.  Table and pool are
+in an open-addressed table, whose entries say where pools have the piece's
+bytes and ids; a text with a piece of another's hash is left to the library.
+Only pieces that the table lacks become Python strings.  Table and pool are
 bounded: when full, they begin anew.
 """
 
@@ -50,6 +51,15 @@ _MAY_BE_WIDE = np.zeros(256, bool)
 _MAY_BE_WIDE[list(_WIDE)] = True
 
 
+#: The first so many bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _eights(x: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, but the last seven."""
+    return np.ndarray(len(x) - 7, "<u8", x, 0, (1,))
+
+
 class _Table:
     """Where the ids of pieces are, by the pieces' hashes."""
 
@@ -61,7 +71,9 @@ class _Table:
     def clear(self) -> None:
         # keys 0 are free slots; a piece whose hash is 0 is only ever looked up in vain and learnt again
         self.keys, self.at, self.n = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int64), np.zeros(self.size, np.int32)
+        self.place = np.zeros(self.size, np.int64)  # where the piece's bytes begin, how many they are (below 256), its lead (below 4), in one number
         self.pool, self.used, self.count = np.zeros(1 << 16, np.uint32), 0, 0
+        self.text, self.filled = np.zeros(1 << 18, np.uint8), 0
 
     def slots(self, h: np.ndarray) -> np.ndarray:
         """The slot of each hash, or that where it would go."""
@@ -74,8 +86,23 @@ class _Table:
             todo = todo[(k != h[todo]) & (k != 0)]
         return out.astype(np.int64)
 
-    def add(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
-        """Pieces that it lacks, each once: their hashes, all their ids, how many each has."""
+    def same(self, slot: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        """Whether the piece in each slot has these bytes and this lead."""
+        size, low = end - begin, int(begin[0])
+        place = self.place[slot]
+        out = (place & 1023) == (size << 2 | lead)
+        own = np.concatenate([raw[low : int(end[-1])], np.zeros(8, np.uint8)])
+        mine, theirs, at, to, k = _eights(own), _eights(self.text), begin - low, place >> 10, 0
+        todo = np.flatnonzero(out)
+        while len(todo):
+            left = size[todo] - k
+            equal = (mine[at[todo] + k] ^ theirs[to[todo] + k]) & _FIRST[np.minimum(left, 8)] == 0
+            out[todo[~equal]] = False
+            todo, k = todo[equal & (left > 8)], k + 8
+        return out
+
+    def add(self, h: np.ndarray, ids: np.ndarray, n: np.ndarray, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, lead: np.ndarray) -> None:
+        """Pieces that it lacks, each once: their hashes, all their ids, how many each has, their bytes and leads."""
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
         self.pool[self.used : self.used + len(ids)] = ids
@@ -91,6 +118,14 @@ class _Table:
         slot = self.slots(h)
         self.at[slot], self.n[slot] = self.used + np.cumsum(n) - n, n
         self.used, self.count = self.used + len(ids), self.count + len(h)
+        size = end - begin
+        total = int(size.sum())
+        if self.filled + total + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros(max(len(self.text), total + 8), np.uint8)])
+        first = np.cumsum(size) - size
+        self.text[self.filled : self.filled + total] = raw[np.arange(total) + np.repeat(begin - first, size)]
+        self.place[slot] = (self.filled + first) << 10 | size << 2 | lead
+        self.filled += total
 
 
 class Encoder:
@@ -206,7 +241,7 @@ class Encoder:
         return good
 
     def _cut(self, raw: np.ndarray, off: np.ndarray, start: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, how many each has, whether it was usable); start: where the text begins of which this is a part."""
+        """(ids of all texts, how many each has, whether they are right); start: where the text begins of which this is a part."""
         table = self.table = self.table or _Table()
         h, first, begin, end = T.words(raw, off, lower=False)
         good = self._usable(raw, off, first, begin, end) if start is None else np.ones(len(off) - 1, bool)
@@ -230,15 +265,21 @@ class Encoder:
                 table.clear()
                 return self._cut(raw, off, start) if int(short.sum()) <= table.most else self._by_text(raw, off, start)
             own = np.repeat(short, n)
-            table.add(h[some[short]], ids[own], n[short])
+            table.add(h[some[short]], ids[own], n[short], raw, begin[some[short]], end[some[short]], lead[some[short]])
             slot = table.slots(h)
             extra = ids[~own]
-            for x, m, at in zip(h[some[~short]].tolist(), n[~short].tolist(), (table.used + np.cumsum(n[~short]) - n[~short]).tolist(), strict=True):
-                extra_at[x] = (at, m)
+            for k, m, at in zip(some[~short].tolist(), n[~short].tolist(), (table.used + np.cumsum(n[~short]) - n[~short]).tolist(), strict=True):
+                extra_at[int(lead[k]), raw[begin[k] : end[k]].tobytes()] = (at, m)
         hit = table.keys[slot] == h
+        if hit.any():
+            hit[hit] = table.same(slot[hit], raw, begin[hit], end[hit], lead[hit])
         where, n = np.where(hit, table.at[slot], 0), np.where(hit, table.n[slot], 0).astype(np.int64)
-        for k in np.flatnonzero(~hit).tolist() if extra_at else ():
-            where[k], n[k] = extra_at.get(int(h[k]), (0, 0))
+        doc = np.repeat(np.arange(len(good)), np.diff(first))
+        for k in np.flatnonzero(~hit & good[doc]).tolist():
+            if found := extra_at.get((int(lead[k]), raw[begin[k] : end[k]].tobytes())):
+                where[k], n[k] = found
+            else:
+                good[doc[k]] = False
         n[~np.repeat(good, np.diff(first))] = 0
         pool = np.concatenate([table.pool[: table.used], extra]) if extra_at else table.pool
         run = np.concatenate([[0], np.cumsum(n)])
@@ -247,9 +288,9 @@ class Encoder:
 
     def _by_text(self, raw, off, start):
         """As :meth:`_cut`, for a batch with more new pieces than the table holds: by the library."""
+        if start is not None:  # a part: its text is left to the library whole
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, bool)
         texts = [raw[a:b].tobytes().decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-        if start is not None and int(off[0]) > start and self.kind == "leading":
-            raise MemoryError("a part of a text has more different words than the table")
         got = [np.frombuffer(b, np.uint32) for b in self._whole(texts)]
         return np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64), np.ones(len(got), bool)
 
@@ -259,7 +300,9 @@ class Encoder:
             parts = list(T.cuts(raw, low, high))
             # only a part that ends as the text does may end without white space: the byte cut off with it is looked at as a gap
             if self.kind == "dropped" or all(self._plain(raw, a, b, low, high) for a, b in parts):
-                return np.concatenate([self._cut(raw, np.array([a, b], np.int64), low)[0] for a, b in parts])
+                got = [self._cut(raw, np.array([a, b], np.int64), low) for a, b in parts]
+                if all(good.all() for _, _, good in got):
+                    return np.concatenate([ids for ids, _, _ in got])
         text = raw[low:high].tobytes().decode()
         return np.concatenate([np.frombuffer(self._whole([t])[0], np.uint32) for t in self._segments(text)])
 

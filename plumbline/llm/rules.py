@@ -101,10 +101,7 @@ def _lines(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(~T._SPACE[text], out=run[1:])
     full = run[ends] > run[starts]
     starts, ends = starts[full], ends[full]
-    hashes = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(T._BYTE[text] * T._powers(len(text), False), out=hashes[1:])
-    line = (hashes[ends] - hashes[starts]) * T._powers(len(text), True)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-    return T.mix(line), np.searchsorted(at, starts, side="right") - 1
+    return T.hashes(text, starts, ends), np.searchsorted(at, starts, side="right") - 1
 
 
 def _long_counts(raw: np.ndarray, low: int, high: int) -> list[int]:
@@ -123,12 +120,7 @@ def _long_counts(raw: np.ndarray, low: int, high: int) -> list[int]:
         else:  # a very long line, which is hashed in parts, and perhaps short ones
             end = next((x + int(k[0]) for x in range(a, b, size) if len(k := np.flatnonzero(raw[x : min(x + size, b)] == 10))), b)
             if not all(T._SPACE[raw[x : min(x + size, end)]].all() for x in range(a, end, size)):
-                total, power = (end - a) * 0xD1B54A32D192ED03, 1
-                for x in range(a, end, size):
-                    part = raw[x : min(x + size, end)]
-                    total += int((T._BYTE[part] * T._powers(len(part), False)).sum(dtype=np.uint64)) * power
-                    power = power * pow(int(T._R), len(part), 1 << 64) % (1 << 64)
-                lines.append(T.mix(np.array([total % (1 << 64)], np.uint64)))
+                lines.append(np.array([T.joined_hash(raw[x : min(x + size, end)] for x in range(a, end, size))], np.uint64))
             if end + 1 < b:
                 lines.append(_lines(raw[end + 1 : b], np.array([0, b - end - 1]))[0])
     found = np.concatenate(lines)
