@@ -115,17 +115,19 @@ def starts(raw: np.ndarray, low: int, high: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-_CODED = "what string, block long, key long, codes binary, n long, code long, word binary, occurrences long"
+_CODED = "what string, block long, key long, codes binary, code long, word binary, occurrences long"
+#: Bytes of a code.
+WIDE = 3
 
 
 def _coded(a: str, b: str):
-    """(key, text) to documents as codes of three or four bytes, and the words of each block's book."""
+    """(key, text) to documents as codes of WIDE bytes, and the words of each block's book."""
 
     def row(schema, size, /, **cols):
         return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def run(batches):
-        schema = pa.schema([("what", pa.string()), ("block", pa.int64()), ("key", pa.int64()), ("codes", pa.binary()), ("n", pa.int64()), ("code", pa.int64()), ("word", pa.binary()), ("occurrences", pa.int64())])
+        schema = pa.schema([("what", pa.string()), ("block", pa.int64()), ("key", pa.int64()), ("codes", pa.binary()), ("code", pa.int64()), ("word", pa.binary()), ("occurrences", pa.int64())])
         both, first = pair(a, b), TaskContext.get().partitionId() << 24
         block, book, seen, size = first, {}, np.zeros(0, np.int64), 0
 
@@ -162,9 +164,10 @@ def _coded(a: str, b: str):
                     seen[to] += np.bincount(local, minlength=len(to))
                     for k, part in zip(kept, np.split(to[local], np.cumsum([len(at[k]) for k in kept])[:-1]), strict=True):
                         codes[k] = part
-                wide = 3 if len(book) < 1 << 24 else 4
-                packed = [np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide]).tobytes() for c in codes]
-                yield row(schema, j - i, what=["text"] * (j - i), block=np.full(j - i, block), key=keys.slice(i, j - i), codes=packed, n=[len(c) for c in codes])
+                if len(book) > 1 << 8 * WIDE:
+                    raise ValueError("one text has more different words than codes")
+                packed = [np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :WIDE]).tobytes() for c in codes]
+                yield row(schema, j - i, what=["text"] * (j - i), block=np.full(j - i, block), key=keys.slice(i, j - i), codes=packed)
         yield from closed()
 
     return T.tidied(run)
@@ -236,39 +239,42 @@ _NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 _OUT = "key long, " + ", ".join(f"{n} long" for n in _NUMBERS) + ", groups_sha256 string"
 
 
+#: The place of texts among their block's rows.
+_LAST = 1 << 40
+
+
 def _assembled(batches):
-    """Rows by block, words by code before texts, to a row a text."""
-    block, numbers, groups = None, [], []
+    """Rows (block, code, key, body) by block, words by code before texts, to a row a text; a word's body is its numbers and groups."""
+    block, numbers, groups, table = None, [], [], None
     for batch in batches:
-        blocks = batch.column("block").to_numpy()
+        blocks, codes = batch.column("block").to_numpy(), batch.column("code").to_numpy()
         edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
         for low, high in zip(edges[:-1], edges[1:], strict=True):
             if low == high:
                 continue
             if blocks[low] != block:
                 block, numbers, groups, table = int(blocks[low]), [], [], None
-            some = batch.slice(low, high - low)
-            k = int(pc.sum(pc.equal(some.column("what"), "word")).as_py())
-            if k:
-                numbers.append(np.stack([some.column(n).slice(0, k).to_numpy() for n in _NUMBERS], 1))
-                groups += some.column("groups").slice(0, k).to_pylist()
-            if k == len(some):
+            k = low + int(np.searchsorted(codes[low:high], _LAST))
+            if k > low:
+                fields = pc.split_pattern(batch.column("body").slice(low, k - low).cast(pa.large_string()), ";", max_splits=len(_NUMBERS)).flatten()
+                width = len(_NUMBERS) + 1
+                at = np.arange(0, len(fields), width)
+                numbers.append(np.stack([fields.take(pa.array(at + c)).cast(pa.int64()).to_numpy() for c in range(width - 1)], 1))
+                groups += fields.take(pa.array(at + width - 1)).to_pylist()
+            if k == high:
                 continue
             table = table if table is not None else np.concatenate(numbers) if numbers else np.zeros((0, len(_NUMBERS)), np.int64)
-            some = some.slice(k)
+            some = batch.slice(k, high - k)
             sums, digests = np.zeros((len(some), len(_NUMBERS)), np.int64), []
-            for i, (raw, n) in enumerate(zip(some.column("codes"), some.column("n").to_pylist(), strict=True)):
-                sha, first = hashlib.sha256(), True
-                x = np.frombuffer(raw.as_buffer(), np.uint8).reshape(n, -1) if n else np.zeros((0, 3), np.uint8)
-                for at in range(0, n, 1 << 16):
-                    part = x[at : at + (1 << 16)].astype(np.int64)
-                    codes = part @ (1 << 8 * np.arange(part.shape[1]))
-                    sums[i] += table[codes].sum(0)
-                    texts = ";".join([g for c in codes.tolist() if (g := groups[c])])
-                    if texts:
-                        sha.update(((";" if not first else "") + texts).encode())
-                        first = False
-                digests.append("" if first else sha.hexdigest())
+            for i, raw in enumerate(some.column("body")):
+                sha, x = hashlib.sha256(), np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, WIDE)
+                for start in range(0, len(x), 1 << 16):
+                    own = x[start : start + (1 << 16)].astype(np.int64) @ (1 << 8 * np.arange(WIDE))
+                    sums[i] += table[own].sum(0)
+                    # words of texts as a whole may have no tokens
+                    texts = ";".join(filter(None, map(groups.__getitem__, own.tolist())))
+                    sha.update((";" if start and texts else "").encode() + texts.encode())
+                digests.append(sha.hexdigest() if sums[i, 0] else "")
             yield pa.RecordBatch.from_arrays([some.column("key"), *(pa.array(sums[:, c]) for c in range(len(_NUMBERS))), pa.array(digests, pa.string())], ["key", *_NUMBERS, "groups_sha256"])
 
 
@@ -304,10 +310,10 @@ def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "tex
     else:
         sums = spread_join(each, scored, ["a", "b"], F.col("seg"), counts=counts.select("a", "b", "c"), total=counts.agg(F.sum("c")).first()[0])
     sums = sums.groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    found = linked.drop("links", "occurrences").join(sums, "seg").drop("seg")
+    found = linked.drop("links", "occurrences").join(sums, "seg").select("word", F.concat_ws(";", *_NUMBERS, "groups").cast("binary").alias("body"))
     book = words.select("block", "code", "word").join(found, "word", "left")
-    none = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in _NUMBERS]
-    rows = book.select(F.lit("word").alias("what"), "block", "code", F.lit(None).cast("long").alias("key"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("long").alias("n"), *none, F.coalesce("groups", F.lit("")).alias("groups"))
-    own = coded.where("what = 'text'").select("what", "block", F.lit(-1).cast("long").alias("code"), "key", "codes", "n", *[F.lit(0).cast("long").alias(n) for n in _NUMBERS], F.lit("").alias("groups"))
-    out = rows.union(own).repartition("block").sortWithinPartitions("block", F.col("what").desc(), "code")
+    none = F.lit("0;" * len(_NUMBERS)).cast("binary")
+    book = book.select("block", "code", F.lit(None).cast("long").alias("key"), F.coalesce("body", none).alias("body"))
+    own = coded.where("what = 'text'").select("block", F.lit(_LAST).alias("code"), "key", F.col("codes").alias("body"))
+    out = book.union(own).repartition("block").sortWithinPartitions("block", "code")
     return out.mapInArrow(T.tidied(_assembled), _OUT).withColumnRenamed("key", key)
