@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from plumbline.functions.spans import let, running, total
+
 #: The word lists and marks that the measures are defined by.
 FUNCTION_WORDS = (
     "the a an and or but if while of to in on at for with as that this these those "
@@ -40,9 +42,9 @@ def _unescaped(s: pd.Series) -> pd.Series:
 
 
 def normalise(text: Column, lower: bool = False, numbers: bool = False, hashes: bool = False, most: int | None = 8000) -> Column:
-    """The canonical form of a text; null gives "".  Entities and compatibility forms need Python, so only texts that may have any go there."""
+    """The canonical form of a text; null gives "".  Entities and compatibility forms need Python, which gets those texts that may have any and nulls for the others."""
     t = F.coalesce(text, F.lit(""))
-    t = F.when(t.rlike(r"&|[^\x00-\x7f]"), _unescaped(t)).otherwise(t)
+    t = F.coalesce(_unescaped(F.when(t.rlike(r"&|[^\x00-\x7f]"), t)), t)
     t = F.translate(F.regexp_replace(t, ZERO_WIDTH, ""), FOLD_FROM, FOLD_TO)
     t = F.regexp_replace(t, "…", "...")
     t = F.regexp_replace(t, URL_RE, URL)
@@ -76,7 +78,11 @@ def words(text: Column) -> Column:
 
 def tells(text: Column, lexicon: list[str]) -> Column:
     """Phrases of a lexicon that a text has, in the lexicon's order."""
-    return F.filter(F.array(*map(F.lit, lexicon)), lambda p: F.contains(F.lower(F.coalesce(text, F.lit(""))), p))
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: _present(low, lexicon))
+
+
+def _present(low: Column, lexicon: list[str]) -> Column:
+    return F.filter(F.array(*map(F.lit, lexicon)), lambda p: F.contains(low, p))
 
 
 def lexical_score(text: Column, lexicon: list[str] | None = None) -> Column:
@@ -84,47 +90,49 @@ def lexical_score(text: Column, lexicon: list[str] | None = None) -> Column:
     return 1 - F.exp(-0.9 * F.size(tells(text, INJECTION_TELLS if lexicon is None else lexicon)))
 
 
+def _starts(sizes: Column) -> Column:
+    """The sum of the sizes before each, in time linear in them."""
+    return running(sizes, 0, total)
+
+
 def match_spans(text: Column, lexicon: list[str] | None = None) -> Column:
     """array<struct<start, end, phrase>>: all non-overlapping places of each phrase, by start, then end; code points, end exclusive.
 
     A text is cut at a phrase and the lengths of what is between are added up.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
 
-    def one(p: str) -> Column:
-        cut = F.split(low, "\\Q" + p + "\\E", -1)
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,phrase:string>>").alias("out"))
+    def one(low: Column, p: Column) -> Column:
+        def places(gaps: Column) -> Column:
+            size, sizes = F.char_length(p), F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.char_length)
+            before = _starts(F.transform(sizes, lambda n: n + size))
+            return F.zip_with(before, sizes, lambda at, n: F.struct((at + n).alias("start"), (at + n + size).alias("end"), p.alias("phrase")))
 
-        def step(a, g):
-            start = a["at"] + F.char_length(g)
-            return F.struct((start + len(p)).alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), (start + len(p)).alias("end"), F.lit(p).alias("phrase")))).alias("out"))
+        return let(F.split(low, F.concat(F.lit("\\Q"), p, F.lit("\\E")), -1), places)
 
-        found = F.aggregate(F.slice(cut, F.lit(1), F.size(cut) - 1), zero, step)["out"]
-        return F.when(F.contains(low, F.lit(p)), found).otherwise(F.array().cast("array<struct<start:int,end:int,phrase:string>>"))
-
-    return F.array_sort(F.concat(*(one(p) for p in (INJECTION_TELLS if lexicon is None else lexicon))))
+    lexicon = INJECTION_TELLS if lexicon is None else lexicon
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array_sort(F.flatten(F.transform(_present(low, lexicon), lambda p: one(low, p)))))
 
 
 def sentence_spans(text: Column) -> Column:
     """array<struct<start, end, sentence>>: runs up to . ! ? or a line's end, trimmed."""
-    t = F.coalesce(text, F.lit(""))
-    pieces = F.regexp_extract_all(t, F.lit(r"[^.!?\n]*[.!?]+|[^.!?\n]+|\n"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,sentence:string>>").alias("out"))
 
-    def step(a, p):
-        body = F.trim(p)
-        start = a["at"] + F.char_length(p) - F.char_length(F.ltrim(p))
-        s = F.struct(start.alias("start"), (start + F.char_length(body)).alias("end"), body.alias("sentence"))
-        return F.struct((a["at"] + F.char_length(p)).alias("at"), F.when((body == "") | (p == "\n"), a["out"]).otherwise(F.concat(a["out"], F.array(s))).alias("out"))
+    def spans(pieces: Column) -> Column:
+        def span(p: Column, at: Column) -> Column:
+            start = at + F.char_length(p) - F.char_length(F.ltrim(p))
+            return F.struct(start.alias("start"), (start + F.char_length(F.trim(p))).alias("end"), F.trim(p).alias("sentence"))
+
+        every = F.zip_with(pieces, _starts(F.transform(pieces, F.char_length)), span)
+        return F.filter(every, lambda s: (s["sentence"] != "") & (s["sentence"] != "\n"))
 
-    return F.aggregate(pieces, zero, step)["out"]
+    return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^.!?\n]*[.!?]+|[^.!?\n]+|\n"), F.lit(0)), spans)
 
 
 def payload_alerts(text: Column, lexicon: list[str] | None = None) -> Column:
     """Sentences with a phrase: span, text, the phrases, a severity that grows with them."""
     lexicon = INJECTION_TELLS if lexicon is None else lexicon
-    hit = F.filter(sentence_spans(text), lambda s: F.exists(F.array(*map(F.lit, lexicon)), lambda p: F.contains(F.lower(s["sentence"]), p)))
-    return F.transform(hit, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["sentence"].alias("sentence"), tells(s["sentence"], lexicon).alias("phrases"), lexical_score(s["sentence"], lexicon).alias("severity")))
+    said = F.transform(sentence_spans(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["sentence"].alias("sentence"), tells(s["sentence"], lexicon).alias("phrases")))
+    hit = F.filter(said, lambda s: F.size(s["phrases"]) > 0)
+    return F.transform(hit, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["sentence"].alias("sentence"), s["phrases"].alias("phrases"), (1 - F.exp(-0.9 * F.size(s["phrases"]))).alias("severity")))
 
 
 def posts_of(text: Column) -> Column:

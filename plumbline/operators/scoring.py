@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.spans import let
 from plumbline.functions.text import payload_alerts
 
 #: Decision floors, fixed by the measures' definitions.
@@ -81,7 +82,8 @@ def triage(score: Column, cuts=(0.35, 0.60, 0.82)) -> Column:
 
 
 def says(text: Column, phrases: list[str]) -> Column:
-    return F.coalesce(F.lit(False) if not phrases else F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(text, p)), F.lit(False))
+    """Whether a text has one of the phrases; a null has none.  The text, however it is made, is made once."""
+    return F.lit(False) if not phrases else F.coalesce(let(text, lambda t: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(t, p))), F.lit(False))
 
 
 def phrase_flags(text: Column) -> dict[str, Column]:

@@ -89,8 +89,13 @@ structure AS (SELECT a.user_id, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0)
   coalesce(r, 0) AS reciprocity, coalesce(c, 0) AS clustering_coefficient FROM accounts a LEFT JOIN (SELECT target AS user_id, count(*) AS n FROM edges GROUP BY 1) i USING (user_id)
   LEFT JOIN (SELECT source AS user_id, count(*) AS n FROM edges GROUP BY 1) o USING (user_id) LEFT JOIN rec USING (user_id) LEFT JOIN clus USING (user_id))
 """
+#: Texts whose character 5-gram sets overlap by three quarters are linked, and a component of links is one text.
 CONTENT = """
-per AS (SELECT event_type || ' ' || k AS t, user_id, count(*) AS c FROM posts GROUP BY 1, 2),
+tx AS MATERIALIZED (SELECT t, CASE WHEN length(t) < 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) END AS g FROM (SELECT DISTINCT event_type || ' ' || k AS t FROM posts)),
+gx AS MATERIALIZED (SELECT t, len(g) AS n, unnest(g) AS x FROM tx),
+lk AS MATERIALIZED (SELECT x.t AS a, y.t AS b FROM gx x JOIN gx y ON x.x = y.x AND x.t <> y.t GROUP BY 1, 2 HAVING count(*) >= 0.75 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach AS (SELECT t AS node, t AS root FROM tx UNION SELECT r.node, b FROM reach r JOIN lk ON a = r.root), grp AS MATERIALIZED (SELECT node AS t, min(root) AS grp FROM reach GROUP BY node),
+per AS (SELECT grp AS t, user_id, count(*) AS c FROM posts JOIN grp ON grp.t = event_type || ' ' || k GROUP BY 1, 2),
 uses AS (SELECT t, count(*) AS u FROM per GROUP BY 1),
 dup AS (SELECT user_id, sum(CASE WHEN u = 1 THEN c - 1 ELSE 0 END) * 1.0 / sum(c) AS content_duplication_ratio, sum(CASE WHEN u > 1 THEN c ELSE 0 END) * 1.0 / sum(c) AS cross_account_dup_ratio
   FROM per JOIN uses USING (t) GROUP BY 1),
@@ -107,7 +112,7 @@ feats AS (SELECT a.user_id, a.label, a.split, {", ".join(f"coalesce({c if c not
 
 
 def with_features(window: int) -> str:
-    return "WITH " + ",".join(x.strip() for x in (SQL_VIEWS, TEMPORAL, synchrony_sql(window), STRUCTURE, CONTENT, FEATURES_SQL))
+    return "WITH RECURSIVE " + ",".join(x.strip() for x in (SQL_VIEWS, TEMPORAL, synchrony_sql(window), STRUCTURE, CONTENT, FEATURES_SQL))
 
 
 def between_sql(adjacent: str, members: str, levels: int = 7) -> str:

@@ -173,15 +173,26 @@ def j12_joined_once(spark, sf_dir):
     return rounded(R.join_once(g, t, ["campaign_id", "user_id"]))
 
 
-@query(f"""WITH a AS ({_final(f"SELECT {_TEXT.format('both')} AS text, 0 AS label, NULL AS threat_class, 'unknown' AS generator, NULL AS domain, NULL AS group_id FROM orders WHERE o_orderpriority < '3'", "a")}),
-b AS ({_final(f"SELECT {_TEXT.format('both')} AS text, 1 AS label, NULL AS threat_class, 'unknown' AS generator, NULL AS domain, NULL AS group_id FROM orders WHERE o_orderpriority >= '3'", "b")}),
-u AS (SELECT *, 0 AS o FROM a UNION ALL SELECT *, 1 FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY o, uid) AS k FROM u)
-SELECT text, label, source_dataset FROM k WHERE k = 1""")
+#: Endings that make texts with other numbers near copies, fixed here and in the SQL.
+_ENDINGS = ["which the night shift packed before the last train left for the harbour towns", "because nobody at the counter had asked for the signed papers of the second carrier", "and it waits in the long hall until the driver with the blue van comes back again"]
+_LONG = "'order of client ' || (o_custkey % 97) || ' is ' || lower(o_orderstatus) || ' and done, ' || (['" + "', '".join(_ENDINGS) + "'])[o_custkey % 3 + 1]"
+
+
+@query(f"""WITH RECURSIVE a AS ({_final(f"SELECT {_LONG} AS text, 0 AS label, NULL AS threat_class, 'unknown' AS generator, NULL AS domain, NULL AS group_id FROM orders WHERE o_orderpriority < '3'", "a")}),
+b AS ({_final(f"SELECT {_LONG} AS text, 1 AS label, NULL AS threat_class, 'unknown' AS generator, NULL AS domain, NULL AS group_id FROM orders WHERE o_orderpriority >= '3'", "b")}),
+u AS (SELECT *, 0 AS o FROM a UNION ALL SELECT *, 1 FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY o, uid) AS k FROM u),
+e AS MATERIALIZED (SELECT text, label, source_dataset, row_number() OVER (ORDER BY o, uid) AS i FROM k WHERE k = 1),
+g AS MATERIALIZED (SELECT i, list_distinct(list_transform(range(1, length(text) - 3), lambda j: substr(lower(text), j, 5))) AS g FROM e),
+near AS MATERIALIZED (SELECT y.i, list(x.i) AS near, row_number() OVER (ORDER BY y.i) AS k FROM g x JOIN g y ON x.i < y.i AND len(list_intersect(x.g, y.g)) >= 0.9 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) GROUP BY y.i),
+r AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL SELECT near.k, CASE WHEN len(list_filter(near, lambda a: NOT list_contains(gone, a))) > 0 THEN list_append(gone, i) ELSE gone END FROM r JOIN near ON near.k = r.k + 1)
+SELECT text, label, source_dataset FROM e WHERE NOT list_contains((SELECT gone FROM r ORDER BY k DESC LIMIT 1), i)""")
 def x5_text_corpus(spark, sf_dir):
-    """Two corpora that share texts made one: the first writer of a text stays.  These texts are too short to be near copies of one another under the threshold of 0.999."""
+    """Two corpora that share texts, and near ones, made one: the first writer of a text stays."""
     o = _orders(spark, sf_dir)
-    parts = {n: C.flat(o.where(c).select(_said("both").alias("t"), F.lit(y).alias("l")), "t", "l", n) for n, c, y in (("a", "o_orderpriority < '3'", "0"), ("b", "o_orderpriority >= '3'", "1"))}
-    return C.build_text_corpus(parts, 0.999).select("text", "label", "source_dataset")
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("o_custkey") % 3 + 1).cast("int"))
+    said = F.concat(_said("done, "), ending)
+    parts = {n: C.flat(o.where(c).select(said.alias("t"), F.lit(y).alias("l")), "t", "l", n) for n, c, y in (("a", "o_orderpriority < '3'", "0"), ("b", "o_orderpriority >= '3'", "1"))}
+    return C.build_text_corpus(parts).select("text", "label", "source_dataset")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (quality <> toxic) AS crossing, round(count(*) FILTER (quality <> toxic) * 1.0 / count(*), 6) AS rate FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL")

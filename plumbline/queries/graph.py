@@ -12,7 +12,7 @@ from plumbline.functions import text as X
 from plumbline.queries.base import SQL, query
 from plumbline.schemas import FEATURES, TRANSFER
 
-WITH = "WITH " + V.SQL_VIEWS.strip()
+WITH = "WITH RECURSIVE " + V.SQL_VIEWS.strip()
 
 
 def rounded(df, digits: int = 6):
@@ -62,18 +62,16 @@ def g5_profile(spark, sf_dir):
     return rounded(features.profile_features(V.accounts(spark, sf_dir)))
 
 
-@query(part(V.STRUCTURE, V.CONTENT) + f"SELECT user_id, {r('content_duplication_ratio', 'cross_account_dup_ratio')} FROM dup")
+@query(WITH + """, per AS (SELECT event_type || ' ' || k AS t, user_id, count(*) AS c FROM posts GROUP BY 1, 2), uses AS (SELECT t, count(*) AS u FROM per GROUP BY 1)
+SELECT user_id, round(sum(CASE WHEN u = 1 THEN c - 1 ELSE 0 END) * 1.0 / sum(c), 6) + 0.0 AS content_duplication_ratio, round(sum(CASE WHEN u > 1 THEN c ELSE 0 END) * 1.0 / sum(c), 6) + 0.0 AS cross_account_dup_ratio FROM per JOIN uses USING (t) GROUP BY 1""")
 def g6_content_duplication(spark, sf_dir):
-    return rounded(content.duplication(V.posts(spark, sf_dir), near=None))  # the SQL knows equal texts alone
+    """Equal texts alone: the operator's other setting."""
+    return rounded(content.duplication(V.posts(spark, sf_dir), near=None))
 
 
-@query("WITH RECURSIVE " + V.SQL_VIEWS.strip() + """, tx AS (SELECT t, CASE WHEN length(t) < 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) END AS g FROM (SELECT DISTINCT event_type || ' ' || k AS t FROM posts)),
-lk AS (SELECT x.t AS a, y.t AS b FROM tx x JOIN tx y ON x.t <> y.t AND len(list_intersect(x.g, y.g)) >= 0.75 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))),
-reach AS (SELECT t AS node, t AS root FROM tx UNION SELECT r.node, b FROM reach r JOIN lk ON a = r.root), grp AS (SELECT node AS t, min(root) AS grp FROM reach GROUP BY node),
-per AS (SELECT grp AS t, user_id, count(*) AS c FROM posts JOIN grp ON grp.t = event_type || ' ' || k GROUP BY 1, 2), uses AS (SELECT t, count(*) AS u FROM per GROUP BY 1)
-SELECT user_id, round(sum(CASE WHEN u = 1 THEN c - 1 ELSE 0 END) * 1.0 / sum(c), 6) + 0.0 AS content_duplication_ratio, round(sum(CASE WHEN u > 1 THEN c ELSE 0 END) * 1.0 / sum(c), 6) + 0.0 AS cross_account_dup_ratio FROM per JOIN uses USING (t) GROUP BY 1""")
+@query(part(V.STRUCTURE, V.CONTENT) + f"SELECT user_id, {r('content_duplication_ratio', 'cross_account_dup_ratio')} FROM dup")
 def g6_near_duplication(spark, sf_dir):
-    """Near copies linked, which the SQL of the other queries leaves out."""
+    """Near copies linked, as all the queries on features have it."""
     return rounded(content.duplication(V.posts(spark, sf_dir)))
 
 
@@ -90,7 +88,7 @@ def g7_components(spark, sf_dir):
 
 
 def _built(spark, sf_dir):
-    return features.build_features(*V.network(spark, sf_dir), 3600, near=None)
+    return features.build_features(*V.network(spark, sf_dir), 3600)
 
 
 @query(V.with_features(3600) + f"SELECT user_id, label, split, {r(*FEATURES)} FROM feats")
@@ -317,5 +315,5 @@ SELECT total_nodes, coordinated_accounts, network_architecture, architecture_con
 
 @query(V.with_features(3600) + _REPORT)
 def analyze_network(spark, sf_dir):
-    out = analysed(*V.network(spark, sf_dir), 3600, near=None)
+    out = analysed(*V.network(spark, sf_dir), 3600)
     return rounded(out.select("total_nodes", "coordinated_accounts", "network_architecture", "architecture_confidence", "federation_bridge_centrality", "payload_alerts", "evidence_score", "peak_synchrony", "reciprocity_rate", "hashtag_overlap", "classification", "triage_band", "attack_profile"))
