@@ -7,9 +7,13 @@ score are summed in ranges of scores.  Undefined values are null.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.spans import let
 from plumbline.operators.relational import quantiles, running
 
 BETA2 = 1.5 * 1.5
@@ -45,11 +49,16 @@ def evaluate(df: DataFrame, y: str = "y", score: str = "score", group: str | Non
 
     Where all scores are 0 or 1 the last three are null; with one class AUC, average precision and MCC are.
     """
-    d = running(points(prepared(df, y, score, group)), ["g"], ["s"], ["pos", "neg"])
-    total = d.groupBy("g").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    d = d.join(total, "g").withColumn("below", F.col("before_neg")).withColumn("tp", F.col("P") - F.col("before_pos")).withColumn("n", F.col("tp") + F.col("N") - F.col("before_neg"))
+    return _evaluated(points(prepared(df, y, score, group)), ["g"], threshold).withColumnRenamed("g", "group")
+
+
+def _evaluated(pts: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """The same of points (by, s, pos, neg)."""
+    d = running(pts, by, ["s"], ["pos", "neg"])
+    total = d.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    d = d.join(total, by).withColumn("below", F.col("before_neg")).withColumn("tp", F.col("P") - F.col("before_pos")).withColumn("n", F.col("tp") + F.col("N") - F.col("before_neg"))
     hit = F.col("s") >= threshold
-    a = d.groupBy("g").agg(
+    a = d.groupBy(*by).agg(
         *(F.coalesce(F.sum(F.when(c, F.col(k))), F.lit(0)).alias(n) for n, c, k in (("tp", hit, "pos"), ("fp", hit, "neg"), ("fn", ~hit, "pos"), ("tn", ~hit, "neg"))),
         F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("won"), F.sum(F.col("pos") * F.col("tp") / F.col("n")).alias("ap"),
         F.sum(F.col("pos") * (1 - F.col("s")) * (1 - F.col("s")) + F.col("neg") * F.col("s") * F.col("s")).alias("sq"),
@@ -61,7 +70,7 @@ def evaluate(df: DataFrame, y: str = "y", score: str = "score", group: str | Non
     x = rates(tp, fp, fn, tn)
     x["mcc"] = F.when(two, F.coalesce(x["mcc"], F.lit(0.0)))
     return a.select(
-        F.col("g").alias("group"), (pos + neg).alias("n"), pos.alias("n_pos"), "tp", "fp", "fn", "tn", *(c.alias(n) for n, c in x.items()),
+        *by, (pos + neg).alias("n"), pos.alias("n_pos"), "tp", "fp", "fn", "tn", *(c.alias(n) for n, c in x.items()),
         F.when(F.col("graded"), F.col("sq") / (pos + neg)).alias("brier"), F.when(F.col("graded") & two, F.col("won") / (pos * neg)).alias("roc_auc"),
         F.when(F.col("graded") & two, F.col("ap") / pos).alias("average_precision"),
     )
@@ -155,6 +164,40 @@ def band_table(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     return j.select("band", "accounts", "positives", F.try_divide("positives", "accounts").alias("precision"), "mean_score", F.try_divide("positives", total).alias("share_of_positives"))
 
 
+#: Metrics that have intervals; rows with one score and class up to which each draws its own weight.
+METRICS = ["accuracy", "precision", "recall", "f1", "f_beta", "mcc", "brier", "roc_auc", "average_precision"]
+OWN = 64
+#: What a uniform number must reach for a Poisson(1) draw of 1, 2, ...
+_STEPS = list(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
+
+
+def poisson(c: Column, name: Column) -> Column:
+    """The sum of Poisson(1) draws for c rows, by md5 of a name, so that any engine draws the same; above OWN rows the normal draw of that mean and variance."""
+    uniform = lambda i: F.conv(F.substr(F.md5(F.concat_ws(":", name, F.floor(i / 4).cast("string"))), (i % 4 * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("double") / 4294967296.0
+    one = lambda u: sum((F.when(u >= t, 1).otherwise(0) for t in _STEPS), F.lit(0))
+    each = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(c, F.lit(OWN)), F.lit(1)).cast("int")), F.lit(0), lambda a, i: a + let(uniform(i - 1), one))
+    normal = F.sqrt(-2 * F.log(1 - uniform(F.lit(0)))) * F.cos(2 * math.pi * uniform(F.lit(1)))
+    return F.when(c == 0, F.lit(0)).when(c <= OWN, each).otherwise(F.greatest(F.lit(0), F.round(c + F.sqrt(c.cast("double")) * normal))).cast("long")
+
+
+def intervals(df: DataFrame, y: str = "y", score: str = "score", group: str | None = None, threshold: float = 0.5, rounds: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """(group, metric, value, low, high, defined): every metric with the quantiles of its bootstrap replicates, and in how many it is defined.
+
+    Rows of one score and class are one draw a replicate, so replicates are
+    tables of weighted points, not of rows; they are evaluated together by one
+    running sum along (group, replicate, score).
+    """
+    pts = points(prepared(df, y, score, group)).withColumn("n", F.col("pos") + F.col("neg"))
+    cells = running(pts, ["g"], ["s"], ["n"])
+    drawn = lambda k, c: poisson(F.col(c), F.concat_ws(":", F.lit(str(seed)), "g", F.col("before_n").cast("string"), F.lit(str(k)), F.col("r").cast("string")))
+    reps = cells.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).select("g", "r", "s", drawn(1, "pos").alias("pos"), drawn(0, "neg").alias("neg")).where("pos + neg > 0")
+    long = lambda d, by: d.unpivot(by, METRICS, "metric", "value")
+    ends = long(_evaluated(reps, ["g", "r"], threshold).select("g", "r", *METRICS), ["g", "r"])
+    ends = ends.groupBy("g", "metric").agg(F.percentile("value", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("q"), F.count("value").alias("defined"))
+    at = long(_evaluated(pts.drop("n"), ["g"], threshold).select("g", *METRICS), ["g"])
+    return at.join(ends, ["g", "metric"], "left").select(F.col("g").alias("group"), "metric", "value", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), F.coalesce("defined", F.lit(0)).alias("defined"))
+
+
 def bootstrap(df: DataFrame, y: str = "y", score: str = "score", threshold: float = 0.5, rounds: int = 1000, seed: int = 42, level: float = 0.95, key: str | None = None) -> DataFrame:
     """One row (f1, low, high): a Poisson bootstrap of F1.
 

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import content, features, scoring, structure, temporal
 from plumbline.operators.components import connected_components
+from plumbline.operators.modularity import RESOLUTION, joining_gain, modularity, modularity_communities
 from plumbline.plans import views as V
 from plumbline.plans.network import analyze_network as analysed
 from plumbline.functions import text as X
 from plumbline.queries.base import SQL, query
 from plumbline.schemas import FEATURES, TRANSFER
+from plumbline.store import stash
 
 WITH = "WITH RECURSIVE " + V.SQL_VIEWS.strip()
 
@@ -192,6 +194,20 @@ def g17_communities(spark, sf_dir):
     return structure.communities(edges, nodes).withColumn("community", F.col("community").cast("long"))
 
 
+@query(WITH + f""", nb AS MATERIALIZED (SELECT source, target FROM edges WHERE source <> target UNION SELECT target, source FROM edges WHERE source <> target UNION SELECT user_id, user_id FROM accounts),
+l0 AS (SELECT user_id AS source, user_id AS l FROM accounts), {_LPA},
+w AS (SELECT x.l AS a, y.l AS b FROM nb JOIN l5 x ON x.source = nb.source JOIN l5 y ON y.source = nb.target WHERE nb.source <> nb.target),
+t AS (SELECT a, count(*)::DOUBLE AS tot, count(*) FILTER (a = b)::DOUBLE AS i FROM w GROUP BY a)
+SELECT (SELECT count(*) FROM accounts) AS accounts, round(sum(i) / sum(tot) - 1.2 * sum(tot * tot) / sum(tot) ** 2, 6) AS label_propagation, true AS not_lower, true AS settled FROM t""")
+def g17_modularity(spark, sf_dir):
+    """Communities by modularity next to those by labels: all accounts are in one, modularity is not lower, and joining any two communities would lower it."""
+    nodes, edges, _ = V.network(spark, sf_dir)
+    found = stash(modularity_communities(edges, nodes), "communities")
+    own, other = (modularity(edges, p, RESOLUTION) for p in (found, structure.communities(edges, nodes)))
+    one = found.agg(F.count_distinct("user_id").alias("accounts")).join(F.broadcast(other.withColumnRenamed("modularity", "label_propagation"))).join(F.broadcast(own)).join(F.broadcast(joining_gain(edges, found, RESOLUTION)))  # single rows
+    return rounded(one.select("accounts", "label_propagation", (F.col("modularity") >= F.col("label_propagation")).alias("not_lower"), (F.coalesce("gain", F.lit(0.0)) <= 1e-9).alias("settled")))
+
+
 @query(WITH + """, c AS (SELECT user_id, CASE WHEN user_id % 7 > 0 THEN campaign_id::VARCHAR END AS c FROM accounts), n AS (SELECT c, row_number() OVER (ORDER BY c) AS k FROM (SELECT DISTINCT c FROM c WHERE c IS NOT NULL))
 SELECT user_id, coalesce(k, 0) AS community FROM c LEFT JOIN n USING (c)""")
 def g17_supplied(spark, sf_dir):

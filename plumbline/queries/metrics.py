@@ -98,3 +98,24 @@ def m15_bands(spark, sf_dir):
 @query()
 def m7_bootstrap(spark, sf_dir):
     return M.bootstrap(V.scored(spark, sf_dir))
+
+
+_DRAW = "(" + " + ".join(f"CASE WHEN u >= {t!r}::DOUBLE THEN 1 ELSE 0 END" for t in M._STEPS) + ")"
+_FOLDED = ", ".join(f"{n} := {c}" for n, c in (
+    ("accuracy", "(tp + tn) / nullif(tp + fp + fn + tn, 0)"), ("precision", _P), ("recall", _R), ("f1", _F1), ("f_beta", _FB),
+    ("mcc", "CASE WHEN tp + fn > 0 AND fp + tn > 0 THEN coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0) END"), ("brier", "sq / (tp + fp + fn + tn)"),
+    ("roc_auc", "CASE WHEN tp + fn > 0 AND fp + tn > 0 THEN won / ((tp + fn) * (fp + tn)) END"), ("average_precision", "CASE WHEN tp + fn > 0 AND fp + tn > 0 THEN ap / (tp + fn) END"),
+))
+_ROUNDS = 60
+
+
+@query(WITH + f""", cell AS (SELECT score AS s, y, count(*) AS c FROM scored GROUP BY 1, 2), b AS (SELECT s, sum(sum(c)) OVER (ORDER BY s) - sum(c) AS before FROM cell GROUP BY s),
+rows AS (SELECT r, s, y, unnest(range(0, c)) AS i, before, c FROM cell JOIN b USING (s), (SELECT unnest(range(0, {_ROUNDS})) AS r)),
+drawn AS (SELECT r, s, y, ('0x' || substr(md5('42:all:' || before::BIGINT || ':' || y || ':' || r || ':' || (i // 4)), 1 + 8 * (i % 4), 8))::UBIGINT / 4294967296.0 AS u FROM rows),
+pts AS (SELECT r AS g, s, coalesce(sum({_DRAW}) FILTER (y = 1), 0) AS pos, coalesce(sum({_DRAW}) FILTER (y = 0), 0) AS neg FROM drawn GROUP BY 1, 2 HAVING sum({_DRAW}) > 0
+  UNION ALL SELECT -1, s, coalesce(sum(c) FILTER (y = 1), 0), coalesce(sum(c) FILTER (y = 0), 0) FROM cell GROUP BY s){_EVAL},
+m AS (UNPIVOT (SELECT g, unnest(struct_pack({_FOLDED})) FROM ev) ON {", ".join(M.METRICS)} INTO NAME metric VALUE value)
+SELECT 'all' AS "group", metric, round(any_value(value) FILTER (g < 0), 6) + 0.0 AS value, round(quantile_cont(value, 0.025) FILTER (g >= 0), 6) + 0.0 AS low, round(quantile_cont(value, 0.975) FILTER (g >= 0), 6) + 0.0 AS high, count(value) FILTER (g >= 0) AS defined FROM m GROUP BY metric""")
+def m7_intervals(spark, sf_dir):
+    """All metrics with their bootstrap intervals; the draws are hashes, so SQL draws the same."""
+    return rounded(M.intervals(V.scored(spark, sf_dir), rounds=_ROUNDS))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as X
 from plumbline.operators import dedup as D
 from plumbline.operators import relational as R
+from plumbline.operators.splits import balanced_split
 from plumbline.queries.base import query, table
 from plumbline.queries.graph import rounded
 
@@ -123,6 +124,26 @@ def x4_grouped_split(spark, sf_dir):
     return D.grouped_split(docs(spark, sf_dir).select("doc_id", "source"), "source")
 
 
+#: The greedy choice in SQL: groups in order, the counts of all folds carried along.
+_FOLDS = "[0.70, 0.15, 0.15]::DOUBLE[]"
+_COST = "list_transform(range(0, 3), lambda f: list_max(list_transform(range(1, 4), lambda j: CASE WHEN v[j] > 0 THEN (c[f * 3 + j] + v[j]) / (w[f + 1] * t[j]) ELSE -1 END)))"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, source || '/' || (doc_id % 37) AS grp, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+t AS (SELECT list_transform([count(*) FILTER (toxic = 0), count(*) FILTER (toxic = 1), count(*)], lambda x: greatest(x, 1)::DOUBLE) AS t, {_FOLDS} AS w FROM d),
+g AS (SELECT grp, [count(*) FILTER (toxic = 0), count(*) FILTER (toxic = 1), count(*)]::DOUBLE[] AS v FROM d GROUP BY grp),
+o AS MATERIALIZED (SELECT grp, v, t, w, row_number() OVER (ORDER BY greatest(v[1] / t[1], v[2] / t[2], v[3] / t[3]) DESC, grp) AS k FROM g, t),
+r AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0, 0, 0, 0, 0]::DOUBLE[] AS c, NULL::VARCHAR AS grp, 0::BIGINT AS f
+  UNION ALL SELECT k, list_transform(range(1, 10), lambda i: c[i] + CASE WHEN (i - 1) // 3 = f THEN v[(i - 1) % 3 + 1] ELSE 0 END), grp, f
+  FROM (SELECT o.k, r.c, o.v, o.grp, list_position({_COST}, list_min({_COST})) - 1 AS f FROM r JOIN o ON o.k = r.k + 1))
+SELECT doc_id, d.grp, (['train', 'val', 'test'])[f + 1] AS split FROM d JOIN r USING (grp)""")
+def x4_balanced_split(spark, sf_dir):
+    """Whole groups of documents to folds, both classes of a label and all rows kept in balance."""
+    d = docs(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    d = d.select("doc_id", F.concat_ws("/", "source", (F.col("doc_id") % 37).cast("string")).alias("grp"), "toxic")
+    return balanced_split(d, "grp", "toxic").select("doc_id", "grp", "split")
+
+
 @query("""SELECT count(*) AS rows, sha256(array_to_string([(sum(('0x' || substr(d, 1 + 8 * 0, 8))::UBIGINT))::VARCHAR, (sum(('0x' || substr(d, 9, 8))::UBIGINT))::VARCHAR, (sum(('0x' || substr(d, 17, 8))::UBIGINT))::VARCHAR, (sum(('0x' || substr(d, 25, 8))::UBIGINT))::VARCHAR,
 (sum(('0x' || substr(d, 33, 8))::UBIGINT))::VARCHAR, (sum(('0x' || substr(d, 41, 8))::UBIGINT))::VARCHAR, (sum(('0x' || substr(d, 49, 8))::UBIGINT))::VARCHAR, (sum(('0x' || substr(d, 57, 8))::UBIGINT))::VARCHAR], ':')) AS fingerprint
 FROM (SELECT sha256(doc_id || chr(31) || text || chr(31) || lang) AS d FROM documents)""")
