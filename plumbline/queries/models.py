@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import features, models
+from plumbline.operators import features, models, nested
 from plumbline.plans import views as V
 from plumbline.queries.base import query, table
 from plumbline.queries.graph import rounded
@@ -71,3 +71,31 @@ def d12_stacking(spark, sf_dir):
 @query("SELECT epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS start, count(*) AS posts FROM events GROUP BY 1")
 def stream_co_posting(spark, sf_dir):
     return co_posting_counts(V.posts(spark, sf_dir), "1 hour").select(F.unix_timestamp("window.start").alias("start"), "posts")
+
+
+_WEIGHTS = {"graph": 0.6, "text": 0.4}
+
+
+def _two_scores(spark, sf_dir):
+    return V.scored(spark, sf_dir).select("doc_id", "grp", F.col("y").alias("label"), F.col("score").alias("graph"), ((F.col("doc_id") * 13 % 101) / 101.0).alias("text"))
+
+
+@query("WITH " + V.SQL_VIEWS.strip() + """, d AS (SELECT grp, y, score AS graph, (doc_id * 13 % 101) / 101.0::DOUBLE AS text FROM scored WHERE y IS NOT NULL AND grp IS NOT NULL),
+e AS (SELECT grp, y, unnest(['graph', 'text', 'weighted']) AS kind, unnest([graph, text, (0.0::DOUBLE + graph * 0.6::DOUBLE + text * 0.4::DOUBLE) / 1.0::DOUBLE]) AS s FROM d),
+k AS MATERIALIZED (SELECT o.grp AS o, kind, e.grp, y, s FROM e JOIN (SELECT DISTINCT grp FROM d) o ON o.grp <> e.grp),
+pts AS (SELECT o, kind, s, count(*) FILTER (y = 1)::DOUBLE AS pos, count(*) FILTER (y = 0)::DOUBLE AS neg FROM k GROUP BY 1, 2, 3),
+c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY o, kind) AS p FROM pts WINDOW w AS (PARTITION BY o, kind ORDER BY s DESC)),
+f AS (SELECT o, kind, s, round(coalesce(3.25 * tp / nullif(3.25 * tp + 2.25 * (p - tp) + fp, 0), 0), 12) AS f FROM c),
+b AS (SELECT o, kind, s AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY o, kind ORDER BY f DESC, s) AS i FROM f) WHERE i = 1),
+g AS (SELECT o, kind, grp, any_value(threshold) AS threshold, count(*) FILTER (s >= threshold AND y = 1) AS tp, count(*) FILTER (s >= threshold AND y = 0) AS fp, count(*) FILTER (s < threshold AND y = 1) AS fn FROM k JOIN b USING (o, kind) GROUP BY 1, 2, 3),
+st AS (SELECT o, kind, any_value(threshold) AS threshold, avg(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)) AS macro_f1, min(coalesce(tp * 1.0 / nullif(tp + fn, 0), 0)) AS worst_recall FROM g GROUP BY 1, 2)
+SELECT o, kind, round(threshold, 6) AS threshold, round(macro_f1, 6) AS macro_f1, round(worst_recall, 6) AS worst_recall FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY round(worst_recall, 12) DESC, round(macro_f1, 12) DESC, kind) AS i FROM st) WHERE i = 1""")
+def d13_simple_choice(spark, sf_dir):
+    """For each group left out, the kind of score and the threshold that the others choose."""
+    return rounded(nested.simple_choice(_two_scores(spark, sf_dir), "grp", _WEIGHTS, key="doc_id"))
+
+
+@query()
+def d13_nested_selection(spark, sf_dir):
+    """Every row judged by a choice among scores, their mean and a stacked model that never saw its group, with a calibrated score; a test refits each model by itself."""
+    return nested.nested_selection(_two_scores(spark, sf_dir), "grp", _WEIGHTS, key="doc_id")
