@@ -1,4 +1,4 @@
-"""Streams of posts: co-posting counts in event-time windows and per-account quotas.  These go beyond batch, which has no streams."""
+"""Streams of posts: co-posting counts in event-time windows, each post once.  These go beyond batch, which has no streams; for quotas see streaming.quota."""
 
 from __future__ import annotations
 
