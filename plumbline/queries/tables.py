@@ -9,6 +9,7 @@ from plumbline.functions import text as X
 from plumbline.operators import metrics as M
 from plumbline.operators import relational as R
 from plumbline.operators import scoring as S
+from plumbline.operators.intervals import asof_join, within_spans
 from plumbline.plans import views as V
 from plumbline.queries.base import query, table
 from plumbline.queries.graph import WITH, rounded
@@ -226,3 +227,20 @@ def d12_fusion(spark, sf_dir):
 def d15_evasion(spark, sf_dir):
     e = V.scored(spark, sf_dir).withColumn("score", F.when(F.col("y") == 1, F.col("score") * 0.5).otherwise(F.col("score")))
     return M.evaluate(e).select("n", F.col("tp").alias("caught"), F.col("n_pos").alias("positives"))
+
+
+@query("""WITH c AS (SELECT user_id, ts, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_type = 'click' GROUP BY 1, 2)
+SELECT e.event_id, e.user_id, coalesce(c.event_id, -1) AS last_event_id, round(c.value, 6) AS last_value FROM (SELECT * FROM events WHERE event_type <> 'click') e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.ts""")
+def asof_last_click(spark, sf_dir):
+    """Every other event with the last click of its user."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    out = asof_join(e.where("event_type <> 'click'"), e.where("event_type = 'click'"), ["user_id"], "ts", ties=["event_id"])
+    return out.select("event_id", "user_id", F.coalesce("last_event_id", F.lit(-1)).alias("last_event_id"), F.round("last_value", 6).alias("last_value"))
+
+
+@query("SELECT e.event_id, s.event_id AS signup_id FROM events e JOIN events s ON s.event_type = 'signup' AND e.ts >= s.ts AND e.ts < s.ts + INTERVAL 30 MINUTE")
+def events_after_signups(spark, sf_dir):
+    """Every event in the half hour after any signup."""
+    e = table(spark, sf_dir, "events")
+    spans = e.where("event_type = 'signup'").select(F.col("event_id").alias("signup_id"), F.col("ts").alias("low"), (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("high"))
+    return within_spans(e.select("event_id", "ts"), spans, [], "ts", "low", "high", 1800).select("event_id", "signup_id")
