@@ -168,12 +168,14 @@ def stylometry(text: Column) -> Column:
     """
     t = F.coalesce(text, F.lit(""))
     sents = F.filter(F.split(t, r"[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s", " ")) != "")
-    have = F.struct(t.alias("t"), F.lower(t).alias("low"), words(t).alias("w"), F.transform(sents, lambda s: F.size(words(s)).cast("double")).alias("slen"))
-    return F.transform(F.array(have), _measures)[0]
+    # one pass leaves the characters of the classes that are counted; most texts have few of them
+    marked = F.regexp_replace(t, r"[^\p{Lu}\p{Nd}\p{So}]+", "")
+    have = F.struct(t.alias("t"), F.lower(t).alias("low"), words(t).alias("w"), F.transform(words(t), F.lower).alias("lw"), F.transform(sents, lambda s: F.size(words(s)).cast("double")).alias("slen"), marked.alias("marked"))
+    return let(have, _measures)
 
 
 def _measures(x: Column) -> Column:
-    t, low, w, slen = x["t"], x["low"], x["w"], x["slen"]
+    t, low, w, lw, slen, marked = x["t"], x["low"], x["w"], x["lw"], x["slen"], x["marked"]
     n, k, m = F.size(w), F.char_length(t).cast("double"), F.greatest(F.size(slen), F.lit(1))
     lens = F.transform(w, lambda v: F.char_length(v).cast("double"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
@@ -188,17 +190,19 @@ def _measures(x: Column) -> Column:
 
         return F.sqrt(F.aggregate(a, zero, step)["q"] / c)
 
-    share = lambda pattern: (k - F.char_length(F.regexp_replace(t, pattern, ""))) / k
+    share = lambda pattern: (F.char_length(marked) - F.char_length(F.regexp_replace(marked, pattern, ""))) / k
+    signs = lambda those: F.char_length(t) - F.char_length(F.translate(t, those, ""))
     count = lambda lex: F.size(F.filter(F.array(*map(F.lit, lex)), lambda p: F.contains(low, p)))
-    found = lambda p: F.size(F.regexp_extract_all(t, F.lit(p), F.lit(0)))
+    found = lambda p, sign: F.when(sign, F.size(F.regexp_extract_all(t, F.lit(p), F.lit(0)))).otherwise(0)
     out = {
         "n_chars": k, "n_words": n, "mean_word_len": total(lens) / n, "std_word_len": std(lens, n), "n_sentences": F.size(slen), "mean_sentence_len": n / m,
         "sentence_len_cv": F.when(F.size(slen) > 0, std(slen, m) / F.greatest(total(slen) / m, F.lit(1e-6))).otherwise(0.0),
-        "type_token_ratio": F.size(F.array_distinct(F.transform(w, F.lower))) / n, "function_word_ratio": F.size(F.filter(w, lambda v: F.lower(v).isin(FUNCTION_WORDS))) / n,
-        "punct_ratio": share(r"[.,;:!?\-'\"()]"), "uppercase_ratio": share(r"\p{Lu}"), "digit_ratio": share(r"\p{Nd}"), "emoji_ratio": share(r"\p{So}"),
-        "exclaim_count": found("!"), "question_count": found(r"\?"), "n_hashtags": found(HASHTAG_RE), "n_mentions": found(MENTION_RE), "n_urls": found(URL_RE),
+        "type_token_ratio": F.size(F.array_distinct(lw)) / n, "function_word_ratio": F.size(F.filter(lw, lambda v: v.isin(FUNCTION_WORDS))) / n,
+        "punct_ratio": signs(".,;:!?-'\"()") / k, "uppercase_ratio": share(r"\p{Lu}"), "digit_ratio": share(r"\p{Nd}"), "emoji_ratio": share(r"\p{So}"),
+        "exclaim_count": signs("!"), "question_count": signs("?"), "n_hashtags": found(HASHTAG_RE, F.contains(t, F.lit("#"))), "n_mentions": found(MENTION_RE, F.contains(t, F.lit("@"))),
+        "n_urls": found(URL_RE, F.contains(low, F.lit("://")) | F.contains(low, F.lit("www."))),
         "has_newline": F.contains(t, F.lit("\n")).cast("int"), "llm_tell_count": count(LLM_TELLS), "injection_tell_count": count(INJECTION_TELLS),
-        "imperative_start": F.coalesce(F.lower(F.try_element_at(w, F.lit(1))).isin(IMPERATIVES), F.lit(False)).cast("int"),
+        "imperative_start": F.coalesce(F.try_element_at(lw, F.lit(1)).isin(IMPERATIVES), F.lit(False)).cast("int"),
     }
     return F.struct(*(F.when(n > 0, c.cast("double")).otherwise(F.lit(0.0)).alias(name) for name, c in out.items()))
 

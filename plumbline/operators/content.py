@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import char_ngrams, normalise
 from plumbline.operators.components import connected_components
 from plumbline.operators.dedup import near_links
+from plumbline.operators.relational import running
 from plumbline.store import stash
 
 
@@ -57,9 +58,8 @@ def coactivity_edges(items: DataFrame, relation: str, low: int = 2, high: int =
     d = items.where("user_id is not null and item is not null and item <> ''").select("user_id", "item").distinct()
     pop = d.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n").between(low, high))
     if cap is not None:
-        # one row for each (rarity, item): running pairs decide which items fit
-        w = Window.orderBy("n", "item").rowsBetween(Window.unboundedPreceding, 0)
-        pop = pop.withColumn("pairs", F.sum(F.col("n") * (F.col("n") - 1) / 2).over(w)).where(F.col("pairs") <= cap).drop("pairs")
+        # running pairs in order of rarity decide which items fit
+        pop = running(pop.withColumn("pairs", F.col("n") * (F.col("n") - 1) / 2), [], ["n", "item"], ["pairs"]).where(F.col("before_pairs") + F.col("pairs") <= cap)
     k = d.join(pop.select("item"), "item")
     j = k.withColumnRenamed("user_id", "source").join(k.withColumnRenamed("user_id", "target"), "item").where("source < target")
     return j.select("source", "target").distinct().withColumn("relation", F.lit(relation))

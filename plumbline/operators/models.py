@@ -1,11 +1,9 @@
-"""Classifiers on features and texts, leave-one-group-out scores, calibration, neighbour propagation, bridges."""
+"""Classifiers on features and texts, leave-one-group-out scores, calibration, neighbour propagation."""
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, VectorAssembler
@@ -13,8 +11,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.structure import EXACT, SAMPLE
-
 
 def _probability(df: DataFrame) -> DataFrame:
     return df.withColumn("model_score", vector_to_array("probability")[1])
@@ -71,49 +67,6 @@ def propagate(edges: DataFrame, features: DataFrame, columns: list[str], hops: i
     return out.fillna(0.0)
 
 
-def betweenness(edges: DataFrame, network: str) -> DataFrame:
-    """(network, user_id, betweenness) of each network on its own; a network is a submission of bounded size and one group.
-
-    Beyond EXACT accounts paths are counted from SAMPLE of them, by a hash, and
-    scaled up; for one network of any size see structure.betweenness.
-    """
-
-    def brandes(pdf: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
-
-        near: dict = {}
-        nodes = set(pdf["source"]) | set(pdf["target"])
-        for s, t in set(zip(pdf["source"], pdf["target"], strict=True)):
-            near.setdefault(s, []).append(t)
-        total = dict.fromkeys(nodes, 0.0)
-        roots = sorted(nodes) if len(nodes) <= EXACT else sorted(nodes, key=lambda x: (hashlib.md5(f"42:{x}".encode()).hexdigest(), x))[:SAMPLE]
-        for root in roots:
-            order, back, paths, dist = [], {}, {root: 1.0}, {root: 0}
-            queue = deque([root])
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for w in near.get(v, ()):
-                    if w not in dist:
-                        dist[w] = dist[v] + 1
-                        queue.append(w)
-                    if dist[w] == dist[v] + 1:
-                        paths[w] = paths.get(w, 0.0) + paths[v]
-                        back.setdefault(w, []).append(v)
-            share = dict.fromkeys(order, 0.0)
-            for w in reversed(order):
-                for v in back.get(w, ()):
-                    share[v] += paths[v] / paths[w] * (1 + share[w])
-                if w != root:
-                    total[w] += share[w]
-        n = len(nodes)
-        scale = n / len(roots) / ((n - 1) * (n - 2)) if n > 2 else 0.0
-        return pd.DataFrame({"network": [pdf["network"].iloc[0]] * n, "user_id": list(total), "betweenness": [x * scale for x in total.values()]})
-
-    e = edges.select(F.col(network).cast("string").alias("network"), "source", "target")
-    return e.groupBy("network").applyInPandas(brandes, "network string, user_id long, betweenness double")
-
-
 def stacked(train: DataFrame, columns: list[str], label: str = "label"):
     """Logistic regression over other models' scores, both classes weighing the same."""
     n = train.where(F.col(label).isNotNull()).groupBy(label).agg((1.0 / F.count("*")).alias("_w"))  # two rows

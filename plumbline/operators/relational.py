@@ -57,6 +57,19 @@ def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     return j.select(F.when(F.col("_t") > 0, F.transform("_at", lambda a: low(a) + (high(a) - low(a)) * (a - F.floor(a)))).alias("q"))
 
 
+def quantiles_by(df: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(group, q array<double>): exact quantiles of each group by linear interpolation; groups of any size, as values are counted and counts summed up in ranges.  Null groups and groups without values have none."""
+    c = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    r = running(c, group, ["_v"], ["_n"])
+    total = r.groupBy(*group).agg(F.sum("_n").alias("_t"))
+    at = F.array(*(F.lit(float(q)) for q in shares))
+    spots = F.array_distinct(F.flatten(F.transform(at, lambda q: F.array(F.floor(q * (F.col("_t") - 1)), F.ceil(q * (F.col("_t") - 1))))))
+    hits = r.join(total, group).select(*group, "_v", "_t", F.explode(F.filter(spots, lambda k: (k >= F.col("before__n")) & (k < F.col("before__n") + F.col("_n")))).alias("_k"))
+    m = hits.groupBy(*group).agg(F.any_value("_t").alias("_t"), F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_m"))
+    low, high = (lambda a: F.element_at("_m", F.floor(a))), (lambda a: F.element_at("_m", F.ceil(a)))
+    return m.select(*group, F.transform(F.transform(at, lambda q: q * (F.col("_t") - 1)), lambda a: low(a) + (high(a) - low(a)) * (a - F.floor(a))).alias("q"))
+
+
 def quota(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each group in an order: the operator's own limit.  Spark keeps n rows a group before the shuffle."""
     w = Window.partitionBy(*group).orderBy(*order)
@@ -64,11 +77,9 @@ def quota(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
 
 
 def stratified_quota(df: DataFrame, stratum: str, order: list, most: int) -> DataFrame:
-    """An equal share of `most` rows for each stratum."""
-    k = df.agg(F.count_distinct(stratum).alias("_k"))
-    w = Window.partitionBy(stratum).orderBy(*order)
-    out = df.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(k))  # one row
-    return out.where(F.col("_rn") <= F.floor(F.lit(most) / F.greatest("_k", F.lit(1)))).drop("_rn", "_k")
+    """An equal share of `most` rows for each stratum.  The number of strata is found first, so Spark keeps a stratum's share of rows before the shuffle."""
+    k = df.agg(F.count_distinct(stratum)).first()[0]
+    return quota(df, [stratum], order, most // max(k, 1))
 
 
 def seeded(key, seed: int = 42):
@@ -76,20 +87,43 @@ def seeded(key, seed: int = 42):
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
+#: Ranges of the seeded order in which rows are counted.
+SLOTS = 1 << 16
+
+
+def first_seeded(df: DataFrame, group: str, key: str, keep: DataFrame, seed: int = 42) -> DataFrame:
+    """The first rows of each group in seeded order, as many as keep (group, _keep) says.
+
+    Rows are counted by the first sixteen bits of their hash.  Those of the
+    slots before that in which a group's number is reached are all kept; only
+    those of that slot, one row in SLOTS, are put in order.  Null groups match
+    no number.
+    """
+    d = df.withColumn("_h", seeded(key, seed)).withColumn("_slot", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+    per = d.groupBy(group, "_slot").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # SLOTS rows a group at most
+    per = per.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0))).join(keep, group)
+    cut = per.where((F.col("_b") < F.col("_keep")) & (F.col("_b") + F.col("_c") >= F.col("_keep"))).select(group, F.col("_slot").alias("_cut"), (F.col("_keep") - F.col("_b")).alias("_rest"))
+    # a group with fewer rows than its number has no cut
+    at = d.join(keep, group).join(cut, group, "left").where((F.col("_keep") > 0) & (F.col("_cut").isNull() | (F.col("_slot") <= F.col("_cut"))))
+    whole = at.where(F.col("_cut").isNull() | (F.col("_slot") < F.col("_cut")))
+    w = Window.partitionBy(group, "_slot").orderBy("_h", key)
+    edge = at.where(F.col("_slot") == F.col("_cut")).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_rest"))
+    return whole.select(*df.columns).unionByName(edge.select(*df.columns))
+
+
 def cap_rows(df: DataFrame, group: str, key: str, most: int, seed: int = 42) -> DataFrame:
     """At least one row and about the same share of each group, in seeded order; all rows if they are few enough."""
     total = df.groupBy(group).agg(F.count("*").alias("_g"))
     every = total.agg(F.sum("_g").alias("_n"))
-    w = Window.partitionBy(group).orderBy(seeded(key, seed), key)
     keep = F.when(F.col("_n") <= most, F.col("_g")).otherwise(F.greatest(F.lit(1), F.round(F.col("_g") * most / F.col("_n"))))
-    return df.withColumn("_rn", F.row_number().over(w)).join(total, group).join(F.broadcast(every)).where(F.col("_rn") <= keep).select(*df.columns)
+    return first_seeded(df, group, key, total.join(F.broadcast(every)).select(group, keep.cast("long").alias("_keep")), seed)  # one row
 
 
 def balance(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """As many rows of each label as the rarest has, in seeded order."""
-    least = df.groupBy(label).agg(F.count("*").alias("c")).agg(F.min("c").alias("_m"))
-    w = Window.partitionBy(label).orderBy(seeded(key, seed), key)
-    return df.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(least)).where("_rn <= _m").select(*df.columns)
+    total = df.groupBy(label).agg(F.count("*").alias("_g"))
+    return first_seeded(df, label, key, total.join(F.broadcast(total.agg(F.min("_g").alias("_keep")))).select(label, "_keep"), seed)  # one row
 
 
 def keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -129,18 +163,27 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select("rows", F.sha2(F.concat_ws(":", *(F.col(f"l{k}").cast("string") for k in range(8))), 256).alias("fingerprint"))
 
 
+#: Different values of a column up to which their ranks are broadcast.
+FEW = 1 << 16
+
+
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, rho) for each pair of columns: Pearson over average ranks; null for a constant column.
 
     Ranks come from counts of distinct values, added up in ranges; rows with a very common value are dealt to several tasks.
     """
     from plumbline.operators.skew import spread_join
+    from plumbline.store import stash
 
     out = df.select(F.monotonically_increasing_id().alias("_id"), *columns)
     tie = out.unpivot(["_id"], columns, "c", "v").where("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
-    rank = running(tie, ["c"], ["v"], ["n"]).select("c", "v", "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("r"))
+    rank = stash(running(tie, ["c"], ["v"], ["n"]).select("c", "v", "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("r")), "ranks")
+    different = {r["c"]: r["count"] for r in rank.groupBy("c").count().collect()}  # a row a column
     for c in columns:
         one = rank.where(F.col("c") == c).select(F.col("v").alias(c), F.col("r").alias(f"_r_{c}"), "n")
+        if different.get(c, 0) <= FEW:
+            out = out.join(F.broadcast(one.drop("n")), c, "left")
+            continue
         out = spread_join(out, one.drop("n"), [c], F.col("_id"), "left", counts=one.select(c, F.col("n").alias("c")))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     x = lambda c: F.col(f"_r_{c}").cast("double")

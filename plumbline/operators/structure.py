@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.relational import dense_index, running
+from plumbline.operators.relational import dense_index, quota, running, seeded
 from plumbline.store import stash
 
 #: Accounts up to which betweenness is exact; accounts from which it is estimated beyond.
@@ -74,38 +74,64 @@ def domain_entropy(nodes: DataFrame) -> DataFrame:
     return t.select(F.when(F.col("k") > 1, F.greatest(e, F.lit(0.0))).otherwise(0.0).alias("entropy"), F.col("k").alias("n_domains"), F.coalesce("n", F.lit(0)).alias("n_nodes"))
 
 
+def _through(e: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(net, v, d): sums over roots (net, s) of the shares of shortest paths through v in ties (net, source, target); None without any.
+
+    Paths are counted outward from all roots at once, a join a level, and
+    shares added up inward, level by level, so no task holds a graph.
+    """
+    levels = [stash(roots.select("net", "s", F.col("s").alias("v"), F.lit(1.0).alias("g")), "paths")]
+    seen = levels[0].select("net", "s", "v")
+    out = e.select("net", F.col("source").alias("v"), "target")
+    while not levels[-1].isEmpty():
+        step = levels[-1].join(out, ["net", "v"]).groupBy("net", "s", F.col("target").alias("v")).agg(F.sum("g").alias("g"))
+        levels.append(stash(step.join(seen, ["net", "s", "v"], "left_anti"), "paths"))
+        seen = seen.union(levels[-1].select("net", "s", "v"))
+    share = levels[-1].select("net", "s", "v", "g", F.lit(0.0).alias("d"))
+    total = None
+    for near in reversed(levels[:-1]):
+        far = share.select("net", "s", F.col("v").alias("target"), F.col("g").alias("gw"), F.col("d").alias("dw"))
+        add = near.join(out, ["net", "v"]).join(far, ["net", "s", "target"]).groupBy("net", "s", "v").agg(F.sum(F.col("g") / F.col("gw") * (1 + F.col("dw"))).alias("d"))
+        share = stash(near.join(add, ["net", "s", "v"], "left").select("net", "s", "v", "g", F.coalesce("d", F.lit(0.0)).alias("d")), "shares")
+        part = share.where("s <> v").select("net", "v", "d")
+        total = part if total is None else total.union(part)
+    return None if total is None else total.groupBy("net", "v").agg(F.sum("d").alias("d"))
+
+
 def betweenness(edges: DataFrame, nodes: DataFrame, exact: int = EXACT, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
     """(user_id, betweenness) of every account in the directed graph of distinct ties.
 
-    Shortest paths are counted outward from all roots at once, a join a level,
-    and the shares of paths through an account added up inward, level by
-    level, so no task holds a graph.  With more than `exact` accounts the roots
-    are the first `sample` in seeded order, and the sums scaled up.
+    With more than `exact` accounts paths are counted from the first `sample`
+    in seeded order, and the sums scaled up.
     """
     n = nodes.count()
     ids = nodes.select("user_id")
     e = edges.where("source <> target").select("source", "target").distinct().join(ids.toDF("source"), "source", "left_semi").join(ids.toDF("target"), "target", "left_semi")
-    e = stash(e.select("source", "target"), "ties")
-    roots = ids if n <= exact else ids.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("user_id").cast("string"))), "user_id").limit(sample)
-    levels = [stash(roots.select(F.col("user_id").alias("s"), F.col("user_id").alias("v"), F.lit(1.0).alias("g")), "paths")]
-    seen = levels[0].select("s", "v")
-    while not levels[-1].isEmpty():
-        step = levels[-1].join(e, F.col("v") == F.col("source")).groupBy("s", F.col("target").alias("v")).agg(F.sum("g").alias("g"))
-        levels.append(stash(step.join(seen, ["s", "v"], "left_anti"), "paths"))
-        seen = seen.union(levels[-1].select("s", "v"))
-    share = levels[-1].select("s", "v", "g", F.lit(0.0).alias("d"))
-    total = None
-    for near in reversed(levels[:-1]):
-        far = share.select("s", F.col("v").alias("target"), F.col("g").alias("gw"), F.col("d").alias("dw"))
-        add = near.join(e, F.col("v") == F.col("source")).join(far, ["s", "target"]).groupBy("s", "v").agg(F.sum(F.col("g") / F.col("gw") * (1 + F.col("dw"))).alias("d"))
-        share = stash(near.join(add, ["s", "v"], "left").select("s", "v", "g", F.coalesce("d", F.lit(0.0)).alias("d")), "shares")
-        part = share.where("s <> v").select("v", "d")
-        total = part if total is None else total.union(part)
-    scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0) * (n / sample if n > exact else 1)
-    if total is None:
+    e = stash(e.select(F.lit(0).alias("net"), "source", "target"), "ties")
+    roots = ids if n <= exact else ids.orderBy(seeded("user_id", seed), "user_id").limit(sample)
+    sums = _through(e, roots.select(F.lit(0).alias("net"), F.col("user_id").alias("s")))
+    if sums is None:
         return ids.select("user_id", F.lit(0.0).alias("betweenness"))
-    sums = total.groupBy(F.col("v").alias("user_id")).agg(F.sum("d").alias("d"))
-    return ids.join(sums, "user_id", "left").select("user_id", (F.coalesce("d", F.lit(0.0)) * scale).alias("betweenness"))
+    scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0) * (n / sample if n > exact else 1)
+    return ids.join(sums.select(F.col("v").alias("user_id"), "d"), "user_id", "left").select("user_id", (F.coalesce("d", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def betweenness_by(edges: DataFrame, network: str, exact: int = EXACT, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """(network, user_id, betweenness) of each network's accounts, those with ties in it, on their own; all networks in the same joins.
+
+    A network of more than `exact` accounts has paths counted from `sample` of them.
+    """
+    e = stash(edges.where("source <> target").select(F.col(network).cast("string").alias("net"), "source", "target").distinct(), "ties")
+    ends = stash(edges.select(F.col(network).cast("string").alias("net"), F.explode(F.array("source", "target")).alias("user_id")).where("net is not null").distinct(), "ends")
+    size = ends.groupBy("net").agg(F.count("*").alias("n"))
+    few = ends.join(size.where(F.col("n") <= exact).select("net"), "net", "left_semi")
+    many = quota(ends.join(size.where(F.col("n") > exact).select("net"), "net", "left_semi").withColumn("_o", seeded("user_id", seed)), ["net"], ["_o", "user_id"], sample).drop("_o")
+    sums = _through(e, few.unionByName(many).select("net", F.col("user_id").alias("s")))
+    at = ends.join(size, "net")
+    at = at.withColumn("d", F.lit(0.0)) if sums is None else at.join(sums.withColumnRenamed("v", "user_id"), ["net", "user_id"], "left")
+    n = F.col("n").cast("double")
+    scale = F.when(n > 2, 1 / ((n - 1) * (n - 2))).otherwise(0.0) * F.when(n > exact, n / sample).otherwise(1.0)
+    return at.select(F.col("net").alias("network"), "user_id", (F.coalesce("d", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def bridge_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:

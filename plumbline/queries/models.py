@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import features, models, nested
+from plumbline.operators import features, models, nested, structure
 from plumbline.plans import views as V
 from plumbline.queries.base import query, table
 from plumbline.queries.graph import rounded
@@ -45,7 +45,7 @@ def _propagated(spark, sf_dir):
 SELECT b.net AS network, b.user_id, round(d / ((n - 1) * (n - 2)), 6) + 0.0 AS betweenness FROM btw b JOIN (SELECT net, count(*) AS n FROM mem GROUP BY net) USING (net)""")
 def g14_bridges(spark, sf_dir):
     """Betweenness in each relation's network; the SQL counts from all accounts, as the operator does for up to 400."""
-    return rounded(models.betweenness(V.edges(spark, sf_dir).withColumn("network", F.col("relation")), "network"))
+    return rounded(structure.betweenness_by(V.edges(spark, sf_dir), "relation"))
 
 
 @query("SELECT doc_id, (('0x' || substr(md5('42:' || doc_id), 1, 8))::UBIGINT / 4294967296.0 < (SELECT avg(toxic) FROM labels WHERE doc_id % 5 <> 0))::INT AS prediction FROM labels")

@@ -48,7 +48,8 @@ def t2_recent(spark, sf_dir):
 @query("SELECT toxic AS label, count(*) AS n, round(avg(n_chars), 6) AS mean, round(median(n_chars), 6) AS median, round(quantile_cont(n_chars, 0.95), 6) AS p95, round(stddev_samp(n_chars), 5) AS std FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def a3_length_balance(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    out = rounded(d.groupBy(F.col("toxic").alias("label")).agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean"), F.median("n_chars").alias("median"), F.percentile("n_chars", 0.95).alias("p95"), F.stddev_samp("n_chars").alias("std")))
+    one = d.groupBy("toxic").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean"), F.stddev_samp("n_chars").alias("std")).join(R.quantiles_by(d, ["toxic"], "n_chars", [0.5, 0.95]), "toxic", "left")
+    out = rounded(one.select(F.col("toxic").alias("label"), "n", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), "std"))
     return out.withColumn("std", F.round("std", 5))
 
 
@@ -98,7 +99,8 @@ def a19_spearman(spark, sf_dir):
 @query("SELECT source, count(*) AS rows, count(*) FILTER (toxic = 1) AS adversarial, round(avg(toxic), 6) AS pos_rate, count(DISTINCT lang) AS generators, round(median(n_chars), 6) AS median_chars FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
 def a25_summary(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rounded(d.groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.col("toxic") == 1).alias("adversarial"), F.avg("toxic").alias("pos_rate"), F.count_distinct("lang").alias("generators"), F.median("n_chars").alias("median_chars")))
+    one = d.groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.col("toxic") == 1).alias("adversarial"), F.avg("toxic").alias("pos_rate"), F.count_distinct("lang").alias("generators"))
+    return rounded(one.join(R.quantiles_by(d, ["source"], "n_chars", [0.5]), "source", "left").select(*one.columns, F.col("q")[0].alias("median_chars")))
 
 
 @query("SELECT a, b, count(*) AS n FROM (SELECT x.n_regionkey AS a, y.n_regionkey AS b FROM customer JOIN nation x ON c_nationkey = x.n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation y ON s_nationkey = y.n_nationkey) GROUP BY 1, 2")

@@ -34,10 +34,10 @@ def f2_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.hashtags(F.col("html")).alias("hashtags"), X.mentions(F.col("html")).alias("mentions"))
 
 
-#: The measures of a text but for hashtags and mentions.
+#: The measures of a text.
 MEASURES = (
     "n_chars n_words mean_word_len std_word_len n_sentences mean_sentence_len sentence_len_cv type_token_ratio function_word_ratio punct_ratio uppercase_ratio digit_ratio emoji_ratio "
-    "exclaim_count question_count n_urls has_newline llm_tell_count injection_tell_count imperative_start"
+    "exclaim_count question_count n_urls n_hashtags n_mentions has_newline llm_tell_count injection_tell_count imperative_start"
 ).split()
 _W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 _S = r"list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(regexp_replace(x, '\s', ' ', 'g')) <> '')"
@@ -55,13 +55,14 @@ m AS (SELECT doc_id, text, w, length(text)::DOUBLE AS n_chars, len(w)::DOUBLE AS
   len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w) AS type_token_ratio, len(list_filter(w, lambda x: list_contains({_FW}, lower(x)))) / len(w) AS function_word_ratio,
   len(regexp_extract_all(text, '[.,;:!?''"()-]')) / length(text) AS punct_ratio, len(regexp_extract_all(text, '\p{{Lu}}')) / length(text) AS uppercase_ratio,
   len(regexp_extract_all(text, '\p{{Nd}}')) / length(text) AS digit_ratio, len(regexp_extract_all(text, '\p{{So}}')) / length(text) AS emoji_ratio, len(regexp_extract_all(text, '!'))::DOUBLE AS exclaim_count, len(regexp_extract_all(text, '[?]'))::DOUBLE AS question_count,
-  len(regexp_extract_all(text, '(?i)(?:https?://|www\.)\S+'))::DOUBLE AS n_urls, (contains(text, chr(10)))::INT::DOUBLE AS has_newline,
+  len(regexp_extract_all(text, '(?i)(?:https?://|www\.)\S+'))::DOUBLE AS n_urls,
+  len(regexp_extract_all(' ' || text, '{_AFTER}#[A-Za-z0-9_]{{1,60}}'))::DOUBLE AS n_hashtags, len(regexp_extract_all(' ' || text, '{_AFTER}@[A-Za-z0-9_]{{2,30}}'))::DOUBLE AS n_mentions, (contains(text, chr(10)))::INT::DOUBLE AS has_newline,
   len(list_filter({_IN(X.LLM_TELLS)}, lambda p: contains(lower(text), p)))::DOUBLE AS llm_tell_count, len(list_filter({_IN(X.INJECTION_TELLS)}, lambda p: contains(lower(text), p)))::DOUBLE AS injection_tell_count,
   list_contains({_IN(X.IMPERATIVES)}, lower(coalesce(w[1], '')))::INT::DOUBLE AS imperative_start FROM v)
 SELECT doc_id, {", ".join(f"CASE WHEN len(w) > 0 THEN round({c}, 6) + 0.0 ELSE 0 END AS {c}" for c in MEASURES)} FROM m"""
 )
 def f3_stylometry(spark, sf_dir):
-    """All documents, those without words too; two measures are left out, whose patterns the other engine lacks."""
+    """All measures of all documents, those without words too; the SQL reads the sign before a tag instead of looking behind."""
     return rounded(docs(spark, sf_dir).select("doc_id", X.stylometry(F.col("text")).alias("m")).select("doc_id", *(F.col(f"m.{c}").alias(c) for c in MEASURES)))
 
 

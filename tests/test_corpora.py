@@ -47,7 +47,7 @@ def test_betweenness(spark):
     assert sorted(r.betweenness for r in some) == pytest.approx(sorted(got.values()))
     assert {r.betweenness for r in structure.betweenness(edges(spark, []), nodes(spark, [1, 2])).collect()} == {0.0}
     net = spark.createDataFrame([("n", a, b) for a, b in ties if a != b], "network string, source long, target long")
-    one = {r.user_id: r.betweenness for r in models.betweenness(net, "network").collect()}
+    one = {r.user_id: r.betweenness for r in structure.betweenness_by(net, "network").collect()}
     assert [one[i] for i in range(6)] == pytest.approx(brandes(6, ties))
 
 
