@@ -245,7 +245,9 @@ def windows(first: np.ndarray, size: int, low: int = 0, high: int | None = None)
     return doc, start, np.minimum(start + size, first[doc + 1])
 
 
-def _search(sent, tables):
+def _search(sent, tables, cosine: float | None):
+    least = -2.0 if cosine is None else cosine  # below any cosine
+
     def run(batches):
         items, table = sent.value, tables.value
         item_words, answers = [w.tolist() for w in items.words], [w.tolist() for w in items.answers]
@@ -271,7 +273,7 @@ def _search(sent, tables):
                             v = (run_[end[part] - low] - run_[start[part] - low]).astype(np.float32)
                             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
                             cos = v @ vectors.T
-                            where, which = np.nonzero(cos >= COSINE)
+                            where, which = np.nonzero(cos >= least)
                             for w, k in zip(where.tolist(), which.tolist(), strict=True):
                                 d, item = int(doc[a + w]), int(at[k])
                                 lo, hi = max(int(first[d]), int(start[a + w]) - size // 4), min(int(first[d + 1]), int(end[a + w]) + size // 4)
@@ -285,12 +287,14 @@ def _search(sent, tables):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", cosine: float | None = COSINE) -> DataFrame:
     """(key, item, common, words, answered, cosine) for each leak of an item into a document.
 
     common: words of the longest common subsequence, of words that the item
     has; answered: whether its last sentence is there whole; cosine: of the
-    best window.  Null and empty texts and items leak nothing.  An item of ten
+    best window.  cosine: what a window needs to be compared word by word; None
+    compares all windows with all items, which is exact and costs as much as
+    it says.  Null and empty texts and items leak nothing.  An item of ten
     words or fewer must be there whole.  Rows with the same key are one
     document, null keys too; a repeated item id reports its best text.  Either
     table may be empty; further columns are ignored.
@@ -307,7 +311,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         rows = queries.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b).orderBy("item", "t").collect()
         sent = spark.sparkContext.broadcast(Items.of([(r.item, r.t) for r in rows], table))
         kind = f"key {dict(d.dtypes)['key']}, item long, common int, words int, answered boolean, cosine double"
-        hits = d.mapInArrow(T.tidied(_search(sent, tables)), kind)
+        hits = d.mapInArrow(T.tidied(_search(sent, tables, cosine)), kind)
         out = hits if out is None else out.union(hits)
     best = out.groupBy("key", "item").agg(F.max(F.struct("common", "answered", "cosine", "words")).alias("x"))
     return best.select(F.col("key").alias(key), F.col("item").alias(item), "x.common", "x.words", "x.answered", "x.cosine")

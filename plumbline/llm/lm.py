@@ -311,7 +311,7 @@ def _sliced(raw: np.ndarray, off: np.ndarray):
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (((h >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)).astype(np.int64)
+    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
 def _count(buckets: int):
@@ -422,7 +422,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", rounds: int = ROUN
     """
     spark = docs.sparkSession
     arrow_bytes(spark)
-    buckets = min(buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 65_536)
+    buckets = min(buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 1 << 31)
     d = docs.where(learn)
     kind = ", ".join(WORDS.split(", ")[:4])
     counts = stash(d.select(text).mapInArrow(T.tidied(_count(buckets)), kind).groupBy("bucket").applyInArrow(_sum, WORDS), "counts")
@@ -512,7 +512,7 @@ def _join(rows: pa.Table, counts: pa.Table) -> pa.Table:
 def score(docs: DataFrame, model: Model, counts: DataFrame, buckets: int | None = None) -> DataFrame:
     """(key, n_tokens, n_known, base_score, score) for docs (key, text) with unique keys."""
     spark = docs.sparkSession
-    buckets = min(buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 65_536)
+    buckets = min(buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 1 << 31)
     sent = spark.sparkContext.broadcast(model)
     rows = docs.select("key", "text").mapInArrow(T.tidied(_score(sent, buckets)), SCORED)
     have = counts.where("bucket >= 0").select("bucket", "size", "words", "counts")
