@@ -76,6 +76,19 @@ def _evaluated(pts: DataFrame, by: list[str], threshold: float) -> DataFrame:
     )
 
 
+def id_audit(df: DataFrame, key: str = "user_id", label: str = "label", far: float = 0.1) -> DataFrame:
+    """One row (n, auc, leaks): how well an account's number alone tells its label, as the area under its curve; so far from one half means the numbers leak it.
+
+    Keys that aren't whole numbers are left out; auc is null with one class.
+    """
+    number = F.expr(f"try_cast(`{key}` AS decimal(38,0))") if dict(df.dtypes)[key] == "string" else F.col(key).cast("decimal(38,0)")
+    p = df.where(F.col(label).isNotNull()).select(F.lit("all").alias("g"), (F.col(label) > 0.5).cast("int").alias("y"), number.alias("s")).where("s IS NOT NULL")
+    d = running(points(p), [], ["s"], ["neg"])
+    a = d.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("won"))
+    auc = F.try_divide("won", F.col("P") * F.col("N"))
+    return a.select(F.coalesce(F.col("P") + F.col("N"), F.lit(0)).alias("n"), auc.alias("auc"), F.coalesce(F.abs(auc - 0.5) >= far, F.lit(False)).alias("leaks"))
+
+
 def candidates(df: DataFrame, score: str = "score", steps: int = 201) -> DataFrame:
     """(threshold): score quantiles, 0.5 and the band cuts, distinct, inside (0, 1)."""
     p = df.select(F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"))

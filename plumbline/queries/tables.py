@@ -13,6 +13,7 @@ from plumbline.operators.intervals import asof_join, within_spans
 from plumbline.plans import views as V
 from plumbline.queries.base import query, table
 from plumbline.queries.graph import WITH, rounded
+from plumbline.sources import sinks
 
 MD5 = "md5('42:' || doc_id)"
 
@@ -246,3 +247,26 @@ def events_after_signups(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     spans = e.where("event_type = 'signup'").select(F.col("event_id").alias("signup_id"), F.col("ts").alias("low"), (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("high"))
     return within_spans(e.select("event_id", "ts"), spans, [], "ts", "low", "high", 1800).select("event_id", "signup_id")
+
+
+@query("""WITH p AS (SELECT click_id, CASE WHEN json_valid(props) AND json_type(props) = 'OBJECT' THEN props ELSE '{}' END AS p FROM clicks)
+SELECT click_id, coalesce((p->>'$.k')::BIGINT, -1) AS k, p->>'$.device.os' AS os, len(json_keys(p))::INT AS n_keys FROM p""")
+def details_with_fallback(spark, sf_dir):
+    """Every click's JSON cell, broken ones as the empty object."""
+    d = table(spark, sf_dir, "clicks").select("click_id", sinks.details(F.col("props")).alias("v"))
+    return d.select("click_id", F.coalesce(F.try_variant_get("v", "$.k", "long"), F.lit(-1)).alias("k"), F.try_variant_get("v", "$.device.os", "string").alias("os"), F.size(F.col("v").cast("map<string,variant>")).alias("n_keys"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (event_type = 'click') AS texts, count(*) FILTER (event_type = 'purchase') AS networks, count(*) FILTER (value / 100 >= 0.6) AS high_risk, round(coalesce(avg(value / 100), 0), 6) AS mean_score FROM events")
+def a11_totals(spark, sf_dir):
+    """The dashboard's totals over analyses made of events."""
+    kind = F.when(F.col("event_type") == "click", "text").when(F.col("event_type") == "purchase", "network").otherwise("other")
+    e = table(spark, sf_dir, "events").select(kind.alias("analysis_type"), (F.col("value") / 100).alias("score"), F.col("ts").alias("created_at"))
+    return rounded(sinks.dashboard(e)[0])
+
+
+@query(WITH + """, r AS (SELECT label, rank() OVER (ORDER BY user_id) + (count(*) OVER (PARTITION BY user_id) - 1) / 2.0 AS r FROM accounts), s AS (SELECT count(*) AS n, count(*) FILTER (label = 1)::DOUBLE AS p, sum(r) FILTER (label = 1) AS t FROM r)
+SELECT n, round((t - p * (p + 1) / 2) / nullif(p * (n - p), 0), 6) AS auc, coalesce(abs((t - p * (p + 1) / 2) / nullif(p * (n - p), 0) - 0.5) >= 0.1, false) AS leaks FROM s""")
+def a23_id_audit(spark, sf_dir):
+    """Whether accounts' numbers tell their labels."""
+    return rounded(M.id_audit(V.accounts(spark, sf_dir)))

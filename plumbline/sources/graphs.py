@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import binary_label, clean_id, hashtags, mentions
 from plumbline.operators.content import coactivity_edges, mention_edges, reference_edges
+from plumbline.operators.dedup import grouped_split
 from plumbline.operators.relational import keep_first, quota
 from plumbline.operators.structure import finalise_edges
 from plumbline.schemas import EDGES, NODES, POSTS
@@ -118,13 +119,15 @@ def activity_edges(posts: DataFrame, nodes: DataFrame, low: int = 2, high: int =
 
 
 def finished(nodes: DataFrame, edges: DataFrame, posts: DataFrame, source: str, need_posts: bool = False) -> Graph:
-    """The three tables under their schemas: accounts once each and labelled, ties between them, their posts with a time."""
+    """The three tables under their schemas: accounts once each, labelled and (unless they have one) with a split by their hash, ties between them, their posts with a time."""
     n = nodes.where(F.col("user_id").isNotNull() & F.col("label").isNotNull())
     n = keep_first(n.withColumn("instance_domain", F.coalesce(F.col("instance_domain") if "instance_domain" in n.columns else F.lit(None).cast("string"), F.lit("x.com"))), ["user_id"], ["label"])
     if need_posts:
         n = require_posts(n, posts)
     e = finalise_edges(edges, n)
     p = posts.where(F.col("created_at").isNotNull()).join(n.select("user_id"), "user_id", "left_semi")
+    if "split" not in n.columns:
+        n = grouped_split(n, "user_id")
     said = lambda df, schema: shaped(df.withColumn("source_dataset", F.lit(source)), schema)
     return Graph(said(n, NODES), said(e, EDGES), said(p, POSTS))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,12 @@ def save_analyses(df: DataFrame, path: str) -> None:
     d.write.mode("append").parquet(path)
 
 
+def details(json: Column) -> Column:
+    """A details cell as a variant: what it parses to if that is an object, else the empty object; null, broken and other JSON alike."""
+    v = F.try_parse_json(json)
+    return F.coalesce(F.when(F.schema_of_variant(v).startswith("OBJECT"), v), F.parse_json(F.lit("{}")))
+
+
 def dashboard(records: DataFrame, limit: int = 20) -> tuple[DataFrame, DataFrame]:
     """(one row of totals, the latest records).  limit: 1 to 100."""
     if not 1 <= limit <= 100:
