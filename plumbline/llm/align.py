@@ -115,19 +115,35 @@ def starts(raw: np.ndarray, low: int, high: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-_CODED = "what string, block long, key long, codes binary, code long, word binary, occurrences long"
-#: Bytes of a code.
-WIDE = 3
+_CODED = "what string, block long, key long, codes binary, n int, code long, word binary, occurrences long"
+#: Codes of a book are below this: fifteen bits, and eight more where a mark says so.
+CODES = 1 << 23
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """Codes as two bytes each, those of 2**15 or more marked and with a third byte behind all; common words come early and have small codes."""
+    high = codes >= 1 << 15
+    return ((codes & 0x7FFF) | high << 15).astype("<u2").tobytes() + (codes[high] >> 15).astype(np.uint8).tobytes()
+
+
+def unpacked(raw, n: int) -> np.ndarray:
+    """The n codes that were packed."""
+    low = np.frombuffer(raw, "<u2", n).astype(np.int64)
+    codes, high = low & 0x7FFF, low >= 1 << 15
+    codes[high] |= np.frombuffer(raw, np.uint8, offset=2 * n).astype(np.int64) << 15
+    return codes
+
+
 
 
 def _coded(a: str, b: str):
-    """(key, text) to documents as codes of WIDE bytes, and the words of each block's book."""
+    """(key, text) to documents as codes of their words, and the words of each block's book."""
 
     def row(schema, size, /, **cols):
         return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def run(batches):
-        schema = pa.schema([("what", pa.string()), ("block", pa.int64()), ("key", pa.int64()), ("codes", pa.binary()), ("code", pa.int64()), ("word", pa.binary()), ("occurrences", pa.int64())])
+        schema = pa.schema([("what", pa.string()), ("block", pa.int64()), ("key", pa.int64()), ("codes", pa.binary()), ("n", pa.int32()), ("code", pa.int64()), ("word", pa.binary()), ("occurrences", pa.int64())])
         both, first = pair(a, b), TaskContext.get().partitionId() << 24
         block, book, seen, size = first, {}, np.zeros(0, np.int64), 0
 
@@ -164,10 +180,9 @@ def _coded(a: str, b: str):
                     seen[to] += np.bincount(local, minlength=len(to))
                     for k, part in zip(kept, np.split(to[local], np.cumsum([len(at[k]) for k in kept])[:-1]), strict=True):
                         codes[k] = part
-                if len(book) > 1 << 8 * WIDE:
+                if len(book) > CODES:
                     raise ValueError("one text has more different words than codes")
-                packed = [np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :WIDE]).tobytes() for c in codes]
-                yield row(schema, j - i, what=["text"] * (j - i), block=np.full(j - i, block), key=keys.slice(i, j - i), codes=packed)
+                yield row(schema, j - i, what=["text"] * (j - i), block=np.full(j - i, block), key=keys.slice(i, j - i), codes=list(map(packed, codes)), n=list(map(len, codes)))
         yield from closed()
 
     return T.tidied(run)
@@ -244,7 +259,7 @@ _LAST = 1 << 40
 
 
 def _assembled(batches):
-    """Rows (block, code, key, body) by block, words by code before texts, to a row a text; a word's body is its numbers and groups."""
+    """Rows (block, code, key, body) by block, words by code before texts (code: _LAST and how many they have), to a row a text; a word's body is its numbers and groups."""
     block, numbers, groups, table = None, [], [], None
     for batch in batches:
         blocks, codes = batch.column("block").to_numpy(), batch.column("code").to_numpy()
@@ -266,10 +281,10 @@ def _assembled(batches):
             table = table if table is not None else np.concatenate(numbers) if numbers else np.zeros((0, len(_NUMBERS)), np.int64)
             some = batch.slice(k, high - k)
             sums, digests = np.zeros((len(some), len(_NUMBERS)), np.int64), []
-            for i, raw in enumerate(some.column("body")):
-                sha, x = hashlib.sha256(), np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, WIDE)
-                for start in range(0, len(x), 1 << 16):
-                    own = x[start : start + (1 << 16)].astype(np.int64) @ (1 << 8 * np.arange(WIDE))
+            for i, (raw, n) in enumerate(zip(some.column("body"), (codes[k:high] - _LAST).tolist(), strict=True)):
+                sha, x = hashlib.sha256(), unpacked(raw.as_buffer(), n)
+                for start in range(0, n, 1 << 16):
+                    own = x[start : start + (1 << 16)]
                     sums[i] += table[own].sum(0)
                     # words of texts as a whole may have no tokens
                     texts = ";".join(filter(None, map(groups.__getitem__, own.tolist())))
@@ -314,6 +329,6 @@ def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "tex
     book = words.select("block", "code", "word").join(found, "word", "left")
     none = F.lit("0;" * len(_NUMBERS)).cast("binary")
     book = book.select("block", "code", F.lit(None).cast("long").alias("key"), F.coalesce("body", none).alias("body"))
-    own = coded.where("what = 'text'").select("block", F.lit(_LAST).alias("code"), "key", F.col("codes").alias("body"))
+    own = coded.where("what = 'text'").select("block", (F.lit(_LAST) + F.col("n")).alias("code"), "key", F.col("codes").alias("body"))
     out = book.union(own).repartition("block").sortWithinPartitions("block", "code")
     return out.mapInArrow(T.tidied(_assembled), _OUT).withColumnRenamed("key", key)

@@ -89,3 +89,9 @@ def test_nothing_nulls_and_repeated_keys(spark):
     rows = [(None, "one two"), (7, "one two"), (7, "three"), (None, None)]
     got = sorted((str(r.doc_id), r.n_a, r.n_links) for r in A.align(spark.createDataFrame(rows, schema), *map(tokenizer, NAMES)).collect())
     assert [g[0] for g in got] == ["7", "7", "None", "None"] and {g[1] for g in got if g[0] == "None"} == {0, 2}
+
+
+def test_codes_come_back():
+    r = np.random.default_rng(1)
+    for codes in (np.zeros(0, np.int64), np.array([0, 1, 32767, 32768, A.CODES - 1]), r.integers(0, A.CODES, 5000)):
+        assert A.unpacked(A.packed(codes), len(codes)).tolist() == codes.tolist()
