@@ -245,7 +245,7 @@ def windows(first: np.ndarray, size: int, low: int = 0, high: int | None = None)
     return doc, start, np.minimum(start + size, first[doc + 1])
 
 
-def _search(sent, tables, cosine: float | None):
+def _search(sent, tables, cosine: float | None = COSINE):
     least = -2.0 if cosine is None else cosine  # below any cosine
 
     def run(batches):
