@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import features, models, nested, structure
+from plumbline.operators import features, graph_learner, models, nested, structure
 from plumbline.plans import views as V
 from plumbline.queries.base import query, table
 from plumbline.queries.graph import rounded
@@ -99,3 +99,11 @@ def d13_simple_choice(spark, sf_dir):
 def d13_nested_selection(spark, sf_dir):
     """Every row judged by a choice among scores, their mean and a stacked model that never saw its group, with a calibrated score; a test refits each model by itself."""
     return nested.nested_selection(_two_scores(spark, sf_dir), "grp", _WEIGHTS, key="doc_id")
+
+
+@query()
+def n8_graph_learner(spark, sf_dir):
+    """Every account's score by an aggregator over sampled neighbours that was trained on the accounts of one split; a test holds its gradients and its gain over a linear model."""
+    f = _features(spark, sf_dir)
+    rows = stash(graph_learner.neighbourhoods(V.edges(spark, sf_dir), f.select("user_id", *TRANSFER), TRANSFER).join(f.select("user_id", "label", "split"), "user_id"), "neighbourhoods")
+    return graph_learner.scores(rows, graph_learner.train(rows.where("split = 'train'")))

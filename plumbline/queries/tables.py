@@ -9,11 +9,13 @@ from plumbline.functions import text as X
 from plumbline.operators import metrics as M
 from plumbline.operators import relational as R
 from plumbline.operators import scoring as S
+from plumbline.operators import sketches as K
 from plumbline.operators.intervals import asof_join, within_spans
 from plumbline.plans import views as V
 from plumbline.queries.base import query, table
 from plumbline.queries.graph import WITH, rounded
 from plumbline.sources import sinks
+from plumbline.store import stash
 
 MD5 = "md5('42:' || doc_id)"
 
@@ -270,3 +272,17 @@ SELECT n, round((t - p * (p + 1) / 2) / nullif(p * (n - p), 0), 6) AS auc, coale
 def a23_id_audit(spark, sf_dir):
     """Whether accounts' numbers tell their labels."""
     return rounded(M.id_audit(V.accounts(spark, sf_dir)))
+
+
+@query("""WITH q AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1) SELECT event_type, n, users, true AS users_near, true AS quantiles_near FROM q""")
+def sketches_by_type(spark, sf_dir):
+    """Sketches of every day and type, stored and merged by type: within four standard errors of the exact counts, and quantiles within two in a hundred of their rank."""
+    e = table(spark, sf_dir, "events")
+    shares = [0.1, 0.5, 0.9]
+    got = K.merged(stash(K.sketched(e, "ts", ["event_type"], "user_id", "value"), "sketches"), ["event_type"], shares)
+    users = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    j = e.join(got, "event_type").groupBy("event_type").agg(F.any_value("n").alias("n"), F.any_value("people").alias("people"), *(F.avg((F.col("value") <= F.col("q")[i]).cast("double")).alias(f"r{i}") for i in range(len(shares))))
+    near = F.lit(True)
+    for i, q in enumerate(shares):
+        near = near & (F.abs(F.col(f"r{i}") - q) <= 0.02)
+    return j.join(users, "event_type").select("event_type", "n", "users", (F.abs(F.col("people") - F.col("users")) <= 4 * 1.04 / 2 ** (K.K / 2) * F.col("users") + 1).alias("users_near"), near.alias("quantiles_near"))
