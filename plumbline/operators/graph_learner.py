@@ -147,8 +147,10 @@ def train(rows: DataFrame, label: str = "label", hidden: int = HIDDEN, rounds: i
     return w
 
 
-def scores(rows: DataFrame, w: Weights, key: str = "user_id") -> DataFrame:
-    """(key, model_score) of rows (key, own, near)."""
+def scores(rows: DataFrame, w: Weights | None, key: str = "user_id") -> DataFrame:
+    """(key, model_score) of rows (key, own, near); 0.5 each where there was nothing to train on."""
+    if w is None:
+        return rows.select(key, F.lit(0.5).alias("model_score"))
     sent = rows.sparkSession.sparkContext.broadcast(w)
 
     def run(batches):

@@ -56,5 +56,6 @@ def test_no_ties_one_class_no_rows(spark):
     rows = G.neighbourhoods(none, nodes, ["x"])
     assert [(len(r.own), r.near) for r in rows.collect()] == [(2, []), (2, [])]
     assert G.train(rows.join(nodes, "user_id")) is None
+    assert {r.model_score for r in G.scores(rows, None).collect()} == {0.5}
     assert G.scores(rows, G.Weights.of(2, 3, 0)).count() == 2
     assert G.scores(rows.limit(0), G.Weights.of(2, 3, 0)).count() == 0
