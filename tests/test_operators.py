@@ -185,3 +185,13 @@ def test_components_of_a_path(spark):
     assert {r.component for r in connected_components(e, "a", "b").collect()} == {0}
     with pytest.raises(RuntimeError):
         connected_components(e, "a", "b", rounds=1)
+
+
+def test_few_valued_tables_count_as_their_rows(spark):
+    from plumbline.store import stash
+
+    spark.conf.unset("spark.sql.sources.fileCompressionFactor")
+    few = "pmod(xxhash64(id), 97) AS user_id", "md5(string(pmod(xxhash64(id, 1), 5))) AS text"
+    content.duplication(spark.range(10).selectExpr(*few), near=None)
+    read = stash(spark.range(100_000).selectExpr(*few), "few")
+    assert int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 100_000 * 16  # else it is broadcast
