@@ -187,6 +187,32 @@ def test_components_of_a_path(spark):
         connected_components(e, "a", "b", rounds=1)
 
 
+def _pairwise(rows, window, least=3):
+    """(score, partners, mean lift) of each account from all pairs of accounts."""
+    here = {u: {t // window for v, t in rows if v == u} for u, _ in rows}
+    every = set().union(*here.values())
+    pool = {u: b | {x - 1 for x in b if x - 1 in every} for u, b in here.items()}
+    found = {u: [] for u in here}
+    for u in here:
+        for v in here:
+            n = len(pool[u] & pool[v])
+            if u != v and n >= least:
+                e = max(len(here[u]) * len(here[v]) / len(every), 1e-9)
+                found[u].append(((n - e) / math.sqrt(e), n / e))
+    return {u: (1 - math.exp(-max(max((z for z, _ in x), default=0.0), 0.0) / 6), sum(r >= 2 for _, r in x), sum(r for _, r in x) / len(x) if x else 0.0) for u, x in found.items()}
+
+
+@pytest.mark.parametrize("meet", [0, 3, 10**9])
+def test_synchrony_of_blocks_without_pairs_as_rows(spark, monkeypatch, meet):
+    rows = [(u, 60 * ((u * 7 + k * k * (1 + u % 5)) % 90)) for u in range(40) for k in range(2 + u % 23)]
+    for name, value in (("FEW", 9), ("MEMBERS", 12), ("MEET", meet), ("COLUMNS", 7), ("CELLS", 30)):  # buckets as columns, by pairs, or both
+        monkeypatch.setattr(temporal, name, value)
+    monkeypatch.setattr(temporal, "co_posting", None)
+    got = {r.user_id: (r.synchrony_score, r.synchrony_partner_count, r.synchrony_mean_lift) for r in temporal.synchrony(posts(spark, [(f"u{u}", t) for u, t in rows])).collect()}
+    want = _pairwise([(f"u{u}", t) for u, t in rows], 60)
+    assert set(got) == set(want) and all(got[u] == pytest.approx(want[u]) for u in want)
+
+
 def test_few_valued_tables_count_as_their_rows(spark):
     from plumbline.store import stash
 
