@@ -221,3 +221,12 @@ def test_few_valued_tables_count_as_their_rows(spark):
     content.duplication(spark.range(10).selectExpr(*few), near=None)
     read = stash(spark.range(100_000).selectExpr(*few), "few")
     assert int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 100_000 * 16  # else it is broadcast
+
+
+def test_grams_are_not_put_together_from_characters(spark):
+    texts = ["", " A\n b", "abcd", "Abcde", "an an an an an", "\U0001f600\U0001f601x\U0001f602yz \U0001f600"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.char_ngrams(F.col("t")).alias("g"))
+    for t, g in df.collect():
+        c = " ".join(t.lower().split())
+        assert g == list(dict.fromkeys(c[i : i + 5] for i in range(max(1, len(c) - 4)) if c))
+    assert "array_join" not in df._jdf.queryExecution().optimizedPlan().toString()
