@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -230,3 +231,12 @@ def test_grams_are_not_put_together_from_characters(spark):
         c = " ".join(t.lower().split())
         assert g == list(dict.fromkeys(c[i : i + 5] for i in range(max(1, len(c) - 4)) if c))
     assert "array_join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cotext_is_made_once(spark):
+    texts = [None, "", "Short https://a.b/c", "A shared LINE https://x.y/z?q=1 and HTTP://W.V, http:/no but more_words 12!", "x" * 25, "no signs :// but twenty five letters"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.cotext(F.col("t")).alias("c"))
+    for t, c in df.collect():
+        want = re.sub(r"[^a-z0-9_]+", " ", re.sub(r"https?://\S+", " ", (t or "").lower())).strip(" ")
+        assert c == (want if len(want) >= 25 else None)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9_]+") == 1
