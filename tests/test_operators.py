@@ -240,3 +240,13 @@ def test_cotext_is_made_once(spark):
         want = re.sub(r"[^a-z0-9_]+", " ", re.sub(r"https?://\S+", " ", (t or "").lower())).strip(" ")
         assert c == (want if len(want) >= 25 else None)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9_]+") == 1
+
+
+def test_features_are_made_once_and_what_they_came_from_goes(spark):
+    from plumbline import store
+    from plumbline.queries import QUERIES
+
+    before = set(store._PLACED)
+    scaled = QUERIES["g10_scaled"](spark, "/root/testdata/sf0.001")  # reads them twice: for the means, and the rows
+    assert all("/features-" in f for f in scaled.inputFiles()) and scaled.count() > 0
+    assert [p.rpartition("/")[2].partition("-")[0] for p in store._PLACED if p not in before] == ["features"]
