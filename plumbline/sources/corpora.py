@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import binary_label, normalise
+from plumbline.store import stash
 
 KEEP = ["text", "label", "threat_class", "generator", "domain", "group_id", "source_dataset", "era"]
 
@@ -84,6 +85,7 @@ def build_text_corpus(parts: dict[str, DataFrame], threshold: float = 0.9, near:
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.select("uid", *KEEP).withColumn("_o", F.lit(i)) for i, df in enumerate(parts.values())])
     every = exact_dedupe(every.withColumn("_k", F.concat_ws(":", F.lpad(F.col("_o").cast("string"), 6, "0"), "uid")), "_k", "text")
     if near:
+        every = stash(every, "texts")  # read several times
         every = near_dedupe(every, "_k", "text", threshold)
     return every.select(F.concat(F.lit("corpus:"), F.md5(F.to_json(order))).alias("uid"), *KEEP)
 

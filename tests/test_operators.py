@@ -250,3 +250,16 @@ def test_features_are_made_once_and_what_they_came_from_goes(spark):
     scaled = QUERIES["g10_scaled"](spark, "/root/testdata/sf0.001")  # reads them twice: for the means, and the rows
     assert all("/features-" in f for f in scaled.inputFiles()) and scaled.count() > 0
     assert [p.rpartition("/")[2].partition("-")[0] for p in store._PLACED if p not in before] == ["features"]
+
+
+@pytest.mark.parametrize("grams", [1 << 20, 20])
+def test_near_pairs_carry_no_grams_and_count_as_sets(spark, monkeypatch, grams):
+    monkeypatch.setattr(dedup, "GRAMS", grams)  # by the second blocks of few texts
+    words = "the night shift packed what came before the last train left for Öland \U0001f682".split()
+    texts = {i: " ".join(words[i % 3 : 9 + i % 4] + [f"n{i // 2}"]) for i in range(24)} | {90: "Ab  c", 91: "ab c", 92: "", 93: "abcd"}
+    df = spark.createDataFrame(list(texts.items()), "id long, t string")
+    near = dedup.near_pairs(df, "id", "t", 0.6)
+    assert "array_intersect" not in near._jdf.queryExecution().optimizedPlan().toString()
+    sets = {i: {t[k : k + 5] for k in range(max(len(t) - 4, 1))} for i, t in ((i, " ".join(t.lower().split())) for i, t in texts.items()) if t}
+    got = near.collect()
+    assert len(got) > 20 and all(r.a < r.b and r.jaccard == len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b]) >= 0.6 for r in got)
