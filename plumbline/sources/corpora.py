@@ -14,8 +14,9 @@ KEEP = ["text", "label", "threat_class", "generator", "domain", "group_id", "sou
 def finalise(df: DataFrame, dataset: str, era: str = "unknown") -> DataFrame:
     """Rows of three words or more with a label, under the text schema; uid is the dataset and a hash of content and group."""
     have = lambda c, d: F.coalesce(F.col(c), F.lit(d)) if c in df.columns else F.lit(d)
-    t = normalise(F.col("text"), most=None)
-    out = df.withColumn("text", t).where((F.size(F.split("text", " ")) >= 3) & F.col("label").isNotNull())
+    # rows of an array, so that a text is made once, not again for the condition
+    whole = F.filter(F.array(normalise(F.col("text"), most=None)), lambda t: F.size(F.split(t, " ")) >= 3)
+    out = df.where(F.col("label").isNotNull()).withColumn("text", F.explode(whole))
     out = out.select(
         "text", F.col("label").cast("byte").alias("label"), have("threat_class", None).cast("string").alias("threat_class"), have("generator", "unknown").alias("generator"),
         have("domain", None).cast("string").alias("domain"), F.coalesce(have("group_id", None).cast("string"), F.md5("text")).alias("group_id"), F.lit(dataset).alias("source_dataset"), F.lit(era).alias("era"),

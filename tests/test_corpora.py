@@ -260,3 +260,17 @@ def test_baselines_and_calibration(spark):
     assert steps == sorted(steps) and 0 <= steps[0] <= steps[-1] <= 1
     assert models.calibrated(d, d).where("calibrated between 0 and 1").count() == 200
     assert models.scores(models.stacked(d, ["score"]), d).count() == 200
+
+
+def test_texts_are_normalised_once_and_times_tried_in_forms_that_can_fit(spark):
+    from plumbline.queries import QUERIES
+
+    df = spark.range(20).selectExpr("concat('see WWW.x.y or a@b.cd by @some_one, ', id) AS text", "CAST(id % 2 AS int) AS label")
+    out = corpora.finalise(df, "d")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("HTTPURL") == 1  # not again for the count of words
+    assert out.first().text.startswith("see HTTPURL or EMAILADDR by @USER")
+    assert not any("orders" in f for f in QUERIES["x5_text_corpus"](spark, "/root/testdata/sf0.001").inputFiles())
+    said = ["Tue Jun 11 11:20:35 +0000 2013", "2013-06-11 11:20:35", "2013-06-11T11:20:35", "2013-06-11", "soon"]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, t string").select("i", graphs.time_of(F.col("t")).alias("at"))
+    assert "RLIKE(" in t._jdf.queryExecution().optimizedPlan().toString()  # guarded, a form that does not fit costs an exception a row
+    assert [str(r.at) for r in t.orderBy("i").collect()] == ["2013-06-11 11:20:35"] * 3 + ["2013-06-11 00:00:00", "None"]
