@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.relational import dense_index
-from plumbline.store import discard, stash
+from plumbline.store import discard, settled, stash
 
-#: Gains that count, the part of a level's nodes that must move for another sweep, how much degrees count against ties.
-LEAST, GO_ON, RESOLUTION = 1e-9, 0.05, 1.2
+#: Gains that count, the part of a level's nodes that must move for another sweep, how much degrees count against ties,
+#: slices of a rank of moves, how far from the best a choice may be.
+LEAST, GO_ON, RESOLUTION, SLICES, NEAR = 1e-9, 0.05, 1.2, 32, 0.25
 
 
 def _simple(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -39,29 +40,58 @@ def joining_gain(edges: DataFrame, parts: DataFrame, resolution: float = RESOLUT
     return between.agg(F.max(2 * (F.col("w") - resolution * F.col("tx") * F.col("ty") / F.col("m")) / F.col("m")).alias("gain"))
 
 
-def _sweep(e: DataFrame, at: DataFrame, m: float, resolution: float) -> DataFrame:
-    """at (a, k, c), each node's degree and community, with the moves of one sweep made; moved says whose.
+def _wanted(e: DataFrame, at: DataFrame, m: float, resolution: float, turn: int) -> DataFrame:
+    """(a, k, home, c, gain): a community that each node gains by joining, nearly the best one.
 
-    Every node looks for the community that it gains most by joining, the least
-    of equals.  Of the moves out of or into a community only the one of largest
-    gain is made, so gains are exact and modularity rises with every move.
+    Gains count less by up to NEAR, by a hash of node, community and turn, so
+    nodes with the same choice do not all go to the same community.
     """
     totals = at.groupBy("c").agg(F.sum("k").alias("tot"))
     near = e.join(at.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
     own = at.select("a", "k", F.col("c").alias("home")).join(totals.toDF("home", "home_tot"), "home")
-    x = near.join(own, "a").join(totals, "c")
-    away = F.col("c") != F.col("home")
-    value = F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(away, 0.0).otherwise(F.col("k"))) / m
-    alone = -resolution * F.col("k") * (F.col("home_tot") - F.col("k")) / m  # of staying, with no tie to the rest
-    best = x.groupBy("a").agg(
-        F.min(F.when(away, F.struct((-value).alias("v"), F.col("c").alias("c")))).alias("to"), F.max(F.when(~away, value)).alias("stay"), F.any_value(alone).alias("alone"), F.any_value("home").alias("home"),
-    )
-    gain = -F.col("to.v") - F.coalesce("stay", "alone")
-    want = best.where(F.col("to").isNotNull()).select("a", "home", F.col("to.c").alias("c"), gain.alias("gain")).where(F.col("gain") > LEAST)
-    # a move is made if it is first at both communities
-    ends = want.select("a", "c", F.explode(F.array("home", "c")).alias("end"), (-F.col("gain")).alias("loss"))
-    first = ends.groupBy("end").agg(F.min(F.struct("loss", "a", "c")).alias("x")).groupBy(F.col("x.a").alias("a"), F.col("x.c").alias("to")).agg(F.count("*").alias("n")).where("n = 2")
-    return at.join(first.drop("n"), "a", "left").select("a", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved"))
+    x = own.join(near, "a").join(totals, "c").join(near.toDF("a", "home", "w_home"), ["a", "home"], "left")
+    stay = F.coalesce("w_home", F.lit(0.0)) - resolution * F.col("k") * (F.col("home_tot") - F.col("k")) / m
+    x = x.where("c <> home").select("a", "k", "home", "c", (F.col("w") - resolution * F.col("k") * F.col("tot") / m - stay).alias("gain")).where(F.col("gain") > LEAST)
+    less = 1 - NEAR * F.pmod(F.xxhash64("a", "c", F.lit(turn)), F.lit(1024)) / 1024
+    best = x.groupBy("a").agg(F.min(F.struct((-F.col("gain") * less).alias("v"), F.col("c").alias("c"), "gain", "k", "home")).alias("x"))
+    return best.select("a", "x.k", "x.home", "x.c", "x.gain")
+
+
+def _made(want: DataFrame, m: float, resolution: float, turn: int) -> DataFrame:
+    """(a, to): those of the wanted moves that are made together, each of which raises modularity whatever others are made.
+
+    A community gives or takes, whichever has more gain (of equals as a hash of
+    it and the turn has it), so moves out of one are never weighed against moves
+    into it; the ends of the move of largest gain do as that needs.  Moves that
+    share a community then cost one another at most resolution * k * k / m
+    beyond their gains.  They are ranked by halvings of the gain, cut by a hash
+    into SLICES, and one is made if its gain is over what it and all of its rank
+    or before would cost each other at both ends.  A move that is first at both
+    is always made, so a sweep makes one if any is wanted.
+    """
+    order = F.struct((-F.col("gain")).alias("loss"), "k", "a")
+    sides = F.array(F.struct(F.col("home").alias("end"), F.col("gain").alias("g")), F.struct(F.col("c").alias("end"), (-F.col("gain")).alias("g")))
+    role = want.select(F.explode(sides).alias("e")).groupBy("e.end").agg(F.sum("e.g").alias("g"))
+    top = want.agg(F.min(F.struct(order.alias("x"), "home", "c")).alias("t")).select("t.home", "t.c")
+    coin = F.pmod(F.xxhash64("end", F.lit(turn)), F.lit(2)) == 0
+    gives = (F.col("end") == F.col("home")) | ((F.col("end") != F.col("c")) & ((F.col("g") > LEAST) | ((F.col("g") > -LEAST) & coin)))
+    role = role.join(F.broadcast(top)).select("end", gives.alias("gives"))  # one row
+    rank = F.floor(-F.log2("gain")) * SLICES + F.pmod(F.xxhash64("a"), F.lit(SLICES))
+    may = want.join(role.where("gives").select(F.col("end").alias("home")), "home", "left_semi").join(role.where("not gives").select(F.col("end").alias("c")), "c", "left_semi")
+    may = stash(may.select("a", "k", "home", "c", "gain", rank.alias("rank")), "moves")
+    both = may.select(F.explode(F.array("home", "c")).alias("end"), "rank", "k", order.alias("x")).groupBy("end", "rank").agg(F.sum("k").alias("k"), F.min("x").alias("x"))
+    there = Window.partitionBy("end")  # a row for each rank, of which there are few
+    sums = both.select("end", "rank", F.sum("k").over(there.orderBy("rank")).alias("sum"), F.min("x").over(there)["a"].alias("lead"))
+    at = may.join(sums.toDF("home", "rank", "s0", "l0"), ["home", "rank"]).join(sums.toDF("c", "rank", "s1", "l1"), ["c", "rank"])
+    cost = resolution * F.col("k") * (F.col("s0") + F.col("s1") - 2 * F.col("k")) / m
+    first = (F.col("l0") == F.col("a")) & (F.col("l1") == F.col("a"))
+    return at.where(first | (F.col("gain") - cost > LEAST)).select("a", F.col("c").alias("to"))
+
+
+def _sweep(e: DataFrame, at: DataFrame, m: float, resolution: float, turn: int) -> DataFrame:
+    """at (a, k, c), each node's degree and community, with the moves of one sweep made; moved says whose."""
+    made = _made(stash(_wanted(e, at, m, resolution, turn), "wanted"), m, resolution, turn)
+    return at.join(made, "a", "left").select("a", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved"))
 
 
 def modularity_communities(edges: DataFrame, nodes: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
@@ -78,10 +108,12 @@ def modularity_communities(edges: DataFrame, nodes: DataFrame, resolution: float
     at = nodes.select(F.col("user_id").alias("a")).distinct().join(degree, "a", "left").select("a", F.coalesce("k", F.lit(0.0)).alias("k"))
     at = stash(at.withColumn("c", F.col("a")), "level")
     found = at.select(F.col("a").alias("user_id"), F.col("c").alias("community"))
+    turn = 0
     while m > 0:
         nodes_here, any_move = at.count(), False
         while True:
-            new = stash(_sweep(e, at, m, resolution), "sweep")
+            new = settled(e.sparkSession, "sweep", lambda e=e, at=at, turn=turn: _sweep(e, at, m, resolution, turn))
+            turn += 1
             moved = new.where("moved").count()
             any_move = any_move or moved > 0
             at, old = new.drop("moved"), at

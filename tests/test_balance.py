@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators import metrics as M
+from plumbline.operators import modularity as G
 from plumbline.operators.modularity import joining_gain, modularity, modularity_communities
 from plumbline.operators.splits import assign, balanced_split
 
@@ -104,6 +105,32 @@ def test_planted_communities_are_found(spark):
     assert q_of(ties, one, 1.2) - q_of(ties, part, 1.2) <= joining_gain(edges, found).first()[0] + 1e-12
 
 
+def test_many_moves_a_sweep_each_of_which_gains(spark, monkeypatch):
+    r = random.Random(5)
+    ties = {(h, 100 + leaf) for leaf in range(200) for h in r.sample(range(6), 3)} | {(a, a + 1) for a in range(100, 140)}
+    nodes = spark.createDataFrame([(k,) for k in sorted({x for t in ties for x in t})], "user_id long")
+    sweeps, one = [], G._sweep
+
+    def swept(e, at, m, resolution, *turn):
+        out = one(e, at, m, resolution, *turn)
+        w, rises = [tuple(x) for x in e.collect()], []
+        for d in (at, out):
+            c, tot = {x.a: x.c for x in d.collect()}, Counter()
+            for x in d.collect():
+                tot[x.c] += x.k
+            rises.append(sum(v for a, b, v in w if c[a] == c[b]) - resolution * sum(t * t for t in tot.values()) / m)
+        moved = out.where("moved").count()
+        sweeps.append(moved)
+        assert rises[1] > rises[0] if moved else rises[1] == rises[0]
+        assert len(sweeps) < 20
+        return out
+
+    monkeypatch.setattr(G, "_sweep", swept)
+    found = modularity_communities(spark.createDataFrame(list(ties), "source long, target long"), nodes)
+    assert sweeps[-1] == 0 and max(sweeps) > 50
+    assert (joining_gain(spark.createDataFrame(list(ties), "source long, target long"), found).first()[0] or 0) <= 1e-9
+
+
 def test_no_ties_no_communities(spark):
     nodes = spark.createDataFrame([(1,), (2,)], "user_id long")
     none = spark.createDataFrame([], "source long, target long")
