@@ -79,6 +79,32 @@ def test_co_posting_in_blocks(spark, monkeypatch):
     assert sorted(tuple(r) for r in temporal.co_posting(here, 4).where("n >= 4").collect()) == [w for w in want if w[2] >= 4]
 
 
+def test_texts_that_only_share_a_band_are_no_candidates(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(40)]
+    texts = [" ".join(rng.choices(words, k=90)) for _ in range(60)]
+    texts += [t + f" no. {i}" for i, t in enumerate(texts[:20])]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(80) for b in range(a + 1, 80)}
+    assert sum(0.2 < j < 0.7 for j in alike.values()) > 2000  # of which four functions often agree
+    seen, near = [], dedup._near
+    monkeypatch.setattr(dedup, "_near", lambda pairs, *a: seen.append(pairs.select("a", "b").collect()) or near(pairs, *a))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {(r.a, r.b): r.jaccard for r in dedup.near_pairs(df, "id", "t", 0.85).collect()}
+    assert got == pytest.approx({p: j for p, j in alike.items() if j >= 0.85}) and len(got) >= 20
+    assert len(got) <= len(seen[0]) <= len(got) + 20
+
+
+def test_grams_are_the_same_in_pieces(monkeypatch):
+    text = "\U0001f682 Öland " + "".join(chr(97 + i * i % 23) for i in range(300))
+    whole = dedup._grams(text)
+    assert len(whole) == len({text[i : i + 5] for i in range(len(text) - 4)}) and len(dedup._grams("abcd")) == 1
+    monkeypatch.setattr(dedup, "PIECE", 7)
+    assert (dedup._grams(text) == whole).all()
+
+
 def test_near_links_have_the_components_of_near_pairs(spark):
     from plumbline.operators.components import connected_components
 
