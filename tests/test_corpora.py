@@ -97,6 +97,28 @@ def test_texts_that_only_share_a_band_are_no_candidates(spark, monkeypatch):
     assert len(got) <= len(seen[0]) <= len(got) + 20
 
 
+def test_tags_are_held_against_all_neighbours(spark, monkeypatch):
+    from plumbline.operators import skew
+
+    monkeypatch.setattr(skew, "SHARE", 4)  # the hub's ties are dealt
+    tags = {0: {"a", "b", "c"}} | {i: {"a", "b"} if i <= 200 else {"c", f"t{i}"} for i in range(1, 320)}
+    ties = [(0, i) for i in range(1, 320, 2)] + [(i, 0) for i in range(2, 320)] + [(0, 0), (5, 7), (7, 5), (0, 999)]
+    posts = spark.createDataFrame([(u, ["#" + h.upper()]) for u, s in tags.items() for h in s] + [(3, [None])], "user_id long, hashtags array<string>")
+    got = {r.user_id: r.hashtag_jaccard_mean for r in content.hashtag_jaccard(edges(spark, ties), posts).collect()}
+    near = {u: {b for a, b in ties if a == u} | {a for a, b in ties if b == u} for u in tags}
+    mean = lambda u: [len(tags[u] & tags[v]) / len(tags[u] | tags[v]) for v in near[u] - {u} if v in tags]
+    assert got == pytest.approx({u: sum(mean(u)) / len(mean(u)) for u in tags})
+    some = {r.user_id: r.hashtag_jaccard_mean for r in content.hashtag_jaccard(edges(spark, ties), posts, 200).collect()}
+    assert some[0] == pytest.approx(2 / 3) and got[0] < 0.6
+
+
+def test_no_neighbour_is_left_out_where_a_query_takes_all():
+    from plumbline.queries import SQL
+
+    assert not any("rn <= 200" in SQL[q] for q in ("a18_cohens_d",))
+    assert all("rn <= 200" in SQL[q] for q in ("g8_features", "j14_hashtag_jaccard", "m13_importance"))
+
+
 def test_grams_are_the_same_in_pieces(monkeypatch):
     text = "\U0001f682 Öland " + "".join(chr(97 + i * i % 23) for i in range(300))
     whole = dedup._grams(text)
