@@ -115,7 +115,7 @@ def test_tags_are_held_against_all_neighbours(spark, monkeypatch):
 def test_no_neighbour_is_left_out_where_a_query_takes_all():
     from plumbline.queries import SQL
 
-    assert not any("rn <= 200" in SQL[q] for q in ("a18_cohens_d", "d2_node_evidence", "g10_scaled"))
+    assert not any("rn <= 200" in SQL[q] for q in ("a18_cohens_d", "d2_node_evidence", "g10_scaled", "g9_transfer"))
     assert all("rn <= 200" in SQL[q] for q in ("g8_features", "j14_hashtag_jaccard", "m13_importance"))
 
 
